@@ -14,20 +14,22 @@ from .sketch import band_keys, sketch
 from .store import batches, groups, small_batches, written
 from .words import mix, shingles
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())])
-_SKETCHED_SQL = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, coords binary"
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary()), ("parity", pa.binary())])
+_SKETCHED_SQL = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, coords binary, parity binary"
+_BITS = 1024
 
 
 def _sketcher(size: int, bins: int, rows: int):
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t, size) for t in cols["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
-        out = {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "s1": [0] * len(sets), "s2": [0] * len(sets), "bands": [None] * len(sets), "coords": [None] * len(sets)}
+        out = {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "s1": [0] * len(sets), "s2": [0] * len(sets), "bands": [None] * len(sets), "coords": [None] * len(sets), "parity": [None] * len(sets)}
         if full:
             made = np.stack([sketch(sets[i], bins) for i in full])
             keys, low = band_keys(made, rows), (mix(made) & np.uint64(255)).astype(np.uint8)
             for k, i in enumerate(full):
                 out["bands"][i], out["coords"][i] = keys[k], low[k].tobytes()
+                out["parity"][i] = np.packbits(np.bincount((mix(sets[i]) >> np.uint64(54)).astype(np.int64), minlength=_BITS) & 1).tobytes()
                 out["s1"][i], out["s2"][i] = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (mix(sets[i]), mix(~sets[i])))
         return out
 
@@ -69,7 +71,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
 
 
 def _likely(num: int, den: int, slack: float):
-    """Pairs within blocks of a bucket that are of different components, not tested yet and likely by size and sketch."""
+    """Pairs within blocks of a bucket that are of different components, not tested yet and likely.
+
+    A pair whose sizes cannot meet the threshold is out, so is one whose parity bitmaps differ in more
+    bits than a linked pair may have elements apart (both exact bounds), then one whose sketches agree
+    in far too few coordinates.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(parts, ["key", "bi", "bj"]):
@@ -77,6 +84,7 @@ def _likely(num: int, den: int, slack: float):
                 continue
             doc, comp, n, hub, side = (g.column(k).to_numpy() for k in ("doc", "comp", "n", "hub", "side"))
             coords = np.frombuffer(b"".join(g.column("coords").to_pylist()), np.uint8).reshape(len(doc), -1)
+            parity = np.frombuffer(b"".join(g.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
             need = coords.shape[1] * (num / den - slack)
             alone = g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
             out = []
@@ -85,6 +93,8 @@ def _likely(num: int, den: int, slack: float):
                 ok &= (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i])) & (doc[i] != hub[i])
                 at = np.flatnonzero(ok)
                 if len(at):
+                    apart = np.bitwise_count(parity[at] ^ parity[i]).sum(1, dtype=np.int64)
+                    at = at[apart * (num + den) <= (den - num) * (n[at] + n[i])]
                     at = at[(coords[at] == coords[i]).sum(1) >= need]
                     out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at]
             if out:
@@ -106,11 +116,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     * In each bucket every member is first checked against the least one; components follow. Members
       of a bucket that is then all one component need no more, so a large group of near copies costs
       rows in proportion. What still spans components is compared in blocks of ``block`` members,
-      by sketch within the task (``slack`` is over five standard deviations), and the likely pairs
-      are verified as well: no pair that shares a bucket is skipped and no bucket is capped.
+      by bitmap and sketch within the task (``slack`` is over four standard deviations), and the
+      likely pairs are verified as well: no pair that shares a bucket is skipped and no bucket is capped.
     * Null or empty texts and texts without words have the empty set and are linked with nothing.
-      Rows that share a doc_id are versions of one document: a link of any of them counts. A row with
-      a null doc_id takes no part: its component is null and it is kept. Other columns are ignored.
+      A node is named by the least doc_id with its set, and each row follows the set of its own text,
+      also where rows share a doc_id. A row with a null doc_id takes no part: its component is null
+      and it is kept. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -130,12 +141,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", "m", F.coalesce("component", "doc").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    sketches = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "coords").dropDuplicates(["doc", "n"])
+    sketches = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "coords", "parity").dropDuplicates(["doc", "n"])
     blocks = F.ceil(F.col("m") / block).cast("int")
     open_ = (
         placed.where("m > 2").join(mixed, "key", "left_semi").join(sketches, "doc")
         .withColumn("side", F.pmod(F.hash("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "doc", "hub", "comp", "n", "coords")
+        .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "doc", "hub", "comp", "n", "coords", "parity")
     )
     likely = open_.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_likely(num, den, slack), "a long, b long").distinct()
     more = written(_verified(likely, texts, shingle, num, den), "edges")
