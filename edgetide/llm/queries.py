@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from . import bpe, token_files
 from .near_dup import near_duplicates
 
 
@@ -16,8 +20,24 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=3, num=85, den=100)
 
 
+def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to ids and back with the 50k byte-level vocabulary."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(_documents(spark, sf_dir), path)
+    decoded = bpe.decode(encoded, path, keep=("doc_id", "ids"))
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op3_token_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard files with the 49k word vocabulary, written, then read back."""
+    path = token_files.token_path(spark, "tokens")
+    token_files.write_token_files(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    found = (op1_minhash_near_dedup, op2_bpe_forced_boundaries, op3_token_wavelet_files)
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
