@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, token_files
+from .ann import nearest
+from .licenses import scan_licenses
+from .lm import score_documents
+from .mixing import mix
 from .near_dup import near_duplicates
+from .secrets import KINDS, scan_secrets
+from .topk import top_inner_products
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +42,57 @@ def op3_token_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1 in the sources' order, 150 % of all words, at most twice a source's size."""
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product for every twentieth vector."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model fitted on the labelled ones."""
+    docs = _documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_lm_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document; fold 2 of 7 is held out."""
+    return score_documents(_documents(spark, sf_dir))
+
+
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans, their digest, and with them the values that few owners have."""
+    scanned = scan_secrets(_documents(spark, sf_dir))
+    base = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    own = F.transform("live", lambda s: F.struct(s["start"], F.lit(3).alias("kind"), s["end"]))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return scanned.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.array_sort(F.concat(base, own))).alias("spans"), F.size("live").cast("long").alias("n_live"),
+    )
+
+
+def op9_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products for every hundredth vector."""
+    return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
+
+
+def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and template matches of every document."""
+    found = scan_licenses(_documents(spark, sf_dir))
+    place = lambda f: F.when(F.size("places") > 0, f("places"))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), place(F.array_min).alias("first_word"), place(F.array_max).alias("last_word"), "base_labels", "labels", "score")
+
+
 def queries() -> dict:
-    found = (op1_minhash_near_dedup, op2_bpe_forced_boundaries, op3_token_wavelet_files)
+    found = (
+        op1_minhash_near_dedup, op2_bpe_forced_boundaries, op3_token_wavelet_files, op4_source_mixing, op5_multiprobe_ann,
+        op6_toxicity_ordinal, op7_lm_backoff_automaton, op8_secret_ownership, op9_ball_tree_topk, op10_license_templates,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -58,6 +114,38 @@ both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = s.doc_id""",
+    "op4_source_mixing": rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM sized GROUP BY source),
+steps AS (
+  SELECT *, 2 * source_size AS lim, sum(source_size) OVER () AS total,
+    coalesce(sum(2 * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
+    row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source) AS place FROM per),
+levels AS (SELECT *, (1.5::DOUBLE * total - capped) / open_weight AS level FROM steps),
+chosen AS (SELECT arg_min(level, place) AS level FROM levels WHERE level <= lim / weight),
+targets AS (SELECT l.source, l.source_size, coalesce(least(CAST(l.lim AS DOUBLE), c.level * l.weight), 0) AS target FROM levels l, chosen c),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(start + size, least(take, source_size)) - start) + greatest(0, least(start + size, take - source_size) - start) AS BIGINT) AS taken
+FROM placed""",
+    "op9_ball_tree_topk": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }
 
 
