@@ -74,7 +74,7 @@ class PStableIndex:
         return np.flatnonzero(hit)
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, tables_: int = 6, hashes: int = 6, width: float = 1.5, most_probes: int = 100, shard_rows: int = 8192, query_rows: int = 32_768, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, tables_: int = 8, hashes: int = 6, width: float = 1.5, most_probes: int = 120, shard_rows: int = 8192, query_rows: int = 32_768, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score for rows of ``vectors(vec_id, embedding)`` with vec_id divisible by ``every``.
 
     Every valid row is indexed, in its shard's own tables; each query visits ``most_probes`` buckets of each
