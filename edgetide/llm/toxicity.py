@@ -29,7 +29,7 @@ class CumulativeLink:
         self.vocabulary, self.weights, self.thresholds = vocabulary, weights, thresholds
 
     @classmethod
-    def fit(cls, vocabulary: dict[str, int], rows: list[list[int]], grades: np.ndarray, levels: int, steps: int = 200, ridge: float = 0.05) -> CumulativeLink:
+    def fit(cls, vocabulary: dict[str, int], rows: list[list[int]], grades: np.ndarray, levels: int, steps: int = 300, ridge: float = 0.05) -> CumulativeLink:
         """Full-batch Adam on the log-likelihood of the ordinal model; deterministic."""
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(row) else np.zeros(0, np.int64)
