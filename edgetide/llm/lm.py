@@ -8,16 +8,19 @@ from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import groups, small_batches, written
+from .words import mix, word_hashes
 
 END = b""
 _BITS = 20
-#: Tokens over which n-grams are first counted: small input files are read together, so that a share of it is a count.
-SEGMENT = 4_000_000
+#: Tokens of a shard of the automaton, and of the texts that a task deals to the shards at once.
+SHARD = 2_000_000
+CHUNK = 2_500_000
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -40,40 +43,198 @@ def _count_words(flush: int):
     return run
 
 
-def _ngram_keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bigrams and trigrams whose words all have ids (the others are -1)."""
-    ok = ids >= 0
-    two = np.flatnonzero(ok[:-1] & ok[1:])
-    three = np.flatnonzero(ok[:-2] & ok[1:-1] & ok[2:])
-    return ids[two] << _BITS | ids[two + 1], ids[three] << 2 * _BITS | ids[three + 1] << _BITS | ids[three + 2]
+_CODE = 6
 
 
-def _count_ngrams(heads, share: float, members=None, segment: int = SEGMENT):
-    """Rows (order, key, n): per segment of tokens those that reach the share of it, or exactly the members."""
+def _codes(text: str | None) -> np.ndarray:
+    """48-bit codes of the words of ``_tokens``; 1 is the end, 0 no word."""
+    return np.append(np.maximum(word_hashes(text) >> np.uint64(16), np.uint64(2)), np.uint64(1))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CODE]).tobytes()
+
+
+def _unpacked(raw: bytes, at: int, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :_CODE] = np.frombuffer(raw, np.uint8, n * _CODE, at).reshape(n, _CODE)
+    return out.reshape(-1).view("<u8")
+
+
+def _new(*cols: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts."""
+    out = np.ones(len(cols[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return out
+
+
+def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, keys: np.ndarray, held: np.ndarray) -> bytes:
+    """Events sorted by (b, a, c): each code once a run, and the document of each event."""
+    used, at = np.unique(doc, return_inverse=True)
+    flags = [_new(b), _new(b, a), _new(b, a, c)]
+    small = at.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
+    bits = b"".join(np.packbits(f).tobytes() for f in flags)
+    return np.array([len(b), len(used)], "<u4").tobytes() + bits + b"".join(_packed(x[f]) for x, f in zip((b, a, c), flags, strict=True)) + small + keys[used].tobytes() + held[used].tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    n, docs = np.frombuffer(raw, "<u4", 2).tolist()
+    at, wide, out = 8, -(-n // 8), []
+    flags = [np.unpackbits(np.frombuffer(raw, np.uint8, wide, at + i * wide), count=n).astype(bool) for i in range(3)]
+    at += 3 * wide
+    for f in flags:
+        out.append(_unpacked(raw, at, int(f.sum()))[np.cumsum(f) - 1])
+        at += int(f.sum()) * _CODE
+    kind = np.dtype("<u2" if docs <= 1 << 16 else "<u4")
+    own = np.frombuffer(raw, kind, n, at)
+    at += n * kind.itemsize
+    keys, held = np.frombuffer(raw, "<i8", docs, at), np.frombuffer(raw, bool, docs, at + 8 * docs)
+    return out[1], out[0], out[2], keys[own], held[own]
+
+
+def _chunks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b, c (the word and the two before it, 0 where there is none), document, keys and held of whole texts."""
+    own: list = [[], [], []]
+    tokens = 0
+
+    def out() -> tuple[np.ndarray, ...]:
+        sizes = np.array([len(x) for x in own[0]])
+        c, doc = np.concatenate(own[0]), np.repeat(np.arange(len(sizes)), sizes)
+        b, a = np.zeros_like(c), np.zeros_like(c)
+        b[1:] = np.where(doc[1:] == doc[:-1], c[:-1], 0)
+        a[2:] = np.where(doc[2:] == doc[:-2], c[:-2], 0)
+        return a, b, c, doc, np.array(own[1], "<i8"), np.array(own[2], bool)
+
+    for part in parts:
+        for key, held, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            for x, y in zip(own, (_codes(text), key, held), strict=True):
+                x.append(y)
+            tokens += len(own[0][-1])
+            if tokens >= most:
+                yield out()
+                own, tokens = [[], [], []], 0
+    if tokens:
+        yield out()
+
+
+def _hot_pairs(hot, most: int):
+    """Rows (b, c, n): counts of the training bigrams whose first word is hot, a chunk of texts at a time."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = heads.value
-        held: tuple[list, list] = ([], [])
-        tokens = 0
+        for _, b, c, doc, _, held in _chunks(parts, most):
+            good = np.isin(b, hot.value[0]) & ~held[doc]
+            b, c = b[good], c[good]
+            order = np.lexsort((c, b))
+            b, c = b[order], c[order]
+            start = np.flatnonzero(_new(b, c))
+            yield pa.RecordBatch.from_arrays([pa.array(b[start].astype(np.int64)), pa.array(c[start].astype(np.int64)), pa.array(np.diff(np.append(start, len(b))))], names=["b", "c", "n"])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for order, arrays in zip((2, 3), held, strict=True):
-                keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *arrays]), return_counts=True)
-                good = n >= share * tokens if members is None else np.isin(keys, members.value[order - 2], assume_unique=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), order, np.int32)), pa.array(keys[good]), pa.array(n[good].astype(np.int64))], names=["size", "key", "n"])
-                arrays.clear()
+    return run
 
-        for b in parts:
-            for text in b.column(0).to_pylist():
-                words = _tokens(text)
-                own = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
-                for arrays, keys in zip(held, _ngram_keys(own), strict=True):
-                    arrays.append(keys)
-                tokens += len(words)
-                if tokens >= segment:
-                    yield from out()
-                    tokens = 0
-        yield from out()
+
+def _route(b: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(mix(b) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _events(hot, shards: int, most: int):
+    """Rows (shard, blob): the n-grams of the texts, dealt by the middle word; a hot one by the word before it too."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, splits = hot.value
+        for a, b, c, doc, keys, held in _chunks(parts, most):
+            part = np.where(b == 0, c, np.uint64(0))
+            if len(words):
+                at = np.minimum(np.searchsorted(words, b), len(words) - 1)
+                part = np.where(words[at] == b, mix(a) % splits[at], part)
+            shard = _route(b, part, shards)
+            low = np.uint64(0xFFFF)
+            near = mix(b) & low
+            order = np.argsort((near << np.uint64(32)) | (mix(a) & low) << np.uint64(16) | (mix(c) & low), kind="stable")
+            order = order[np.argsort(shard[order], kind="stable")]
+            a, b, c, doc, shard = a[order], b[order], c[order], doc[order], shard[order]
+            edges = [*np.flatnonzero(_new(shard)).tolist(), len(shard)]
+            for i, j in zip(edges, edges[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[i])], pa.int32()), pa.array([_pack(a[i:j], b[i:j], c[i:j], doc[i:j], keys, held)], pa.binary())], names=["shard", "blob"])
+
+    return run
+
+
+_OUT = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
+_OUT_SQL = "kind int, doc long, b long, c long, x double, y double"
+
+
+def _walk(a, b, c, doc, held, pairs, heads: np.ndarray, uni: np.ndarray, discount: float) -> Iterator[tuple]:
+    """The automaton of one shard over its own events: all arcs and failures of the histories that end in its words.
+
+    Rows (kind, doc, b, c, x, y). 0: x is to be added to a document. 1: x times a document falls to the root from
+    history b with the word c (0 if its unigram is already in kind 0). 2: the mass that history b leaves, and the
+    unigrams of its head words. 3: a rarer word that history b has. ``pairs`` are the counts of hot words' bigrams.
+    """
+    order = np.lexsort((c, a, b))
+    a, b, c, doc, held = a[order], b[order], c[order], doc[order], held[order]
+    start = _new(b, a, c)
+    kind = np.cumsum(start) - 1
+    ta, tb, tc = a[start], b[start], c[start]
+    three = np.bincount(kind, ~held, len(ta))
+    three[tb == 0] = 0
+    own = np.where(np.isin(tb, pairs[0]), 0, three)
+    pb, pc, pn = np.concatenate([tb, pairs[0]]), np.concatenate([tc, pairs[1]]), np.concatenate([own, pairs[2]])
+    order = np.lexsort((pc, pb))
+    start = _new(pb[order], pc[order])
+    pair = np.empty(len(pb), np.int64)
+    pair[order] = np.cumsum(start) - 1
+    two = np.bincount(pair, pn)
+    pb, pc = pb[order][start], pc[order][start]
+    start = _new(pb)
+    word = np.cumsum(start) - 1
+    one, types, names = np.bincount(word, two), np.bincount(word, two > 0), pb[start]
+    pair = pair[: len(tb)]
+    n2, n1 = two[pair], one[word[pair]]
+    history = np.cumsum(_new(tb, ta)) - 1
+    seen = three > 0
+    n_h = np.bincount(history, three)
+    below = np.bincount(history, np.where(seen, (n2 - discount) / np.maximum(n1, 1), 0))
+    bow = np.log10(np.maximum(discount * np.bincount(history, seen) / np.maximum(n_h, 1), 1e-12) / np.maximum(1 - below, 1e-12))
+    bow = np.where((n_h > 0), bow, 0)[history]
+    bow[ta == 0] = 0
+    log = lambda x: np.log10(np.maximum(x, 1e-300))
+    root = n2 == 0
+    score = np.where(seen & (ta > 0), log(three - discount) - log(n_h)[history], bow + np.where(root, 0, log(n2 - discount) - log(n1)))
+    at = np.minimum(np.searchsorted(heads, tc), len(heads) - 1)
+    head = heads[at] == tc
+    score += np.where(root & head, uni[at], 0)
+    docs, own = np.unique(doc, return_inverse=True)
+    zero = lambda n: np.zeros(n, np.int64)
+    n = len(docs)
+    yield 0, docs, zero(n), zero(n), np.bincount(own, score[kind], n), np.zeros(n)
+    fell = np.flatnonzero(root[kind])
+    to, fb, fc = own[fell], b[fell], np.where(head[kind[fell]], 0, c[fell])
+    order = np.lexsort((fc, fb, to))
+    to, fb, fc = to[order], fb[order], fc[order]
+    start = np.flatnonzero(_new(to, fb, fc))
+    yield 1, docs[to[start]], fb[start].astype(np.int64), fc[start].astype(np.int64), np.diff(np.append(start, len(to))).astype(float), np.zeros(len(start))
+    asked = np.isin(names, np.unique(fb)) & (one > 0)
+    at = np.minimum(np.searchsorted(heads, pc), len(heads) - 1)
+    head, live = heads[at] == pc, (two > 0) & asked[word]
+    sums = np.bincount(word, np.where(head & live, 10 ** uni[at], 0))
+    n = int(asked.sum())
+    yield 2, zero(n), names[asked].astype(np.int64), zero(n), discount * types[asked] / one[asked], sums[asked]
+    rare = live & ~head
+    n = int(rare.sum())
+    yield 3, zero(n), pb[rare].astype(np.int64), pc[rare].astype(np.int64), np.zeros(n), np.zeros(n)
+
+
+def _walks(given, discount: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(parts, ["shard"]):
+            blobs = [_unpack(x) for x in g.column("blob").to_pylist() if x is not None]
+            if not blobs:
+                continue
+            hot = g.filter(pa.compute.is_null(g.column("blob")))
+            pairs = [hot.column(x).to_numpy().astype(t) for x, t in (("b", np.uint64), ("c", np.uint64), ("n", np.int64))]
+            for kind, *cols in _walk(*(np.concatenate(x) for x in zip(*blobs, strict=True)), pairs, *given.value, discount):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(pa.array, cols)], schema=_OUT)
 
     return run
 
@@ -146,22 +307,25 @@ class BackoffAutomaton:
         return total
 
 
-def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_share: float = 1e-6, ngram_share: float = 2e-6) -> DataFrame:
+def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_share: float = 1e-6, ngram_share: float = 0.0, discount: float = 0.5, shard_tokens: int = SHARD, chunk_tokens: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs(doc_id, text)``.
 
     Training texts are those with crc32(doc_id as text) mod folds <> held_out (a null doc_id counts as the
-    empty text). All words of all of them are counted. Words with at least ``head_share`` of all tokens, at
-    most 1 / head_share whatever the corpus, get ids and go to every task; so do the bigrams and trigrams
-    of such words whose counts, over segments in which they reach ``ngram_share``, add up to that share of
-    all tokens: at most 1 / ngram_share each; their counts are then taken exactly, over all segments. Rarer
-    words, which no kept n-gram can hold, are looked up by a join with the full table of counts.
+    empty text). Every word, bigram and trigram of them is counted exactly and is in the automaton, however
+    rare (``ngram_share`` cuts nothing any more). The automaton lies in shards by the last word of a history,
+    so a shard has all arcs of its histories and their failures; only the root is shared. What each text asks
+    of a shard goes there, is counted and scored at once, and sums come back. Shards hold about ``shard_tokens``
+    tokens: their number grows with the corpus. A word with more than a quarter of that is dealt by the word
+    before it too, and its bigram counts go to each of its shards. Words in n-grams are 48-bit codes.
 
-    A null or empty text is its end alone. Repeated rows are scored, and counted, each. Other columns go.
+    Words with at least ``head_share`` of all tokens go to every task with their unigrams; others are looked
+    up by joins with the full table of counts, to the same result. A null or empty text is its end alone.
+    Repeated rows are scored, and counted, each. Other columns go.
     """
     spark = docs.sparkSession
     small_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
-    docs = docs.select("doc_id", fold.alias("held_out"), "text")
+    docs = docs.select("doc_id", fold.alias("held_out"), "text", F.xxhash64("doc_id", "text").alias("key"))
     train = docs.where(~F.col("held_out")).select("text")
     table = written(train.mapInArrow(_count_words(400_000), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, vocabulary = (x or 0 for x in table.agg(F.sum("n"), F.count("*")).first())
@@ -171,42 +335,66 @@ def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_
     words = [END, *(bytes(w) for w, _ in top)]
     counts = np.array([end["n"] if end else 0, *(n for _, n in top)], np.int64)
     heads = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    wide = train.coalesce(max(1, -(-total // SEGMENT)))
-    found = wide.mapInArrow(_count_ngrams(heads, ngram_share), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= ngram_share * total)
-    kept = [[], []]
-    for r in found.select("size", "key").toLocalIterator():
-        kept[r["size"] - 2].append(r["key"])
-    members = spark.sparkContext.broadcast([np.sort(np.array(x, np.int64)) for x in kept])
-    exact = train.mapInArrow(_count_ngrams(heads, ngram_share, members), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
-    ngrams: list[dict[int, int]] = [{}, {}]
-    for r in exact.toLocalIterator():
-        ngrams[r["size"] - 2][r["key"]] = r["n"]
-    given = spark.sparkContext.broadcast((counts, total, vocabulary, *ngrams))
     floor = log10(total + vocabulary + 1)
+    uni = np.log10(counts + 1) - floor
+    codes = _codes(b" ".join(words[1:]).decode("utf-8", "surrogatepass"))
+    codes = np.concatenate([codes[-1:], codes[:-1]])
+    order = np.argsort(codes, kind="stable")
+    first = order[_new(codes[order])]
+    roots = spark.sparkContext.broadcast((codes[first], uni[first]))
+    hot = np.flatnonzero((counts * 4 > shard_tokens) & (codes != 1))
+    hot = hot[np.argsort(codes[hot])]
+    splits = (-(-counts[hot] * 4 // shard_tokens)).astype(np.uint64)
+    hot_words = spark.sparkContext.broadcast((codes[hot], splits))
+    shards = max(1, -(-total * folds // max(1, folds - 1) // shard_tokens))
+    asked = docs.select("key", "held_out", "text")
+    events = asked.mapInArrow(_events(hot_words, shards, chunk_tokens), "shard int, blob binary").selectExpr("shard", "blob", "cast(null as long) b", "cast(null as long) c", "cast(null as long) n")
+    if len(hot):
+        places = [(int(codes[i]), sorted(set(_route(np.full(int(k), codes[i]), np.arange(int(k)), shards).tolist()))) for i, k in zip(hot, splits, strict=True)]
+        pairs = asked.mapInArrow(_hot_pairs(hot_words, chunk_tokens), "b long, c long, n long").groupBy("b", "c").agg(F.sum("n").alias("n"))
+        pairs = pairs.join(F.broadcast(spark.createDataFrame(places, "b long, shards array<int>")), "b").select(F.explode("shards").alias("shard"), F.lit(None).cast("binary").alias("blob"), "b", "c", "n")
+        events = events.unionByName(pairs)
+    out = written(events.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_walks(roots, discount), _OUT_SQL), "walks")
+    log_n = F.log10(F.col("n") + F.lit(1.0)) - F.lit(floor)
+
+    def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            raw = b" ".join(p.column(0).to_pylist()).decode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(raw)[:-1].astype(np.int64)), p.column(1)], names=["c", "n"])
+
+    rare = table.where((F.col("n") < least) & (F.length("word") > 0)).select("word", "n").mapInArrow(code, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    far = out.where("kind = 3").select("b", "c").distinct().join(rare, "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("far"))
+    left = out.where("kind = 2").groupBy("b").agg(F.max("x").alias("mass"), F.max("y").alias("near")).join(far, "b", "left")
+    bows = left.select("b", F.log10(F.greatest("mass", F.lit(1e-12)) / F.greatest(1 - F.col("near") - F.coalesce("far", F.lit(0.0)), F.lit(1e-12))).alias("bow"))
+    fell = out.where("kind = 1").join(bows, "b", "left").join(rare, "c", "left")
+    root = F.when(F.col("c") == 0, 0.0).otherwise(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor))
+    falls = fell.select("doc", (F.col("x") * (F.coalesce("bow", F.lit(0.0)) + root)).alias("x"), F.when(F.col("b") == 0, F.col("x")).otherwise(0.0).alias("rows"))
+    sums = out.where("kind = 0").select("doc", "x", F.lit(0.0).alias("rows")).union(falls).groupBy("doc").agg((F.sum("x") / F.sum("rows")).alias("walk"))
     known = (counts > 0).astype(int).tolist()
+    weights = uni.tolist()
+    given = spark.sparkContext.broadcast((known, weights))
     tail = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_base", pa.float64()), ("walk", pa.float64()), ("tail", tail)])
+    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_base", pa.float64()), ("tail", tail)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, ids = BackoffAutomaton(*given.value), heads.value
+        ids, (known, weights) = heads.value, given.value
         row = TaskContext.get().partitionId() << 40
         for b in parts:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for doc, held, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, held, text, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 own = _tokens(text)
                 at = [ids.get(w, -1) for w in own]
                 head = [i for i in at if i >= 0]
                 rest = Counter(w for w, i in zip(own, at, strict=True) if i < 0)
-                for name, x in zip(out, (row, doc, held, len(own), sum(map(known.__getitem__, head)), sum(map(automaton.uni.__getitem__, head)), automaton.traverse(at), [{"word": w, "tf": n} for w, n in rest.items()]), strict=True):
+                for name, x in zip(out, (row, key, doc, held, len(own), sum(map(known.__getitem__, head)), sum(map(weights.__getitem__, head)), [{"word": w, "tf": n} for w, n in rest.items()]), strict=True):
                     out[name].append(x)
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    walked = written(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, walk double, tail array<struct<word:binary,tf:int>>"), "walked")
-    rare = walked.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf").join(table, "word", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor))).alias("logs"))
-    rest = F.coalesce("logs", F.lit(0.0))
-    return walked.drop("tail").join(sums, "row", "left").select(
+    based = written(docs.mapInArrow(run, "row long, key long, doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, tail array<struct<word:binary,tf:int>>"), "based")
+    tails = based.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf").join(table, "word", "left")
+    rest = tails.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor))).alias("logs"))
+    return based.drop("tail").join(rest, "row", "left").join(sums, F.col("key") == F.col("doc"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + rest).alias("base_score"), (F.col("walk") + rest).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), F.col("walk").alias("score"),
     )

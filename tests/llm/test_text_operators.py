@@ -155,6 +155,32 @@ def test_language_model_scores(spark):
         assert shared[i].base_score == pytest.approx(got[i].base_score) and shared[i].n_known == got[i].n_known
 
 
+def test_language_model_keeps_every_ngram(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the cat", "sat on", "a mat", "Dogs run", "the the", f"rare{rng.randint(0, 200)}"]) for _ in range(rng.randint(0, 25))) for _ in range(200)] + [None, "", "new words here"]
+    toks = [[w.lower() for w in (t or "").split()] + [""] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    train = [t for t, h in zip(toks, held, strict=True) if not h]
+    c = Counter(w for t in train for w in t)
+    ids = {w: i for i, w in enumerate(["", *sorted(set(c) - {""})])}
+    grams = [Counter(sum(ids[w] << 20 * (k - 1 - j) for j, w in enumerate(t[i : i + k])) for t in train for i in range(len(t) - k + 1)) for k in (2, 3)]
+    rows = frame(spark, texts)
+    rows = rows.union(rows.where("doc_id in (3, 10)"))  # the training counts of the copy are in both
+    for i in (3, 10):
+        if not held[i]:
+            for w in toks[i]:
+                c[w] += 1
+            for k, g in zip((2, 3), grams, strict=True):
+                g.update(sum(ids[w] << 20 * (k - 1 - j) for j, w in enumerate(toks[i][p : p + k])) for p in range(len(toks[i]) - k + 1))
+    whole = lm.BackoffAutomaton(np.array([c[w] for w in ids]), sum(c.values()), len(c), *map(dict, grams))
+    rest = [sum(w not in ids for w in t) * -log10(sum(c.values()) + len(c) + 1) for t in toks]
+    for more in ({}, {"head_share": 0.004}, {"head_share": 0.004, "ngram_share": 0.01, "shard_tokens": 300, "chunk_tokens": 400}):
+        got = lm.score_documents(rows, **more).collect()
+        assert len(got) == len(texts) + 2
+        for r in got:
+            assert r.score == pytest.approx(whole.traverse([ids.get(w, -1) for w in toks[r.doc_id]]) + rest[r.doc_id]), (more, r.doc_id)
+
+
 def test_automaton_probabilities_add_up():
     counts = np.array([3, 10, 6, 4])
     total, vocabulary = 30, 6
