@@ -19,8 +19,8 @@ from .words import mix, word_hashes
 END = b""
 _BITS = 20
 #: Tokens of a shard of the automaton, and of the texts that a task deals to the shards at once.
-SHARD = 2_000_000
-CHUNK = 2_500_000
+SHARD = 1_200_000
+CHUNK = 2_000_000
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -43,7 +43,7 @@ def _count_words(flush: int):
     return run
 
 
-_CODE = 6
+_CODE, _PLACE = 6, 3
 
 
 def _codes(text: str | None) -> np.ndarray:
@@ -51,16 +51,33 @@ def _codes(text: str | None) -> np.ndarray:
     return np.append(np.maximum(word_hashes(text) >> np.uint64(16), np.uint64(2)), np.uint64(1))
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CODE]).tobytes()
+def _low(x: np.ndarray, wide: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
-def _unpacked(raw: bytes, at: int, n: int) -> np.ndarray:
+def _full(raw: bytes, at: int, n: int, wide: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :_CODE] = np.frombuffer(raw, np.uint8, n * _CODE, at).reshape(n, _CODE)
+    out[:, :wide] = np.frombuffer(raw, np.uint8, n * wide, at).reshape(n, wide)
     return out.reshape(-1).view("<u8")
 
 
+def _packed(x: np.ndarray, heads: np.ndarray) -> bytes:
+    """Head words by their place, others by their code."""
+    at = np.minimum(np.searchsorted(heads, x), len(heads) - 1)
+    head = heads[at] == x
+    return np.packbits(head).tobytes() + _low(at[head], _PLACE) + _low(x[~head], _CODE)
+
+
+def _unpacked(raw: bytes, at: int, n: int, heads: np.ndarray) -> tuple[np.ndarray, int]:
+    head = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    at += -(-n // 8)
+    out, own = np.empty(n, np.uint64), int(head.sum())
+    out[head] = heads[_full(raw, at, own, _PLACE).astype(np.int64)]
+    at += own * _PLACE
+    out[~head] = _full(raw, at, n - own, _CODE)
+    return out, at + (n - own) * _CODE
+
+
 def _new(*cols: np.ndarray) -> np.ndarray:
     """Where a run of equal rows starts."""
     out = np.ones(len(cols[0]), bool)
@@ -69,23 +86,23 @@ def _new(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, keys: np.ndarray, held: np.ndarray) -> bytes:
+def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, keys: np.ndarray, held: np.ndarray, heads: np.ndarray) -> bytes:
     """Events sorted by (b, a, c): each code once a run, and the document of each event."""
     used, at = np.unique(doc, return_inverse=True)
     flags = [_new(b), _new(b, a), _new(b, a, c)]
     small = at.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
     bits = b"".join(np.packbits(f).tobytes() for f in flags)
-    return np.array([len(b), len(used)], "<u4").tobytes() + bits + b"".join(_packed(x[f]) for x, f in zip((b, a, c), flags, strict=True)) + small + keys[used].tobytes() + held[used].tobytes()
+    return np.array([len(b), len(used)], "<u4").tobytes() + bits + b"".join(_packed(x[f], heads) for x, f in zip((b, a, c), flags, strict=True)) + small + keys[used].tobytes() + held[used].tobytes()
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(raw: bytes, heads: np.ndarray) -> tuple[np.ndarray, ...]:
     n, docs = np.frombuffer(raw, "<u4", 2).tolist()
     at, wide, out = 8, -(-n // 8), []
     flags = [np.unpackbits(np.frombuffer(raw, np.uint8, wide, at + i * wide), count=n).astype(bool) for i in range(3)]
     at += 3 * wide
     for f in flags:
-        out.append(_unpacked(raw, at, int(f.sum()))[np.cumsum(f) - 1])
-        at += int(f.sum()) * _CODE
+        own, at = _unpacked(raw, at, int(f.sum()), heads)
+        out.append(own[np.cumsum(f) - 1])
     kind = np.dtype("<u2" if docs <= 1 << 16 else "<u4")
     own = np.frombuffer(raw, kind, n, at)
     at += n * kind.itemsize
@@ -137,7 +154,7 @@ def _route(b: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
     return (mix(mix(b) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def _events(hot, shards: int, most: int):
+def _events(hot, roots, shards: int, most: int):
     """Rows (shard, blob): the n-grams of the texts, dealt by the middle word; a hot one by the word before it too."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +172,7 @@ def _events(hot, shards: int, most: int):
             a, b, c, doc, shard = a[order], b[order], c[order], doc[order], shard[order]
             edges = [*np.flatnonzero(_new(shard)).tolist(), len(shard)]
             for i, j in zip(edges, edges[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[i])], pa.int32()), pa.array([_pack(a[i:j], b[i:j], c[i:j], doc[i:j], keys, held)], pa.binary())], names=["shard", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[i])], pa.int32()), pa.array([_pack(a[i:j], b[i:j], c[i:j], doc[i:j], keys, held, roots.value[0])], pa.binary())], names=["shard", "blob"])
 
     return run
 
@@ -228,7 +245,7 @@ def _walk(a, b, c, doc, held, pairs, heads: np.ndarray, uni: np.ndarray, discoun
 def _walks(given, discount: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(parts, ["shard"]):
-            blobs = [_unpack(x) for x in g.column("blob").to_pylist() if x is not None]
+            blobs = [_unpack(x, given.value[0]) for x in g.column("blob").to_pylist() if x is not None]
             if not blobs:
                 continue
             hot = g.filter(pa.compute.is_null(g.column("blob")))
@@ -348,7 +365,7 @@ def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_
     hot_words = spark.sparkContext.broadcast((codes[hot], splits))
     shards = max(1, -(-total * folds // max(1, folds - 1) // shard_tokens))
     asked = docs.select("key", "held_out", "text")
-    events = asked.mapInArrow(_events(hot_words, shards, chunk_tokens), "shard int, blob binary").selectExpr("shard", "blob", "cast(null as long) b", "cast(null as long) c", "cast(null as long) n")
+    events = asked.mapInArrow(_events(hot_words, roots, shards, chunk_tokens), "shard int, blob binary").selectExpr("shard", "blob", "cast(null as long) b", "cast(null as long) c", "cast(null as long) n")
     if len(hot):
         places = [(int(codes[i]), sorted(set(_route(np.full(int(k), codes[i]), np.arange(int(k)), shards).tolist()))) for i, k in zip(hot, splits, strict=True)]
         pairs = asked.mapInArrow(_hot_pairs(hot_words, chunk_tokens), "b long, c long, n long").groupBy("b", "c").agg(F.sum("n").alias("n"))
