@@ -80,21 +80,22 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, tables_: int =
     Every valid row is indexed, in its shard's own tables; each query visits ``most_probes`` buckets of each
     table and the merged candidates are ranked by the exact inner product of the original vectors, in double
     precision. If that finds fewer than k others in a shard, the shard is ranked whole. Rows that are null,
-    zero or hold null or non-finite components take no part; repeated rows count once; vectors of another
+    zero or hold null or non-finite components take no part; repeated rows count once, a vec_id with several vectors by its best score; vectors of another
     length are another search. No row is left out of the index; the recall is measured in the tests.
     """
     rows = valid(vectors, F.col("v")).where(F.exists("v", lambda x: x != 0))
     cands, queries, n, m = tables(rows, every, k)
 
     def search(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        several = len(np.unique(ids)) < len(ids)
         index = PStableIndex(v, tables_, hashes, width, seed)
         for i in range(len(qids)):
             at = index.candidates(q[i], len(ids), most_probes)
             at = at[ids[at] != qids[i]]
-            if len(at) <= k:
+            if (len(np.unique(ids[at])) if several else len(at)) <= k:
                 at = np.flatnonzero(ids != qids[i])
             s = v[at] @ q[i]
-            if len(at) > 4 * k:
+            if len(at) > 4 * k and not several:
                 keep = s >= np.partition(s, -2 * k)[-2 * k]
                 at, s = at[keep], s[keep]
             yield i, at, s

@@ -14,9 +14,10 @@ from .vectors import pair_up, ranked, searched, tables, valid
 
 
 class BallTree:
-    """Nodes with centre and radius; a node's inner products with q are at most q . centre + |q| radius."""
+    """Nodes with centre and radius; with ``several``, a vec_id may have more vectors than one. A node's inner products with q are at most q . centre + |q| radius."""
 
-    def __init__(self, v: np.ndarray, leaf: int = 64):
+    def __init__(self, v: np.ndarray, leaf: int = 64, several: bool = False):
+        self.several = several
         self.order = np.arange(len(v))
         self.nodes: list[tuple[int, int, int, int]] = []
         centres, radii = [], []
@@ -49,6 +50,7 @@ class BallTree:
         heap = [(-bound[0], 0)]
         at_all, s_all, kth = [], [], floor
         best: list[float] = []
+        own_best: dict[int, float] = {}
         while heap:
             up, node = heapq.heappop(heap)
             if -up < kth:
@@ -65,7 +67,11 @@ class BallTree:
             good = s >= kth
             at_all.append(at[good])
             s_all.append(s[good])
-            for x in s[good].tolist():
+            if self.several:
+                for one, x in zip(ids[at[good]].tolist(), s[good].tolist(), strict=True):
+                    own_best[one] = max(x, own_best.get(one, x))
+                best = heapq.nsmallest(k, heapq.nlargest(k, own_best.values()))
+            for x in () if self.several else s[good].tolist():
                 if len(best) < k:
                     heapq.heappush(best, x)
                 elif x > best[0]:
@@ -82,7 +88,8 @@ def top_inner_products(vectors: DataFrame, *, every: int = 100, k: int = 10, sca
     bounds from below what can be among its k best anywhere, and goes with the query into every other
     shard as the score that nodes must reach. Products are taken in doubles, which hold every integer
     below 2**53 exactly; where sizes could pass that, in Python integers (a score must fit a long).
-    Rows that are null or hold null or non-finite components take no part; repeated rows count once.
+    Rows that are null or hold null or non-finite components take no part; repeated rows count once, and a
+    vec_id with several vectors counts by its best score.
     """
     rows = valid(vectors, F.transform("v", lambda x: F.floor(x * float(scale)).cast("double")))
     cands, queries, n, m = tables(rows, every, k)
@@ -94,13 +101,13 @@ def top_inner_products(vectors: DataFrame, *, every: int = 100, k: int = 10, sca
                 at = np.flatnonzero(ids != qids[i])
                 yield i, at, (whole(v[at]) * whole(q[i])).sum(1).astype(np.int64)
             return
-        tree = BallTree(v)
+        tree = BallTree(v, several=len(np.unique(ids)) < len(ids))
         for i in range(len(qids)):
             at, s = tree.search(v, ids, q[i], qids[i], k, floor[i])
             yield i, at, s.astype(np.int64)
 
     home = written(searched(pair_up(cands, queries, n, m, shard_rows, query_rows, home=True), search, k, "long"), "home")
-    kth = home.groupBy("query_id").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    kth = ranked(home, k).groupBy("query_id").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
     floored = queries.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
     paired = pair_up(cands, floored, n, m, shard_rows, query_rows, floors="kth")
     return ranked(home.union(searched(paired, search, k, "long")), k)

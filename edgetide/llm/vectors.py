@@ -62,9 +62,8 @@ def searched(paired: DataFrame, search: Search, k: int, score: str) -> DataFrame
             floor = g.column("floor").to_numpy(zero_copy_only=False)[n:].astype(float)
             out: list[list] = [[], [], []]
             for q, at, s in search(ids[:n], v[:n], ids[n:], v[n:], np.where(np.isnan(floor), -np.inf, floor)):
-                best = np.lexsort((ids[at], -s))[: 2 * k]
-                best = best[np.unique(ids[at[best]], return_index=True)[1]]
-                best = best[np.lexsort((ids[at[best]], -s[best]))][:k]
+                best = np.lexsort((ids[at], -s))
+                best = best[np.sort(np.unique(ids[at[best]], return_index=True)[1])][:k]
                 out[0] += [int(ids[n + q])] * len(best)
                 out[1] += ids[at[best]].tolist()
                 out[2] += s[best].tolist()
@@ -74,14 +73,15 @@ def searched(paired: DataFrame, search: Search, k: int, score: str) -> DataFrame
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over all shards, ties to the smaller id; the limit applies before the shuffle too."""
-    best = found.distinct()
+    """The k best of each query over all shards, ties to the smaller id; a vec_id with several vectors has its best score."""
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def tables(rows: DataFrame, every: int, k: int, value: Column | None = None) -> tuple[DataFrame, DataFrame, int, int]:
-    rows = written(rows, "vectors")
+    """Candidates, queries and their numbers, after repeated rows are dropped."""
+    rows = written(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     cands = written(candidates(rows, k), "candidates")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.col("vec_id") % every == 0)
     return cands, queries, cands.count(), queries.count()

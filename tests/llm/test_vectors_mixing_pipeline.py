@@ -50,6 +50,26 @@ def test_exact_topk(spark, odd_vectors):
     assert top_inner_products(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 3, 25])
+def test_repeated_rows_count_once(spark, odd_vectors, times):
+    good, _ = odd_vectors
+    one = spark.createDataFrame([(i, v, 0) for i, v in good.items()], VECS)
+    many = spark.createDataFrame([(i, v, 0) for i, v in good.items() for _ in range(times)], VECS)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = brute(good, 10, 10, True)
+    got = {}
+    for r in top_inner_products(many, every=10, shard_rows=64, query_rows=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    assert [r[:3] for r in rows(nearest(many))] == [r[:3] for r in rows(nearest(one))]
+    # vec_id 7 has many vectors, all nearer to query 0 than any other
+    close = [(7, (np.array(good[0]) * (2 + j / 64)).tolist(), 0) for j in range(40)]
+    df = spark.createDataFrame([*((i, v, 0) for i, v in good.items() if i != 7), *close], VECS)
+    want = brute({**good, 7: close[-1][1]}, 300, 10, True)[0]
+    assert [(r.vec_id, r.score) for r in top_inner_products(df, every=300).orderBy("rank").collect()] == want
+    assert [r.vec_id for r in nearest(df, every=300, k=10).orderBy("rank").collect()] == [i for i, _ in brute({**good, 7: close[-1][1]}, 300, 10, False)[0]]
+
+
 def test_nearest_recall_and_scores(spark, tables):
     df = spark.read.parquet(f"{tables}/embeddings.parquet")
     rows = {r.vec_id: r.embedding for r in df.collect()}
