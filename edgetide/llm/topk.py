@@ -81,7 +81,7 @@ class BallTree:
         return np.concatenate([np.zeros(0, np.int64), *at_all]), np.concatenate([np.zeros(0), *s_all])
 
 
-def top_inner_products(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 1024, shard_rows: int = 8192, query_rows: int = 32_768) -> DataFrame:
+def top_inner_products(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 1024, shard_rows: int = 16_384, query_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(scale * x), exactly.
 
     Each shard has its ball tree. In the first round each query searches one shard; its kth score there
@@ -89,7 +89,8 @@ def top_inner_products(vectors: DataFrame, *, every: int = 100, k: int = 10, sca
     shard as the score that nodes must reach. Products are taken in doubles, which hold every integer
     below 2**53 exactly; where sizes could pass that, in Python integers (a score must fit a long).
     Rows that are null or hold null or non-finite components take no part; repeated rows count once, and a
-    vec_id with several vectors counts by its best score.
+    vec_id with several vectors counts by its best score (as a query, by its least vector). Ties go to the
+    smaller vec_id; an empty table gives no rows; other columns are not read.
     """
     rows = valid(vectors, F.transform("v", lambda x: F.floor(x * float(scale)).cast("double")))
     cands, queries, n, m = tables(rows, every, k)
@@ -109,5 +110,5 @@ def top_inner_products(vectors: DataFrame, *, every: int = 100, k: int = 10, sca
     home = written(searched(pair_up(cands, queries, n, m, shard_rows, query_rows, home=True), search, k, "long"), "home")
     kth = ranked(home, k).groupBy("query_id").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
     floored = queries.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    paired = pair_up(cands, floored, n, m, shard_rows, query_rows, floors="kth")
+    paired = pair_up(cands, floored, n, m, shard_rows, query_rows, floors="kth", home=False)
     return ranked(home.union(searched(paired, search, k, "long")), k)

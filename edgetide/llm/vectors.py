@@ -29,17 +29,18 @@ def candidates(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
 
 
-def pair_up(cands: DataFrame, queries: DataFrame, n_cands: int, n_queries: int, shard_rows: int, query_rows: int, floors: str = "cast(null as double)", home: bool = False) -> DataFrame:
+def pair_up(cands: DataFrame, queries: DataFrame, n_cands: int, n_queries: int, shard_rows: int, query_rows: int, floors: str = "cast(null as double)", home: bool | None = None) -> DataFrame:
     """Rows of (dim, shard, qblock, is_query, vec_id, v, floor), sorted so that each triple is one run.
 
-    Every query block meets every shard (with ``home``, each query only one shard of its own); shards
-    and blocks have bounded rows, so a task holds one of each whatever the table's size.
+    Every query block meets every shard (with ``home`` true, each query only one shard of its own, with
+    false all but that); shards and blocks have bounded rows, so a task holds one of each whatever the
+    table's size.
     """
     shards, blocks = max(1, -(-n_cands // shard_rows)), max(1, -(-n_queries // query_rows))
     hashed = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = cands.withColumn("shard", hashed(shards, 1)).withColumn("qblock", every(blocks)).selectExpr("dim", "shard", "qblock", "false is_query", "vec_id", "v", "cast(null as double) floor")
-    right = queries.withColumn("shard", hashed(shards, 2) if home else every(shards)).withColumn("qblock", hashed(blocks, 3)).selectExpr("dim", "shard", "qblock", "true is_query", "vec_id", "v", f"{floors} floor")
+    right = queries.withColumn("shard", hashed(shards, 2) if home else every(shards)).where(F.lit(True) if home is not False else F.col("shard") != hashed(shards, 2)).withColumn("qblock", hashed(blocks, 3)).selectExpr("dim", "shard", "qblock", "true is_query", "vec_id", "v", f"{floors} floor")
     keys = ["dim", "shard", "qblock"]
     return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "is_query", "vec_id")
 
@@ -80,8 +81,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def tables(rows: DataFrame, every: int, k: int, value: Column | None = None) -> tuple[DataFrame, DataFrame, int, int]:
-    """Candidates, queries and their numbers, after repeated rows are dropped."""
+    """Candidates, queries and their numbers, after repeated rows are dropped; a query is its vec_id's least vector."""
     rows = written(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     cands = written(candidates(rows, k), "candidates")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    queries = written(queries, "queries")
     return cands, queries, cands.count(), queries.count()
