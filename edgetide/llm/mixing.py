@@ -45,56 +45,54 @@ def _before(rows: DataFrame, key: str, value: str, order: list) -> tuple[DataFra
     return rows.join(totals, ["sid", key]), F.col("__base") + F.coalesce(F.sum(value).over(within), F.lit(0))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block: int = 256, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of ``docs(doc_id, source, text)``.
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block: int = 256, slots: int = 1 << 18, seed: str = "mix", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, size, source, source_size, target, taken, first_slot, n_slots for every row of ``docs``.
 
-    Each source's documents, in the order of md5(seed, doc_id), form one stream of words, cut into
-    blocks of ``block``. Slot i of the schedule is the point i * golden ratio modulo 1; the sources'
-    target shares divide the unit interval, so the point names the source, and the slot's rank among the
-    source's slots names the block, going round the stream again after its end. Ranks past a source's
-    target are not used, and the few that discrepancy leaves out are appended; the last slot of a source
-    takes the rest, so a source gives its rounded target and no document more than ``cap`` times its size.
+    Each source's documents, in the order of md5(seed, doc_id), form one stream of words, cut into blocks of
+    equal length: ``block`` words, or fewer where the whole mix would have under ``slots`` blocks. Slot i of the
+    schedule is the point i * golden ratio modulo 1; the sources' target shares divide the unit interval, so the
+    point alone names the source, and the slot's rank among the source's slots names the block, going round the
+    stream again after its end, ``cap`` times at most. Being of low discrepancy, the points give each source its
+    target to within a few blocks. ``first_slot`` is the first slot that takes words of the row, null without
+    any, and ``n_slots`` the number of those slots.
 
     A null or empty text has size 0 and is taken 0 times; null doc_ids and repeated rows are rows like
-    others; null is a source of its own. Only DataFrame functions are used; runs agree with each other.
+    others; null is a source of its own. Other columns are not read, so clashing names do no harm. An empty
+    table gives an empty result. Only DataFrame functions are used; runs agree with each other.
     """
+    spark = docs.sparkSession
+    keep = tuple(keep)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = written(docs.select("doc_id", "source", size.alias("size"), digest.alias("digest")), "sizes")
-    sources = written(_sources(sized, weights, share, cap), "sources")
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", sized["source"], "size", "digest", "sid", "source_size", "target", F.substring("digest", 1, 3).alias("bucket"))
-    rows, start = _before(rows, "bucket", "size", ["digest", "doc_id", "size"])
-    rows = written(rows.withColumn("start", start).select("doc_id", "source", "size", "sid", "source_size", "target", "start"), "placed")
-
-    wanted = sources.withColumn("take", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block))
-    again = F.greatest(F.col("take") - F.col("source_size"), F.lit(0))
-    wanted = wanted.withColumn("slots", F.when(again > 0, F.col("blocks") + F.ceil(again / block)).otherwise(F.ceil(F.col("take") / block))).where("slots > 0")
+    sized = written(docs.select(*(F.col(k).alias(f"__{k}") for k in keep), "source", size.alias("size"), digest.alias("digest")), "sizes")
+    sources = _sources(sized, weights, share, cap).withColumn("take", F.round("target").cast("long"))
+    sources = written(sources, "sources")
+    rows = sized.join(sources.withColumnRenamed("source", "__source"), sized["source"].eqNullSafe(F.col("__source"))).drop("__source", "take", "weight").withColumn("bucket", F.substring("digest", 1, 3))
+    rows, start = _before(rows, "bucket", "size", ["digest", *(f"__{k}" for k in keep), "size"])
+    rows = written(rows.withColumn("start", start).drop("digest", "bucket", "__base"), "placed")
+
+    total = sources.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+    block = max(1, min(block, total // slots))
     edge = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    every = F.sum("slots").over(Window.partitionBy())
-    low = F.floor(F.coalesce(F.sum("slots").over(edge), F.lit(0)) / every * _SPAN)
-    wanted = wanted.withColumn("low", low)
-    wanted = wanted.withColumn("high", F.lead("low", 1, _SPAN).over(Window.orderBy("sid")))
-    wanted = written(wanted.select("sid", "source_size", "take", "blocks", "slots", "low", "high"), "wanted")
-    total = wanted.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    low = F.floor(F.coalesce(F.sum("take").over(edge), F.lit(0)).cast("double") / float(max(total, 1)) * float(_SPAN))
+    wanted = sources.select("sid", F.ceil(F.col("source_size") / block).alias("blocks"), low.alias("low"))
+    wanted = wanted.withColumn("high", F.lead("low", 1, _SPAN).over(Window.orderBy("sid"))).where("low < high")
 
-    spark = docs.sparkSession
     cell = _SPAN // _CELLS
-    lanes = wanted.where("low < high").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("high") - 1) / cell))).alias("cell"))
-    points = spark.range(total).select(F.col("id").alias("slot"), (F.pmod("id", F.lit(_SPAN)) * _GOLDEN % _SPAN).alias("point"))
+    lanes = wanted.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("high") - 1) / cell))))
+    points = spark.range(-(-total // block)).select(F.col("id").alias("slot"), (F.pmod("id", F.lit(_SPAN)) * _GOLDEN % _SPAN).alias("point"))
     named = points.withColumn("cell", F.floor(F.col("point") / cell)).join(lanes, "cell").where("point >= low and point < high")
-    named = named.select("sid", "slot", F.floor(F.col("slot") / 4096).alias("chunk"), F.lit(1).alias("one"))
+    named = named.select("sid", "blocks", "slot", F.floor(F.col("slot") / 4096).alias("chunk"), F.lit(1).alias("one"))
     named, rank = _before(named, "chunk", "one", ["slot"])
-    ranked = named.select("sid", rank.alias("rank"))
-    had = ranked.groupBy("sid").agg(F.count("*").alias("had"))
-    rest = wanted.join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots").select("sid", F.explode(F.sequence("had", F.col("slots") - 1)).alias("rank"))
-    schedule = ranked.unionByName(rest).join(wanted, "sid").where("rank < slots")
-    first = F.col("rank") < F.col("blocks")
-    number = F.when(first, F.col("rank")).otherwise(F.col("rank") - F.col("blocks"))
-    left = F.when(first, F.col("take")).otherwise(F.col("take") - F.col("source_size")) - number * block
-    slots = schedule.select("sid", number.alias("number"), F.least(F.lit(block), left).alias("upto"))
+    schedule = named.withColumn("rank", rank).where(F.col("rank") < cap * F.col("blocks"))
+    schedule = schedule.groupBy("sid", F.pmod("rank", "blocks").alias("number")).agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
 
     parts = rows.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("number"))
     a = F.greatest(F.col("start") - F.col("number") * block, F.lit(0))
     b = F.least(F.col("start") + F.col("size") - F.col("number") * block, F.lit(block))
-    got = parts.join(slots, ["sid", "number"]).groupBy("sid", "start").agg(F.sum(F.greatest(F.least(b, "upto") - a, F.lit(0))).alias("got"))
-    return rows.join(got, ["sid", "start"], "left").select("doc_id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    got = parts.join(schedule, ["sid", "number"]).groupBy("sid", "start").agg(F.sum((b - a) * F.col("times")).alias("got"), F.min("slot").alias("first_slot"), F.sum("times").alias("n_slots"))
+    some = F.col("size") > 0
+    return rows.join(got, ["sid", "start"], "left").select(
+        *(F.col(f"__{k}").alias(k) for k in keep), "size", "source", "source_size", "target", F.when(some, F.coalesce("got", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+        F.when(some, F.col("first_slot")).alias("first_slot"), F.when(some, F.coalesce("n_slots", F.lit(0))).otherwise(0).cast("long").alias("n_slots"),
+    )

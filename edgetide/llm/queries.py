@@ -24,7 +24,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, 100 * intersection >= 85 * union."""
-    return near_duplicates(_documents(spark, sf_dir), shingle=3, num=85, den=100)
+    return near_duplicates(_documents(spark, sf_dir), shingle=3, num=85, den=100).drop("mark", "class")
 
 
 def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op3_token_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 5, 2, 1 in the sources' order, 150 % of all words, at most twice a source's size."""
-    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_documents(spark, sf_dir)).drop("source")
 
 
 def op5_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,20 +130,41 @@ steps AS (
 levels AS (SELECT *, (1.5::DOUBLE * total - capped) / open_weight AS level FROM steps),
 chosen AS (SELECT arg_min(level, place) AS level FROM levels WHERE level <= lim / weight),
 targets AS (SELECT l.source, l.source_size, coalesce(least(CAST(l.lim AS DOUBLE), c.level * l.weight), 0) AS target FROM levels l, chosen c),
+lanes AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS take, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM targets),
+mixed AS (SELECT CAST(sum(take) AS BIGINT) AS words, greatest(1, least(256, CAST(sum(take) AS BIGINT) // 262144)) AS block FROM lanes),
+edges AS (
+  SELECT l.*, m.block, -(-l.source_size // m.block) AS blocks,
+    CAST(floor(CAST(coalesce(sum(take) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / m.words * 2147483648.0) AS BIGINT) AS low
+  FROM lanes l, mixed m),
+spans AS (SELECT *, lead(low, 1, 2147483648) OVER (ORDER BY sid) AS high FROM edges),
+points AS (SELECT slot, slot % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(-(-words // block))) AS slot FROM mixed)),
+named AS (
+  SELECT s.sid, s.blocks, p.slot, row_number() OVER (PARTITION BY s.sid ORDER BY p.slot) - 1 AS rank
+  FROM points p JOIN spans s ON p.point >= s.low AND p.point < s.high),
+schedule AS (
+  SELECT sid, rank % blocks AS number, count(*) AS times, min(slot) AS slot FROM named WHERE rank < 2 * blocks GROUP BY ALL),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(start + size, least(take, source_size)) - start) + greatest(0, least(start + size, take - source_size) - start) AS BIGINT) AS taken
-FROM placed""",
+  SELECT s.doc_id, s.size, t.sid, t.source_size, t.target, t.block, s.digest,
+    sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.digest, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
+  FROM sized s JOIN spans t ON s.source IS NOT DISTINCT FROM t.source),
+parts AS (
+  SELECT sid, start, size, block, unnest(range(CAST(start AS BIGINT) // block, (CAST(start AS BIGINT) + size - 1) // block + 1)) AS number FROM placed WHERE size > 0),
+got AS (
+  SELECT p.sid, p.start, sum((least(p.start + p.size - p.number * p.block, p.block) - greatest(p.start - p.number * p.block, 0)) * c.times) AS got,
+    min(c.slot) AS first_slot, sum(c.times) AS n_slots
+  FROM parts p JOIN schedule c ON p.sid = c.sid AND p.number = c.number GROUP BY ALL)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(g.got, 0) ELSE 0 END AS BIGINT) AS taken,
+  CASE WHEN p.size > 0 THEN g.first_slot END AS first_slot, CAST(CASE WHEN p.size > 0 THEN coalesce(g.n_slots, 0) ELSE 0 END AS BIGINT) AS n_slots
+FROM placed p LEFT JOIN got g ON p.sid = g.sid AND p.start = g.start""",
     "op9_ball_tree_topk": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+asked AS (SELECT vec_id, min(w) AS w FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT)) AS score
+  FROM asked q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }
