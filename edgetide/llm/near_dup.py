@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import band_keys, sketch
-from .store import batches, groups, small_batches, written
+from .store import batches, groups, slices, written
 from .words import mix, shingles
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary()), ("parity", pa.binary())])
-_SKETCHED_SQL = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, coords binary, parity binary"
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary()), ("parity", pa.binary())])
+_SKETCHED_SQL = "doc_id long, mark long, n_shingles long, node binary, bands array<long>, coords binary, parity binary"
 _BITS = 1024
 
 
@@ -23,14 +23,14 @@ def _sketcher(size: int, bins: int, rows: int):
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t, size) for t in cols["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
-        out = {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "s1": [0] * len(sets), "s2": [0] * len(sets), "bands": [None] * len(sets), "coords": [None] * len(sets), "parity": [None] * len(sets)}
+        out = {"doc_id": cols["doc_id"], "mark": cols["mark"], "n_shingles": [len(s) for s in sets]} | {k: [None] * len(sets) for k in ("node", "bands", "coords", "parity")}
         if full:
             made = np.stack([sketch(sets[i], bins) for i in full])
             keys, low = band_keys(made, rows), (mix(made) & np.uint64(255)).astype(np.uint8)
             for k, i in enumerate(full):
                 out["bands"][i], out["coords"][i] = keys[k], low[k].tobytes()
                 out["parity"][i] = np.packbits(np.bincount((mix(sets[i]) >> np.uint64(54)).astype(np.int64), minlength=_BITS) & 1).tobytes()
-                out["s1"][i], out["s2"][i] = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (mix(sets[i]), mix(~sets[i])))
+                out["node"][i] = b"".join(x.sum(dtype=np.uint64).tobytes() for x in (mix(sets[i]), mix(~sets[i])))
         return out
 
     return run
@@ -40,16 +40,16 @@ def _matcher(size: int, num: int, den: int):
     """Of pairs with both texts, those whose full shingle sets meet the threshold."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[bytes, np.ndarray] = {}
 
-        def of(doc: int, text: str) -> np.ndarray:
+        def of(doc: bytes, text: str) -> np.ndarray:
             if doc not in kept:
                 if len(kept) >= 64:
                     kept.pop(next(iter(kept)))
                 kept[doc] = shingles(text, size)
             return kept[doc]
 
-        for part in parts:
+        for part in slices(parts):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             good = []
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -59,15 +59,21 @@ def _matcher(size: int, num: int, den: int):
                 both = len(np.intersect1d(p, q, True))
                 if den * both >= num * (len(p) + len(q) - both):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.int64()) for x in (a, b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.binary()) for x in (a, b)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The members' texts travel once for each pair, the hubs' are joined beside them; a hot hub's partition is split."""
-    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_matcher(size, num, den), "a long, b long")
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs of nodes that meet the threshold on their full sets.
+
+    One text a node is taken, by the node's own (doc_id, mark), for nodes of some pair only. The members' texts
+    travel once for each pair, the hubs' are joined beside them; a hot hub's partition is split.
+    """
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = docs.join(nodes.join(asked, "node", "left_semi"), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_matcher(size, num, den), "a binary, b binary")
 
 
 def _likely(num: int, den: int, slack: float):
@@ -82,7 +88,10 @@ def _likely(num: int, den: int, slack: float):
         for g in groups(parts, ["key", "bi", "bj"]):
             if g.num_rows < 2:
                 continue
-            doc, comp, n, hub, side = (g.column(k).to_numpy() for k in ("doc", "comp", "n", "hub", "side"))
+            n, side = (g.column(k).to_numpy() for k in ("n", "side"))
+            names = [g.column(k).to_pylist() for k in ("doc", "comp", "hub")]
+            place = {x: i for i, x in enumerate(sorted(set().union(*names)))}
+            doc, comp, hub = (np.array([place[x] for x in own]) for own in names)
             coords = np.frombuffer(b"".join(g.column("coords").to_pylist()), np.uint8).reshape(len(doc), -1)
             parity = np.frombuffer(b"".join(g.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
             need = coords.shape[1] * (num / den - slack)
@@ -96,64 +105,71 @@ def _likely(num: int, den: int, slack: float):
                     apart = np.bitwise_count(parity[at] ^ parity[i]).sum(1, dtype=np.int64)
                     at = at[apart * (num + den) <= (den - num) * (n[at] + n[i])]
                     at = at[(coords[at] == coords[i]).sum(1) >= need]
-                    out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at]
+                    out += [(min(names[0][i], names[0][j]), max(names[0][i], names[0][j])) for j in at.tolist()]
             if out:
                 a, b = zip(*set(out), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, bins: int = 160, rows: int = 5, block: int = 512, slack: float = 0.16) -> DataFrame:
-    """Near-duplicate classes of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
+    """Near-duplicate classes of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, mark, class.
 
     Sets of ``shingle`` words are sketched (fast similarity sketching, ``bins`` coordinates), bands of
     ``rows`` coordinates give buckets, and only pairs with den * intersection >= num * union on their
     full sets are linked. At 160 coordinates and rows of 5 a pair at 0.85 shares no band with a chance
     under 1e-8, one at 0.8 under 4e-6.
 
-    * Equal sets are one node, found by a 128-bit digest, so thousands of copies cost one node.
+    * Equal sets are one node, named by a 128-bit digest, so thousands of copies cost one node.
     * In each bucket every member is first checked against the least one; components follow. Members
       of a bucket that is then all one component need no more, so a large group of near copies costs
-      rows in proportion. What still spans components is compared in blocks of ``block`` members,
-      by bitmap and sketch within the task (``slack`` is over four standard deviations), and the
-      likely pairs are verified as well: no pair that shares a bucket is skipped and no bucket is capped.
+      rows in proportion. Otherwise members outside the bucket's largest component are compared with all
+      others in blocks of ``block``, by exact size and bitmap bounds and then by sketch within the task,
+      and the likely pairs are verified as well: no bucket is capped. ``slack`` is five standard deviations
+      of the sketch's estimate at 0.8, so that bound loses a linked pair with a chance under 1e-6.
     * Null or empty texts and texts without words have the empty set and are linked with nothing.
-      A node is named by the least doc_id with its set, and each row follows the set of its own text,
-      also where rows share a doc_id. A row with a null doc_id takes no part: its component is null
-      and it is kept. Other columns are ignored; an empty table gives an empty result.
+      ``component_id`` is the least doc_id of any row in the class; each row follows the set of its own
+      text, also where rows share a doc_id. A row with a null doc_id takes no part: its component is null
+      and it is kept. ``mark`` is a hash of the row's text and ``class`` the digest that names its class, null
+      without one. Repeated rows get equal results. Other columns are ignored; an empty table gives an empty
+      result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     table = written(docs.mapInArrow(batches(_sketcher(shingle, bins, rows), _SKETCHED), _SKETCHED_SQL), "sketches")
     full = table.where("n_shingles > 0 and doc_id is not null")
-    same = ["s1", "s2", "n_shingles"]
-    nodes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "nodes")
-    reps = full.join(nodes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi")
-    exploded = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = exploded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = written(exploded.join(hubs, "key").select("key", F.col("doc_id").alias("doc"), "hub", "m"), "members")
-    texts = docs.where("text is not null and doc_id is not null")
+    nodes = written(full.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select("node", "r.doc_id", "r.mark"), "nodes")
+    docs = docs.where("text is not null and doc_id is not null")
+    reps = full.join(nodes, ["node", "doc_id", "mark"], "left_semi")
+    exploded = reps.select("node", F.explode("bands").alias("key")).distinct()
+    hubs = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    members = written(exploded.join(hubs, "key").select("key", F.col("node").alias("doc"), "hub", "m"), "members")
     first = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    edges = written(_verified(first, texts, shingle, num, den), "edges")
+    edges = written(_verified(first, nodes, docs, shingle, num, den), "edges")
     labels = components(edges)
 
-    placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", "m", F.coalesce("component", "doc").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    sketches = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "coords", "parity").dropDuplicates(["doc", "n"])
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    placed = members.where("m > 2").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", "m", F.coalesce("component", "doc").alias("comp"))
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("own"), F.first("m").alias("m"))
+    top = per.groupBy("key").agg(F.max(F.struct("own", "comp")).alias("t"), F.first("m").alias("m")).where("t.own < m")
+    top = top.select("key", F.col("t.comp").alias("top"), F.ceil((F.col("m") - F.col("t.own")) / block).cast("int").alias("rest"), F.ceil(F.col("t.own") / block).cast("int").alias("mass"))
+    sketches = reps.select(F.col("node").alias("doc"), F.col("n_shingles").alias("n"), "coords", "parity").dropDuplicates(["doc"])
+    in_top, spread = F.col("comp") == F.col("top"), lambda n: F.pmod(F.hash("doc"), F.col(n))
+    sides = F.when(in_top, F.col("rest") + spread("mass")).otherwise(spread("rest"))
+    others = F.when(in_top, F.col("rest")).otherwise(F.col("rest") + F.col("mass"))
     open_ = (
-        placed.where("m > 2").join(mixed, "key", "left_semi").join(sketches, "doc")
-        .withColumn("side", F.pmod(F.hash("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed.drop("m").join(top, "key").join(sketches, "doc")
+        .withColumn("side", sides).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
         .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "doc", "hub", "comp", "n", "coords", "parity")
     )
-    likely = open_.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_likely(num, den, slack), "a long, b long").distinct()
-    more = written(_verified(likely, texts, shingle, num, den), "edges")
+    likely = open_.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_likely(num, den, slack), "a binary, b binary").distinct()
+    more = written(_verified(written(likely, "likely"), nodes, docs, shingle, num, den), "edges")
     if not more.isEmpty():
         labels = components(edges.union(more))
+    labels = written(labels, "labels")
+    least = labels.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked = labels.join(least, "component").select("node", "component", "least")
     return (
-        table.join(nodes, same, "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "rep", "doc_id"), F.coalesce("rep", "doc_id"))).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        table.join(nodes.select("node", F.col("doc_id").alias("rep")), "node", "left").join(linked, "node", "left")
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")))
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("class"))
     )
