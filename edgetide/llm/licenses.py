@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import batches, small_batches
+from .store import batches, slices
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -19,7 +19,7 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 #: The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Opening sentences of widely used notices, by label.
+#: Sentences of widely used notices, by label.
 TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -29,6 +29,10 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("cc-by", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
@@ -39,36 +43,69 @@ def words(text: str | None) -> list[str]:
 
 
 class TemplateJoin:
-    """Templates ordered by global token frequency, with their prefixes in an inverted index."""
+    """Templates and blocks as words in one global order, rarest first; the templates' prefixes in an inverted index."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], num: int, den: int):
-        self.sets, self.labels, self.need = [], [], []
-        self.index: dict[str, list[tuple[int, int]]] = {}
-        for t, (label, text) in enumerate(templates):
-            own = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
-            need = ceil(num * len(own) / den)
-            self.sets.append(frozenset(own))
-            self.labels.append(label)
-            self.need.append(need)
-            for at, w in enumerate(own[: len(own) - need + 1]):
-                self.index.setdefault(w, []).append((t, at))
-        self.rare = frozenset(self.index)
-
-    def matches(self, block: frozenset[str] | set[str]) -> dict[int, float]:
+        own = [words(text) for _, text in templates]
+        order = sorted({w for x in own for w in x}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w: i for i, w in enumerate(order)}
+        self.labels = [label for label, _ in templates]
+        self.longest = max(map(len, own), default=1)
+        self.sets = [sorted({self.rank[w] for w in x}) for x in own]
+        self.need = [ceil(num * len(x) / den) for x in self.sets]
+        self.index: dict[int, list[tuple[int, int]]] = {}
+        for t, (x, need) in enumerate(zip(self.sets, self.need, strict=True)):
+            for at, r in enumerate(x[: len(x) - need + 1]):
+                self.index.setdefault(r, []).append((t, at))
+        self.rare = frozenset(order[r] for r in self.index)
+
+    def candidates(self, block: list[int], positional: bool = True) -> list[int]:
+        """Templates that a block, sorted by the global order, may hold to the threshold.
+
+        Prefix: the first common word stands among a template's first size - need + 1. Length: the block has
+        at least ``need`` of all templates' words. Position: after the first common word enough words must
+        follow on both sides.
+        """
+        out, met = [], set()
+        for j, r in enumerate(block):
+            for t, i in self.index.get(r, ()):
+                if t not in met:
+                    met.add(t)
+                    left = min(len(self.sets[t]) - i, len(block) - j)
+                    if len(block) >= self.need[t] and (left >= self.need[t] or not positional):
+                        out.append(t)
+        return out
+
+    def matches(self, block: list[str]) -> dict[int, float]:
         """Containment of each template that the block holds to the threshold."""
+        own = {self.rank[w] for w in block if w in self.rank}
         out: dict[int, float] = {}
-        seen: set[int] = set()
-        for w in block & self.rare:
-            for t, at in self.index[w]:
-                size, need = len(self.sets[t]), self.need[t]
-                if t in seen or len(block) < need or size - at < need:
-                    continue
-                seen.add(t)
-                common = len(self.sets[t] & block)
-                if common >= need:
-                    out[t] = common / size
+        for t in self.candidates(sorted(own)):
+            common = len(own.intersection(self.sets[t]))
+            if common >= self.need[t]:
+                out[t] = common / len(self.sets[t])
         return out
 
+    def scan(self, text: str | None, own: list[str]) -> dict[int, float]:
+        """The best containment of each matched template over the blocks of a text with the words ``own``.
+
+        Blocks are lines of at most twice the longest template's words, and windows of that many words over the
+        whole text, one from every longest template's length on, so a notice is found whole however it is wrapped.
+        Blocks without a prefix word cannot match and are not made.
+        """
+        best: dict[int, float] = {}
+        if self.rare.isdisjoint(own):
+            return best
+        step, wide = self.longest, 2 * self.longest
+        at = [i for i, w in enumerate(own) if w in self.rare]
+        starts = {i // step * step for i in at} | {i // step * step - step for i in at if i >= step}
+        blocks = [own[i : i + wide] for i in sorted(starts)]
+        blocks += [x for line in (text or "").split("\n") if len(x := words(line)) <= wide and not self.rare.isdisjoint(x)]
+        for block in blocks:
+            for t, x in self.matches(block).items():
+                best[t] = max(x, best.get(t, 0.0))
+        return best
+
 
 def phrases(own: list[str], table: dict[tuple[str, ...], str]) -> list[tuple[int, str]]:
     """(word index, label) of every place where a phrase's words stand consecutively."""
@@ -85,24 +122,24 @@ def phrases(own: list[str], table: dict[tuple[str, ...], str]) -> list[tuple[int
 def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, base: dict[str, str] | None = None, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: n_words, places, matched templates, base_labels, labels, score.
 
-    A block is a line. A template is found in a block that holds at least num / den of its distinct words.
-    Its words are ordered by how many documents of the whole corpus have them, rarest first (ties by word);
-    a block that meets the threshold must hold one of the first |T| - need + 1, which is all that is looked
-    up. A block with fewer words than needed, or a first common word so late that too few follow, is out;
-    the rest is counted exactly. The templates are a given, short list, so they and their index go to every
-    task; the corpus is read twice and nothing but the templates' word counts is shuffled.
+    Blocks are lines and overlapping windows over the whole text (``TemplateJoin.scan``). A template is found in
+    a block that holds at least num / den of its distinct words. Words are ordered by how many documents of the
+    whole corpus have them, rarest first (ties by word), for templates and blocks alike; prefix, length and
+    positional filters leave few pairs, and these are counted exactly. The templates are a given, short list, so
+    they and their index go to every task; the corpus is read twice and nothing but the templates' word counts is
+    shuffled.
 
-    score is the best containment (1 for a base phrase), 0 without any. Null and empty texts have 0 words;
-    repeated rows and null doc_ids are rows like others.
+    score is the best containment (1 for a base phrase), 0 without any. Null and empty texts have 0 words; texts of
+    any length are scanned whole; repeated rows and null doc_ids are rows like others; other columns are not read,
+    so clashing names do no harm; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
     table = {tuple(p.split()): label for p, label in (PHRASES if base is None else base).items()}
     wanted = frozenset(w for _, t in templates for w in words(t))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for b in parts:
+        for b in slices(parts):
             for text in b.column(0).to_pylist():
                 seen.update(wanted.intersection(words(text)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -116,11 +153,7 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None =
         for doc, text in zip(c["doc_id"], c["text"], strict=True):
             own = words(text)
             found = phrases(own, table)
-            best: dict[int, float] = {}
-            if not join.rare.isdisjoint(own):
-                for line in (text or "").split("\n"):
-                    for t, x in join.matches(set(words(line))).items():
-                        best[t] = max(x, best.get(t, 0.0))
+            best = join.scan(text, own)
             labels = {label for _, label in found}
             for name, value in zip(out, (doc, len(own), [at for at, _ in found], sorted(best), ",".join(sorted(labels)), ",".join(sorted(labels | {join.labels[t] for t in best})), max([*best.values(), 1.0 if found else 0.0])), strict=True):
                 out[name].append(value)
