@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import batches, small_batches, written
+from .store import batches, written
 
 #: The base patterns, in the order in which kinds are listed.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -19,7 +19,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "live")
-_DUMMY = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000|1234|test", re.I)
+#: Words that a dummy value consists of, whole or part by part.
+_DUMMY = frozenset("example sample dummy changeme placeholder your my the password passwd secret token key api apikey access auth id test testing foo bar foobar default none null undefined redacted".split())
+_RUNS = ("0123456789012345", "abcdefghijklmnopqrstuvwxyz", "qwertyuiop")
 
 
 def _entropy(value: str) -> float:
@@ -27,6 +29,17 @@ def _entropy(value: str) -> float:
     return -sum(c / n * log2(c / n) for c in Counter(value).values())
 
 
+def looks_live(value: str) -> bool:
+    """Whether a value may be a credential in use: random for its length, and not made of dummy words or runs alone.
+
+    Entropy is held against the most that the value's length (or an alphabet of 64) allows.
+    """
+    if len(value) < 2 or _entropy(value) < 0.6 * log2(min(len(value), 64)):
+        return False
+    parts = [x for x in re.split(r"[^0-9a-z]+", value.lower()) if x]
+    return not all(x in _DUMMY or any(x in run for run in _RUNS) for x in parts)
+
+
 def find(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret value) of the base spans, by start, then kind."""
     out = []
@@ -50,7 +63,7 @@ def _scan(c: dict[str, list]) -> dict[str, list]:
         one = []
         for start, kind, end, own in find(text or ""):
             value = text[own:end]
-            one.append({"start": start, "kind": kind, "end": end, "own": own, "digest": hashlib.sha256(value.encode()).hexdigest(), "strong": _entropy(value) >= 3 and not _DUMMY.search(value)})
+            one.append({"start": start, "kind": kind, "end": end, "own": own, "digest": hashlib.sha256(value.encode()).hexdigest(), "strong": looks_live(value)})
         spans.append(one)
     return c | {"spans": spans}
 
@@ -59,16 +72,17 @@ def scan_secrets(docs: DataFrame, *, owner: Column | None = None, repo: Column |
     """doc_id, mark (hash of the text), spans and live for every row of ``docs(doc_id, text, source, lang)``.
 
     ``spans`` are the base matches; ``live`` holds (start, end, owners, repos) of their values that look
-    like a credential in use: seen with at most ``few`` owners and as many repositories over the whole
-    corpus, random enough and without a dummy's words. What many share is an example and stays out. The
-    owner is ``source`` and the repository (source, lang) unless other columns are given.
+    like a credential in use (``looks_live``) and that one owner alone has, in however many repositories,
+    or at most ``few`` owners with no more than ``few`` repositories between them, over the whole corpus. What
+    many share is an example and stays out. The owner is ``source`` and the repository (source, lang) unless
+    other columns are given.
 
     Texts are scanned once, where they lie; after that only the few rows with candidates move. Owners
     are counted per digest from distinct (digest, owner) rows, pre-aggregated before each shuffle, so a
     secret that a third of all documents hold costs one row a task. A null or empty text has no spans;
-    rows with one doc_id and text share their spans, and each stays in the result.
+    rows with one doc_id and text share their spans, and each stays in the result. Columns beside those four are
+    not read, so clashing names do no harm; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if owner is None else owner
     repo = F.concat_ws("/", F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))) if repo is None else repo
     given = docs.select("doc_id", F.xxhash64("text").alias("mark"), repo.alias("repo"), owner.alias("owner"), "text")
@@ -76,7 +90,7 @@ def scan_secrets(docs: DataFrame, *, owner: Column | None = None, repo: Column |
     each = found.where("size(spans) > 0").select("doc_id", "mark", "repo", "owner", F.explode("spans").alias("s")).select("doc_id", "mark", "repo", "owner", "s.*")
     pairs = each.where("strong").groupBy("digest", "owner", "repo").agg(F.lit(1).alias("x"))
     by_owner = pairs.groupBy("digest", "owner").agg(F.count("*").alias("repos"))
-    known = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).where(F.col("owners").between(1, few) & (F.col("repos") <= few))
+    known = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).where((F.col("owners") == 1) | (F.col("owners") <= few) & (F.col("repos") <= few))
     spans = each.where("strong").join(known, "digest").groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct(F.col("own").alias("start"), "end", "owners", "repos"))).alias("live"))
     joined = found.alias("f").join(spans.alias("l"), F.col("f.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("f.mark").eqNullSafe(F.col("l.mark")), "left")
     return joined.select("f.doc_id", "f.mark", "f.spans", F.coalesce("live", F.array().cast("array<struct<start:int,end:int,owners:long,repos:long>>")).alias("live"))
@@ -85,18 +99,19 @@ def scan_secrets(docs: DataFrame, *, owner: Column | None = None, repo: Column |
 def redact(docs: DataFrame, scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the live spans of each text masked and n_chars following; all rows and columns stay."""
     names = docs.columns
-    live = scanned.where("size(live) > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("live").alias("__live")).dropDuplicates(["__id", "__mark"])
-    joined = docs.join(live, docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__mark")), "left")
-    by_end = F.array_sort("__live", lambda a, b: b["end"] - a["end"])
-    start = F.struct(F.col("text").alias("t"), F.lit(1 << 30).alias("at"))
+    live = scanned.where("size(live) > 0").select("doc_id", "mark", F.col("live").alias("spans")).dropDuplicates(["doc_id", "mark"]).select(F.struct("doc_id", "mark", "spans").alias("l"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
+    joined = rows.join(live, F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("l.mark")), "left")
+    by_end = F.array_sort("l.spans", lambda a, b: b["end"] - a["end"])
+    start = F.struct(F.col("d.text").alias("t"), F.lit(1 << 30).alias("at"))
 
     def step(acc, s):
         end = F.least(s["end"], acc["at"])
         cut = F.concat(F.substr(acc["t"], F.lit(1), s["start"]), F.lit(mask), F.substr(acc["t"], end + 1))
         return F.when(s["start"] < acc["at"], F.struct(cut.alias("t"), s["start"].alias("at"))).otherwise(acc)
 
-    text = F.when(F.col("__live").isNotNull(), F.aggregate(by_end, start, step)["t"]).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    text = F.when(F.col("l").isNotNull(), F.aggregate(by_end, start, step)["t"]).otherwise(F.col("d.text"))
+    masked = joined.select("d", "l", text.alias("t"))
+    length = F.when(F.col("l").isNotNull(), F.length("t").cast("long")).otherwise(F.col("d.n_chars")) if "n_chars" in names else None
+    new = {"text": F.col("t"), "n_chars": length}
+    return masked.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in names))
