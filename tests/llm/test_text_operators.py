@@ -17,10 +17,10 @@ from tokenizers import Tokenizer
 
 from edgetide.llm import bpe, lm, token_files
 from edgetide.llm.components import components
-from edgetide.llm.licenses import TEMPLATES, scan_licenses, words
+from edgetide.llm.licenses import TEMPLATES, TemplateJoin, scan_licenses, words
 from edgetide.llm.near_dup import near_duplicates
 from edgetide.llm.queries import op8_secret_ownership
-from edgetide.llm.secrets import redact, scan_secrets
+from edgetide.llm.secrets import looks_live, redact, scan_secrets
 from edgetide.llm.sketch import sketch
 from edgetide.llm.store import written
 from edgetide.llm.wavelet import WaveletMatrix
@@ -81,6 +81,30 @@ def test_near_duplicates_of_edge_inputs(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(rows).collect()) == [("5", "5", True), ("5", "5", True), ("None", "None", True)]
 
 
+def test_near_duplicates_follow_texts_not_ids(spark):
+    """Two texts under one doc_id are two nodes: their classes stay apart."""
+    one, two, three = ("a b c d e f g h", "p q r s t u v w", "k l m n o")
+    rows = [(5, one, "en", "s", 1), (3, one, "en", "s", 1), (5, two, "en", "s", 1), (9, two, "en", "s", 1), (7, three, "en", "s", 1), (7, three, "en", "s", 1)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (5, 5, True), (9, 5, False), (7, 7, True)}
+
+
+def test_near_duplicates_of_mixed_buckets(spark):
+    """A large class and outliers that share its buckets, in blocks of two: equal to brute force."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        own = base.copy()
+        for _ in range(rng.choice([0, 1, 2, 4, 6])):
+            own[rng.randrange(60)] = f"z{rng.randint(0, 30)}"
+        texts.append(" ".join(own))
+    for size, num, bits in ((3, 85, {}), (2, 70, {"rows": 2, "bins": 80, "slack": 0.3})):
+        _, comp = brute_components(texts, size, num, 100)
+        got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts), shingle=size, num=num, den=100, block=2, **bits).collect()}
+        assert got == dict(enumerate(comp))
+
+
 def test_sketches_estimate_similarity_and_fill():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 40, 3000):
@@ -112,29 +136,62 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert back.where("again <> coalesce(text, '')").count() == 0 and back.count() == len(ODD) + 1
 
 
+def test_bpe_cuts_text_without_white_space():
+    own = bpe.ByteBPE(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "日本語のテキストを分かち書きなしで書く。" * 50
+    parts = own.fragments(text.encode())
+    assert len(parts) > 500 and b"".join(parts) == text.encode()
+    pairs = [(a[-1], b[0]) for a, b in zip(parts, parts[1:], strict=False)]
+    assert sum(bool(own.never[x, y]) for x, y in pairs) > len(pairs) * 0.8
+    inside = [(x, y) for p in parts for x, y in zip(p, p[1:], strict=False)]
+    assert not any(own.never[x, y] for x, y in inside)
+    for t in (text, "x" * 5000, "éa1" * 900, "don't;we'll" * 300, "ŁódźŽ" * 50 + "×÷"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    small = bpe.TwoAges(5000, lambda keys: [k.upper() for k in keys])
+    for i in range(400):
+        assert small.filled([b"a%d" % i, b"b", b"x" * 300]) == [b"A%d" % i, b"B", b"X" * 300]
+    assert len(small.new) < 40 and b"x" * 300 not in small.new
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).zipf(1.3, 5000).astype(np.uint64) % 49408
     w = WaveletMatrix.from_row(*WaveletMatrix.build(ids, 16).to_row())
-    assert (w.all() == ids).all() and [w.access(i) for i in (0, 77, 4999)] == [ids[0], ids[77], ids[4999]]
-    for token in {1, int(ids[3]), int(ids[-1]), 60_000}:
+    at = np.array([0, 77, 4999, 512, 511])
+    assert (w.all() == ids).all() and (w.access(at) == ids[at]).all()
+    for token in {1, int(ids[3]), int(ids[-1]), 60_000, 70_000}:
         at = np.flatnonzero(ids == token)
         assert w.count(token) == len(at) and w.count(token, 100, 900) == ((at >= 100) & (at < 900)).sum()
+        assert (w.find(token) == at).all()
         assert [w.select(token, k) for k in range(min(4, len(at)))] == at[:4].tolist() and w.select(token, len(at)) == -1
+    wide = WaveletMatrix.from_row(*WaveletMatrix.build(np.array([70_000, 3, 70_000]), 17).to_row())
+    assert wide.find(70_000).tolist() == [0, 2] and wide.all().tolist() == [70_000, 3, 70_000]
 
 
 def test_token_files_equal_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    lib, texts = Tokenizer.from_file(path), [*ODD, None, "Σας ΟΔΟΣ", "<|ENDOFTEXT|> x"]
+    lib, texts = Tokenizer.from_file(path), [*ODD, None, "Σας ΟΔΟΣ", "<|ENDOFTEXT|> x", "Ärger, über. ÿes", "long " * 3000]
     out = token_files.token_path(spark, "test")
-    token_files.write_token_files(frame(spark, texts).repartition(5), out, path, shard_tokens=40)
-    start = 0
+    token_files.write_token_files(frame(spark, texts, "clash").repartition(5), out, path, shard_tokens=40)
+    start, every = 0, []
     for i, r in enumerate(token_files.read_token_files(spark, out).orderBy("doc_id").collect()):
         ids = [*lib.encode(texts[i] or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(ids), np.array(ids, "<u4").tobytes())
         start += len(ids)
+        every += ids
+    asked = [0, 5, len(every) - 1, 17, 17, len(every), -1]
+    got = {r.position: r.token for r in token_files.token_at(spark, out, spark.createDataFrame([(x,) for x in asked], "position long")).collect()}
+    assert got == {x: every[x] for x in asked[:4]}
+    n = Counter(every)
+    assert {r.token: r.n for r in token_files.count_tokens(spark, out, [2, every[5], 48_000]).collect()} == {t: n[t] for t in (2, every[5], 48_000) if n[t]}
+    assert sorted(r.position for r in token_files.find_token(spark, out, every[5]).collect()) == [i for i, t in enumerate(every) if t == every[5]]
+    rows = spark.createDataFrame([(None, "b"), (3, "x y"), (3, "x y"), (1, "")], "doc_id long, text string")
+    out = token_files.token_path(spark, "test")
+    token_files.write_token_files(rows, out, path)
+    assert [(r.doc_id, r.start) for r in token_files.read_token_files(spark, out).orderBy("start").collect()] == [(None, 0), (1, 2), (3, 3), (3, 6)]
     empty = token_files.token_path(spark, "test")
     token_files.write_token_files(frame(spark, []), empty, path)
-    assert token_files.read_token_files(spark, empty).count() == 0
+    assert token_files.read_token_files(spark, empty).count() == 0 and token_files.find_token(spark, empty, 2).count() == 0
 
 
 def test_language_model_scores(spark):
@@ -150,7 +207,7 @@ def test_language_model_scores(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(log10((c[w] + 1) / (n + v + 1)) for w in t))
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
-    shared = {r.doc_id: r for r in lm.score_documents(frame(spark, texts), head_share=0.004, ngram_share=0.003).collect()}
+    shared = {r.doc_id: r for r in lm.score_documents(frame(spark, texts), head_share=0.004).collect()}
     for i in got:  # with most words outside the automaton the base part must not change
         assert shared[i].base_score == pytest.approx(got[i].base_score) and shared[i].n_known == got[i].n_known
 
@@ -174,13 +231,20 @@ def test_language_model_keeps_every_ngram(spark):
                 g.update(sum(ids[w] << 20 * (k - 1 - j) for j, w in enumerate(toks[i][p : p + k])) for p in range(len(toks[i]) - k + 1))
     whole = lm.BackoffAutomaton(np.array([c[w] for w in ids]), sum(c.values()), len(c), *map(dict, grams))
     rest = [sum(w not in ids for w in t) * -log10(sum(c.values()) + len(c) + 1) for t in toks]
-    for more in ({}, {"head_share": 0.004}, {"head_share": 0.004, "ngram_share": 0.01, "shard_tokens": 300, "chunk_tokens": 400}):
+    for more in ({}, {"head_share": 0.004}, {"head_share": 0.004, "shard_tokens": 300, "chunk_tokens": 400}, {"shard_tokens": 90, "chunk_tokens": 200}):
         got = lm.score_documents(rows, **more).collect()
         assert len(got) == len(texts) + 2
         for r in got:
             assert r.score == pytest.approx(whole.traverse([ids.get(w, -1) for w in toks[r.doc_id]]) + rest[r.doc_id]), (more, r.doc_id)
 
 
+def test_language_model_of_edge_inputs(spark):
+    assert lm.score_documents(frame(spark, [], "clash")).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, ""), (4, ""), (4, None), (9, "b " * 30_000), (2, "c")], "doc_id long, text string").selectExpr("*", "1 key", "2 b", "3 n")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in lm.score_documents(rows, shard_tokens=5000).collect())
+    assert got == [("2", 2), ("4", 1), ("4", 1), ("4", 1), ("9", 30_001), ("None", 3), ("None", 3)]
+
+
 def test_automaton_probabilities_add_up():
     counts = np.array([3, 10, 6, 4])
     total, vocabulary = 30, 6
@@ -225,6 +289,27 @@ def test_secret_query_digest(spark, tables):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in found) for i in range(3))
 
 
+def test_secret_values_that_look_live(spark):
+    yes = ["k7Qz2p", "Zq8xR2vT9kLmW4pYbN7c", "7b1c9e04d2f85a6b3e91c07d4fa8265e", "a1234b0000cQtest9z", "hunter2x"]
+    no = ["aaaaaa", "changeme", "your_api_key", "123456", "example-token", "0000000000", "test-test"]
+    assert all(map(looks_live, yes)) and not any(map(looks_live, no))
+    own = "Zq8xR2vT9kLmW4pYbN7c"
+    rows = [(1, f"token: {own}", "en", "a", 1), (2, f"token: {own}", "de", "a", 1), (3, f"token: {own}", "fr", "a", 1), (4, "token: k7Qz2p", "en", "b", 1), (4, "token: k7Qz2p", "en", "b", 1), (None, "token: k7Qz2p", "en", None, 1)]
+    rows += [(10 + i, "token: Jk4nV8sB2mQx7RtW9yLp", "en", f"s{i}", 1) for i in range(3)]
+    rows += [(20, None, "en", "a", 1), (21, "x" * 200_000 + " token: k7Qz2p", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 mark", "2 spans", "3 owner", "4 l", "5 d")
+    got = sorted((str(r.doc_id), len(r.live)) for r in scan_secrets(docs).collect())
+    assert got == sorted([("1", 1), ("2", 1), ("3", 1), ("4", 1), ("4", 1), ("None", 1), ("10", 0), ("11", 0), ("12", 0), ("20", 0), ("21", 1)])
+    clean = redact(docs, scan_secrets(docs))
+    assert clean.columns == docs.columns and clean.count() == len(rows) and clean.where("text like '%[SECRET]'").count() == 7
+
+
+def _blocks(text, longest):
+    own = words(text)
+    lines = [x for line in (text or "").split("\n") if len(x := words(line)) <= 2 * longest]
+    return [*lines, *(own[i : i + 2 * longest] for i in range(0, max(len(own), 1), longest))]
+
+
 def test_license_join_equals_brute_force(spark):
     rng = random.Random(6)
     texts = []
@@ -233,15 +318,45 @@ def test_license_join_equals_brute_force(spark):
         for drop in (0, 1, 2, 4):
             kept = [w for i, w in enumerate(own) if i not in set(rng.sample(range(len(own)), min(drop, len(own) - 1)))]
             texts.append("noise line here\n" + " ".join(kept) + " extra words\nthe end")
-    texts += ["released under mit-license and GNU  General\nPublic license, CC BY", None, "", "ünï cc by 4"]
+        wrapped = "\n * ".join(" ".join(own[i : i + 5]) for i in range(0, len(own), 5))
+        texts.append("filler " * rng.randint(0, 200) + "\n" + wrapped + "\n" + "filler " * rng.randint(0, 200))
+    texts += ["released under mit-license and GNU  General\nPublic license, CC BY", None, "", "ünï cc by 4", "word " * 30_000 + "mit license"]
     got = {r.doc_id: r for r in scan_licenses(frame(spark, texts, "clash")).collect()}
+    longest = max(len(words(t)) for _, t in TEMPLATES)
+    sets = [set(words(x)) for _, x in TEMPLATES]
     for i, t in enumerate(texts):
         own = words(t)
-        want = [k for k, (_, x) in enumerate(TEMPLATES) if any(len(set(words(x)) & set(words(line))) * 100 >= 80 * len(set(words(x))) for line in (t or "").split("\n"))]
-        assert list(got[i].templates) == want and got[i].n_words == len(own)
+        best = {k: max([len(x & set(b)) / len(x) for b in _blocks(t, longest) if len(x & set(b)) * 100 >= 80 * len(x)], default=0) for k, x in enumerate(sets)}
+        assert list(got[i].templates) == [k for k, x in best.items() if x] and got[i].n_words == len(own)
         places = [j for p in ("gnu general public license", "apache license", "cc by", "mit license") for j in range(len(own)) if own[j : j + len(p.split())] == p.split()]
         assert sorted(places) == list(got[i].places)
-    assert got[len(TEMPLATES) * 4].base_labels == "cc-by,gpl,mit"
+        assert got[i].score == (1.0 if places else max(best.values()))
+        labels = {TEMPLATES[k][0] for k, x in best.items() if x} | set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(labels))
+    for k in range(len(TEMPLATES)):  # a wrapped notice is found whole
+        assert k in got[5 * k + 4].templates
+    assert got[len(TEMPLATES) * 5].base_labels == "cc-by,gpl,mit"
+    rows = spark.createDataFrame([(None, "mit license"), (1, "mit license"), (1, "mit license")], "doc_id long, text string")
+    assert [r.base_labels for r in scan_licenses(rows).collect()] == ["mit"] * 3 and scan_licenses(rows.limit(0)).count() == 0
+
+
+def test_license_filters_drop_pairs_but_no_match():
+    rng = random.Random(3)
+    join = TemplateJoin(TEMPLATES, {}, 80, 100)
+    vocab = list(join.rank)
+    with_, without, found = 0, 0, 0
+    for _ in range(800):
+        block = rng.sample(vocab, rng.randint(10, 80))
+        if rng.random() < 0.3:
+            own = words(rng.choice(TEMPLATES)[1])
+            block += rng.sample(own, len(own) * 9 // 10)
+        ranks = sorted({join.rank[w] for w in block})
+        a, b = join.candidates(ranks), join.candidates(ranks, positional=False)
+        with_, without = with_ + len(a), without + len(b)
+        want = {t for t, x in enumerate(join.sets) if len(set(x) & set(ranks)) >= join.need[t]}
+        assert want <= set(a) <= set(b) and set(join.matches(block)) == want
+        found += len(want)
+    assert found > 50 and with_ < without
 
 
 def test_written_tables_survive_rereading(spark):

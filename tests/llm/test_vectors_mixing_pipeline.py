@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
 from edgetide.llm import queries as Q
-from edgetide.llm.ann import nearest, probes
+from edgetide.llm.ann import PStable, nearest, probe_order
 from edgetide.llm.mixing import mix
 from edgetide.llm.topk import top_inner_products
-from edgetide.llm.toxicity import CumulativeLink, fit_toxicity, score_toxicity
+from edgetide.llm.toxicity import CumulativeLink, fit_toxicity, score_toxicity, without_toxic
 
 VECS = "vec_id long, embedding array<float>, label int"
 
@@ -91,32 +93,79 @@ def test_nearest_of_odd_rows(spark, odd_vectors):
     assert own == list(range(101, 121))  # equal vectors tie and go by id
 
 
-def test_probes_come_in_order_of_score():
-    left, right = np.array([0.1, 0.7]), np.array([0.9, 0.3])
-    score = lambda p: sum((left[j] if s < 0 else right[j]) ** 2 for j, s in p)
-    got = probes(left, right, 9)
-    assert got[0] == [] and [score(p) for p in got] == sorted(score(p) for p in got) and len(got) == 9
+def test_probes_name_neighbouring_buckets_likeliest_first():
+    flags = probe_order(4, 40)
+    assert not flags[0].any() and len({tuple(f) for f in flags.tolist()}) == 40
+    assert all(not (f[i] and f[7 - i]) for f in flags for i in range(4)) and flags[1].tolist() == [1, *[0] * 7]
+    p, q = PStable(5, 2, 4, 1.5, 3), np.random.default_rng(1).standard_normal((9, 5))
+    unit = q / np.linalg.norm(q, axis=1)[:, None]
+    at = (unit @ p.a[1][:-1] + p.b[1]) / 1.5
+    base = np.floor(at).astype(np.int64)
+    steps = np.array([s for s in np.ndindex(3, 3, 3, 3)]) - 1
+    for i in range(9):
+        near = {int((base[i] + s) @ p.mixer): sum((at[i, j] - base[i, j] if x < 0 else base[i, j] + 1 - at[i, j]) ** 2 for j, x in enumerate(s) if x) for s in steps}
+        names = p.probes(q, 1, 81)[i].tolist()
+        assert set(names) == set(near) and names[0] == int(base[i] @ p.mixer)
+        assert names[1] == min((x for x in near if x != names[0]), key=near.get)  # the nearest border comes first
+
+
+def test_recall_over_several_shards(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((6000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], VECS)
+    s = v.astype(float) @ v.astype(float).T
+    np.fill_diagonal(s, -9)
+    got: dict = {}
+    for r in nearest(df, shard_rows=1500, query_rows=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == list(range(0, 6000, 20))
+    assert np.mean([len(got[q] & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in got]) >= 0.9
 
 
 def test_mixing_by_hand(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 700)), f"s{i % 4}" if i % 9 else None) for i in range(200)] + [(500, None, "s1"), (None, "a b", "s2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' size")
-    got = mix(df.drop("size")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' size", "1 sid", "2 taken")
+    got = mix(df).collect()
     assert len(got) == len(rows)
     size: dict = {}
     for r in got:
         size.setdefault(r.source, [0, 0, r.target, r.source_size])
         size[r.source][0] += r.size
         size[r.source][1] += r.taken
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and (r.first_slot is None) == (r.taken == 0) and (r.n_slots > 0) == (r.taken > 0)
     assert sum(v[2] for v in size.values()) == pytest.approx(1.5 * sum(v[0] for v in size.values()))
     for n, taken, target, source_size in size.values():
-        assert n == source_size and abs(taken - target) <= 1 and target <= 2 * n
+        assert n == source_size and abs(taken - target) <= 5 and target <= 2 * n
     assert sorted(map(str, got)) == sorted(map(str, mix(df.repartition(7)).collect()))
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mixing_follows_its_points(spark):
+    """Every document's words, slot by slot: the golden-ratio point names the source, the slot's rank its block."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "abc"[i % 3]) for i in range(60)]
+    got = {r.doc_id: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16, slots=1).collect()}
+    streams: dict = {}
+    for i in sorted(got, key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()):
+        streams.setdefault(got[i].source, []).extend([i] * got[i].size)
+    names = sorted(streams)
+    take = [round({r.source: r.target for r in got.values()}[s]) for s in names]
+    edges = [math.floor(sum(take[:i]) / sum(take) * 2**31) for i in range(3)]
+    taken, first, ranks = Counter(), {}, Counter()
+    for slot in range(-(-sum(take) // 16)):
+        at = max(i for i in range(3) if edges[i] <= slot * 1327217885 % 2**31)
+        own = streams[names[at]]
+        blocks = -(-len(own) // 16)
+        rank, ranks[at] = ranks[at], ranks[at] + 1
+        if rank < 2 * blocks:
+            for i in own[rank % blocks * 16 : (rank % blocks + 1) * 16]:
+                taken[i] += 1
+                first.setdefault(i, slot)
+    assert {i: (r.taken, r.first_slot) for i, r in got.items()} == {i: (taken[i], first.get(i)) for i in got}
+
+
 @pytest.mark.parametrize("name", list(Q.SQL))
 def test_queries_match_their_sql(spark, tables, name):
     con = duckdb.connect()
@@ -134,7 +183,7 @@ def test_toxicity_on_held_out_labels(spark, tables):
     rows = score_toxicity(docs, model).drop("toxic").join(labels.where("doc_id % 2 = 1"), "doc_id").select(labels["toxic"].alias("want"), "p_toxic").collect()
     hit = sum(r.p_toxic >= 0.5 for r in rows if r.want) / sum(r.want for r in rows)
     false = sum(r.p_toxic >= 0.5 for r in rows if not r.want) / sum(1 - r.want for r in rows)
-    assert hit >= 0.7 and false <= 0.02  # some toxic texts of this set hold no telling word; check_s reaches 0.99
+    assert hit >= 0.8 and false <= 0.02  # some toxic texts of this set hold no telling word; check_s reaches 0.99
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
@@ -176,3 +225,67 @@ def test_pipeline_equals_its_stages_by_hand(spark, tables):
     assert abs(words(four) / words(three) - 1.5) < 0.25 and four.columns == docs.columns
     last = P.run(spark, tables)
     assert last.count() == four.count() and last.where("not round_trip").count() == 0
+
+
+def test_ordinal_fit_equals_an_independent_search():
+    """The likelihood at the fit is not below that of random moves around it, nor of a plain gradient descent by differences."""
+    rng = np.random.default_rng(1)
+    rows = [sorted(np.flatnonzero(rng.random(4) < 0.4).tolist()) for _ in range(300)]
+    pull = np.array([len(r) + rng.logistic() for r in rows])
+    grades = np.digitize(pull, [1.5, 3.0])
+    m = CumulativeLink.fit({c * 4: i for i, c in enumerate("abcd")}, rows, grades, 3, steps=1500, ridge=0.0)
+    x = np.array([[i in r for i in range(4)] for r in rows], float)
+
+    def loss(p):
+        cuts = np.array([-np.inf, p[4], p[4] + np.exp(p[5]), np.inf])
+        with np.errstate(over="ignore"):
+            above = 1 / (1 + np.exp(cuts[None] - (x @ p[:4])[:, None]))
+        return -np.log(np.maximum(above[range(300), grades] - above[range(300), grades + 1], 1e-12)).mean()
+
+    ours = np.array([*m.weights, m.thresholds[0], np.log(m.thresholds[1] - m.thresholds[0])])
+    p = np.zeros(6)
+    for _ in range(1200):
+        p -= 0.5 * np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in 1e-5 * np.eye(6)])
+    assert loss(ours) <= loss(p) + 1e-4 and np.abs(ours - p).max() < 0.1
+    assert all(loss(ours) <= loss(ours + rng.normal(0, 0.05, 6)) + 1e-4 for _ in range(50))
+
+
+def test_toxicity_of_edge_inputs(spark):
+    rows = [(i, f"plain words {i}", 0) for i in range(20)] + [(100 + i, f"idiot moron {i}", 1) for i in range(20)]
+    known = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = fit_toxicity(known, spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int"))
+    odd = [(None, "idiot moron"), (3, "idiot moron"), (7, None), (8, ""), (9, "zz " * 30_000 + "idiot moron")]
+    docs = known.union(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", "'x' toxic", "0 grade")
+    got = [(r.doc_id, r.toxic) for r in score_toxicity(docs, model).collect()]
+    assert len(got) == len(rows) + 5 and {(None, True), (3, True), (3, False), (7, False), (8, False), (9, True), (9, False)} <= set(got)
+    left = without_toxic(docs, model)
+    assert left.columns == docs.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == sorted([*map(str, range(20)), "7", "8"])
+
+
+LONG = "w1 " * 20_000 + "end"
+
+
+def _odd_docs(spark):
+    one, two, three = "a b c d e f g h", "p q r s t u v w", "k l m n o secret = 'Zq8xR2vT9kLmW4pYbN7c'"
+    rows = [(3, one, "en", "s", 15), (5, one, "en", "s", 15), (5, two, "en", "t", 15), (7, three, "en", "s", 1), (7, three, "en", "s", 1), (None, one, None, None, None), (8, None, "en", "s", None), (8, None, "en", "s", None), (9, "", "en", None, 0), (10, LONG, "en", "s", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 mark", "2 __mark_", "3 size", "4 live")
+
+
+def test_pipeline_stages_of_odd_rows(spark, tables):
+    import corpus_pipeline as P
+
+    docs = _odd_docs(spark)
+    count = lambda df: Counter((r.doc_id, (r.text or "")[:9]) for r in df.collect())
+    assert count(P.toxicity(spark, docs, tables)) == count(docs)
+    two = P.near_dedup(spark, docs, tables)
+    assert count(two) == Counter({(3, "a b c d e"): 1, (5, "p q r s t"): 1, (7, "k l m n o"): 1, (None, "a b c d e"): 1, (8, ""): 2, (9, ""): 1, (10, "w1 w1 w1 "): 1})
+    three = P.secrets(spark, docs, tables)
+    assert sorted(r.text for r in three.collect() if r.doc_id == 7) == ["k l m n o secret = '[SECRET]'"] * 2 and three.count() == docs.count()
+    four = P.mixing(spark, docs, tables)
+    words = sum(len((r.text or "").split()) for r in docs.collect())
+    assert abs(sum(len((r.text or "").split()) for r in four.collect()) - 1.5 * words) <= 0.55 * words and count(four)[(8, "")] == 2
+    assert all(df.columns == docs.columns for df in (two, three, four))
+    last = P.encoding(spark, docs, tables)
+    assert last.count() == docs.count() and last.where("not round_trip").count() == 0 and last.where("n_tokens = 0").count() == 3
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, tables).count() == 0 for _, stage in P.STAGES)
