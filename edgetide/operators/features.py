@@ -114,7 +114,7 @@ def segments_of(cands: DataFrame, hist: DataFrame, src_hot: DataFrame, dst_hot:
 
 
 def periodicity(cands: DataFrame, hist: DataFrame, cap: int = 64) -> DataFrame:
-    """Six columns: fit to the pair's mean interval, has one, hour and weekday affinity, share of the latest in-events within 1 and 7 days."""
+    """Six columns: fit to the pair's mean interval, has one, log1p of the hour's and weekday's affinity (1 is the even share, and that of an unknown candidate), and the share, of ``cap``, of the latest in-events at most 1 and 7 days before."""
     pairs = pair_stats(hist).withColumnRenamed("dst", "cand")
     hist_rows = dst_histograms(hist).join(dst_stats(hist), "dst").select(F.col("dst").alias("cand"), "kind", "slot", (F.col("cnt") / F.col("dst_cnt")).alias("share"))
     order = Window.partitionBy("dst").orderBy(F.desc("time"), F.desc("seq"))
@@ -123,19 +123,22 @@ def periodicity(cands: DataFrame, hist: DataFrame, cap: int = 64) -> DataFrame:
     rows = cands.withColumn("__hour", hour_of_day()).withColumn("__dow", day_of_week()).join(pairs, ["src", "cand"], "left").join(slot("hour", "__hs"), ["cand", "__hour"], "left").join(slot("dow", "__ds"), ["cand", "__dow"], "left").join(times, "cand", "left")
     mean = (F.col("pair_last") - F.col("pair_first")) / (F.col("pair_cnt") - 1)
     has = (F.col("pair_cnt") > 1) & (F.col("pair_last") > F.col("pair_first"))
-    within = lambda s: F.coalesce(F.size(F.filter("__times", lambda t: F.col("time") - t <= s)) / F.size("__times"), F.lit(0.0))
+    age = lambda t: F.col("time") - t
+    within = lambda s: F.coalesce(F.size(F.filter("__times", lambda t: age(t).between(0, s))) / float(cap), F.lit(0.0))
+    affinity = lambda share, n: F.log1p(F.when(F.col("__times").isNull(), 1.0).otherwise(n * F.coalesce(share, F.lit(0.0))))
+    gap = F.greatest(F.col("time") - F.col("pair_last"), F.lit(0))
     return rows.select(
-        "qid", "col", F.coalesce(F.when(has, 1.0 / (1.0 + F.abs((F.col("time") - F.col("pair_last")) / mean - 1.0))), F.lit(0.0)).alias("interval_fit"), F.coalesce(has, F.lit(False)).cast("int").alias("has_interval"),
-        F.coalesce("__hs", F.lit(0.0)).alias("hour_affinity"), F.coalesce("__ds", F.lit(0.0)).alias("dow_affinity"), within(86_400).alias("within_1d"), within(604_800).alias("within_7d"),
+        "qid", "col", F.coalesce(F.when(has, 1.0 / (1.0 + F.abs(gap / mean - 1.0))), F.lit(0.0)).alias("interval_fit"), F.coalesce(has, F.lit(False)).cast("int").alias("has_interval"),
+        affinity("__hs", 24.0).alias("hour_affinity"), affinity("__ds", 7.0).alias("dow_affinity"), within(86_400).alias("within_1d"), within(604_800).alias("within_7d"),
     )
 
 
 def match_history(cands: DataFrame, asof: DataFrame) -> DataFrame:
-    """Exact matches of each candidate in the as-of history: count, and recency of the last, which is its least log gap."""
+    """Exact matches of each candidate in the as-of history: count, and the sum of 1 / (1 + log gap)."""
     rows = cands.join(asof.select("qid", "items", "gaps"), "qid", "left")
     hits = F.filter(F.arrays_zip("items", "gaps"), lambda x: x["items"] == F.col("cand"))
     n = F.coalesce(F.size(hits), F.lit(0))
-    return rows.select("qid", "col", F.when(n > 0, n).otherwise(0).cast("long").alias("match_count"), F.when(n > 0, F.exp(-F.array_min(F.transform(hits, lambda x: x["gaps"])) / 10.0)).otherwise(0.0).alias("match_recency"))
+    return rows.select("qid", "col", F.when(n > 0, n).otherwise(0).cast("long").alias("match_count"), F.when(n > 0, F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + 1.0 / (1.0 + x["gaps"]))).otherwise(0.0).alias("match_recency"))
 
 
 def base_score() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import Q
-from .rank import margins, qnorm, rank_pct, softmaxed, unique_max, z
+from .rank import margins, qnorm, rank_pct, reorder_unseen, softmaxed, unique_max, z
 
 
 def mix(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
@@ -145,21 +145,24 @@ def compose(df: DataFrame, base: str, residual: str, weight: float, mode: str =
     return df.withColumn(out, F.when(on & (F.col("dup_row") == 0), F.col(base) + weight * F.col(residual)).otherwise(F.col(base)))
 
 
-def row_gate(df: DataFrame, base: str, new: str, most_margin: float, out: str = "score") -> DataFrame:
-    """The new scores where the base's margin is small and the best cell stays the same; else the base."""
-    rows = margins(df.withColumn("__b", F.col(base)), "__b").drop("from_top", "winner_gap")
+def row_gate(df: DataFrame, base: str, new: str, gate: str, threshold: float, keep_same_best: bool = True, out: str = "score") -> DataFrame:
+    """The new scores in rows whose ``gate`` value reaches the threshold or, with ``keep_same_best``, whose best cell stays the same; else the base."""
     best = lambda c: F.max_by("col", F.struct(F.col(c), -F.col("col"))).over(Q())
-    rows = rows.withColumn("__same", best(base) == best(new))
-    return rows.withColumn(out, F.when((F.col("margin") <= most_margin) & F.col("__same"), F.col(new)).otherwise(F.col(base))).drop("__b", "__same")
-
-
-def escape_policy(df: DataFrame, gaps: DataFrame, margin: float) -> DataFrame:
-    """slot value by the direct residual rank where the new-seen gap reaches the margin, else by the slot-preserving order.
-
-    ``df`` holds ``direct`` and ``kept`` positions.
-    """
-    rows = df.join(gaps.select("qid", "gap"), "qid")
-    return rows.withColumn("position", F.when(F.col("gap") >= margin, F.col("direct")).otherwise(F.col("kept")))
+    same = best(base) == best(new) if keep_same_best else F.lit(False)
+    rows = df.withColumn("__same", same)
+    return rows.withColumn(out, F.when((F.col(gate) >= threshold) | F.col("__same"), F.col(new)).otherwise(F.col(base))).drop("__same")
+
+
+def escape_policy(df: DataFrame, gaps: DataFrame, control: str, residual: str, margin: float, slot_alpha: float, escape_alpha: float, out: str = "value") -> DataFrame:
+    """In rows whose new-seen gap reaches the margin, control + escape_alpha * residual on unseen cells; else the slot,
+    from 1 down to 0 in equal steps, after unseen cells were reordered by ``slot_alpha``. With an escape_alpha of 0, slots everywhere."""
+    rows = reorder_unseen(df, control, residual, slot_alpha)
+    slot = 1.0 - F.coalesce(F.col("position") / F.nullif(F.count("*").over(Q()) - 1, F.lit(0)), F.lit(0.0))
+    if escape_alpha <= 0:
+        return rows.withColumn(out, slot).drop("position")
+    direct = F.col(control) + F.when(F.col("seen") == 0, escape_alpha * F.col(residual)).otherwise(0.0)
+    rows = rows.withColumn("__slot", slot).join(gaps.select("qid", "gap"), "qid")
+    return rows.withColumn(out, F.when(F.col("gap") >= margin, direct).otherwise(F.col("__slot"))).drop("position", "__slot", "gap")
 
 
 def apply_gate(df: DataFrame, base: str, new: str, gate: str, out: str = "score") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, dot, draw, recency
-from .features import pair_seen, reverse_pair
+from ..functions import dot, draw, recency
 from .rank import qnorm
-from .stats import decayed_popularity, dst_stats, pair_stats, src_stats
+from .stats import dst_stats, pair_stats, src_stats
 
 
 def recent_edges(hist: DataFrame, key: str, cap: int) -> DataFrame:
@@ -49,7 +50,9 @@ def _capped_pairs(hist: DataFrame, key: str, other: str, cap: int) -> DataFrame:
 
 
 def cf_overlap(cands: DataFrame, hist: DataFrame, cap: int = 64) -> DataFrame:
-    """Five columns. item_sum, item_max, item_norm: of |in(w) & in(v)| over the source's items w; user_sum, user_max: of |out(z) & out(u)| over v's sources z.
+    """Five columns. item_sum, item_max (as log1p), item_norm: of |in(w) & in(v)| over the source's items w; user_sum, user_max (as log1p): of |out(z) & out(u)| over v's sources z.
+
+    item_norm divides the plain sum by (|out(u)| + 1) * sqrt(|in(v)| + 1).
 
     Overlaps are counted once for each needed (w, v) or (z, u) pair, from joins of capped neighbour lists:
     at most cap * cap rows for a pair of nodes.
@@ -60,15 +63,16 @@ def cf_overlap(cands: DataFrame, hist: DataFrame, cap: int = 64) -> DataFrame:
     need = cells.join(of(outs, "src", "w"), "src")
     pairs = need.select("w", "cand").distinct()
     common = pairs.join(of(ins, "w", "n"), "w").join(of(ins, "cand", "n"), ["cand", "n"]).groupBy("w", "cand").agg(F.count("*").alias("c"))
-    size = F.coalesce(F.col("items"), F.lit(0)) + 1.0
+    size = (F.coalesce(F.col("items"), F.lit(0)) + 1.0) * F.sqrt(F.coalesce(F.col("sources"), F.lit(0)) + 1.0)
     item = need.join(common, ["w", "cand"]).groupBy("src", "cand").agg(F.sum("c").alias("item_sum"), F.max("c").alias("item_max"))
     sizes = outs.groupBy("k").agg(F.count("*").alias("items")).withColumnRenamed("k", "src")
+    widths = ins.groupBy("k").agg(F.count("*").alias("sources")).withColumnRenamed("k", "cand")
     need2 = cells.join(of(ins, "cand", "z"), "cand")
     pairs2 = need2.select("z", "src").distinct()
     common2 = pairs2.join(of(outs, "z", "n"), "z").join(of(outs, "src", "n"), ["src", "n"]).groupBy("z", "src").agg(F.count("*").alias("c"))
     user = need2.join(common2, ["z", "src"]).groupBy("src", "cand").agg(F.sum("c").alias("user_sum"), F.max("c").alias("user_max"))
-    rows = cands.select("qid", "col", "src", "cand").join(item, ["src", "cand"], "left").join(user, ["src", "cand"], "left").join(sizes, "src", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = cands.select("qid", "col", "src", "cand").join(item, ["src", "cand"], "left").join(user, ["src", "cand"], "left").join(sizes, "src", "left").join(widths, "cand", "left")
+    zero = lambda c: F.log1p(F.coalesce(c, F.lit(0))).alias(c)
     return rows.select("qid", "col", "cand", zero("item_sum"), zero("item_max"), (F.coalesce("item_sum", F.lit(0)) / size).alias("item_norm"), zero("user_sum"), zero("user_max"))
 
 
@@ -83,7 +87,8 @@ def _array_sum(df: DataFrame, key: str, col: str, dim: int) -> DataFrame:
 
 
 def cf_sketch(cands: DataFrame, hist: DataFrame, cap: int = 64, dim: int = 64) -> DataFrame:
-    """The same overlaps estimated from sign-hash sketches: dot products over dim, clipped at 0.
+    """The same overlaps estimated from sign-hash sketches: dot products over dim, clipped at 0. Five columns: log1p and
+    normalised item overlap, the same of user overlap, and log1p of both together.
 
     A node's sketch sums the signs of its neighbours; its profile sums its neighbours' sketches, so item_sum is
     one dot product for each cell instead of a three-way join.
@@ -95,23 +100,52 @@ def cf_sketch(cands: DataFrame, hist: DataFrame, cap: int = 64, dim: int = 64) -
     items, users = profile(outs, in_sketch), profile(ins, out_sketch)
     pick = lambda df, k, name: df.select(F.col("k").alias(k), F.col("s").alias(name))
     rows = cands.select("qid", "col", "src", "cand").join(pick(items, "src", "p_u"), "src", "left").join(pick(in_sketch, "cand", "s_v"), "cand", "left").join(pick(users, "cand", "p_v"), "cand", "left").join(pick(out_sketch, "src", "s_u"), "src", "left")
+    degree = lambda df, k, name: df.groupBy("k").agg(F.count("*").alias(name)).withColumnRenamed("k", k)
+    rows = rows.join(degree(outs, "src", "d_u"), "src", "left").join(degree(ins, "cand", "d_v"), "cand", "left")
     est = lambda a, b: F.greatest(F.coalesce(dot(a, b) / dim, F.lit(0.0)), F.lit(0.0))
-    return rows.select("qid", "col", "cand", est("p_u", "s_v").alias("item_sum"), est("s_u", "p_v").alias("user_sum"), est("p_u", "p_v").alias("profile"), est("s_u", "s_v").alias("neighbour"), F.log1p(est("p_u", "s_v")).alias("item_log"))
+    rows = rows.select("qid", "col", "cand", est("p_u", "s_v").alias("item"), est("s_u", "p_v").alias("user"), *((F.coalesce(c, F.lit(0)) + 1.0).alias(c) for c in ("d_u", "d_v")))
+    return rows.select("qid", "col", "cand", F.log1p("item").alias("item_log"), (F.col("item") / (F.col("d_u") * F.sqrt("d_v"))).alias("item_norm"), F.log1p("user").alias("user_log"), (F.col("user") / (F.col("d_v") * F.sqrt("d_u"))).alias("user_norm"), F.log1p(F.col("item") + F.col("user")).alias("both_log"))
 
 
-def base_features(cands: DataFrame, hist: DataFrame, origin: int) -> DataFrame:
-    """A compact base set: pair, source and destination counts and gaps, reverse pair, overlaps, decay and pool frequency, and a hand score."""
-    pair, dst, pop = pair_stats(hist).withColumnRenamed("dst", "cand"), dst_stats(hist).withColumnRenamed("dst", "cand"), decayed_popularity(hist, origin).withColumnRenamed("dst", "cand")
+def _pool_frequency(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cand, pool_freq): log1p of the candidate's cells, and (src, cand, src_freq): the same under one source, 0 for a single one."""
     freq = cands.groupBy("cand").agg(F.log1p(F.count("*")).alias("pool_freq"))
     own = cands.groupBy("src", "cand").agg(F.count("*").alias("__n")).select("src", "cand", F.when(F.col("__n") > 1, F.log1p("__n")).otherwise(0.0).alias("src_freq"))
-    rows = cands.join(pair, ["src", "cand"], "left").join(src_stats(hist), "src", "left").join(dst, "cand", "left").join(pop, "cand", "left").join(freq, "cand").join(own, ["src", "cand"])
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    gap = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(recency(F.col("time") - F.col(c)))
-    rows = rows.select("qid", "col", "cand", F.log1p(zero("pair_cnt")).alias("pc"), gap("pair_last").alias("pgap"), F.log1p(zero("src_cnt")).alias("sc"), gap("src_last").alias("sgap"), F.log1p(zero("dst_cnt")).alias("dc"), gap("dst_last").alias("dgap"), F.log1p(zero("pop_30")).alias("decay"), F.col("pool_freq").alias("f"), F.col("src_freq").alias("sf"))
-    over = overlap_features(cands, hist).drop("cand")
-    out = rows.join(reverse_pair(cands, hist), ["qid", "col"]).join(over, ["qid", "col"])
-    c = F.col
-    return out.withColumn("hand", 3 * c("pc") + 2 * c("pgap") + 1.4 * c("decay") + 1.1 * c("in_hit") + 1.4 * F.log1p("two_hop") + 0.8 * c("two_hop_norm") + 0.35 * c("f") + 0.75 * c("sf"))
+    return freq, own
+
+
+def _activity(cands: DataFrame, hist: DataFrame) -> tuple[DataFrame, Callable]:
+    """The cells with counts and last times of the pair, the reverse pair, the source, the candidate as destination and as source; and the recency of such a column."""
+    pair = pair_stats(hist)
+    rows = cands.join(pair.select("src", F.col("dst").alias("cand"), F.col("pair_cnt").alias("pc"), F.col("pair_last").alias("pl")), ["src", "cand"], "left")
+    rows = rows.join(pair.select(F.col("src").alias("cand"), F.col("dst").alias("src"), F.col("pair_cnt").alias("rc"), F.col("pair_last").alias("rl")), ["src", "cand"], "left")
+    src = src_stats(hist)
+    rows = rows.join(src.select("src", F.col("src_cnt").alias("sc"), F.col("src_last").alias("sl")), "src", "left")
+    rows = rows.join(dst_stats(hist).select(F.col("dst").alias("cand"), F.col("dst_cnt").alias("dc"), F.col("dst_last").alias("dl")), "cand", "left")
+    rows = rows.join(src.select(F.col("src").alias("cand"), F.col("src_cnt").alias("vc"), F.col("src_last").alias("vl")), "cand", "left")
+    return rows, lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(recency(F.col("time") - F.col(c)))
+
+
+def base_features(cands: DataFrame, hist: DataFrame, cap: int = 64) -> DataFrame:
+    """The base ranker's 22 columns and the pool's ``src_freq``: counts and recencies of the pair, its reverse, both ends and
+    the candidate as a source; whether and how far back the candidate is among the source's latest; neighbour lists and
+    overlaps; pool frequency; and the hand-weighted score of all that."""
+    rows, gap = _activity(cands, hist)
+    lg = lambda c: F.log1p(F.coalesce(c, F.lit(0)))
+    freq, own = _pool_frequency(cands)
+    latest = recent_edges(hist, "src", cap)
+    at = latest.groupBy("src", F.col("dst").alias("cand")).agg(F.max("pos").alias("at"))
+    sizes = latest.groupBy(F.col("src").alias("cand")).agg(F.count("*").alias("n_out")), recent_edges(hist, "dst", cap).groupBy(F.col("dst").alias("cand")).agg(F.count("*").alias("n_in"))
+    rows = rows.join(at, ["src", "cand"], "left").join(sizes[0], "cand", "left").join(sizes[1], "cand", "left").join(freq, "cand").join(own, ["src", "cand"])
+    over = overlap_features(cands, hist, cap).drop("cand")
+    rows = rows.select(
+        "qid", "col", "cand", lg("pc").alias("pair_log"), gap("pl").alias("pair_gap"), lg("sc").alias("src_log"), lg("dc").alias("dst_log"), gap("sl").alias("src_gap"), gap("dl").alias("dst_gap"),
+        lg("rc").alias("back_log"), gap("rl").alias("back_gap"), F.col("at").isNotNull().cast("int").alias("recent"), F.when(F.col("at").isNull(), 0.0).otherwise(F.exp(-F.col("at") / 8.0)).alias("recent_decay"),
+        "pool_freq", (F.col("src") == F.col("cand")).cast("int").alias("self_loop"), lg("vc").alias("as_src_log"), gap("vl").alias("as_src_gap"), lg("n_out").alias("out_log"), lg("n_in").alias("in_log"), "src_freq",
+    ).join(over, ["qid", "col"])
+    rows = rows.withColumns({c: F.log1p(c) for c in ("two_hop", "out_out", "in_in")})
+    weights = {"pair_log": 3.0, "pair_gap": 2.0, "recent_decay": 1.4, "in_hit": 1.1, "two_hop": 1.4, "out_out": 0.8, "in_in": 0.7, "back_log": 0.9, "dst_log": 0.45, "pool_freq": 0.35, "src_freq": 0.75}
+    return rows.withColumn("hand", sum((w * F.col(c) for c, w in weights.items()), F.lit(0.0)))
 
 
 def propagate(edges: DataFrame, vecs: DataFrame, key: str, other: str, dim: int) -> DataFrame:
@@ -121,13 +155,18 @@ def propagate(edges: DataFrame, vecs: DataFrame, key: str, other: str, dim: int)
     return means.select("id", F.array(*(F.col(f"d{d}") for d in range(dim))).alias("vec"))
 
 
-def prop_score(cands: DataFrame, users: DataFrame, items: DataFrame, user_props: DataFrame, item_props: DataFrame) -> DataFrame:
-    """z of z(p_u . v) + z(u . p_v) + .5 z(p_u . p_v), unknown vectors giving 0."""
+def prop_parts(cands: DataFrame, users: DataFrame, items: DataFrame, user_props: DataFrame, item_props: DataFrame) -> DataFrame:
+    """s1, s2, s3: z(p_u . v), z(u . p_v), z(p_u . p_v), unknown vectors giving 0; prop: z of s1 + s2 + s3 / 2."""
     pick = lambda df, k, name: df.select(F.col("id").alias(k), F.col("vec").alias(name))
     rows = cands.select("qid", "col", "src", "cand").join(pick(users, "src", "u"), "src", "left").join(pick(user_props, "src", "pu"), "src", "left").join(pick(items, "cand", "v"), "cand", "left").join(pick(item_props, "cand", "pv"), "cand", "left")
     d = lambda a, b: F.coalesce(dot(a, b), F.lit(0.0))
-    rows = qnorm(rows.select("qid", "col", "cand", d("pu", "v").alias("a"), d("u", "pv").alias("b"), d("pu", "pv").alias("c")), ["a", "b", "c"])
-    return qnorm(rows.select("qid", "col", "cand", (F.col("a") + F.col("b") + 0.5 * F.col("c")).alias("prop")), ["prop"])
+    rows = qnorm(rows.select("qid", "col", "cand", d("pu", "v").alias("s1"), d("u", "pv").alias("s2"), d("pu", "pv").alias("s3")), ["s1", "s2", "s3"])
+    return qnorm(rows.withColumn("prop", F.col("s1") + F.col("s2") + 0.5 * F.col("s3")), ["prop"])
+
+
+def prop_score(cands: DataFrame, users: DataFrame, items: DataFrame, user_props: DataFrame, item_props: DataFrame) -> DataFrame:
+    """z of z(p_u . v) + z(u . p_v) + .5 z(p_u . p_v)."""
+    return prop_parts(cands, users, items, user_props, item_props).select("qid", "col", "cand", "prop")
 
 
 def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int = 4096) -> DataFrame:
@@ -151,14 +190,13 @@ def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int =
 
 
 def neighbor_similarity(cands: DataFrame, hist: DataFrame, cap: int = 32) -> DataFrame:
-    """Five columns over the candidate's ``cap`` latest other sources n: max cosine, max Jaccard, sum of the top 3 cosines, max rare overlap, log1p of how many share two items."""
+    """Five columns over the candidate's ``cap`` latest sources n but the own one: max cosine, max Jaccard, sum of the top 3 cosines, max rare overlap, log1p of how many share two items."""
     pairs = hist.groupBy("src", "dst").agg(F.max("time").alias("last"))
     degree = pairs.groupBy("src").agg(F.count("*").alias("deg"))
     width = pairs.groupBy("dst").agg(F.count("*").alias("wide"))
-    latest = pairs.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("last"), "src"))).where(F.col("r") <= cap + 1)
+    latest = pairs.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("last"), "src"))).where(F.col("r") <= cap)
     cells = cands.select("src", "cand").distinct()
     near = cells.join(latest.select(F.col("src").alias("n"), F.col("dst").alias("cand"), "r"), "cand").where("n <> src")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("src", "cand").orderBy("r"))).where(F.col("r") <= cap)
     need = near.select("src", "n").distinct()
     a = pairs.join(width, "dst").select("src", "dst", (1.0 / F.sqrt(F.col("wide") + 1.0)).alias("rare"))
     common = need.join(a, "src").join(pairs.select(F.col("src").alias("n"), "dst"), ["n", "dst"]).groupBy("src", "n").agg(F.count("*").alias("both"), F.sum("rare").alias("rare"))
@@ -180,16 +218,23 @@ def session_graph(hist: DataFrame, lags: int = 4, window: int = 1800) -> DataFra
     return rows.union(rows.select("j", "i")).groupBy("i", "j").agg(F.count("*").alias("cnt"))
 
 
-def session_features(cands: DataFrame, graph: DataFrame, last: DataFrame, fade: float = 0.72) -> DataFrame:
-    """Over the source's last items (``last(src, pos, item)``), weight fade^pos: sum and max of log1p(cnt) and of log1p(1e4 cosine), and a hit."""
-    out = graph.groupBy("i").agg(F.sum("cnt").alias("deg"))
-    g = graph.join(out, "i").join(out.select(F.col("i").alias("j"), F.col("deg").alias("deg_j")), "j").select("i", "j", F.log1p("cnt").alias("a"), F.log1p(1e4 * F.col("cnt") / F.sqrt(F.col("deg").cast("double") * F.col("deg_j"))).alias("b"))
-    cells = cands.select("src", "cand").distinct()
-    rows = cells.join(last.select("src", "pos", F.col("item").alias("i")), "src").join(g.withColumnRenamed("j", "cand"), ["i", "cand"])
+def session_features(cands: DataFrame, graph: DataFrame, items: DataFrame, asof: DataFrame, fade: float = 0.72) -> DataFrame:
+    """Over the items before the query (``asof(qid, items)``, oldest first): faded sum and plain maximum of log1p(cnt) and of
+    log1p(1e4 cosine), normalised in the query, a hit, and the normalised sum of the count's sum and the cosine's maximum.
+
+    The cosine divides by the root of both items' numbers of edges, ``items(dst, dst_cnt)``. Rows are made for
+    cells whose item has an edge with one of the query's, not for all pairs.
+    """
+    size = lambda k, name: items.select(F.col("dst").alias(k), F.greatest("dst_cnt", F.lit(1)).cast("double").alias(name))
+    g = graph.join(size("i", "di"), "i").join(size("j", "dj"), "j").select("i", F.col("j").alias("cand"), F.log1p("cnt").alias("a"), F.log1p(1e4 * F.col("cnt") / F.sqrt(F.col("di") * F.col("dj"))).alias("b"))
+    before = asof.select("qid", F.posexplode(F.reverse("items")).alias("pos", "i"))
+    rows = cands.select("qid", "cand").distinct().join(before, "qid").join(g, ["i", "cand"])
     w = F.pow(F.lit(fade), F.col("pos"))
-    agg = rows.groupBy("src", "cand").agg(F.sum(w * F.col("a")).alias("sum_log"), F.max(w * F.col("a")).alias("max_log"), F.sum(w * F.col("b")).alias("sum_cos"), F.max(w * F.col("b")).alias("max_cos"))
-    full = cands.select("qid", "col", "src", "cand").join(agg, ["src", "cand"], "left")
-    return full.select("qid", "col", "cand", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sum_log", "max_log", "sum_cos", "max_cos")), F.col("sum_log").isNotNull().cast("int").alias("hit"))
+    agg = rows.groupBy("qid", "cand").agg(F.sum(w * F.col("a")).alias("raw_sum"), F.max("a").alias("raw_max"), F.sum(w * F.col("b")).alias("norm_sum"), F.max("b").alias("norm_max"))
+    names = ["raw_sum", "raw_max", "norm_sum", "norm_max"]
+    full = cands.select("qid", "col", "cand").join(agg, ["qid", "cand"], "left")
+    full = full.select("qid", "col", "cand", F.col("raw_sum").isNotNull().cast("int").alias("hit"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
+    return qnorm(qnorm(full, names).withColumn("hybrid", F.col("raw_sum") + F.col("norm_max")), ["hybrid"])
 
 
 def gcn_propagate(nodes: DataFrame, edges: DataFrame, dim: int, hops: int = 2) -> DataFrame:
@@ -211,14 +256,10 @@ def gcn_propagate(nodes: DataFrame, edges: DataFrame, dim: int, hops: int = 2) -
 
 
 def fast_features(cands: DataFrame, hist: DataFrame, users: DataFrame, items: DataFrame, user_props: DataFrame, item_props: DataFrame) -> DataFrame:
-    """A compact ranker's columns: causal counts and gaps, seen, three propagation dots and the factor dot."""
-    pick = lambda df, k, name: df.select(F.col("id").alias(k), F.col("vec").alias(name))
-    pair, dst = pair_stats(hist).withColumnRenamed("dst", "cand"), dst_stats(hist).withColumnRenamed("dst", "cand")
-    rows = pair_seen(cands, hist).join(pair, ["src", "cand"], "left").join(src_stats(hist), "src", "left").join(dst, "cand", "left")
-    rows = rows.join(pick(users, "src", "u"), "src", "left").join(pick(user_props, "src", "pu"), "src", "left").join(pick(items, "cand", "v"), "cand", "left").join(pick(item_props, "cand", "pv"), "cand", "left")
-    d = lambda a, b, n: F.coalesce(dot(a, b), F.lit(0.0)).alias(n)
+    """The compact ranker's 14 columns: counts and recencies of the pair, its reverse and both ends, pool frequencies, the fused propagation score and its three normalised dots."""
+    rows, gap = _activity(cands, hist)
+    freq, own = _pool_frequency(cands)
     lg = lambda c, n: F.log1p(F.coalesce(c, F.lit(0))).alias(n)
-    gap = lambda c, n: F.when(F.col(c).isNull(), 30.0).otherwise(F.greatest(F.col("time") - F.col(c), F.lit(0)) / float(DAY)).alias(n)
-    return rows.select("qid", "col", "cand", lg("pair_cnt", "pc"), gap("pair_last", "pair_days"), lg("src_cnt", "sc"), gap("src_last", "src_days"), lg("dst_cnt", "dc"), gap("dst_last", "dst_days"), "seen", d("u", "v", "uv"), d("pu", "v", "puv"), d("u", "pv", "upv"), d("pu", "pv", "pupv"))
-
-
+    rows = rows.join(freq, "cand").join(own, ["src", "cand"])
+    rows = rows.select("qid", "col", "cand", lg("pc", "pair_log"), gap("pl").alias("pair_gap"), lg("rc", "back_log"), gap("rl").alias("back_gap"), lg("sc", "src_log"), lg("dc", "dst_log"), gap("sl").alias("src_gap"), gap("dl").alias("dst_gap"), "pool_freq", "src_freq")
+    return rows.join(prop_parts(cands, users, items, user_props, item_props).drop("cand"), ["qid", "col"])

@@ -86,13 +86,13 @@ def group_mean(df: DataFrame, col: str) -> DataFrame:
 
 
 def reorder_unseen(df: DataFrame, score: str, residual: str, alpha: float, seen: str = "seen") -> DataFrame:
-    """position: rank by ``score``, in which unseen cells swap their slots by score z + alpha * residual z; seen ones stay.
+    """position: rank by ``score``, in which unseen cells swap their slots by score + alpha * residual; seen ones stay.
 
     The ranks of the unseen cells by the new key are joined to the unseen slots in order: two row numbers
     over one key and an equi-join.
     """
     base = df.withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(score), "col")) - 1)
-    mixed = base.withColumn("key", z(score) + F.lit(float(alpha)) * z(residual))
+    mixed = base.withColumn("key", F.col(score) + F.lit(float(alpha)) * F.col(residual))
     part = Window.partitionBy("qid", seen)
     rows = mixed.withColumn("by_key", F.row_number().over(part.orderBy(F.desc("key"), "col"))).withColumn("by_slot", F.row_number().over(part.orderBy("slot")))
     slots = rows.select("qid", F.col(seen), F.col("by_slot").alias("by_key"), F.col("slot").alias("new_slot"))

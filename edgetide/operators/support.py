@@ -77,28 +77,35 @@ def consensus(cands: DataFrame, w: int) -> DataFrame:
     return cells.join(sources, "cand").join(times, ["cand", "time"]).select("qid", "cand", "sources", "times", "rows")
 
 
+def _from_first(cands: DataFrame) -> DataFrame:
+    """The cells with ``__age``: seconds from the first query of all."""
+    return cands.crossJoin(F.broadcast(cands.agg(F.min("time").alias("__t0")))).withColumn("__age", F.col("time") - F.col("__t0")).drop("__t0")
+
+
 def bucket_count(cands: DataFrame, days: int) -> DataFrame:
-    """Cells with the candidate in the tumbling bucket, averaged with the bucket shifted by half its width."""
-    width = days * DAY
-    start = F.broadcast(cands.agg(F.min("time").alias("__t0")))
-    rows = cands.crossJoin(start)
-    at = lambda off: F.floor((F.col("time") - F.col("__t0") + off) / width)
-    n = lambda off: F.count("*").over(Window.partitionBy(at(off), "cand"))
-    return rows.select("qid", "col", "cand", ((n(0) + n(width // 2)) / 2.0).alias("bucket_count"))
+    """Cells with the candidate in the tumbling bucket, as log1p normalised in the query, averaged with the same for
+    buckets shifted by half the width in whole days."""
+    rows = _from_first(cands)
+    for name, off in (("now", 0), ("moved", days // 2 * DAY)):
+        at = F.floor((F.col("__age") + off) / (days * DAY))
+        counts = rows.groupBy(at.alias("__at"), "cand").agg(F.log1p(F.count("*")).alias(name))
+        rows = rows.withColumn("__at", at).join(counts, ["__at", "cand"]).drop("__at")
+    rows = qnorm(rows.select("qid", "col", "cand", "now", "moved"), ["now", "moved"])
+    return rows.select("qid", "col", "cand", ((F.col("now") + F.col("moved")) / 2.0).alias("bucket_count"))
 
 
 def source_bucket_count(cands: DataFrame, days: int) -> DataFrame:
-    rows = cands.crossJoin(F.broadcast(cands.agg(F.min("time").alias("__t0"))))
-    at = F.floor((F.col("time") - F.col("__t0")) / (days * DAY))
-    return rows.select("qid", "col", "cand", F.count("*").over(Window.partitionBy("src", at, "cand")).alias("source_bucket_count"))
+    rows = _from_first(cands).withColumn("__at", F.floor(F.col("__age") / (days * DAY)))
+    counts = rows.groupBy("src", "__at", "cand").agg(F.count("*").alias("source_bucket_count"))
+    return rows.join(counts, ["src", "__at", "cand"]).select("qid", "col", "cand", "source_bucket_count")
 
 
 def rolling_count(cands: DataFrame, frames: dict[str, tuple[int, int]]) -> DataFrame:
-    """Cells with the candidate on days [d - before, d + after], from daily counts."""
-    day = F.floor(F.col("time") / DAY)
-    daily = cands.groupBy("cand", day.alias("day")).agg(F.count("*").alias("n"))
-    rolled = daily.select("cand", "day", *(F.sum("n").over(Window.partitionBy("cand").orderBy("day").rangeBetween(-b, a)).alias(name) for name, (b, a) in frames.items()))
-    return cands.withColumn("day", day).join(rolled, ["cand", "day"]).select("qid", "col", "cand", *frames)
+    """Cells with the candidate on days [d - before, d + after], days from the first query on, from daily counts; as log1p, normalised in the query."""
+    rows = _from_first(cands).withColumn("__day", F.floor(F.col("__age") / DAY))
+    daily = rows.groupBy("cand", "__day").agg(F.count("*").alias("n"))
+    rolled = daily.select("cand", "__day", *(F.log1p(F.sum("n").over(Window.partitionBy("cand").orderBy("__day").rangeBetween(-b, a))).alias(name) for name, (b, a) in frames.items()))
+    return qnorm(rows.join(rolled, ["cand", "__day"]).select("qid", "col", "cand", *frames), list(frames))
 
 
 def nearest_repeat(cands: DataFrame) -> DataFrame:
@@ -114,13 +121,14 @@ def nearest_repeat(cands: DataFrame) -> DataFrame:
 def exact_group_support(cands: DataFrame) -> DataFrame:
     """Other rows of the same source and time that hold the item, each counted once."""
     cells = distinct_occurrences(cands)
-    n = F.count("*").over(Window.partitionBy("src", "time", "cand")) - 1
-    return cands.select("qid", "col", "cand").join(cells.select("qid", "cand", n.alias("group_support")), ["qid", "cand"])
+    n = cells.groupBy("src", "time", "cand").agg((F.count("*") - 1).alias("group_support"))
+    return cands.select("qid", "col", "src", "time", "cand").join(n, ["src", "time", "cand"]).select("qid", "col", "cand", "group_support")
 
 
 def source_support(cands: DataFrame) -> DataFrame:
     """Cells of the source with the item (the own one too), and per query the winner's column, maximum and gap to the second."""
-    rows = cands.select("qid", "col", "cand", F.count("*").over(Window.partitionBy("src", "cand")).alias("support"))
+    counts = cands.groupBy("src", "cand").agg(F.count("*").alias("support"))
+    rows = cands.join(counts, ["src", "cand"]).select("qid", "col", "cand", "support")
     best = Window.partitionBy("qid").orderBy(F.desc("support"), "col")
     rows = rows.withColumn("r", F.row_number().over(best))
     q = Window.partitionBy("qid")
@@ -131,23 +139,22 @@ def source_support(cands: DataFrame) -> DataFrame:
 def loo_calibration(cands: DataFrame, cuts: tuple[int, int]) -> DataFrame:
     """Leave-one-out Poisson lift: observed = count under the source - 1, expected = cells a row * (rows - 1) * p.
 
-    lift = log((observed + 1) / (expected + 1)), deviance signed by the side, and the lift in the band of the
-    source's activity (rows up to the first cut, up to the second, more).
+    Both are smoothed by a half: lift is the log of their ratio, deviance that of the smoothed values, signed by the
+    side of the plain ones, and its band is that of the source's activity (rows up to the first cut, up to the
+    second, more).
     """
-    q = Window.partitionBy("qid")
-    rows = cands.select("qid", "src", "col", "cand", (F.count("*").over(q) - 1).alias("width"))
+    width = cands.groupBy("qid").agg((F.count("*") - 1).alias("width"))
     pool = cands.groupBy("cand").agg(F.count("*").alias("pool"))
     total = F.broadcast(cands.agg(F.count("*").alias("total")))
     per_src = cands.select("src", "qid").distinct().groupBy("src").agg(F.count("*").alias("n_rows"))
     seen = cands.groupBy("src", "cand").agg(F.count("*").alias("cnt"))
-    rows = rows.join(pool, "cand").crossJoin(total).join(per_src, "src").join(seen, ["src", "cand"])
+    rows = cands.select("qid", "src", "col", "cand").join(width, "qid").join(pool, "cand").crossJoin(total).join(per_src, "src").join(seen, ["src", "cand"])
     rows = rows.withColumn("obs", F.col("cnt") - 1.0).withColumn("exp", F.col("width") * (F.col("n_rows") - 1) * F.col("pool") / F.col("total"))
-    lift = F.when(F.col("n_rows") > 1, F.log((F.col("obs") + 1) / (F.col("exp") + 1))).otherwise(0.0)
-    term = F.when((F.col("obs") > 0) & (F.col("exp") > 0), F.col("obs") * F.log(F.col("obs") / F.col("exp"))).otherwise(0.0)
-    dev = F.signum(F.col("obs") - F.col("exp")) * F.sqrt(F.greatest(2 * (term - (F.col("obs") - F.col("exp"))), F.lit(0.0)))
+    lift = F.log((F.col("obs") + 0.5) / (F.col("exp") + 0.5))
+    dev = 2 * ((F.col("obs") + 0.5) * lift - (F.col("obs") - F.col("exp")))
     band = F.when(F.col("n_rows") <= cuts[0], 0).when(F.col("n_rows") <= cuts[1], 1).otherwise(2)
-    rows = rows.select("qid", "col", "cand", lift.alias("lift"), dev.alias("deviance"), band.alias("band"))
-    return rows.select("qid", "col", "cand", "lift", "deviance", *(F.when(F.col("band") == i, F.col("lift")).otherwise(0.0).alias(f"band_{i}") for i in range(3)))
+    rows = rows.select("qid", "col", "cand", lift.alias("lift"), (F.signum(F.col("obs") - F.col("exp")) * F.sqrt(F.greatest(dev, F.lit(0.0)))).alias("deviance"), band.alias("band"))
+    return rows.select("qid", "col", "cand", "lift", "deviance", *(F.when(F.col("band") == i, F.col("deviance")).otherwise(0.0).alias(f"band_{i}") for i in range(3)))
 
 
 def community_presence(cands: DataFrame, users: DataFrame, top: float = 0.1) -> DataFrame:

@@ -164,17 +164,60 @@ register("g2_overlap_features", "SELECT qid, col, cand, in_hit, two_hop, out_out
 _CF = _OUTIN + """, cell AS (SELECT DISTINCT src, cand FROM cands),
 cw AS (SELECT x.k AS w, y.k AS v, count(*) AS c FROM ri x JOIN ri y ON x.o = y.o GROUP BY ALL), cz AS (SELECT x.k AS z, y.k AS u, count(*) AS c FROM ro x JOIN ro y ON x.o = y.o GROUP BY ALL),
 im AS (SELECT c.src, c.cand, CAST(sum(cw.c) AS BIGINT) AS item_sum, max(cw.c) AS item_max FROM cell c JOIN ro ON ro.k = c.src JOIN cw ON cw.w = ro.o AND cw.v = c.cand GROUP BY ALL),
-us AS (SELECT c.src, c.cand, CAST(sum(cz.c) AS BIGINT) AS user_sum, max(cz.c) AS user_max FROM cell c JOIN ri ON ri.k = c.cand JOIN cz ON cz.z = ri.o AND cz.u = c.src GROUP BY ALL), sz AS (SELECT k, count(*) AS n FROM ro GROUP BY k)"""
-register("g3_cf_overlap", "SELECT qid, col, cand, coalesce(item_sum, 0) AS item_sum, coalesce(item_max, 0) AS item_max, coalesce(item_sum, 0)::DOUBLE / (coalesce(n, 0) + 1) AS item_norm, coalesce(user_sum, 0) AS user_sum, coalesce(user_max, 0) AS user_max FROM cands c LEFT JOIN im USING (src, cand) LEFT JOIN us USING (src, cand) LEFT JOIN sz ON sz.k = c.src", "cands", ctes=_CF, doubles="item_norm")(lambda s, d: graph.cf_overlap(C(s, d), H(s, d)))
-register("g4_cf_sketch")(lambda s, d: graph.cf_sketch(C(s, d), H(s, d)))
+us AS (SELECT c.src, c.cand, CAST(sum(cz.c) AS BIGINT) AS user_sum, max(cz.c) AS user_max FROM cell c JOIN ri ON ri.k = c.cand JOIN cz ON cz.z = ri.o AND cz.u = c.src GROUP BY ALL), sz AS (SELECT k, count(*) AS n FROM ro GROUP BY k), vz AS (SELECT k, count(*) AS n FROM ri GROUP BY k)"""
+register(
+    "g3_cf_overlap",
+    "SELECT qid, col, cand, ln(1.0::DOUBLE + coalesce(item_sum, 0)) AS item_sum, ln(1.0::DOUBLE + coalesce(item_max, 0)) AS item_max, "
+    "coalesce(item_sum, 0)::DOUBLE / ((coalesce(sz.n, 0) + 1) * sqrt(coalesce(vz.n, 0) + 1.0::DOUBLE)) AS item_norm, "
+    "ln(1.0::DOUBLE + coalesce(user_sum, 0)) AS user_sum, ln(1.0::DOUBLE + coalesce(user_max, 0)) AS user_max "
+    "FROM cands c LEFT JOIN im USING (src, cand) LEFT JOIN us USING (src, cand) LEFT JOIN sz ON sz.k = c.src LEFT JOIN vz ON vz.k = c.cand",
+    "cands", ctes=_CF, doubles="item_sum item_max item_norm user_sum user_max",
+)(lambda s, d: graph.cf_overlap(C(s, d), H(s, d)))
+_SIGN = f"CASE WHEN {draw('o', 'd', 11)} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END"
+_SK = _OUTIN + f""", dm AS (SELECT range AS d FROM range(64)),
+so AS (SELECT k, d, sum({_SIGN}) AS s FROM ro, dm GROUP BY ALL), si AS (SELECT k, d, sum({_SIGN}) AS s FROM ri, dm GROUP BY ALL),
+pu AS (SELECT ro.k, si.d, sum(si.s) AS s FROM ro JOIN si ON si.k = ro.o GROUP BY ALL), pv AS (SELECT ri.k, so.d, sum(so.s) AS s FROM ri JOIN so ON so.k = ri.o GROUP BY ALL),
+cell AS (SELECT DISTINCT src, cand FROM cands),
+it AS (SELECT c.src, c.cand, greatest(sum(pu.s * si.s) / 64, 0) AS e FROM cell c JOIN pu ON pu.k = c.src JOIN si ON si.k = c.cand AND si.d = pu.d GROUP BY ALL),
+ut AS (SELECT c.src, c.cand, greatest(sum(so.s * pv.s) / 64, 0) AS e FROM cell c JOIN so ON so.k = c.src JOIN pv ON pv.k = c.cand AND pv.d = so.d GROUP BY ALL),
+du AS (SELECT k, count(*) AS n FROM ro GROUP BY k), dv AS (SELECT k, count(*) AS n FROM ri GROUP BY k),
+es AS (SELECT qid, col, cand, coalesce(it.e, 0) AS i, coalesce(ut.e, 0) AS u, coalesce(du.n, 0) + 1.0::DOUBLE AS a, coalesce(dv.n, 0) + 1.0::DOUBLE AS b
+  FROM cands c LEFT JOIN it USING (src, cand) LEFT JOIN ut USING (src, cand) LEFT JOIN du ON du.k = c.src LEFT JOIN dv ON dv.k = c.cand)"""
+register(
+    "g4_cf_sketch",
+    "SELECT qid, col, cand, ln(1 + i) AS item_log, i / (a * sqrt(b)) AS item_norm, ln(1 + u) AS user_log, u / (b * sqrt(a)) AS user_norm, ln(1 + i + u) AS both_log FROM es",
+    "cands", ctes=_SK, doubles="item_log item_norm user_log user_norm both_log",
+)(lambda s, d: graph.cf_sketch(C(s, d), H(s, d)))
+_ACT = ", ".join([
+    f"{log1p('coalesce(ps.n, 0)')} AS pair_log", f"CASE WHEN ps.n IS NULL THEN 0 ELSE {recency('c.time - ps.last')} END AS pair_gap",
+    f"{log1p('coalesce(rp.n, 0)')} AS back_log", f"CASE WHEN rp.n IS NULL THEN 0 ELSE {recency('c.time - rp.last')} END AS back_gap",
+    f"{log1p('coalesce(ss.n, 0)')} AS src_log", f"{log1p('coalesce(ds.n, 0)')} AS dst_log",
+    f"CASE WHEN ss.n IS NULL THEN 0 ELSE {recency('c.time - ss.last')} END AS src_gap", f"CASE WHEN ds.n IS NULL THEN 0 ELSE {recency('c.time - ds.last')} END AS dst_gap",
+    f"{log1p('count(*) OVER (PARTITION BY c.cand)')} AS pool_freq",
+    f"CASE WHEN count(*) OVER (PARTITION BY c.src, c.cand) > 1 THEN {log1p('count(*) OVER (PARTITION BY c.src, c.cand)')} ELSE 0 END AS src_freq",
+])
+_FROM = "FROM cands c LEFT JOIN ps ON ps.src = c.src AND ps.dst = c.cand LEFT JOIN ps rp ON rp.src = c.cand AND rp.dst = c.src LEFT JOIN ss ON ss.src = c.src LEFT JOIN ds ON ds.dst = c.cand"
+_BASE = _LISTS + f""", rt AS (SELECT src, dst, max(r) - 1 AS at FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time DESC, seq DESC) AS r FROM hist) WHERE r <= 64 GROUP BY ALL),
+b AS (SELECT qid, col, c.cand, {_ACT}, CAST(rt.at IS NOT NULL AS INTEGER) AS recent, coalesce(exp(-rt.at / 8.0::DOUBLE), 0) AS recent_decay, CAST(c.src = c.cand AS INTEGER) AS self_loop,
+  {log1p('coalesce(vs.n, 0)')} AS as_src_log, CASE WHEN vs.n IS NULL THEN 0 ELSE {recency('c.time - vs.last')} END AS as_src_gap,
+  {log1p('least(coalesce(vs.n, 0), 64)')} AS out_log, {log1p('least(coalesce(ds.n, 0), 64)')} AS in_log,
+  in_hit, ln(1.0::DOUBLE + two_hop) AS two_hop, ln(1.0::DOUBLE + out_out) AS out_out, ln(1.0::DOUBLE + in_in) AS in_in, two_hop_norm
+  {_FROM} LEFT JOIN ss vs ON vs.src = c.cand LEFT JOIN rt ON rt.src = c.src AND rt.dst = c.cand JOIN over o ON o.src = c.src AND o.cand = c.cand)"""
 register(
     "g5_base_features",
-    "SELECT *, 3 * pc + 2 * pgap + 1.4::DOUBLE * decay + 1.1::DOUBLE * in_hit + 1.4::DOUBLE * ln(1.0::DOUBLE + two_hop) + 0.8::DOUBLE * two_hop_norm + 0.35::DOUBLE * f + 0.75::DOUBLE * sf AS hand FROM b", "cands", "stats", doubles="pc pgap sc sgap dc dgap decay f sf back_log_count back_recency two_hop_norm hand",
-    ctes=_LISTS + f", pop AS (SELECT dst, {_POP} FROM hist GROUP BY dst), b AS (SELECT qid, col, c.cand, {log1p('coalesce(ps.n, 0)')} AS pc, CASE WHEN ps.n IS NULL THEN 0 ELSE {recency('c.time - ps.last')} END AS pgap, {log1p('coalesce(ss.n, 0)')} AS sc, CASE WHEN ss.n IS NULL THEN 0 ELSE {recency('c.time - ss.last')} END AS sgap, {log1p('coalesce(ds.n, 0)')} AS dc, CASE WHEN ds.n IS NULL THEN 0 ELSE {recency('c.time - ds.last')} END AS dgap, {log1p('coalesce(pop_30, 0)')} AS decay, {log1p('count(*) OVER (PARTITION BY c.cand)')} AS f, CASE WHEN count(*) OVER (PARTITION BY c.src, c.cand) > 1 THEN {log1p('count(*) OVER (PARTITION BY c.src, c.cand)')} ELSE 0 END AS sf, {log1p('coalesce(rp.n, 0)')} AS back_log_count, CASE WHEN rp.n IS NULL THEN 0 ELSE {recency('c.time - rp.last')} END AS back_recency, in_hit, two_hop, out_out, in_in, two_hop_norm FROM cands c JOIN over o ON o.src = c.src AND o.cand = c.cand LEFT JOIN ps ON ps.src = c.src AND ps.dst = c.cand LEFT JOIN ss ON ss.src = c.src LEFT JOIN ds ON ds.dst = c.cand LEFT JOIN pop ON pop.dst = c.cand LEFT JOIN ps rp ON rp.src = c.cand AND rp.dst = c.src)",
-)(lambda s, d: graph.base_features(C(s, d), H(s, d), ORIGIN))
+    "SELECT *, 3 * pair_log + 2 * pair_gap + 1.4::DOUBLE * recent_decay + 1.1::DOUBLE * in_hit + 1.4::DOUBLE * two_hop + 0.8::DOUBLE * out_out + 0.7::DOUBLE * in_in "
+    "+ 0.9::DOUBLE * back_log + 0.45::DOUBLE * dst_log + 0.35::DOUBLE * pool_freq + 0.75::DOUBLE * src_freq AS hand FROM b",
+    "cands", "stats", ctes=_BASE,
+    doubles="pair_log pair_gap src_log dst_log src_gap dst_gap back_log back_gap recent_decay pool_freq as_src_log as_src_gap out_log in_log src_freq two_hop out_out in_in two_hop_norm hand",
+)(lambda s, d: graph.base_features(C(s, d), H(s, d)))
+_AFF = "ln(1.0::DOUBLE + CASE WHEN ts.l IS NULL THEN 1 ELSE {} * coalesce({}.n::DOUBLE / ds.n, 0) END)"
 register(
     "g6_periodicity",
-    "SELECT qid, col, CASE WHEN ps.n > 1 AND ps.last > ps.first THEN 1 / (1 + abs((c.time - ps.last) / ((ps.last - ps.first)::DOUBLE / (ps.n - 1)) - 1)) ELSE 0 END AS interval_fit, CAST(coalesce(ps.n > 1 AND ps.last > ps.first, FALSE) AS INTEGER) AS has_interval, coalesce(hh.n::DOUBLE / ds.n, 0) AS hour_affinity, coalesce(hd.n::DOUBLE / ds.n, 0) AS dow_affinity, coalesce(len(list_filter(ts.l, lambda t: c.time - t <= 86400))::DOUBLE / len(ts.l), 0) AS within_1d, coalesce(len(list_filter(ts.l, lambda t: c.time - t <= 604800))::DOUBLE / len(ts.l), 0) AS within_7d FROM cands c LEFT JOIN ps ON ps.src = c.src AND ps.dst = c.cand LEFT JOIN ds ON ds.dst = c.cand LEFT JOIN hh ON hh.dst = c.cand AND hh.h = (c.time % 86400) // 3600 LEFT JOIN hd ON hd.dst = c.cand AND hd.h = (c.time // 86400) % 7 LEFT JOIN ts ON ts.dst = c.cand",
+    "SELECT qid, col, CASE WHEN ps.n > 1 AND ps.last > ps.first THEN 1 / (1 + abs(greatest(c.time - ps.last, 0) / ((ps.last - ps.first)::DOUBLE / (ps.n - 1)) - 1)) ELSE 0 END AS interval_fit, "
+    "CAST(coalesce(ps.n > 1 AND ps.last > ps.first, FALSE) AS INTEGER) AS has_interval, "
+    f"{_AFF.format(24, 'hh')} AS hour_affinity, {_AFF.format(7, 'hd')} AS dow_affinity, "
+    "coalesce(len(list_filter(ts.l, lambda t: c.time - t BETWEEN 0 AND 86400)) / 64.0::DOUBLE, 0) AS within_1d, coalesce(len(list_filter(ts.l, lambda t: c.time - t BETWEEN 0 AND 604800)) / 64.0::DOUBLE, 0) AS within_7d "
+    "FROM cands c LEFT JOIN ps ON ps.src = c.src AND ps.dst = c.cand LEFT JOIN ds ON ds.dst = c.cand LEFT JOIN hh ON hh.dst = c.cand AND hh.h = (c.time % 86400) // 3600 LEFT JOIN hd ON hd.dst = c.cand AND hd.h = (c.time // 86400) % 7 LEFT JOIN ts ON ts.dst = c.cand",
     "cands", "stats", doubles="interval_fit hour_affinity dow_affinity within_1d within_7d",
     ctes="hh AS (SELECT dst, (time % 86400) // 3600 AS h, count(*) AS n FROM hist GROUP BY ALL), hd AS (SELECT dst, (time // 86400) % 7 AS h, count(*) AS n FROM hist GROUP BY ALL), ts AS (SELECT dst, list(time) AS l FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY time DESC, seq DESC) AS r FROM hist) WHERE r <= 64 GROUP BY dst)",
 )(lambda s, d: features.periodicity(C(s, d), H(s, d)))
@@ -186,24 +229,37 @@ def props(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     return users, items, graph.propagate(h, items, "src", "dst", 64), graph.propagate(h, users, "dst", "src", 64)
 
 
-register("g7_fast_features")(lambda s, d: (lambda u, v, pu, pv: graph.fast_features(C(s, d), H(s, d), u, v, pu, pv))(*props(s, d)))
+_DP = "coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])), 0)"
+_PROP = "un AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), im AS (SELECT id // 7 AS id, v FROM un WHERE id % 7 = 0), " + ", ".join(
+    f"{n}0 AS (SELECT h.{k} AS id, f.i, avg(f.x) AS x FROM hist h JOIN (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM {t}) f ON f.id = h.{o} GROUP BY ALL), {n} AS (SELECT id, list(x ORDER BY i) AS v FROM {n}0 GROUP BY id)" for n, k, o, t in (("pu", "src", "dst", "im"), ("pv", "dst", "src", "un"))
+) + f""", dots AS (SELECT c.src, c.cand, {_DP.format(a='pu.v', b='iv.v')} AS x1, {_DP.format(a='uv.v', b='pv.v')} AS x2, {_DP.format(a='pu.v', b='pv.v')} AS x3
+  FROM (SELECT DISTINCT src, cand FROM cands) c LEFT JOIN un uv ON uv.id = c.src LEFT JOIN im iv ON iv.id = c.cand LEFT JOIN pu ON pu.id = c.src LEFT JOIN pv ON pv.id = c.cand),
+s AS (SELECT qid, col, cand, {z('x1')} AS s1, {z('x2')} AS s2, {z('x3')} AS s3 FROM cands JOIN dots USING (src, cand) WINDOW q AS (PARTITION BY qid)),
+pp AS (SELECT qid, col, cand, s1, s2, s3, {z('(s1 + s2 + 0.5::DOUBLE * s3)')} AS prop FROM s WINDOW q AS (PARTITION BY qid))"""
+register("g7_fast_features", f"SELECT f.*, prop, s1, s2, s3 FROM (SELECT qid, col, c.cand, {_ACT} {_FROM}) f JOIN pp USING (qid, col)", "cands", "stats", ctes=_PROP, doubles="pair_log pair_gap back_log back_gap src_log dst_log src_gap dst_gap pool_freq src_freq prop s1 s2 s3")(lambda s, d: (lambda u, v, pu, pv: graph.fast_features(C(s, d), H(s, d), u, v, pu, pv))(*props(s, d)))
 register("g8_propagate", "SELECT h.dst AS id, avg(CAST(e.embedding[1] AS DOUBLE)) AS x0, avg(CAST(e.embedding[64] AS DOUBLE)) AS x63 FROM hist h JOIN embeddings e ON e.vec_id = h.src GROUP BY h.dst", "hist", doubles="x0 x63")(lambda s, d: graph.propagate(H(s, d), frames.vectors(s, d), "dst", "src", 64).select("id", F.col("vec")[0].alias("x0"), F.col("vec")[63].alias("x63")))
-register("g9_prop_score")(lambda s, d: (lambda u, v, pu, pv: graph.prop_score(C(s, d), u, v, pu, pv))(*props(s, d)))
+register("g9_prop_score", "SELECT qid, col, cand, prop FROM pp", "cands", ctes=_PROP, doubles="prop")(lambda s, d: (lambda u, v, pu, pv: graph.prop_score(C(s, d), u, v, pu, pv))(*props(s, d)))
 _RP3 = """fq AS (SELECT src, dst, count(*)::DOUBLE AS f FROM hist GROUP BY ALL), dn AS (SELECT src, sum(f) AS d FROM fq GROUP BY src), di AS (SELECT dst, sum(f) AS d FROM fq GROUP BY dst),
 un AS (SELECT a.src AS u, b.src AS n, sum(a.f * b.f) AS c, sum(a.f * b.f / (di.d * dn.d)) AS w FROM fq a JOIN fq b ON a.dst = b.dst AND a.src <> b.src JOIN di ON di.dst = a.dst JOIN dn ON dn.src = b.src GROUP BY ALL),
 walk AS (SELECT c.src, c.cand, ln(1 + sum(un.c * v.f)) AS rp3_log, sum(un.w * v.f) / pow(any_value(di.d), 0.5) AS rp3 FROM (SELECT DISTINCT src, cand FROM cands) c JOIN fq v ON v.dst = c.cand JOIN un ON un.u = c.src AND un.n = v.src JOIN di ON di.dst = c.cand GROUP BY ALL)"""
 register("g10_rp3", "SELECT qid, col, cand, coalesce(rp3_log, 0) AS rp3_log, coalesce(rp3, 0) AS rp3 FROM cands LEFT JOIN walk USING (src, cand)", "cands", ctes=_RP3, doubles="rp3_log rp3")(lambda s, d: graph.rp3(C(s, d), H(s, d)))
 _NS = """pr AS (SELECT src, dst, max(time) AS last FROM hist GROUP BY ALL), dg AS (SELECT src, count(*) AS n FROM pr GROUP BY src), wd AS (SELECT dst, count(*) AS n FROM pr GROUP BY dst), cell AS (SELECT DISTINCT src, cand FROM cands),
 lt AS (SELECT dst, src AS n, row_number() OVER (PARTITION BY dst ORDER BY last DESC, src) AS r FROM pr),
-nr AS (SELECT * FROM (SELECT c.src, c.cand, lt.n, row_number() OVER (PARTITION BY c.src, c.cand ORDER BY lt.r) AS k FROM cell c JOIN lt ON lt.dst = c.cand AND lt.n <> c.src) WHERE k <= 32),
+nr AS (SELECT c.src, c.cand, lt.n FROM cell c JOIN lt ON lt.dst = c.cand AND lt.n <> c.src WHERE lt.r <= 32),
 cm AS (SELECT a.src AS u, b.src AS n, count(*) AS c, sum(1 / sqrt(wd.n + 1.0::DOUBLE)) AS rare FROM pr a JOIN pr b ON a.dst = b.dst AND a.src <> b.src JOIN wd ON wd.dst = a.dst GROUP BY ALL),
 xx AS (SELECT nr.src, nr.cand, cm.c, cm.rare, cm.c / sqrt(x.n::DOUBLE * y.n) AS cs, cm.c::DOUBLE / (x.n + y.n - cm.c) AS jac, row_number() OVER (PARTITION BY nr.src, nr.cand ORDER BY cm.c / sqrt(x.n::DOUBLE * y.n) DESC, nr.n) AS k FROM nr JOIN cm ON cm.u = nr.src AND cm.n = nr.n JOIN dg x ON x.src = nr.src JOIN dg y ON y.src = nr.n),
 ag AS (SELECT src, cand, max(cs) AS max_cos, max(jac) AS max_jac, sum(cs) FILTER (WHERE k <= 3) AS top3, max(rare) AS max_rare, ln(1.0::DOUBLE + count(*) FILTER (WHERE c >= 2)) AS log_near FROM xx GROUP BY ALL)"""
 register("g11_neighbor_similarity", "SELECT qid, col, cand, coalesce(max_cos, 0) AS max_cos, coalesce(max_jac, 0) AS max_jac, coalesce(top3, 0) AS top3, coalesce(max_rare, 0) AS max_rare, coalesce(log_near, 0) AS log_near FROM cands LEFT JOIN ag USING (src, cand)", "cands", ctes=_NS, doubles="max_cos max_jac top3 max_rare log_near")(lambda s, d: graph.neighbor_similarity(C(s, d), H(s, d)))
 _SG = "lg AS (SELECT dst AS i, time, " + ", ".join(f"lag(dst, {k}) OVER w AS d{k}, time - lag(time, {k}) OVER w AS g{k}" for k in range(1, 5)) + " FROM hist WINDOW w AS (PARTITION BY src ORDER BY time, seq)), one AS (" + " UNION ALL ".join(f"SELECT i, d{k} AS j FROM lg WHERE g{k} BETWEEN 0 AND {6 * 3600}" for k in range(1, 5)) + "), sg AS (SELECT i, j, count(*) AS cnt FROM (SELECT i, j FROM one UNION ALL SELECT j, i FROM one) GROUP BY ALL)"
 register("g12_session_graph", "SELECT * FROM sg", "hist", ctes=_SG)(lambda s, d: graph.session_graph(H(s, d), 4, 6 * 3600))
-_SF = _SG + ", dgs AS (SELECT i, sum(cnt) AS d FROM sg GROUP BY i), ww AS (SELECT sg.i, sg.j, ln(1.0::DOUBLE + cnt) AS a, ln(1 + 1e4 * cnt / sqrt(x.d::DOUBLE * y.d)) AS b FROM sg JOIN dgs x ON x.i = sg.i JOIN dgs y ON y.i = sg.j), l8 AS (SELECT src, dst AS i, r - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time DESC, seq DESC) AS r FROM hist) WHERE r <= 8), sa AS (SELECT c.src, c.cand, sum(pow(0.72, pos) * a) AS sum_log, max(pow(0.72, pos) * a) AS max_log, sum(pow(0.72, pos) * b) AS sum_cos, max(pow(0.72, pos) * b) AS max_cos FROM (SELECT DISTINCT src, cand FROM cands) c JOIN l8 ON l8.src = c.src JOIN ww ON ww.i = l8.i AND ww.j = c.cand GROUP BY ALL)"
-register("g13_session_features", "SELECT qid, col, cand, coalesce(sum_log, 0) AS sum_log, coalesce(max_log, 0) AS max_log, coalesce(sum_cos, 0) AS sum_cos, coalesce(max_cos, 0) AS max_cos, CAST(sum_log IS NOT NULL AS INTEGER) AS hit FROM cands LEFT JOIN sa USING (src, cand)", "cands", ctes=_SF, doubles="sum_log max_log sum_cos max_cos")(lambda s, d: graph.session_features(C(s, d), graph.session_graph(H(s, d), 4, 6 * 3600), features.history_static(H(s, d))))
+_SF = _SG + f""", fr AS (SELECT dst, greatest(count(*), 1)::DOUBLE AS n FROM hist GROUP BY dst), ww AS (SELECT sg.i, sg.j, ln(1.0::DOUBLE + cnt) AS a, ln(1 + 1e4 * cnt / sqrt(x.n * y.n)) AS b FROM sg JOIN fr x ON x.dst = sg.i JOIN fr y ON y.dst = sg.j),
+l8 AS (SELECT src, dst AS i, r - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time DESC, seq DESC) AS r FROM hist) WHERE r <= 8),
+sa AS (SELECT c.src, c.cand, sum(pow(0.72, pos) * a) AS ra, max(a) AS rm, sum(pow(0.72, pos) * b) AS na, max(b) AS nm FROM (SELECT DISTINCT src, cand FROM cands) c JOIN l8 ON l8.src = c.src JOIN ww ON ww.i = l8.i AND ww.j = c.cand GROUP BY ALL),
+sz AS (SELECT qid, col, cand, CAST(ra IS NOT NULL AS INTEGER) AS hit, coalesce(ra, 0) AS ra, coalesce(rm, 0) AS rm, coalesce(na, 0) AS na, coalesce(nm, 0) AS nm FROM cands LEFT JOIN sa USING (src, cand)),
+sq AS (SELECT qid, col, cand, hit, {z('ra')} AS raw_sum, {z('rm')} AS raw_max, {z('na')} AS norm_sum, {z('nm')} AS norm_max FROM sz WINDOW q AS (PARTITION BY qid))"""
+register(
+    "g13_session_features", f"SELECT *, {z('(raw_sum + norm_max)')} AS hybrid FROM sq WINDOW q AS (PARTITION BY qid)", "cands", ctes=_SF, doubles="raw_sum raw_max norm_sum norm_max hybrid",
+)(lambda s, d: (lambda h: graph.session_features(C(s, d), graph.session_graph(h, 4, 6 * 3600), stats.dst_stats(h), features.history_asof(T(s, d), h, 8)))(H(s, d)))
 
 
 def gcn_nodes(s: SparkSession, d: str) -> DataFrame:
@@ -230,22 +286,36 @@ register("w5_softmax", f"SELECT qid, col, exp(score - m) / sum(exp(score - m)) O
 _M = "mm AS (SELECT *, max(CASE WHEN r = 1 THEN score END) OVER q AS s1, max(CASE WHEN r = 2 THEN score END) OVER q AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, col) AS r FROM scored) WINDOW q AS (PARTITION BY qid))"
 register("w6_margins", "SELECT qid, col, s1 - score AS from_top, score - CASE WHEN r = 1 THEN s2 ELSE s1 END AS winner_gap, s1 - s2 AS margin FROM mm", "scored", ctes=_M, doubles="from_top winner_gap margin")(lambda s, d: rank.margins(S(s, d)).select("qid", "col", "from_top", "winner_gap", "margin"))
 _BC = f"(time - (SELECT min(time) FROM cands) + {{}}) // {7 * DAY}"
-register("w7_bucket_count", f"SELECT qid, col, cand, (count(*) OVER (PARTITION BY {_BC.format(0)}, cand) + count(*) OVER (PARTITION BY {_BC.format(7 * DAY // 2)}, cand)) / 2.0::DOUBLE AS bucket_count FROM cands", "cands", doubles="bucket_count")(lambda s, d: support.bucket_count(C(s, d), 7))
+_BN = "ln(1.0::DOUBLE + count(*) OVER (PARTITION BY {}, cand))"
+register(
+    "w7_bucket_count", f"SELECT qid, col, cand, ({z('n0')} + {z('n1')}) / 2 AS bucket_count FROM (SELECT *, {_BN.format(_BC.format(0))} AS n0, {_BN.format(_BC.format(3 * DAY))} AS n1 FROM cands) WINDOW q AS (PARTITION BY qid)",
+    "cands", doubles="bucket_count",
+)(lambda s, d: support.bucket_count(C(s, d), 7))
 register("w8_source_bucket_count", f"SELECT qid, col, cand, count(*) OVER (PARTITION BY src, {_BC.format(0)}, cand) AS source_bucket_count FROM cands", "cands")(lambda s, d: support.source_bucket_count(C(s, d), 7))
 _RC = {"around_2": (2, 2), "past_3": (3, 0), "future_3": (0, 3)}
-register("w9_rolling_count", "SELECT c.qid, c.col, c.cand, " + ", ".join(f"CAST(d.{n} AS BIGINT) AS {n}" for n in _RC) + " FROM cands c JOIN rolled d ON d.cand = c.cand AND d.day = c.time // 86400", "cands", ctes="rolled AS (SELECT cand, day, " + ", ".join(f"sum(n) OVER (PARTITION BY cand ORDER BY day RANGE BETWEEN {b} PRECEDING AND {a} FOLLOWING) AS {n}" for n, (b, a) in _RC.items()) + " FROM (SELECT cand, time // 86400 AS day, count(*) AS n FROM cands GROUP BY ALL))")(lambda s, d: support.rolling_count(C(s, d), _RC))
+_AGE = "(time - (SELECT min(time) FROM cands)) // 86400"
+register(
+    "w9_rolling_count", "SELECT qid, col, cand, " + ", ".join(f"{z(n)} AS {n}" for n in _RC) + " FROM (SELECT c.qid, c.col, c.cand, " + ", ".join(f"ln(1.0::DOUBLE + d.{n}) AS {n}" for n in _RC) + f" FROM (SELECT *, {_AGE} AS day FROM cands) c JOIN rolled d USING (cand, day)) WINDOW q AS (PARTITION BY qid)",
+    "cands", doubles=" ".join(_RC),
+    ctes="rolled AS (SELECT cand, day, " + ", ".join(f"sum(n) OVER (PARTITION BY cand ORDER BY day RANGE BETWEEN {b} PRECEDING AND {a} FOLLOWING) AS {n}" for n, (b, a) in _RC.items()) + f" FROM (SELECT cand, {_AGE} AS day, count(*) AS n FROM cands GROUP BY ALL))",
+)(lambda s, d: support.rolling_count(C(s, d), _RC))
 register("w10_nearest_repeat", "SELECT c.qid, c.col, c.cand, coalesce(1 / (1 + ln(1.0::DOUBLE + g.gap)), 0) AS repeat FROM cands c LEFT JOIN (SELECT qid, cand, least(time - lag(time) OVER w, lead(time) OVER w - time) AS gap FROM occ WINDOW w AS (PARTITION BY src, cand ORDER BY time, qid)) g USING (qid, cand)", "occ", doubles="repeat")(lambda s, d: support.nearest_repeat(C(s, d)))
 register("w11_exact_group_support", "SELECT c.qid, c.col, c.cand, g.n AS group_support FROM cands c JOIN (SELECT qid, cand, count(*) OVER (PARTITION BY src, time // 3600, cand) - 1 AS n FROM occ) g USING (qid, cand)", "occ")(lambda s, d: support.exact_group_support(_day_cands(s, d)))
 _W12 = "su AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY support DESC, col) AS r FROM (SELECT qid, col, cand, count(*) OVER (PARTITION BY src, cand) AS support FROM cands)), sup AS (SELECT qid, col, cand, support, max(CASE WHEN r = 1 THEN col END) OVER q AS winner, max(CASE WHEN r = 1 THEN support END) OVER q AS top, max(CASE WHEN r = 1 THEN support END) OVER q - coalesce(max(CASE WHEN r = 2 THEN support END) OVER q, 0) AS lead FROM su WINDOW q AS (PARTITION BY qid))"
 register("w12_source_support", "SELECT * FROM sup", "cands", ctes=_W12)(lambda s, d: support.source_support(C(s, d)))
-_LOO = "lo AS (SELECT qid, col, cand, nr, cnt - 1.0::DOUBLE AS obs, width * (nr - 1)::DOUBLE * pool / total AS ex FROM (SELECT *, count(*) OVER (PARTITION BY qid) - 1 AS width, count(*) OVER (PARTITION BY cand) AS pool, count(*) OVER () AS total, count(*) OVER (PARTITION BY src, cand) AS cnt FROM cands) JOIN (SELECT src, count(DISTINCT qid) AS nr FROM cands GROUP BY src) USING (src)), lf AS (SELECT *, CASE WHEN nr > 1 THEN ln((obs + 1) / (ex + 1)) ELSE 0 END AS lift, sign(obs - ex) * sqrt(greatest(2 * (CASE WHEN obs > 0 AND ex > 0 THEN obs * ln(obs / ex) ELSE 0 END - (obs - ex)), 0)) AS deviance FROM lo)"
-register("w13_loo_calibration", "SELECT qid, col, cand, lift, deviance, CASE WHEN nr <= 20 THEN lift ELSE 0 END AS band_0, CASE WHEN nr > 20 AND nr <= 30 THEN lift ELSE 0 END AS band_1, CASE WHEN nr > 30 THEN lift ELSE 0 END AS band_2 FROM lf", "cands", ctes=_LOO, doubles="lift deviance band_0 band_1 band_2")(lambda s, d: support.loo_calibration(C(s, d), (20, 30)))
+_LOO = "lo AS (SELECT qid, col, cand, nr, cnt - 1.0::DOUBLE AS obs, width * (nr - 1)::DOUBLE * pool / total AS ex FROM (SELECT *, count(*) OVER (PARTITION BY qid) - 1 AS width, count(*) OVER (PARTITION BY cand) AS pool, count(*) OVER () AS total, count(*) OVER (PARTITION BY src, cand) AS cnt FROM cands) JOIN (SELECT src, count(DISTINCT qid) AS nr FROM cands GROUP BY src) USING (src)), lf AS (SELECT *, ln((obs + 0.5::DOUBLE) / (ex + 0.5::DOUBLE)) AS lift, sign(obs - ex) * sqrt(greatest(2 * ((obs + 0.5::DOUBLE) * ln((obs + 0.5::DOUBLE) / (ex + 0.5::DOUBLE)) - (obs - ex)), 0)) AS deviance FROM lo)"
+register("w13_loo_calibration", "SELECT qid, col, cand, lift, deviance, CASE WHEN nr <= 20 THEN deviance ELSE 0 END AS band_0, CASE WHEN nr > 20 AND nr <= 30 THEN deviance ELSE 0 END AS band_1, CASE WHEN nr > 30 THEN deviance ELSE 0 END AS band_2 FROM lf", "cands", ctes=_LOO, doubles="lift deviance band_0 band_1 band_2")(lambda s, d: support.loo_calibration(C(s, d), (20, 30)))
 register("w14_duplicate_rows", "SELECT qid, col, cand, dup_cell, max(dup_cell) OVER (PARTITION BY qid) AS dup_row FROM (SELECT *, CAST(count(*) OVER (PARTITION BY qid, cand) > 1 AS INTEGER) AS dup_cell FROM cands)", "cands")(lambda s, d: rank.duplicate_rows(C(s, d)).select("qid", "col", "cand", "dup_cell", "dup_row"))
 _noisy = lambda s, d: S(s, d).withColumn("score", F.col("score") + F.col("col") / 100.0)
 register("w14_canonicalize", "SELECT qid, col, cand, score, first_value(score) OVER (PARTITION BY qid, cand ORDER BY col) AS canon FROM (SELECT qid, col, cand, score + col / 100.0::DOUBLE AS score FROM scored)", "scored", doubles="score canon")(lambda s, d: rank.canonicalize(_noisy(s, d).withColumn("canon", F.col("score")), "canon").select("qid", "col", "cand", "score", "canon"))
 register("w14_group_mean", "SELECT qid, col, cand, avg(score + col / 100.0::DOUBLE) OVER (PARTITION BY qid, cand) AS score FROM scored", "scored", doubles="score")(lambda s, d: rank.group_mean(_noisy(s, d), "score").select("qid", "col", "cand", "score"))
 register("w15_distinct_occurrences", "SELECT * FROM occ", "occ")(lambda s, d: support.distinct_occurrences(C(s, d)))
-register("w16_reorder_unseen")(lambda s, d: rank.reorder_unseen(S(s, d), "score", "a", 0.8).select("qid", "col", "seen", "position"))
+def reordered(alpha: str) -> str:
+    """CTE ``ro16``: each cell's position after unseen cells swapped their slots by score + alpha * a."""
+    return f"k16 AS (SELECT *, row_number() OVER (PARTITION BY qid, seen ORDER BY score + {alpha}::DOUBLE * a DESC, col) AS bk, row_number() OVER (PARTITION BY qid, seen ORDER BY pos) AS bs FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, col) - 1 AS pos FROM scored)), ro16 AS (SELECT x.*, CAST(CASE WHEN x.seen = 1 THEN x.pos ELSE y.pos END AS INTEGER) AS position FROM k16 x JOIN k16 y ON x.qid = y.qid AND x.seen = y.seen AND y.bs = x.bk)"
+
+
+register("w16_reorder_unseen", "SELECT qid, col, seen, position FROM ro16", "scored", ctes=reordered("0.8"))(lambda s, d: rank.reorder_unseen(S(s, d), "score", "a", 0.8).select("qid", "col", "seen", "position"))
 register("w17_remap_slots", "SELECT x.qid, x.col, CASE WHEN x.seen = 1 THEN x.score ELSE y.score END AS mapped FROM rr x JOIN rr y ON y.qid = x.qid AND y.rb = x.rs", "scored", ctes="rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, col) AS rb, row_number() OVER (PARTITION BY qid ORDER BY a DESC, col) AS rs FROM scored)", doubles="mapped")(lambda s, d: rank.remap_slots(S(s, d), "score", "a", F.col("seen") == 1).select("qid", "col", "mapped"))
 _UM = "um AS (SELECT *, sum(tied_max) OVER (PARTITION BY qid) AS ties FROM (SELECT *, CAST(coalesce(seen = 0 AND a = m AND m > 0, FALSE) AS INTEGER) AS tied_max FROM (SELECT *, max(CASE WHEN seen = 0 THEN a END) OVER (PARTITION BY qid) AS m FROM scored)))"
 register("w18_unique_max", "SELECT qid, col, tied_max, CAST(ties AS BIGINT) AS ties, CAST(tied_max = 1 AND ties = 1 AS INTEGER) AS is_unique_max FROM um", "scored", ctes=_UM)(lambda s, d: rank.unique_max(S(s, d), "a", F.col("seen") == 0).select("qid", "col", "tied_max", "ties", "is_unique_max"))

@@ -12,7 +12,7 @@ from .. import sources, streaming
 from ..functions import DAY
 from ..operators import features, fusion, graph, history, learn, metrics, rank, replay, stats, support
 from . import frames
-from .catalog import _M, _POS, _Q, _SEG, _UM, _W12, QUERIES, SQL, _items, register, segments
+from .catalog import _M, _POS, _Q, _SEG, _UM, _W12, QUERIES, SQL, _items, register, reordered, segments
 from .frames import CUTOFF, ORIGIN, SEED, WIDTH
 from .sql import cells, draw, query, slots, z
 
@@ -23,7 +23,11 @@ _MIX = " + ".join(f"{w}::DOUBLE * {z(c)}" for c, w in _W.items())
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that the whole cluster shares; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/edgetide/{name}-{uuid.uuid4().hex}"
 
 
@@ -108,7 +112,7 @@ register("r3_replay_history_cold", f"SELECT {_OUT} FROM drawn", "slots", "hist",
 
 
 def _weighted(weights: str) -> str:
-    return f"{weights}, iv AS (SELECT dst, sum(w) OVER (ORDER BY dst) - w AS lo, sum(w) OVER (ORDER BY dst) AS hi, sum(w) OVER () AS tot FROM wt), sp AS (SELECT *, {draw('qid', 'col', SEED)} % (SELECT any_value(tot) FROM iv) AS p FROM slots), drawn AS (SELECT s.qid, s.src, s.time, s.col, {cells('s', 'a.dst', 'b.dst')} FROM sp s JOIN iv a ON s.p >= a.lo AND s.p < a.hi JOIN iv b ON a.hi % a.tot >= b.lo AND a.hi % a.tot < b.hi)"
+    return f"{weights}, iv AS (SELECT dst, sum(w) OVER (ORDER BY dst) - w AS lo, sum(w) OVER (ORDER BY dst) AS hi, sum(w) OVER () AS tot FROM wt), sp AS (SELECT *, {draw('qid', 'col', SEED)} % (SELECT any_value(tot) FROM iv) AS p FROM slots), drawn AS (SELECT s.qid, s.src, s.time, s.col, {cells('s', 'a.dst', 'a.ndst')} FROM sp s ASOF JOIN (SELECT i.*, n.dst AS ndst FROM iv i ASOF JOIN iv n ON i.hi % i.tot >= n.lo) a ON s.p >= a.lo)"
 
 
 register("r4_replay_popularity_hard", f"SELECT {_OUT} FROM drawn", "slots", "stats", ctes=_weighted("wt AS (SELECT dst, CAST(floor(pow(n, 0.75) * 1000) AS BIGINT) AS w FROM ds WHERE n >= (SELECT quantile_cont(n, 0.8) FROM ds))"))(lambda s, d: replay.replay_weighted(T(s, d), replay.popularity_hard_weights(H(s, d)), WIDTH, SEED))
@@ -143,8 +147,7 @@ _G = ", ".join(f"{i / 4}::DOUBLE AS w{i}" for i in range(5))
 register(
     "m9_tune_weight", "SELECT w, avg(1.0::DOUBLE / r) AS mrr FROM (SELECT qid, w, count(*) FILTER (WHERE round(v, 12) > round(pv, 12) OR (round(v, 12) = round(pv, 12) AND col < pc)) + 1 AS r FROM (SELECT *, max(CASE WHEN is_pos THEN v END) OVER g AS pv, max(CASE WHEN is_pos THEN col END) OVER g AS pc FROM gw WINDOW g AS (PARTITION BY qid, w)) GROUP BY qid, w) GROUP BY w", "scored", doubles="w mrr",
     ctes=f"nz AS (SELECT qid, col, is_pos, {z('a')} AS za, {z('c')} AS zc FROM scored{_Q}), gw AS (SELECT qid, col, is_pos, r.range / 4.0::DOUBLE AS w, (1 - r.range / 4.0::DOUBLE) * za + r.range / 4.0::DOUBLE * zc AS v FROM nz, range(5) r)",
-)
-QUERIES["m9_tune_weight"] = lambda s, d: fusion.tune_weight(S(s, d), "a", "c", 4).select(F.round("w", 6).alias("w"), F.round("mrr", 6).alias("mrr"))
+)(lambda s, d: fusion.tune_weight(S(s, d), "a", "c", 4))
 
 
 def supports(s: SparkSession, d: str) -> DataFrame:
@@ -165,17 +168,18 @@ def with_support(s: SparkSession, d: str) -> DataFrame:
 register("m11_promote_winner", f"SELECT qid, col, fin FROM ({_softmax('pw', 'l', 'fin')})", "scored", ctes=_W12 + ', pw AS (SELECT qid, col, CASE WHEN col = winner AND top >= 2 AND "lead" >= 1 AND score < max(score) OVER (PARTITION BY qid) THEN max(score) OVER (PARTITION BY qid) + 1 ELSE score END AS l FROM scored JOIN sup USING (qid, col))', doubles="fin")(lambda s, d: fusion.promote_winner(with_support(s, d), "score", 2, 1, "fin").select("qid", "col", "fin"))
 register("m12_compose", "SELECT qid, col, CASE WHEN seen = 0 AND dup = 0 THEN score + 0.2::DOUBLE * a ELSE score END AS fin FROM (SELECT *, max(d) OVER (PARTITION BY qid) AS dup FROM (SELECT *, CAST(count(*) OVER (PARTITION BY qid, cand) > 1 AS INTEGER) AS d FROM scored))", "scored", doubles="fin")(lambda s, d: fusion.compose(rank.duplicate_rows(S(s, d)), "score", "a", 0.2, "pair_new", "fin").select("qid", "col", "fin"))
 _BEST = "arg_max(col, ({0}, -col)) OVER q"
-register("m13_row_gate", "SELECT qid, col, CASE WHEN s1 - s2 <= 0.5 AND b0 = b1 THEN score + a ELSE score END AS fin FROM (SELECT *, " + "max(CASE WHEN r = 1 THEN col END) OVER q AS b0, max(CASE WHEN r1 = 1 THEN col END) OVER q AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score + a DESC, col) AS r1 FROM mm) WINDOW q AS (PARTITION BY qid))", "scored", ctes=_M, doubles="fin")(lambda s, d: fusion.row_gate(S(s, d).withColumn("new", F.col("score") + F.col("a")), "score", "new", 0.5, "fin").select("qid", "col", "fin"))
+register("m13_row_gate", "SELECT qid, col, CASE WHEN s1 - s2 >= 0.5 OR b0 = b1 THEN score + a ELSE score END AS fin FROM (SELECT *, " + "max(CASE WHEN r = 1 THEN col END) OVER q AS b0, max(CASE WHEN r1 = 1 THEN col END) OVER q AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score + a DESC, col) AS r1 FROM mm) WINDOW q AS (PARTITION BY qid))", "scored", ctes=_M, doubles="fin")(lambda s, d: fusion.row_gate(rank.margins(S(s, d)).withColumn("new", F.col("score") + F.col("a")), "score", "new", "margin", 0.5, out="fin").select("qid", "col", "fin"))
 
 
 def escape(s: SparkSession, d: str) -> DataFrame:
     rows = S(s, d).select(*_KEYS, "score", "a")
-    kept = rank.reorder_unseen(rows, "score", "a", 0.5).select("qid", "col", F.col("position").alias("kept"))
-    direct = rank.strict_slots(rows, "a").select("qid", "col", F.col("position").alias("direct"))
-    return fusion.escape_policy(direct.join(kept, ["qid", "col"]), rank.new_seen_gap(rows), 0.0).select("qid", "col", "position")
+    return fusion.escape_policy(rows, rank.new_seen_gap(rows), "score", "a", 0.0, 0.5, 0.3).select("qid", "col", "value")
 
 
-register("m14_escape_policy")(escape)
+register(
+    "m14_escape_policy", "SELECT qid, col, CASE WHEN gap >= 0 THEN score + CASE WHEN seen = 0 THEN 0.3::DOUBLE * a ELSE 0 END ELSE 1 - position::DOUBLE / (n - 1) END AS value FROM ro16 JOIN g16 USING (qid)", "scored", doubles="value",
+    ctes=reordered("0.5") + ", g16 AS (SELECT qid, count(*) AS n, CASE WHEN max(score) FILTER (WHERE seen = 1) IS NULL THEN 4 WHEN max(score) FILTER (WHERE seen = 0) IS NULL THEN -4 ELSE greatest(least(max(score) FILTER (WHERE seen = 0) - max(score) FILTER (WHERE seen = 1), 4), -4) END AS gap FROM scored GROUP BY qid)",
+)(escape)
 register("m15_apply_gate", "SELECT qid, col, CASE WHEN s1 - s2 <= (SELECT quantile_cont(m, 0.5) FROM (SELECT DISTINCT qid, s1 - s2 AS m FROM mm)) THEN a ELSE score END AS fin FROM mm", "scored", ctes=_M, doubles="fin")(lambda s, d: fusion.apply_gate(S(s, d), "score", "a", "low_margin", "fin").select("qid", "col", "fin"))
 register("m15_apply_gate_no_seen", "SELECT qid, col, CASE WHEN max(seen) OVER (PARTITION BY qid) = 0 THEN a ELSE score END AS fin FROM scored", "scored", doubles="fin")(lambda s, d: fusion.apply_gate(S(s, d), "score", "a", "row_no_seen", "fin").select("qid", "col", "fin"))
 
@@ -289,7 +293,7 @@ for _kind in ("logistic", "gbt", "listwise"):
     register(f"l6_ranker_{_kind}")(ranker(_kind))
 register("l7_row_context", f"SELECT qid, col, score, a, avg(score) OVER q AS score_mean, avg(a) OVER q AS a_mean, max(score) OVER q AS score_max, max(a) OVER q AS a_max, score - max(score) OVER q AS score_top, a - max(a) OVER q AS a_top FROM scored{_Q}", "scored", doubles="score a score_mean a_mean score_max a_max score_top a_top")(lambda s, d: learn.row_context(S(s, d).select("qid", "col", "score", "a"), ["score", "a"]))
 register("l8_attention_score")(lambda s, d: learn.attention_score(C(s, d), E(s, d), _items(s, d)))
-register("l8_match_history", "SELECT c.qid, c.col, count(p.dst) AS match_count, CASE WHEN count(p.dst) > 0 THEN exp(-min(ln(1.0::DOUBLE + c.time - p.et)) / 10) ELSE 0 END AS match_recency FROM cands c LEFT JOIN past p ON p.qid = c.qid AND p.r <= 8 AND p.dst = c.cand GROUP BY c.qid, c.col", "cands", ctes="past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)", doubles="match_recency")(lambda s, d: features.match_history(C(s, d), features.history_asof(T(s, d), E(s, d), 8)))
+register("l8_match_history", "SELECT c.qid, c.col, count(p.dst) AS match_count, coalesce(sum(1 / (1 + ln(1.0::DOUBLE + c.time - p.et))) FILTER (WHERE p.dst IS NOT NULL), 0) AS match_recency FROM cands c LEFT JOIN past p ON p.qid = c.qid AND p.r <= 8 AND p.dst = c.cand GROUP BY c.qid, c.col", "cands", ctes="past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)", doubles="match_recency")(lambda s, d: features.match_history(C(s, d), features.history_asof(T(s, d), E(s, d), 8)))
 register("l9_row_weights", "SELECT t.seq AS qid, CASE WHEN ds.n IS NULL THEN 0 WHEN ss.n >= (SELECT greatest(1, ceil(quantile_cont(n, 0.8))) FROM ss) THEN 2 ELSE 1 END AS w FROM tgt t LEFT JOIN ss ON ss.src = t.src LEFT JOIN ds ON ds.dst = t.dst", "tgt", "stats", doubles="w")(lambda s, d: (lambda h: learn.row_weights(T(s, d), stats.src_stats(h), h, stats.hot_threshold(stats.src_stats(h), "src_cnt")))(H(s, d)))
 
 
@@ -311,12 +315,13 @@ def streamed(name: str, build, mode: str):
     """The edge log replayed as a file stream to its end; the last result as a table."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        path, table = folder(s, "stream"), f"{name}_{uuid.uuid4().hex}"
+        path, out = folder(s, "stream"), folder(s, f"stream-{name}")
         E(s, d).select("src", "dst", F.timestamp_seconds("time").alias("ts"), "seq").write.parquet(path)
-        rows = s.readStream.schema("src long, dst long, ts timestamp, seq long").parquet(path)
-        q = build(rows).writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", folder(s, "stream-state")).trigger(availableNow=True).start()
+        rows = build(s.readStream.schema("src long, dst long, ts timestamp, seq long").parquet(path))
+        keep = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+        q = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", folder(s, "stream-state")).trigger(availableNow=True).start()
         q.awaitTermination()
-        return s.table(table)
+        return s.read.schema(rows.schema).parquet(out)
 
     return run
 

@@ -25,21 +25,34 @@ def _checked(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(wrong(c), F.raise_error(F.lit(f"{c} is not an unsigned 32-bit integer")).cast("long")).otherwise(F.col(c)) for c in cols})
 
 
+def _in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of a file source with ``name``: growing in the order of file path, then place in the file.
+
+    A split's rows keep their order in the task that reads it; the splits, one row each, are numbered by path and
+    first byte, and a row's number is its split's and its place in the task.
+    """
+    inside = (1 << 33) - 1
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().bitwiseAND(F.lit(inside)).alias("__row"))
+    splits = placed.select("__file", "__block").distinct()
+    splits = splits.withColumn("__split", (F.row_number().over(Window.orderBy("__file", "__block")) - 1).cast("long"))
+    return placed.join(F.broadcast(splits), ["__file", "__block"]).withColumn(name, F.col("__split") * F.lit(inside + 1) + F.col("__row")).drop("__file", "__block", "__split", "__row")
+
+
 def read_edges(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """``edges(src, dst, time, split, seq)``; seq keeps the file order of equal times.
 
-    CSV files get it from their place in the file listing; Parquet must carry a seq column.
+    CSV files get it from path and place in the file; Parquet must carry a seq column.
     """
     if fmt == "parquet":
         return _checked(spark.read.parquet(path), EDGES.names)
-    return _checked(_csv(spark, path, EDGES), EDGES.names).withColumn("seq", F.monotonically_increasing_id())
+    return _checked(_in_file_order(_csv(spark, path, EDGES), "seq"), EDGES.names)
 
 
 def read_queries(spark: SparkSession, path: str, width: int = 100) -> DataFrame:
     """``queries(qid, src, time, cands)``, qid in file order."""
-    rows = _csv(spark, path, query_schema(width))
-    cols = [f"c{i}" for i in range(1, width + 1)]
-    return _checked(rows, rows.columns).select(F.monotonically_increasing_id().alias("qid"), "src", "time", F.array(*cols).alias("cands"))
+    schema = query_schema(width)
+    rows = _checked(_in_file_order(_csv(spark, path, schema), "qid"), schema.names)
+    return rows.select("qid", "src", "time", F.array(*(f"c{i}" for i in range(1, width + 1))).alias("cands"))
 
 
 def explode_candidates(queries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgetide import sources
 from edgetide.functions import dense_index
-from edgetide.operators import features, history, metrics, rank, replay, stats, support
+from edgetide.operators import features, fusion, history, metrics, rank, replay, stats, support
 
 EDGES = "src long, dst long, time long, seq long"
 ROWS = [(1, 10, 1), (1, 11, 2), (2, 13, 3), (2, 14, 4), (1, 10, 10), (1, 11, 11), (2, 12, 12), (2, 13, 13), (1, 10, 14), (2, 11, 15)]
@@ -90,10 +91,46 @@ def test_calibration_permutes_and_bands_add_up(spark):
     rows = [(q, q % 3, 5 * q, c, rng.randint(1, 9)) for q in range(12) for c in range(4)]
     cells = spark.createDataFrame(rows, "qid long, src long, time long, col int, cand long")
     turned = cells.withColumn("col", 3 - F.col("col"))
-    key = lambda df, f: {(r.qid, f(r.col)): (round(r.lift, 9), round(r.band_0 + r.band_1 + r.band_2, 9)) for r in support.loo_calibration(df, (2, 4)).collect()}
+    key = lambda df, f: {(r.qid, f(r.col)): (round(r.lift, 9), round(r.deviance, 9), round(r.band_0 + r.band_1 + r.band_2, 9)) for r in support.loo_calibration(df, (2, 4)).collect()}
     one = key(cells, lambda c: c)
     assert one == key(turned, lambda c: 3 - c)
-    assert all(a == b for a, b in one.values())
+    assert all(b == c and (a == 0 or (a > 0) == (b > 0)) for a, b, c in one.values())
+
+
+def test_calibration_by_hand(spark):
+    """Three rows of one source, width 4: an item in two of them, one in all, one alone."""
+    rows = [(0, 1, 0, i, c) for i, c in enumerate((7, 8, 1, 2, 3))] + [(1, 1, 5, i, c) for i, c in enumerate((7, 8, 4, 5, 6))] + [(2, 1, 9, i, c) for i, c in enumerate((8, 10, 11, 12, 13))]
+    got = {(r.qid, r.cand): r for r in support.loo_calibration(spark.createDataFrame(rows, "qid long, src long, time long, col int, cand long"), (2, 5)).collect()}
+    for cand, count in ((7, 2), (8, 3), (1, 1)):
+        r, expected = got[0, cand], 4 * 2 * count / 15
+        o, e = count - 1 + 0.5, expected + 0.5
+        assert r.lift == pytest.approx(math.log(o / e))
+        deviance = math.copysign(math.sqrt(max(0.0, 2 * (o * math.log(o / e) - (o - e)))), count - 1 - expected)
+        assert r.deviance == pytest.approx(deviance) and (r.band_0, r.band_1, r.band_2) == (0, pytest.approx(deviance), 0)
+
+
+def test_rows_keep_their_files_order(spark, tmp_path):
+    """Files of very different sizes, which Spark packs largest first: rows still go by path, then place."""
+    want = []
+    for name, n in (("a", 5), ("b", 4000), ("c", 300), ("d", 1)):
+        rows = [(len(want) + i, 2, 3, 0) for i in range(n)]
+        want += [r[0] for r in rows]
+        (tmp_path / f"{name}.csv").write_text("src,dst,time,split\n" + "".join(",".join(map(str, r)) + "\n" for r in rows))
+    got = sources.read_edges(spark, str(tmp_path)).orderBy("seq").select("src").collect()
+    assert [r.src for r in got] == want
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [r.src for r in sources.read_edges(spark, str(tmp_path)).orderBy("seq").select("src").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_row_gate_is_open_for_wide_or_unchanged_rows(spark):
+    rows = [(0, 0, 1.0, 5.0, 0.9), (0, 1, 0.0, 9.0, 0.9), (1, 0, 1.0, 5.0, 0.1), (1, 1, 0.0, 9.0, 0.1), (2, 0, 1.0, 9.0, 0.1), (2, 1, 0.0, 5.0, 0.1)]
+    cells = spark.createDataFrame(rows, "qid long, col int, old double, new double, gate double")
+    got = {(r.qid, r.col): r.score for r in fusion.row_gate(cells, "old", "new", "gate", 0.5).collect()}
+    assert got == {(0, 0): 5.0, (0, 1): 9.0, (1, 0): 1.0, (1, 1): 0.0, (2, 0): 9.0, (2, 1): 5.0}
 
 
 def test_matrix_format(spark):
