@@ -15,32 +15,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TwoAges
-from .store import shared_dir, small_batches
+from .bpe import TwoAges, byte_names
+from .store import shared_dir, slices
 from .wavelet import WaveletMatrix
 
-_ROW = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("levels", pa.int32()), ("zeros", pa.list_(pa.int64())), ("planes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
-_ROW_SQL = "part long, shard long, start long, n long, levels int, zeros array<long>, planes binary, doc_ids array<long>, lengths array<long>"
+_ROW = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("zeros", pa.list_(pa.int64())), ("planes", pa.binary()), ("ranks", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+_ROW_SQL = "part long, shard long, start long, n long, zeros array<long>, planes binary, ranks binary, doc_ids array<long>, lengths array<long>"
 #: ASCII punctuation that stands alone between a letter or digit and white space is a token group of its own.
 _TAIL = re.compile(rb"([,.])(?<=[0-9a-z][,.])(?=[\x09-\x0d\x20]|\Z)")
+#: Lower-case letters up to U+00FF: one token group that normalising leaves as it is.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class WordEncoder:
     """The tokenizers library on words: its pre-tokens never span ASCII white space, so each distinct word is encoded once."""
 
-    def __init__(self, text: str, cached: int = 500_000):
+    def __init__(self, text: str, cached: int = 150 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.chars = str.maketrans({chr(b): c for c, b in byte_names().items()})
         self.lowers = '"Lowercase"' in text
         self.cache = TwoAges(cached, self._words)
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        """Plain words by the merges alone, others by the whole of the library."""
+        out = [array("I", [x.id for x in self.model.tokenize(w.decode("latin-1").translate(self.chars))]).tobytes() if len(w) <= 64 and _LETTERS.fullmatch(w) else b"" for w in words]
+        rest = [i for i, x in enumerate(out) if not x]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", x.ids).tobytes()
+        return out
 
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode()
@@ -59,18 +67,17 @@ def _built(text: str) -> WordEncoder:
     return _BUILT[key]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, shard_tokens: int = 1 << 18, partitions: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, shard_tokens: int = 1 << 17, partitions: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` and write shards in ascending doc_id order to ``path``.
 
     Texts are range-partitioned and sorted by doc_id (ties by text), encoded where they land, and every
     ``shard_tokens`` ids, at the next document's end, a shard leaves the task: bounded memory however
-    large the partition. A null or empty text is just its end id; a null doc_id sorts first and is kept.
+    large the partition. A null or empty text is just its end id; a null doc_id sorts first and is kept,
+    as repeated rows are. Other columns are not read. An empty table gives files without rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    levels = 16
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _built(spec.value), np.array([end_id], "<u4").tobytes()
@@ -80,14 +87,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
 
         def full() -> pa.RecordBatch:
             all_ids = np.frombuffer(b"".join(held), "<u4")
-            bits = max(levels, int(all_ids.max()).bit_length())
-            planes, zeros, n = WaveletMatrix.build(all_ids, bits).to_row()
-            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "start": done, "n": n, "levels": bits, "zeros": zeros, "planes": planes, "doc_ids": ids, "lengths": [len(x) // 4 for x in held]}], _ROW)
+            planes, ranks, zeros, n = WaveletMatrix.build(all_ids, max(16, int(all_ids.max()).bit_length())).to_row()
+            row = (part, shard, done, n, zeros, planes, ranks, ids, [len(x) // 4 for x in held])
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ROW, strict=True)], schema=_ROW)
 
         size = 0
-        for b in parts:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append(encoder.encode(text) + end)
+        for b in slices(parts):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.append(encoder.encode(text.as_py()) + end)
                 ids.append(doc)
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:
@@ -103,28 +110,83 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     placed.mapInArrow(run, _ROW_SQL).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens and ids (binary, little-endian unsigned 32-bit).
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``offset``: ids before the row's part.
 
     Only the parts' totals, one row a part, meet in one place, to turn starts in a part into starts in all.
     """
     files = spark.read.schema(_ROW_SQL).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    return files.join(F.broadcast(totals.select("part", before.alias("offset"))), "part").withColumn("start", F.col("start") + F.col("offset"))
+
+
+def _matrix(b: pa.RecordBatch, i: int) -> WaveletMatrix:
+    return WaveletMatrix.from_row(*(b.column(c)[i].as_py() for c in ("planes", "ranks", "zeros", "n")))
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of the files: doc_id, start, n_tokens and ids (binary, little-endian unsigned 32-bit)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for row in range(b.num_rows):
+                raw = _matrix(b, row).all().astype("<u4").tobytes()
+                lengths = b.column("lengths")[row].values
+                n = lengths.to_numpy()
+                ends = np.cumsum(n)
+                cuts = pa.py_buffer(np.concatenate(([0], 4 * ends)).astype("<i4"))
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, cuts, pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[row].values, pa.array(ends - n + b.column("start")[row].as_py()), lengths, ids], schema=schema)
+
+    return _shards(spark, path).select("start", "n", "zeros", "planes", "ranks", "doc_ids", "lengths").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position, token) for the distinct ``positions(position)``, numbered over all files; others are left out.
+
+    Positions meet their shard through a grid of cells of 2**17 ids; each shard answers from its planes and
+    directories, all of its positions (no more than it has ids) at once.
+    """
+    cell = 1 << 17
+    shards = _shards(spark, path)
+    grid = shards.select("part", "shard", "start", "n", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("n") - 1) / cell))).alias("cell"))
+    asked = positions.select(F.col("position").cast("long")).distinct().withColumn("cell", F.floor(F.col("position") / cell)).join(grid, "cell")
+    asked = asked.where("position >= start and position < start + n").groupBy("part", "shard").agg(F.collect_list(F.col("position") - F.col("start")).alias("at"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for row in range(b.num_rows):
+                at = b.column("at")[row].values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(at + b.column("start")[row].as_py()), pa.array(_matrix(b, row).access(at))], names=["position", "token"])
+
+    return shards.join(asked.select("part", "shard", "at"), ["part", "shard"]).select("start", "n", "zeros", "planes", "ranks", "at").mapInArrow(run, "position long, token long")
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n) over all files, by two ranks a plane in each shard; tokens that do not occur have no row."""
+    tokens = sorted(set(tokens))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for r in b.to_pylist():
-                raw = WaveletMatrix.from_row(r["planes"], r["zeros"], r["n"]).all().astype("<u4").tobytes()
-                ends = np.cumsum(r["lengths"])
-                for i in range(0, len(ends), 1000):
-                    at = [(int(e) - n, n) for e, n in zip(ends[i : i + 1000], r["lengths"][i : i + 1000], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r["part"]] * len(at), r["doc_ids"][i : i + 1000], [r["start"] + s for s, _ in at], [n for _, n in at], [raw[4 * s : 4 * (s + n)] for s, n in at]), schema, strict=True)], schema=schema)
-
-    rows = files.select("part", "start", "n", "zeros", "planes", "doc_ids", "lengths").mapInArrow(run, "part long, doc_id long, own long, n_tokens long, ids binary")
-    offsets = totals.select("part", before.alias("offset"))
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("own") + F.col("offset")).alias("start"), "n_tokens", "ids")
+            for row in range(b.num_rows):
+                w = _matrix(b, row)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([w.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    files = spark.read.schema(_ROW_SQL).parquet(path).select("n", "zeros", "planes", "ranks")
+    return files.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(position) of every occurrence of the token over all files, by selects from the last plane up."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for row in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(_matrix(b, row).find(token) + b.column("start")[row].as_py())], names=["position"])
+
+    return _shards(spark, path).select("start", "n", "zeros", "planes", "ranks").mapInArrow(run, "position long")
 
 
 def token_path(spark: SparkSession, name: str) -> str:
