@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import groups, small_batches, written
+from .store import groups, slices, written
 from .words import mix, word_hashes
 
 END = b""
@@ -29,26 +29,35 @@ def _tokens(text: str | None) -> list[bytes]:
 
 
 def _count_words(flush: int):
+    """Rows (word, c, n): each word of a stretch of texts with its code and count."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        for b in parts:
+
+        def out() -> pa.RecordBatch:
+            words = [w for w in seen if w]
+            codes = np.append(_codes(b" ".join(words).decode("utf-8", "surrogatepass"))[:-1], np.uint64(1)).astype(np.int64)
+            words.append(END)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes), pa.array([seen[w] for w in words], pa.int64())], names=["word", "c", "n"])
+
+        for b in slices(parts):
             for text in b.column(0).to_pylist():
                 seen.update(_tokens(text))
             if len(seen) > flush:
                 yield out()
                 seen.clear()
-        yield out()
+        if seen:
+            yield out()
 
     return run
 
 
-_CODE, _PLACE = 6, 3
+_CODE, _PLACE = 7, 3
 
 
 def _codes(text: str | None) -> np.ndarray:
-    """48-bit codes of the words of ``_tokens``; 1 is the end, 0 no word."""
-    return np.append(np.maximum(word_hashes(text) >> np.uint64(16), np.uint64(2)), np.uint64(1))
+    """56-bit codes of the words of ``_tokens``; 1 is the end, 0 no word."""
+    return np.append(np.maximum(word_hashes(text) >> np.uint64(8), np.uint64(2)), np.uint64(1))
 
 
 def _low(x: np.ndarray, wide: int) -> bytes:
@@ -123,7 +132,7 @@ def _chunks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nda
         a[2:] = np.where(doc[2:] == doc[:-2], c[:-2], 0)
         return a, b, c, doc, np.array(own[1], "<i8"), np.array(own[2], bool)
 
-    for part in parts:
+    for part in slices(parts):
         for key, held, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
             for x, y in zip(own, (_codes(text), key, held), strict=True):
                 x.append(y)
@@ -135,36 +144,44 @@ def _chunks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nda
         yield out()
 
 
-def _hot_pairs(hot, most: int):
-    """Rows (b, c, n): counts of the training bigrams whose first word is hot, a chunk of texts at a time."""
+def _route(b: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(mix(b) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, b, c, doc, _, held in _chunks(parts, most):
-            good = np.isin(b, hot.value[0]) & ~held[doc]
-            b, c = b[good], c[good]
-            order = np.lexsort((c, b))
-            b, c = b[order], c[order]
-            start = np.flatnonzero(_new(b, c))
-            yield pa.RecordBatch.from_arrays([pa.array(b[start].astype(np.int64)), pa.array(c[start].astype(np.int64)), pa.array(np.diff(np.append(start, len(b))))], names=["b", "c", "n"])
 
-    return run
+def _parted(a: np.ndarray, b: np.ndarray, c: np.ndarray, hot: tuple, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each event and whether its middle word is hot: such a word is dealt by the word before it too."""
+    words, splits, _ = hot
+    part, is_hot = np.where(b == 0, c, np.uint64(0)), np.zeros(len(b), bool)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, b), len(words) - 1)
+        is_hot = words[at] == b
+        part = np.where(is_hot, mix(a) % splits[at], part)
+    return _route(b, part, shards), is_hot
 
 
-def _route(b: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(mix(b) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+def _hot_pairs(hot, shards: int, most: int):
+    """Rows (b, c, shard, n): training counts of the bigrams whose first word is hot, by the shards that ask for them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, c, doc, _, held in _chunks(parts, most):
+            shard, good = _parted(a, b, c, hot.value, shards)
+            b, c, shard, n = b[good], c[good], shard[good], ~held[doc[good]]
+            # equal rows must only lie together mostly: what a chunk leaves apart is added up later
+            order = np.argsort(mix(mix(mix(b) ^ c) + shard.astype(np.uint64)))
+            b, c, shard, n = b[order], c[order], shard[order], n[order]
+            new = _new(b, c, shard)
+            sums = np.bincount(np.cumsum(new) - 1, n).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(b[new].astype(np.int64)), pa.array(c[new].astype(np.int64)), pa.array(shard[new].astype(np.int32)), pa.array(sums)], names=["b", "c", "shard", "n"])
+
+    return run
 
 
 def _events(hot, roots, shards: int, most: int):
-    """Rows (shard, blob): the n-grams of the texts, dealt by the middle word; a hot one by the word before it too."""
+    """Rows (shard, blob): the n-grams of the texts, dealt to the shards of the automaton."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, splits = hot.value
         for a, b, c, doc, keys, held in _chunks(parts, most):
-            part = np.where(b == 0, c, np.uint64(0))
-            if len(words):
-                at = np.minimum(np.searchsorted(words, b), len(words) - 1)
-                part = np.where(words[at] == b, mix(a) % splits[at], part)
-            shard = _route(b, part, shards)
+            shard, _ = _parted(a, b, c, hot.value, shards)
             low = np.uint64(0xFFFF)
             near = mix(b) & low
             order = np.argsort((near << np.uint64(32)) | (mix(a) & low) << np.uint64(16) | (mix(c) & low), kind="stable")
@@ -177,17 +194,23 @@ def _events(hot, roots, shards: int, most: int):
     return run
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
-_OUT_SQL = "kind int, doc long, b long, c long, x double, y double"
+_OUT = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("tokens", pa.int64()), ("known", pa.int64()), ("firsts", pa.int64())])
+_OUT_SQL = "kind int, doc long, b long, c long, x double, y double, tokens long, known long, firsts long"
 
 
-def _walk(a, b, c, doc, held, pairs, heads: np.ndarray, uni: np.ndarray, discount: float) -> Iterator[tuple]:
+def _walk(a, b, c, doc, held, pairs, roots: tuple, hot: tuple, floor: float, discount: float) -> Iterator[tuple]:
     """The automaton of one shard over its own events: all arcs and failures of the histories that end in its words.
 
-    Rows (kind, doc, b, c, x, y). 0: x is to be added to a document. 1: x times a document falls to the root from
-    history b with the word c (0 if its unigram is already in kind 0). 2: the mass that history b leaves, and the
-    unigrams of its head words. 3: a rarer word that history b has. ``pairs`` are the counts of hot words' bigrams.
+    Rows (kind, doc, b, c, x, y, tokens, known, firsts). 0: x is to be added to a document's score and y to its
+    base, with the numbers of its tokens, known tokens and first tokens here. 1: x times a document falls to the
+    root from history b with the word c (0 if its unigram is already in kind 0). 2: the mass that history b leaves,
+    and the unigrams of its head words. 3: a rarer word that history b has. ``pairs`` are the counts of hot words'
+    bigrams that occur here; what such a history leaves at the root is summed elsewhere.
+
+    Every token but the end is the middle word of one event, and all events of a middle word that is not hot are
+    here: its count is known here, so the base needs no join. The first token's event stands for the end.
     """
+    heads, uni, live = roots
     order = np.lexsort((c, a, b))
     a, b, c, doc, held = a[order], b[order], c[order], doc[order], held[order]
     start = _new(b, a, c)
@@ -195,7 +218,7 @@ def _walk(a, b, c, doc, held, pairs, heads: np.ndarray, uni: np.ndarray, discoun
     ta, tb, tc = a[start], b[start], c[start]
     three = np.bincount(kind, ~held, len(ta))
     three[tb == 0] = 0
-    own = np.where(np.isin(tb, pairs[0]), 0, three)
+    own = np.where(np.isin(tb, hot[0]), 0, three)
     pb, pc, pn = np.concatenate([tb, pairs[0]]), np.concatenate([tc, pairs[1]]), np.concatenate([own, pairs[2]])
     order = np.lexsort((pc, pb))
     start = _new(pb[order], pc[order])
@@ -206,6 +229,11 @@ def _walk(a, b, c, doc, held, pairs, heads: np.ndarray, uni: np.ndarray, discoun
     start = _new(pb)
     word = np.cumsum(start) - 1
     one, types, names = np.bincount(word, two), np.bincount(word, two > 0), pb[start]
+    is_hot = np.zeros(len(names), bool)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], names), len(hot[0]) - 1)
+        is_hot = hot[0][at] == names
+        one = np.where(is_hot, hot[2][at], one)
     pair = pair[: len(tb)]
     n2, n1 = two[pair], one[word[pair]]
     history = np.cumsum(_new(tb, ta)) - 1
@@ -221,36 +249,42 @@ def _walk(a, b, c, doc, held, pairs, heads: np.ndarray, uni: np.ndarray, discoun
     at = np.minimum(np.searchsorted(heads, tc), len(heads) - 1)
     head = heads[at] == tc
     score += np.where(root & head, uni[at], 0)
+    end = int(np.searchsorted(heads, 1))
+    base = np.where(tb == 0, uni[end], np.log10(n1 + 1.0) - floor)
+    known = np.where(tb == 0, live[end], n1 > 0)
     docs, own = np.unique(doc, return_inverse=True)
     zero = lambda n: np.zeros(n, np.int64)
     n = len(docs)
-    yield 0, docs, zero(n), zero(n), np.bincount(own, score[kind], n), np.zeros(n)
+    count = lambda flags: np.bincount(own, flags[kind], n).astype(np.int64)
+    yield 0, docs, zero(n), zero(n), np.bincount(own, score[kind], n), np.bincount(own, base[kind], n), np.bincount(own, minlength=n), count(known), count(tb == 0)
+
     fell = np.flatnonzero(root[kind])
     to, fb, fc = own[fell], b[fell], np.where(head[kind[fell]], 0, c[fell])
     order = np.lexsort((fc, fb, to))
     to, fb, fc = to[order], fb[order], fc[order]
     start = np.flatnonzero(_new(to, fb, fc))
-    yield 1, docs[to[start]], fb[start].astype(np.int64), fc[start].astype(np.int64), np.diff(np.append(start, len(to))).astype(float), np.zeros(len(start))
-    asked = np.isin(names, np.unique(fb)) & (one > 0)
+    n = len(start)
+    yield 1, docs[to[start]], fb[start].astype(np.int64), fc[start].astype(np.int64), np.diff(np.append(start, len(to))).astype(float), np.zeros(n), zero(n), zero(n), zero(n)
+    asked = np.isin(names, np.unique(fb)) & (one > 0) & ~is_hot
     at = np.minimum(np.searchsorted(heads, pc), len(heads) - 1)
-    head, live = heads[at] == pc, (two > 0) & asked[word]
-    sums = np.bincount(word, np.where(head & live, 10 ** uni[at], 0))
+    head, there = heads[at] == pc, (two > 0) & asked[word]
+    sums = np.bincount(word, np.where(head & there, 10 ** uni[at], 0))
     n = int(asked.sum())
-    yield 2, zero(n), names[asked].astype(np.int64), zero(n), discount * types[asked] / one[asked], sums[asked]
-    rare = live & ~head
+    yield 2, zero(n), names[asked].astype(np.int64), zero(n), discount * types[asked] / one[asked], sums[asked], zero(n), zero(n), zero(n)
+    rare = there & ~head
     n = int(rare.sum())
-    yield 3, zero(n), pb[rare].astype(np.int64), pc[rare].astype(np.int64), np.zeros(n), np.zeros(n)
+    yield 3, zero(n), pb[rare].astype(np.int64), pc[rare].astype(np.int64), np.zeros(n), np.zeros(n), zero(n), zero(n), zero(n)
 
 
-def _walks(given, discount: float):
+def _walks(roots, hot, floor: float, discount: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(parts, ["shard"]):
-            blobs = [_unpack(x, given.value[0]) for x in g.column("blob").to_pylist() if x is not None]
+            blobs = [_unpack(x, roots.value[0]) for x in g.column("blob").to_pylist() if x is not None]
             if not blobs:
                 continue
-            hot = g.filter(pa.compute.is_null(g.column("blob")))
-            pairs = [hot.column(x).to_numpy().astype(t) for x, t in (("b", np.uint64), ("c", np.uint64), ("n", np.int64))]
-            for kind, *cols in _walk(*(np.concatenate(x) for x in zip(*blobs, strict=True)), pairs, *given.value, discount):
+            given = g.filter(pa.compute.is_null(g.column("blob")))
+            pairs = [given.column(x).to_numpy().astype(t) for x, t in (("b", np.uint64), ("c", np.uint64), ("n", np.int64))]
+            for kind, *cols in _walk(*(np.concatenate(x) for x in zip(*blobs, strict=True)), pairs, roots.value, hot.value, floor, discount):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(pa.array, cols)], schema=_OUT)
 
     return run
@@ -324,94 +358,74 @@ class BackoffAutomaton:
         return total
 
 
-def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_share: float = 1e-6, ngram_share: float = 0.0, discount: float = 0.5, shard_tokens: int = SHARD, chunk_tokens: int = CHUNK) -> DataFrame:
+def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_share: float = 1e-6, discount: float = 0.5, shard_tokens: int = SHARD, chunk_tokens: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs(doc_id, text)``.
 
     Training texts are those with crc32(doc_id as text) mod folds <> held_out (a null doc_id counts as the
     empty text). Every word, bigram and trigram of them is counted exactly and is in the automaton, however
-    rare (``ngram_share`` cuts nothing any more). The automaton lies in shards by the last word of a history,
-    so a shard has all arcs of its histories and their failures; only the root is shared. What each text asks
-    of a shard goes there, is counted and scored at once, and sums come back. Shards hold about ``shard_tokens``
-    tokens: their number grows with the corpus. A word with more than a quarter of that is dealt by the word
-    before it too, and its bigram counts go to each of its shards. Words in n-grams are 48-bit codes.
+    rare. The automaton lies in shards by the last word of a history, so a shard has all arcs of its histories
+    and their failures; only the root is shared. What each text asks of a shard goes there, is counted and
+    scored at once, and sums come back. Shards hold about ``shard_tokens`` tokens: their number grows with the
+    corpus. A word with more than a quarter of that is dealt by the word before it too, and of its bigram counts
+    each shard gets those that occur there. Words in n-grams are 56-bit codes: among d different words the
+    chance that any two share a code is about d * d / 2**57.
 
     Words with at least ``head_share`` of all tokens go to every task with their unigrams; others are looked
     up by joins with the full table of counts, to the same result. A null or empty text is its end alone.
-    Repeated rows are scored, and counted, each. Other columns go.
+    Repeated rows are scored, and counted, each. Other columns are not read, so clashing names do no harm; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
     docs = docs.select("doc_id", fold.alias("held_out"), "text", F.xxhash64("doc_id", "text").alias("key"))
     train = docs.where(~F.col("held_out")).select("text")
-    table = written(train.mapInArrow(_count_words(400_000), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    table = written(train.mapInArrow(_count_words(400_000), "word binary, c long, n long").groupBy("word", "c").agg(F.sum("n").alias("n")), "words").where("n > 0")
     total, vocabulary = (x or 0 for x in table.agg(F.sum("n"), F.count("*")).first())
     least = max(1, ceil(head_share * total))
     top = [(r["word"], r["n"]) for r in table.where((F.col("n") >= least) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").toLocalIterator()]
     end = table.where(F.length("word") == 0).first()
     words = [END, *(bytes(w) for w, _ in top)]
     counts = np.array([end["n"] if end else 0, *(n for _, n in top)], np.int64)
-    heads = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     floor = log10(total + vocabulary + 1)
     uni = np.log10(counts + 1) - floor
     codes = _codes(b" ".join(words[1:]).decode("utf-8", "surrogatepass"))
     codes = np.concatenate([codes[-1:], codes[:-1]])
     order = np.argsort(codes, kind="stable")
     first = order[_new(codes[order])]
-    roots = spark.sparkContext.broadcast((codes[first], uni[first]))
+    roots = spark.sparkContext.broadcast((codes[first], uni[first], counts[first] > 0))
     hot = np.flatnonzero((counts * 4 > shard_tokens) & (codes != 1))
     hot = hot[np.argsort(codes[hot])]
     splits = (-(-counts[hot] * 4 // shard_tokens)).astype(np.uint64)
-    hot_words = spark.sparkContext.broadcast((codes[hot], splits))
+    hot_words = spark.sparkContext.broadcast((codes[hot], splits, counts[hot]))
     shards = max(1, -(-total * folds // max(1, folds - 1) // shard_tokens))
+
+    # the join on the code takes the same shuffle as this sum
+    coded = lambda rows: rows.groupBy("c").agg(F.sum("n").alias("n"))
+    log_n = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor)
     asked = docs.select("key", "held_out", "text")
     events = asked.mapInArrow(_events(hot_words, roots, shards, chunk_tokens), "shard int, blob binary").selectExpr("shard", "blob", "cast(null as long) b", "cast(null as long) c", "cast(null as long) n")
+    hot_left = None
     if len(hot):
-        places = [(int(codes[i]), sorted(set(_route(np.full(int(k), codes[i]), np.arange(int(k)), shards).tolist()))) for i, k in zip(hot, splits, strict=True)]
-        pairs = asked.mapInArrow(_hot_pairs(hot_words, chunk_tokens), "b long, c long, n long").groupBy("b", "c").agg(F.sum("n").alias("n"))
-        pairs = pairs.join(F.broadcast(spark.createDataFrame(places, "b long, shards array<int>")), "b").select(F.explode("shards").alias("shard"), F.lit(None).cast("binary").alias("blob"), "b", "c", "n")
-        events = events.unionByName(pairs)
-    out = written(events.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_walks(roots, discount), _OUT_SQL), "walks")
-    log_n = F.log10(F.col("n") + F.lit(1.0)) - F.lit(floor)
-
-    def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            raw = b" ".join(p.column(0).to_pylist()).decode("utf-8", "surrogatepass")
-            yield pa.RecordBatch.from_arrays([pa.array(_codes(raw)[:-1].astype(np.int64)), p.column(1)], names=["c", "n"])
-
-    rare = table.where((F.col("n") < least) & (F.length("word") > 0)).select("word", "n").mapInArrow(code, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    far = out.where("kind = 3").select("b", "c").distinct().join(rare, "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("far"))
-    left = out.where("kind = 2").groupBy("b").agg(F.max("x").alias("mass"), F.max("y").alias("near")).join(far, "b", "left")
-    bows = left.select("b", F.log10(F.greatest("mass", F.lit(1e-12)) / F.greatest(1 - F.col("near") - F.coalesce("far", F.lit(0.0)), F.lit(1e-12))).alias("bow"))
-    fell = out.where("kind = 1").join(bows, "b", "left").join(rare, "c", "left")
-    root = F.when(F.col("c") == 0, 0.0).otherwise(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor))
-    falls = fell.select("doc", (F.col("x") * (F.coalesce("bow", F.lit(0.0)) + root)).alias("x"), F.when(F.col("b") == 0, F.col("x")).otherwise(0.0).alias("rows"))
-    sums = out.where("kind = 0").select("doc", "x", F.lit(0.0).alias("rows")).union(falls).groupBy("doc").agg((F.sum("x") / F.sum("rows")).alias("walk"))
-    known = (counts > 0).astype(int).tolist()
-    weights = uni.tolist()
-    given = spark.sparkContext.broadcast((known, weights))
-    tail = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_base", pa.float64()), ("tail", tail)])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (known, weights) = heads.value, given.value
-        row = TaskContext.get().partitionId() << 40
-        for b in parts:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for doc, held, text, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                own = _tokens(text)
-                at = [ids.get(w, -1) for w in own]
-                head = [i for i in at if i >= 0]
-                rest = Counter(w for w, i in zip(own, at, strict=True) if i < 0)
-                for name, x in zip(out, (row, key, doc, held, len(own), sum(map(known.__getitem__, head)), sum(map(weights.__getitem__, head)), [{"word": w, "tf": n} for w, n in rest.items()]), strict=True):
-                    out[name].append(x)
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    based = written(docs.mapInArrow(run, "row long, key long, doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, tail array<struct<word:binary,tf:int>>"), "based")
-    tails = based.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf").join(table, "word", "left")
-    rest = tails.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor))).alias("logs"))
-    return based.drop("tail").join(rest, "row", "left").join(sums, F.col("key") == F.col("doc"), "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), F.col("walk").alias("score"),
+        pairs = asked.mapInArrow(_hot_pairs(hot_words, shards, chunk_tokens), "b long, c long, shard int, n long").groupBy("b", "c").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
+        pairs = written(pairs.where("n > 0"), "pairs")
+        events = events.unionByName(pairs.select(F.explode("shards").alias("shard"), F.lit(None).cast("binary").alias("blob"), "b", "c", "n"))
+        used = pairs.groupBy("b").agg(F.sum("n").alias("n1"), F.count("*").alias("types"))
+        share = pairs.select("b", "c").join(coded(table), "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("near"))
+        hot_left = used.join(share, "b").select("b", (F.lit(discount) * F.col("types") / F.col("n1")).alias("mass"), "near")
+    out = written(events.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_walks(roots, hot_words, floor, discount), _OUT_SQL), "walks")
+    rare = coded(table.where((F.col("n") < least) & (F.length("word") > 0)))
+    # a history that is not hot lies in one shard, so kinds 2 and 3 have it once
+    far = out.where("kind = 3").select("b", "c").join(rare, "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("far"))
+    left = out.where("kind = 2").join(far, "b", "left").select("b", F.col("x").alias("mass"), (F.col("y") + F.coalesce("far", F.lit(0.0))).alias("near"))
+    left = left if hot_left is None else left.union(hot_left)
+    bows = left.select("b", F.log10(F.greatest("mass", F.lit(1e-12)) / F.greatest(1 - F.col("near"), F.lit(1e-12))).alias("bow"))
+    none = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
+    own = out.where("kind = 0").select("doc", "x", "y", "tokens", "known", "firsts")
+    fell = out.where("kind = 1 and b <> 0").join(bows, "b").select("doc", (F.col("x") * F.col("bow")).alias("x"), F.lit(0.0).alias("y"), *none("tokens", "known", "firsts"))
+    met = out.where("kind = 1 and c <> 0").join(rare, "c", "left").select("doc", (F.col("x") * log_n).alias("x"), F.lit(0.0).alias("y"), *none("tokens", "known", "firsts"))
+    sums = own.union(fell).union(met).groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("x", "y", "tokens", "known", "firsts")))
+    per = lambda c: F.expr(f"{c} div firsts")
+    return docs.select("doc_id", "held_out", "key").join(sums, F.col("key") == F.col("doc")).select(
+        "doc_id", "held_out", per("tokens").alias("n_tokens"), per("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("y") / F.col("firsts")).alias("base_score"), (F.col("x") / F.col("firsts")).alias("score"),
     )
