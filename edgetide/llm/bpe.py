@@ -1,8 +1,9 @@
 """Operator 2: byte-level BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never end up within one token, so a cut there is
-certain. Whole texts are cut at such pairs, where they stand before white space and so end a pre-token
-too; each distinct fragment is encoded once, on its own, and the results are concatenated.
+certain. Whole texts are first cut at such pairs before white space, where a pre-token ends too. Pieces that
+are not one short word are parted into pre-tokens, and these are cut at every such pair, in any script and
+without white space. Each distinct fragment is encoded once, on its own, and the results are concatenated.
 """
 
 from __future__ import annotations
@@ -13,18 +14,18 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import slices
 from .words import WHITE
 
 
-
-def _byte_names() -> dict[str, int]:
+def byte_names() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -32,36 +33,50 @@ def _byte_names() -> dict[str, int]:
 
 
 class TwoAges:
-    """A bounded cache: when it is full, its entries become the old ones, which are asked before a miss."""
+    """A cache bounded by bytes: when it is full, its entries become the old ones, which are asked before a miss."""
+
+    #: Bytes of an entry beside those of key and value, and the longest key that is kept.
+    ENTRY, LONGEST = 200, 256
 
     def __init__(self, most: int, make):
-        self.most, self.make, self.new, self.old = most, make, {}, {}
+        self.most, self.make, self.new, self.old, self.held = most, make, {}, {}, 0
 
     def filled(self, keys: list) -> list:
         """The values of all keys; those that are missing are made together, each distinct one once."""
-        if missing := set(keys).difference(self.new):
-            known = {k: v for k in missing if (v := self.old.get(k)) is not None}
-            if unknown := [k for k in missing if k not in known]:
-                known.update(zip(unknown, self.make(unknown), strict=True))
-            if len(self.new) + len(known) > self.most:
-                self.old, self.new = self.new, {}
-                known.update((k, self.old[k]) for k in keys if k in self.old)
-            self.new.update(known)
-        return list(map(self.new.__getitem__, keys))
+        out = list(map(self.new.get, keys))
+        if None not in out:
+            return out
+        at = [i for i, v in enumerate(out) if v is None]
+        missing = {keys[i] for i in at}
+        known = {k: v for k in missing if (v := self.old.get(k)) is not None}
+        if unknown := [k for k in missing if k not in known]:
+            known.update(zip(unknown, self.make(unknown), strict=True))
+        for i in at:
+            out[i] = known[keys[i]]
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+        for k, v in known.items():
+            if len(k) <= self.LONGEST:
+                self.new[k] = v
+                self.held += len(k) + len(v) + self.ENTRY
+        return out
+
+
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])"
+_MARK = rb"[!-&(-/:-@\[-`{-~]"
+#: Latin letters (up to U+024F), digits and ASCII marks but the apostrophe, after at most one space; and their pre-tokens.
+_SIMPLE = re.compile(rb" ?(?:" + _LETTER + rb"|[0-9]|" + _MARK + rb")+")
+_GROUPS = re.compile(rb" ?" + _LETTER + rb"+| ?[0-9]+| ?" + _MARK + rb"+")
 
 
 class ByteBPE:
     """A vocabulary file with what cutting and decoding need: which byte pairs are certain cuts, and bytes by id."""
 
-    def __init__(self, text: str, cached: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+    def __init__(self, text: str, cached: int = 32 << 20):
+        self.text = text
         spec = json.loads(text)
-        names, vocab = _byte_names(), spec["model"]["vocab"]
+        names, vocab = byte_names(), spec["model"]["vocab"]
+        self.names, self.chars = names, str.maketrans({chr(b): c for c, b in names.items()})
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes: list[bytes] = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for token, i in vocab.items():
@@ -74,12 +89,37 @@ class ByteBPE:
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.cache = TwoAges(cached, self._fragments)
+        self.cache, self.parts = TwoAges(cached // 2, self._pieces), TwoAges(cached // 2, lambda raw: [*map(self._merged, raw)])
+
+    @cached_property
+    def library(self):
+        """The library's merges and pre-tokens; a worker that only decodes never builds them."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def _fragments(self, raw: list[bytes]) -> list[bytes]:
-        """Each fragment encoded on its own."""
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in raw], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        made = Tokenizer.from_str(self.text)
+        return made.model, made.pre_tokenizer
+
+    def _merged(self, raw: bytes) -> bytes:
+        """Ids of bytes within one pre-token, by the vocabulary's merges alone."""
+        return array("I", [x.id for x in self.library[0].tokenize(raw.decode("latin-1").translate(self.chars))]).tobytes()
+
+    def fragments(self, raw: bytes) -> list[bytes]:
+        """The pre-tokens of a piece, cut at every byte pair that no token holds."""
+        out = []
+        for token, _ in self.library[1].pre_tokenize_str(raw.decode()):
+            own = bytes(map(self.names.__getitem__, token))
+            b = np.frombuffer(own, np.uint8)
+            at = [0, *(np.flatnonzero(self.never[b[:-1], b[1:]]) + 1).tolist(), len(own)]
+            out += [own[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return out
+
+    def _pieces(self, raw: list[bytes]) -> list[bytes]:
+        """Each piece on its own: a short plain one by its pre-tokens, anything else fragment by fragment."""
+        own = [_GROUPS.findall(x) if len(x) <= 64 and _SIMPLE.fullmatch(x) else self.fragments(x) for x in raw]
+        flat = self.parts.filled([y for x in own for y in x])
+        ends = np.cumsum([len(x) for x in own]).tolist()
+        return [b"".join(flat[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
     def _cuts(self, raw: bytes) -> list[int]:
         """Certain cuts that are also ends of pre-tokens whatever follows: before ASCII white space, after none.
@@ -138,7 +178,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql: str
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for part in parts:
+        for part in slices(parts):
             made = pa.array([fn(x) for x in part.column(len(keep)).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], made], names=[*keep, target])
 
@@ -153,7 +193,6 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
     or empty text has no ids. Row by row, without a shuffle; repeated rows stay repeated. Columns not
     in ``keep`` are dropped, so clashing names do no harm.
     """
-    small_batches(docs.sparkSession, 500)
     vocab = _vocabulary(docs, path)
     return _mapped(docs, text, ids, pa.binary(), "binary", lambda: _built(vocab.value).encode, list(keep))
 
