@@ -52,7 +52,8 @@ def _count_words(flush: int):
     return run
 
 
-_CODE, _PLACE = 7, 3
+#: Bytes of a word's code, of its place among head or hot words, and of a count.
+_CODE, _PLACE, _SUM = 7, 3, 5
 
 
 def _codes(text: str | None) -> np.ndarray:
@@ -159,19 +160,82 @@ def _parted(a: np.ndarray, b: np.ndarray, c: np.ndarray, hot: tuple, shards: int
     return _route(b, part, shards), is_hot
 
 
-def _hot_pairs(hot, shards: int, most: int):
-    """Rows (b, c, shard, n): training counts of the bigrams whose first word is hot, by the shards that ask for them."""
+def _pack_pairs(at: np.ndarray, c: np.ndarray, shard: np.ndarray | None, n: np.ndarray, heads: np.ndarray) -> bytes:
+    """Bigrams of hot words, each (place of the hot word, next word) once a run, with the shards that ask and counts."""
+    first = _new(at, c)
+    asks = b"" if shard is None else _low(shard, _PLACE)
+    return np.array([len(n), int(first.sum())], "<u4").tobytes() + np.packbits(first).tobytes() + _low(at[first], _PLACE) + _packed(c[first], heads) + asks + _low(n, _SUM)
+
+
+def _unpack_pairs(raw: bytes, heads: np.ndarray, asks: bool) -> tuple[np.ndarray, ...]:
+    n, firsts = np.frombuffer(raw, "<u4", 2).tolist()
+    run = np.cumsum(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 8), count=n)) - 1
+    start = 8 + -(-n // 8)
+    at = _full(raw, start, firsts, _PLACE)[run].astype(np.int64)
+    c, start = _unpacked(raw, start + firsts * _PLACE, firsts, heads)
+    shard = _full(raw, start, n, _PLACE).astype(np.int64) if asks else np.zeros(n, np.int64)
+    return at, c[run], shard, _full(raw, start + n * _PLACE * asks, n, _SUM).astype(np.int64)
+
+
+def _hot_pairs(hot, roots, shards: int, most: int):
+    """Rows (pair, blob): counts of a stretch's bigrams whose first word is hot, dealt by bigram, with the shards that ask."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, c, doc, _, held in _chunks(parts, most):
             shard, good = _parted(a, b, c, hot.value, shards)
             b, c, shard, n = b[good], c[good], shard[good], ~held[doc[good]]
-            # equal rows must only lie together mostly: what a chunk leaves apart is added up later
-            order = np.argsort(mix(mix(mix(b) ^ c) + shard.astype(np.uint64)))
-            b, c, shard, n = b[order], c[order], shard[order], n[order]
+            own = mix(mix(b) ^ c)
+            pair = own % np.uint64(shards)
+            # equal rows must only lie together mostly: what is left apart is added up later
+            order = np.argsort((pair << np.uint64(40)) | (own >> np.uint64(40)) << np.uint64(16) | shard.astype(np.uint64) & np.uint64(0xFFFF))
+            b, c, shard, pair, n = b[order], c[order], shard[order], pair[order], n[order]
             new = _new(b, c, shard)
             sums = np.bincount(np.cumsum(new) - 1, n).astype(np.int64) if len(n) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(b[new].astype(np.int64)), pa.array(c[new].astype(np.int64)), pa.array(shard[new].astype(np.int32)), pa.array(sums)], names=["b", "c", "shard", "n"])
+            at, c, shard, pair = np.searchsorted(hot.value[0], b[new]), c[new], shard[new], pair[new]
+            edges = [*np.flatnonzero(_new(pair)).tolist(), len(pair)]
+            for i, j in zip(edges, edges[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([int(pair[i])], pa.int32()), pa.array([_pack_pairs(at[i:j], c[i:j], shard[i:j], sums[i:j], roots.value[0])], pa.binary())], names=["pair", "blob"])
+
+    return run
+
+
+_PAIRS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("types", pa.int64()), ("near", pa.float64())])
+_PAIRS_SQL = "kind int, shard int, blob binary, b long, c long, n long, types long, near double"
+
+
+def _pair_rows(kind: int, rows: int, **cols) -> pa.RecordBatch:
+    given = {"kind": np.full(rows, kind, np.int32), **cols}
+    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(rows, f.type) for f in _PAIRS], schema=_PAIRS)
+
+
+def _sum_pairs(hot, roots):
+    """Adds up bigrams. Kind 0: the counts that a shard asks for. 2: a hot word's count, following words, and the
+    unigrams of those that are head words, as far as they are here. 3: a rarer word that follows a hot one."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (heads, uni, _) = hot.value[0], roots.value
+        for g in groups(parts, ["pair"]):
+            at, c, shard, n = (np.concatenate(x) for x in zip(*(_unpack_pairs(x, heads, True) for x in g.column("blob").to_pylist()), strict=True))
+            order = np.lexsort((shard, c, at))
+            at, c, shard, n = at[order], c[order], shard[order], n[order]
+            first = _new(at, c)
+            kind = np.cumsum(first) - 1
+            own, ta, tc = np.bincount(kind, n).astype(np.int64), at[first], c[first]
+            live = own > 0
+            asks = np.flatnonzero(_new(at, c, shard) & live[kind])
+            asks = asks[np.argsort(shard[asks], kind="stable")]
+            to, k = shard[asks], kind[asks]
+            edges = [*np.flatnonzero(_new(to)).tolist(), len(to)]
+            for i, j in zip(edges, edges[1:]):
+                yield _pair_rows(0, 1, shard=[int(to[i])], blob=[_pack_pairs(ta[k[i:j]], tc[k[i:j]], None, own[k[i:j]], heads)])
+            place = np.minimum(np.searchsorted(heads, tc), len(heads) - 1)
+            head = heads[place] == tc
+            ta, tc, own, place, head = ta[live], tc[live], own[live], place[live], head[live]
+            types = np.bincount(ta, minlength=len(words))
+            met = np.flatnonzero(types)
+            sums = lambda x: np.bincount(ta, x, len(words))[met]
+            yield _pair_rows(2, len(met), b=words[met].astype(np.int64), n=sums(own).astype(np.int64), types=types[met], near=sums(np.where(head, 10 ** uni[place], 0)))
+            yield _pair_rows(3, int((~head).sum()), b=words[ta[~head]].astype(np.int64), c=tc[~head].astype(np.int64))
 
     return run
 
@@ -282,8 +346,9 @@ def _walks(roots, hot, floor: float, discount: float):
             blobs = [_unpack(x, roots.value[0]) for x in g.column("blob").to_pylist() if x is not None]
             if not blobs:
                 continue
-            given = g.filter(pa.compute.is_null(g.column("blob")))
-            pairs = [given.column(x).to_numpy().astype(t) for x, t in (("b", np.uint64), ("c", np.uint64), ("n", np.int64))]
+            given = [_unpack_pairs(x, roots.value[0], False) for x in g.column("pairs").to_pylist() if x is not None]
+            at, c, _, n = (np.concatenate(x) for x in zip(*given, strict=True)) if given else [np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64)]
+            pairs = hot.value[0][at], c, n
             for kind, *cols in _walk(*(np.concatenate(x) for x in zip(*blobs, strict=True)), pairs, roots.value, hot.value, floor, discount):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(pa.array, cols)], schema=_OUT)
 
@@ -403,21 +468,23 @@ def score_documents(docs: DataFrame, *, held_out: int = 2, folds: int = 7, head_
     coded = lambda rows: rows.groupBy("c").agg(F.sum("n").alias("n"))
     log_n = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(floor)
     asked = docs.select("key", "held_out", "text")
-    events = asked.mapInArrow(_events(hot_words, roots, shards, chunk_tokens), "shard int, blob binary").selectExpr("shard", "blob", "cast(null as long) b", "cast(null as long) c", "cast(null as long) n")
-    hot_left = None
+    events = asked.mapInArrow(_events(hot_words, roots, shards, chunk_tokens), "shard int, blob binary").selectExpr("shard", "blob", "cast(null as binary) pairs")
+    pairs = None
     if len(hot):
-        pairs = asked.mapInArrow(_hot_pairs(hot_words, shards, chunk_tokens), "b long, c long, shard int, n long").groupBy("b", "c").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
-        pairs = written(pairs.where("n > 0"), "pairs")
-        events = events.unionByName(pairs.select(F.explode("shards").alias("shard"), F.lit(None).cast("binary").alias("blob"), "b", "c", "n"))
-        used = pairs.groupBy("b").agg(F.sum("n").alias("n1"), F.count("*").alias("types"))
-        share = pairs.select("b", "c").join(coded(table), "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("near"))
-        hot_left = used.join(share, "b").select("b", (F.lit(discount) * F.col("types") / F.col("n1")).alias("mass"), "near")
+        pairs = asked.mapInArrow(_hot_pairs(hot_words, roots, shards, chunk_tokens), "pair int, blob binary").repartition(shards, "pair").sortWithinPartitions("pair")
+        pairs = written(pairs.mapInArrow(_sum_pairs(hot_words, roots), _PAIRS_SQL), "pairs")
+        events = events.unionByName(pairs.where("kind = 0").selectExpr("shard", "cast(null as binary) blob", "blob pairs"))
     out = written(events.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_walks(roots, hot_words, floor, discount), _OUT_SQL), "walks")
     rare = coded(table.where((F.col("n") < least) & (F.length("word") > 0)))
     # a history that is not hot lies in one shard, so kinds 2 and 3 have it once
-    far = out.where("kind = 3").select("b", "c").join(rare, "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("far"))
-    left = out.where("kind = 2").join(far, "b", "left").select("b", F.col("x").alias("mass"), (F.col("y") + F.coalesce("far", F.lit(0.0))).alias("near"))
-    left = left if hot_left is None else left.union(hot_left)
+    follows = out.where("kind = 3").select("b", "c")
+    left = out.where("kind = 2").select("b", F.col("x").alias("mass"), F.col("y").alias("near"))
+    if pairs is not None:
+        follows = follows.union(pairs.where("kind = 3").select("b", "c"))
+        used = pairs.where("kind = 2").groupBy("b").agg(*(F.sum(x).alias(x) for x in ("n", "types", "near")))
+        left = left.union(used.select("b", F.lit(discount) * F.col("types") / F.col("n"), "near"))
+    far = follows.join(rare, "c").groupBy("b").agg(F.sum(F.pow(F.lit(10.0), log_n)).alias("far"))
+    left = left.join(far, "b", "left").select("b", "mass", (F.col("near") + F.coalesce("far", F.lit(0.0))).alias("near"))
     bows = left.select("b", F.log10(F.greatest("mass", F.lit(1e-12)) / F.greatest(1 - F.col("near"), F.lit(1e-12))).alias("bow"))
     none = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
     own = out.where("kind = 0").select("doc", "x", "y", "tokens", "known", "firsts")
