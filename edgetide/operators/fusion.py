@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Q
+from ..functions import DAY, Q
 from .rank import margins, qnorm, rank_pct, reorder_unseen, softmaxed, unique_max, z
+from .support import windowed_support
 
 
 def mix(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
@@ -63,74 +62,6 @@ def tune_weight(df: DataFrame, a: str, b: str, steps: int = 20) -> DataFrame:
     return _frame(df, [{"w": w, "mrr": found[f"g{i}"]} for i, w in enumerate(grid)], "w double, mrr double")
 
 
-def tune_convex(df: DataFrame, components: list[str], ladder: Iterable[float] = (0.25, 0.1, 0.05)) -> DataFrame:
-    """Coordinate ascent from the best single component: each step moves toward one component by one step of the ladder.
-
-    All (component, step) pairs of a sweep are scored by one job over the normalised, persisted table.
-    """
-    rows = qnorm(df.select("qid", "col", "is_pos", *components), components).persist()
-    single = grid_mrr(rows, [(f"s{i}", F.col(c)) for i, c in enumerate(components)])
-    best = max(range(len(components)), key=lambda i: single[f"s{i}"])
-    weights, score = {c: float(i == best) for i, c in enumerate(components)}, single[f"s{best}"]
-    for _ in range(3):
-        moves = [(c, s, {k: (1 - s) * w + s * (k == c) for k, w in weights.items()}) for c in components for s in ladder]
-        found = grid_mrr(rows, [(f"m{i}", _linear(w)) for i, (_, _, w) in enumerate(moves)])
-        top = max(range(len(moves)), key=lambda i: (round(found[f"m{i}"], 12), -i))
-        if found[f"m{top}"] <= score + 1e-12:
-            break
-        weights, score = moves[top][2], found[f"m{top}"]
-    rows.unpersist()
-    return _frame(df, [{"component": c, "weight": w, "mrr": score} for c, w in weights.items()], "component string, weight double, mrr double")
-
-
-def tune_innovations(df: DataFrame, control: str, components: list[str], ladder: Iterable[float] = (0.02, 0.05, 0.1, 0.2)) -> DataFrame:
-    """Greedily add components to a fixed control; weights of the others and the control stay."""
-    rows = qnorm(df.select("qid", "col", "is_pos", control, *components), [control, *components]).persist()
-    weights, score = {control: 1.0}, grid_mrr(rows, [("c", F.col(control))])["c"]
-    for _ in components:
-        moves = [weights | {c: s} for c in components if c not in weights for s in ladder]
-        found = grid_mrr(rows, [(f"m{i}", _linear(w)) for i, w in enumerate(moves)]) if moves else {}
-        top = max(range(len(moves)), key=lambda i: (round(found[f"m{i}"], 12), -i), default=None)
-        if top is None or found[f"m{top}"] <= score + 1e-12:
-            break
-        weights, score = moves[top], found[f"m{top}"]
-    rows.unpersist()
-    return _frame(df, [{"component": c, "weight": float(w), "mrr": score} for c, w in weights.items()], "component string, weight double, mrr double")
-
-
-def fit_gate(df: DataFrame, base: str, mixed: str, radii: tuple[float, ...] = (0.5, 0.1)) -> DataFrame:
-    """Best (seen_alpha, new_alpha) of the gated mix: a 3 x 3 grid round the best so far, finer each time."""
-    rows = df.select("qid", "col", "is_pos", "seen", base, mixed).persist()
-    at, score = (0.5, 0.5), -1.0
-    for r in radii:
-        grid = sorted({(min(1.0, max(0.0, at[0] + i * r)), min(1.0, max(0.0, at[1] + j * r))) for i in (-1, 0, 1) for j in (-1, 0, 1)})
-        expr = lambda g: F.col(base) + F.when(F.col("seen") == 1, g[0]).otherwise(g[1]) * (F.col(mixed) - F.col(base))
-        found = grid_mrr(rows, [(f"g{i}", expr(g)) for i, g in enumerate(grid)])
-        top = max(range(len(grid)), key=lambda i: (round(found[f"g{i}"], 12), -i))
-        if found[f"g{top}"] > score:
-            at, score = grid[top], found[f"g{top}"]
-    rows.unpersist()
-    return _frame(df, [{"seen_alpha": at[0], "new_alpha": at[1], "mrr": score}], "seen_alpha double, new_alpha double, mrr double")
-
-
-def tune_residual(df: DataFrame, base: str, signals: list[str], ladder: tuple[float, ...] = (-0.1, -0.05, 0.05, 0.1), keep: int = 4) -> DataFrame:
-    """Signed weights of residual signals: each alone first, the ``keep`` strongest are then added one after the other."""
-    rows = qnorm(df.select("qid", "col", "is_pos", base, *signals), [base, *signals]).persist()
-    score = grid_mrr(rows, [("b", F.col(base))])["b"]
-    alone = [(s, w) for s in signals for w in ladder]
-    found = grid_mrr(rows, [(f"a{i}", _linear({base: 1.0, s: w})) for i, (s, w) in enumerate(alone)])
-    best = {s: max(((found[f"a{i}"], w) for i, (t, w) in enumerate(alone) if t == s)) for s in signals}
-    weights = {base: 1.0}
-    for s in sorted(signals, key=lambda s: (-round(best[s][0], 12), s))[:keep]:
-        tries = [weights | {s: w} for w in ladder]
-        got = grid_mrr(rows, [(f"t{i}", _linear(w)) for i, w in enumerate(tries)])
-        top = max(range(len(tries)), key=lambda i: (round(got[f"t{i}"], 12), -i))
-        if got[f"t{top}"] > score + 1e-12:
-            weights, score = tries[top], got[f"t{top}"]
-    rows.unpersist()
-    return _frame(df, [{"component": c, "weight": float(w), "mrr": score} for c, w in weights.items()], "component string, weight double, mrr double")
-
-
 def promote_winner(df: DataFrame, logit: str, least: int = 4, lead: int = 2, out: str = "score") -> DataFrame:
     """The support winner's logit becomes the query's maximum + 1 where its support and lead suffice and it is not the best yet; then softmax."""
     top = F.max(logit).over(Q())
@@ -194,17 +125,33 @@ def near_ring_lift(df: DataFrame, base: str, ring: str, weight: float = 0.4, lea
     return rows.withColumn(out, F.when((F.col("tied_max") == 1) & (F.col(ring) / F.greatest("ties", F.lit(1)) >= least), lifted).otherwise(F.col(base))).drop("__l", "tied_max", "ties", "is_unique_max")
 
 
+#: Published weights: supports at the very time and within the session, directional supports of unseen cells, rings of 15 minutes to a day.
+CHAIN = {"cross": 0.10, "session": 0.05}
+CHAIN_UNSEEN = {"cross_past_1": -0.10, "future_1": 0.225, "future_300": 0.30, "past_300": 0.305}
+CHAIN_RINGS = {"ring_past": 0.2625, "ring_future": 0.28, "ring_sum": -0.0525}
+TIE_SCALE = 0.2
+
+
+def chain_supports(cands: DataFrame) -> DataFrame:
+    """(qid, cand, <columns of the chain>): two passes over the pool's frames, by item and by source and item."""
+    own = windowed_support(cands, {"w": (-300, 300), "now": (0, 0), "future_1": (1, 1), "future_300": (1, 300), "past_300": (-300, -1), "p0": (-900, -1), "f0": (1, 900), "p1": (-DAY, -1), "f1": (1, DAY)}, True)
+    own = own.select("qid", "cand", (F.col("w") - F.col("now")).alias("session"), "future_1", "future_300", "past_300", (F.col("p1") - F.col("p0")).alias("ring_past"), (F.col("f1") - F.col("f0")).alias("ring_future"))
+    other = windowed_support(cands, {"cross": (0, 0), "cross_past_1": (-1, -1)}, False)
+    return own.withColumn("ring_sum", F.col("ring_past") + F.col("ring_future")).join(other, ["qid", "cand"])
+
+
 def structural_chain(df: DataFrame, base: str) -> DataFrame:
-    """Cross and session support on the logits, unseen rings, the unique ring winner, then tied winners at a fifth.
+    """Cross and session support, directional supports of unseen cells, the ring residual for a unique ring winner; where a
+    row has none, its two or more tied winners are lifted together by a fifth of their ring's z-score.
 
-    ``df`` holds base logits, ``seen`` and supports ``cross``, ``near``, ``past``, ``future``, ``ring``.
+    ``df`` holds the base score, ``seen`` and the columns of ``chain_supports``.
     """
     lg = lambda c: z(F.log1p(F.col(c)))
-    one = df.withColumn("__1", z(base) + 0.10 * lg("cross") + 0.05 * lg("near"))
-    two = one.withColumn("__2", F.col("__1") + F.when(F.col("seen") == 0, 0.05 * lg("past") + 0.05 * lg("future")).otherwise(0.0))
-    three = unique_max(two, "ring", F.col("seen") == 0)
-    lift = F.when(F.col("is_unique_max") == 1, 0.2).when(F.col("tied_max") == 1, 0.2 * 0.2).otherwise(0.0)
-    return softmaxed(three.withColumn("__3", F.col("__2") + lift), "__3", "score").drop("__1", "__2", "__3", "tied_max", "ties", "is_unique_max")
+    part = lambda weights: sum((w * lg(c) for c, w in weights.items()), F.lit(0.0))
+    unseen = F.when(F.col("seen") == 0, part(CHAIN_UNSEEN)).otherwise(0.0)
+    rows = unique_max(df.withColumns({"__c3": F.col(base) + part(CHAIN) + unseen, "__ring": part(CHAIN_RINGS), "__lift": TIE_SCALE * lg("ring_sum")}), "ring_sum", F.col("seen") == 0)
+    lift = F.when(F.col("is_unique_max") == 1, F.col("__ring")).when(F.col("tied_max") == 1, F.col("__lift")).otherwise(0.0)
+    return softmaxed(rows.withColumn("__c5", F.col("__c3") + lift), "__c5", "score").drop("__c3", "__c5", "__ring", "__lift", "tied_max", "ties", "is_unique_max")
 
 
 def component_scores(df: DataFrame, components: list[str]) -> DataFrame:
@@ -222,35 +169,6 @@ def set_features(df: DataFrame, components: list[str], supports: list[str]) -> D
     return df.select(*keep, *(z(c).alias(f"{c}_z") for c in components), *(z(F.log1p(F.col(s))).alias(f"{s}_z") for s in supports))
 
 
-def weight_families(members: list[str]) -> dict[str, dict[str, float]]:
-    """Equal, each left out, each alone, and shares of the first against the rest."""
-    n = len(members)
-    out = {"equal": dict.fromkeys(members, 1 / n)}
-    for m in members:
-        out[f"without_{m}"] = {k: 0.0 if k == m else 1 / (n - 1) for k in members}
-        out[f"only_{m}"] = {k: float(k == m) for k in members}
-    for share in (0.25, 0.375, 0.625, 0.75):
-        out[f"first_{share:g}"] = {k: share if k == members[0] else (1 - share) / (n - 1) for k in members}
-    return out
-
-
-def evaluate_families(df: DataFrame, members: list[str]) -> DataFrame:
-    """MRR of each family, all in one job."""
-    rows, families = qnorm(df, members), weight_families(members)
-    found = grid_mrr(rows, [(f"f{i}", _linear(w)) for i, w in enumerate(families.values())])
-    return _frame(df, [{"family": n, "mrr": found[f"f{i}"]} for i, n in enumerate(families)], "family string, mrr double")
-
-
-def tune_policy(df: DataFrame, base: str, residual: str, weights: tuple[float, ...] = (0.0, 0.1, 0.2, 0.4), most_loss: float = 0.001) -> DataFrame:
-    """Residual weight on unseen cells with the best MRR, among those that cost seen positives less than the limit."""
-    rows = qnorm(df.select("qid", "col", "is_pos", "seen", base, residual), [base, residual])
-    exprs = [(f"w{i}", F.col(base) + F.when(F.col("seen") == 0, w).otherwise(0.0) * F.col(residual)) for i, w in enumerate(weights)]
-    marked = rows.withColumn("__pos_seen", F.max(F.when(F.col("is_pos"), F.col("seen"))).over(Q())).persist()
-    every, old = grid_mrr(marked, exprs), grid_mrr(marked.where("__pos_seen = 1"), exprs)
-    marked.unpersist()
-    return _frame(df, [{"weight": w, "mrr": every[f"w{i}"], "seen_mrr": old[f"w{i}"], "allowed": old["w0"] - old[f"w{i}"] < most_loss} for i, w in enumerate(weights)], "weight double, mrr double, seen_mrr double, allowed boolean")
-
-
 def meta_features(frames: list[DataFrame]) -> DataFrame:
     """Feature frames keyed (qid, col), joined; other shared key columns are taken from the first."""
     out = frames[0]

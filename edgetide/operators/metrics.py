@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Q
+from ..functions import DAY, Q, running
 from .rank import topk
 
 
@@ -82,6 +82,17 @@ def leakage_audit(edges: DataFrame, queries: DataFrame, blocks: int = 4) -> Data
     return per.join(last, "block", "left").select("block", "n", "first_query", "last_edge", F.coalesce(F.col("last_edge") < F.col("first_query"), F.lit(True)).alias("ok"))
 
 
+def effect_by_time(a: DataFrame, b: DataFrame, queries: DataFrame, parts: int = 3) -> DataFrame:
+    """b against a, as in ``paired_compare``, in equal parts of the queries in order of time and for all of them (part -1)."""
+    placed = running(queries.select("qid", "time", F.lit(1).alias("__one")), "__one", ["time", "qid"], F.floor(F.col("time") / DAY), "__at")
+    size = F.broadcast(queries.agg(F.count("*").alias("__n")))
+    rows = placed.crossJoin(size).select("qid", F.expr(f"__at * {parts} div __n").alias("part"))
+    both = a.select("qid", (1.0 / F.col("rank")).alias("ra")).join(b.select("qid", (1.0 / F.col("rank")).alias("rb")), "qid").join(rows, "qid")
+    each = both.select(F.explode(F.array(F.col("part"), F.lit(-1).cast("long"))).alias("part"), "ra", "rb", (F.col("rb") - F.col("ra")).alias("d"))
+    share = lambda c: F.avg(c.cast("double"))
+    return each.groupBy("part").agg(F.count("*").alias("n"), F.avg("ra").alias("before"), F.avg("rb").alias("after"), F.avg("d").alias("delta"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"), share(F.col("d") > 0).alias("up"), share(F.col("d") < 0).alias("down"))
+
+
 def permutation_check(cands: DataFrame, scorer: Callable[[DataFrame], DataFrame], width: int, digits: int = 9) -> DataFrame:
     """Cells whose score changes when the columns are reversed; one row of counts."""
     turned = cands.withColumn("col", F.lit(width - 1) - F.col("col"))
@@ -96,6 +107,21 @@ def acceptance(report: DataFrame, least: float = 0.003, errors: float = 2.0, mos
     return report.withColumn("decision", F.when(ok, "PASS").otherwise("NO_GO"))
 
 
+#: Published tolerances: overall over the history's pool and over the test pool, and of segments.
+TOLERANCE = {"history": 0.0005, "test_pool": 0.001}
+SEGMENT_TOLERANCE = 0.003
+
+
+def tolerance_checks(before: DataFrame, after: DataFrame, segments: tuple[str, ...] = ("pair_new", "pair_seen", "src_hot"), overall: float = TOLERANCE["history"], each: float = SEGMENT_TOLERANCE) -> DataFrame:
+    """Segment tables (``segment_metrics``) before and after: whether the MRR of all and of each named segment fell by no more
+    than its tolerance; one row a segment that has queries, and ``decision`` over all of them."""
+    pick = lambda df, n: df.where(F.col("segment").isin("all", *segments)).select("segment", F.col("mrr").alias(n))
+    rows = pick(before, "before").join(pick(after, "after"), "segment").withColumn("tolerance", F.when(F.col("segment") == "all", overall).otherwise(each))
+    rows = rows.withColumn("ok", F.col("after") >= F.col("before") - F.col("tolerance"))
+    every = F.broadcast(rows.agg(F.bool_and("ok").alias("__all")))
+    return rows.crossJoin(every).withColumn("decision", F.when(F.col("__all"), "PASS").otherwise("NO_GO")).drop("__all")
+
+
 def component_corr(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, corr) of every two component columns, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]

@@ -97,7 +97,7 @@ register("a17_score_quantiles", "SELECT " + ", ".join(f"quantile_cont(score, {q}
 
 # 2.4 lookups
 
-register("j1_causal_features", "SELECT * FROM feat", "feat", doubles=" ".join(c for c in features.CAUSAL if not c.endswith("_seen")))(K)
+register("j1_causal_features", "SELECT * FROM feat", "feat", doubles=" ".join(c for c in features.CAUSAL if not c.endswith("_seen")))(frames.features_of)
 register("j2_pair_seen", "SELECT qid, col, cand, CAST(EXISTS (SELECT 1 FROM hist h WHERE h.src = c.src AND h.dst = c.cand) AS INTEGER) AS seen FROM cands c", "cands")(lambda s, d: features.pair_seen(C(s, d), H(s, d)).select("qid", "col", "cand", "seen"))
 register("j3_reverse_pair", f"SELECT qid, col, {log1p('coalesce(ps.n, 0)')} AS back_log_count, CASE WHEN ps.n IS NULL THEN 0 ELSE {recency('c.time - ps.last')} END AS back_recency FROM cands c LEFT JOIN ps ON ps.src = c.cand AND ps.dst = c.src", "cands", "stats", doubles="back_log_count back_recency")(lambda s, d: features.reverse_pair(C(s, d), H(s, d)))
 _ASOF = "past AS (SELECT t.seq AS qid, t.src, t.time, e.dst, e.time AS et, e.seq AS es, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t LEFT JOIN edges e ON e.src = t.src AND e.time < t.time)"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,38 @@ WIDTH = 20
 SEED = 1
 
 
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the whole cluster shares; a local one only where none is named and there is no cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/edgetide/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The frame as a table, written once an application and folder of tables, so that plans that branch off it read it
+    instead of computing it for each branch; written again where the table is gone."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key in _KEPT:
+            try:
+                return spark.read.parquet(_KEPT[key])
+            except AnalysisException:
+                del _KEPT[key]
+        path = folder(spark, build.__name__)
+        build(spark, sf_dir).write.parquet(path)
+        _KEPT[key] = path
+        return spark.read.parquet(path)
+
+    return read
+
+
 def _epoch(col: str):
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast({col} as timestamp_ntz))")
 
@@ -42,21 +79,30 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).where(F.col("time") >= CUTOFF).withColumnRenamed("seq", "qid")
 
 
-def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, src, time, col, cand, is_pos): the positive and negatives uniform over the history's items."""
     return replay.replay_history(targets(spark, sf_dir), hist(spark, sf_dir), WIDTH, SEED)
 
 
-def causal(spark: SparkSession, sf_dir: str) -> DataFrame:
+cands = _kept(replayed)
+
+
+def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.causal_features(cands(spark, sf_dir), hist(spark, sf_dir), CUTOFF)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+causal = _kept(features_of)
+
+
+def scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with seen, the simple heuristic ``score`` and the components a, b, c, all rounded to 9 digits."""
     c = lambda x: F.round(x, 9)
     return causal(spark, sf_dir).select("qid", "src", "time", "col", "cand", "is_pos", F.col("pair_seen").alias("seen"), c(features.base_score()).alias("score"), c("dst_log_count").alias("a"), c("pair_share_src").alias("b"), c("dst_recency").alias("c"))
 
 
+scored = _kept(scored_cells)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as (id, vec, bias): ids serve as sources and as items."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0.0).cast("float").alias("bias"))

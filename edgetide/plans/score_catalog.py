@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import DAY
-from ..operators import features, fusion, graph, history, learn, metrics, rank, replay, stats, support
+from ..operators import features, fusion, graph, history, learn, metrics, rank, replay, stats, support, tuning
 from . import frames
-from .catalog import _M, _POS, _Q, _SEG, _UM, _W12, QUERIES, SQL, _items, register, reordered, segments
-from .frames import CUTOFF, ORIGIN, SEED, WIDTH
+from .catalog import _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
+from .frames import CUTOFF, ORIGIN, SEED, WIDTH, folder
 from .sql import cells, draw, query, slots, z
 
 E, H, T, C, S = frames.edges, frames.hist, frames.targets, frames.cands, frames.scored
@@ -21,16 +18,6 @@ _W = {"score": 0.5, "a": 0.3, "c": 0.2}
 _MIX = " + ".join(f"{w}::DOUBLE * {z(c)}" for c, w in _W.items())
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the whole cluster shares; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/edgetide/{name}-{uuid.uuid4().hex}"
-
-
 # 2.1 sources, contracts and sinks
 
 
@@ -103,7 +90,7 @@ register("s10_fingerprint")(lambda s, d: sources.fingerprint(E(s, d)))
 
 _OUT = "qid, src, time, col, cand, is_pos"
 register("r1_sample_groups", f"SELECT {_OUT} FROM drawn", "slots", "hist", ctes=f"mp AS (SELECT dst, row_number() OVER (ORDER BY dst, seq) - 1 AS idx FROM hist), me AS (SELECT dst, max(idx) + 1 AS e FROM mp GROUP BY dst), mn AS (SELECT count(*) AS n FROM hist), drawn AS (SELECT s.qid, s.src, s.time, s.col, {cells('s', 'a.dst', 'b.dst')} FROM slots s, mn JOIN mp a ON a.idx = {draw('s.qid', 's.col', SEED)} % mn.n JOIN me ON me.dst = a.dst JOIN mp b ON b.idx = me.e % mn.n)")(lambda s, d: replay.sample_groups(T(s, d), H(s, d), WIDTH, SEED))
-register("r2_replay_history", f"SELECT {_OUT} FROM cands", "cands")(C)
+register("r2_replay_history", f"SELECT {_OUT} FROM cands", "cands")(frames.replayed)
 _some = lambda s, d: H(s, d).where("dst % 3 <> 1")
 _COLD = f"""h3 AS (SELECT * FROM hist WHERE dst % 3 <> 1), wp AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS idx FROM (SELECT DISTINCT dst FROM h3)), cp AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS idx FROM (SELECT r.range AS dst FROM range((SELECT min(dst) FROM h3), (SELECT max(dst) + 1 FROM h3)) r WHERE r.range NOT IN (SELECT dst FROM h3))),
 nn AS (SELECT (SELECT count(*) FROM wp) AS nw, (SELECT count(*) FROM cp) AS nc), pp AS (SELECT FALSE AS k, * FROM wp UNION ALL SELECT TRUE, * FROM cp), sl AS (SELECT *, {draw('qid', 'col', SEED + 1)} % 1000 < 150 AND nc > 0 AS k FROM slots, nn), s2 AS (SELECT *, CASE WHEN k THEN nc ELSE nw END AS n, {draw('qid', 'col', SEED)} % (CASE WHEN k THEN nc ELSE nw END) AS idx FROM sl),
@@ -139,10 +126,22 @@ def _softmax(src: str, x: str, out: str = "score") -> str:
 register("m2_residual_logits", f"SELECT qid, col, fin FROM ({_softmax('lg', 'l', 'fin')})", "scored", ctes=_SM + f", lb AS (SELECT *, ln(greatest(prob, 1e-12)) AS lb FROM sm), lg AS (SELECT *, {z('lb')} + 0.1::DOUBLE * {z('a')} + 0.05::DOUBLE * {z('c')} AS l FROM lb{_Q})", doubles="fin")(lambda s, d: fusion.residual_logits(rank.softmaxed(S(s, d)), "prob", {"a": 0.1, "c": 0.05}, "fin").select("qid", "col", "fin"))
 register("m3_bounded_residual", f"SELECT qid, col, score + 0.25::DOUBLE * tanh((a - avg(a) OVER q) / greatest(stddev_pop(a) OVER q, 1e-6) / 2) AS fin FROM scored{_Q}", "scored", doubles="fin")(lambda s, d: fusion.bounded_residual(S(s, d), "score", "a", 0.25, "fin").select("qid", "col", "fin"))
 register("m4_gated_mix", "SELECT qid, col, score + CASE WHEN seen = 1 THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END * (a - score) AS fin FROM scored", "scored", doubles="fin")(lambda s, d: fusion.gated_mix(S(s, d), "score", "a", 0.3, 0.7, "fin").select("qid", "col", "fin"))
-register("m5_tune_convex")(lambda s, d: fusion.tune_convex(S(s, d), ["score", "a", "b", "c"]))
-register("m6_tune_innovations")(lambda s, d: fusion.tune_innovations(S(s, d), "score", ["a", "b", "c"]))
-register("m7_fit_gate")(lambda s, d: fusion.fit_gate(S(s, d), "score", "a"))
-register("m8_tune_residual")(lambda s, d: fusion.tune_residual(S(s, d), "score", ["a", "b", "c"]))
+register("m5_tune_convex")(lambda s, d: tuning.tune_convex(S(s, d), ["score", "a", "b", "c"]))
+register("m6_tune_innovations")(lambda s, d: tuning.tune_innovations(S(s, d), {"score": 0.7, "a": 0.3}, ["b", "c"], "score", 0.5, 1.0))
+
+
+def gate_level(k: int, radius: float, step: float) -> str:
+    """CTEs ``ax<k>``, ``gl<k>`` and ``gb<k>``: the grid round the best of the level before, its MRRs, and its best point."""
+    points = ", ".join(f"greatest(0, {x} - {radius}::DOUBLE) AS l{x}, floor((least(1, {x} + {radius}::DOUBLE) - greatest(0, {x} - {radius}::DOUBLE)) / {step}::DOUBLE + 0.5::DOUBLE) AS n{x}" for x in ("sa", "na"))
+    return f"""ax{k} AS (SELECT lsa + i.range * {step}::DOUBLE AS sa, lna + j.range * {step}::DOUBLE AS na FROM (SELECT {points} FROM gb{k - 1}), range(11) i, range(11) j WHERE i.range <= nsa AND j.range <= nna),
+gl{k} AS (SELECT sa, na, round(avg(1.0::DOUBLE / r), 12) AS mrr FROM (SELECT qid, sa, na, 1 + count(*) FILTER (WHERE b + s * sa + n * na > edge) AS r FROM gd, ax{k} GROUP BY qid, sa, na) GROUP BY sa, na),
+gb{k} AS (SELECT {radius}::DOUBLE AS radius, sa, na, mrr FROM gl{k} ORDER BY mrr DESC, round(sa + na, 9), sa LIMIT 1)"""
+
+
+_GATE = """gs AS (SELECT *, a - score AS g FROM scored), gp AS (SELECT *, max(CASE WHEN is_pos THEN col END) OVER q AS pc, max(CASE WHEN is_pos THEN score END) OVER q AS pb, max(CASE WHEN is_pos THEN g * seen END) OVER q AS ps, max(CASE WHEN is_pos THEN g * (1 - seen) END) OVER q AS pn FROM gs WINDOW q AS (PARTITION BY qid)),
+gd AS (SELECT qid, score - pb AS b, g * seen - ps AS s, g * (1 - seen) - pn AS n, CASE WHEN col < pc THEN -1e-9::DOUBLE ELSE 1e-9::DOUBLE END AS edge FROM gp), gb0 AS (SELECT 0::DOUBLE AS sa, 0::DOUBLE AS na), """ + ", ".join(gate_level(k, r, x) for k, (r, x) in enumerate(tuning.RADII, 1))
+register("m7_fit_gate", " UNION ALL ".join(f"SELECT radius, sa AS seen_alpha, na AS new_alpha, mrr FROM gb{k}" for k in (1, 2, 3)), "scored", ctes=_GATE, doubles="radius seen_alpha new_alpha mrr")(lambda s, d: tuning.fit_gate(S(s, d), "score", "a"))
+register("m8_tune_residual")(lambda s, d: tuning.tune_residual(S(s, d), "score", ["a", "b", "c"], {"all": F.lit(True), "pair_new": F.col("seen") == 0}))
 _G = ", ".join(f"{i / 4}::DOUBLE AS w{i}" for i in range(5))
 register(
     "m9_tune_weight", "SELECT w, avg(1.0::DOUBLE / r) AS mrr FROM (SELECT qid, w, count(*) FILTER (WHERE round(v, 12) > round(pv, 12) OR (round(v, 12) = round(pv, 12) AND col < pc)) + 1 AS r FROM (SELECT *, max(CASE WHEN is_pos THEN v END) OVER g AS pv, max(CASE WHEN is_pos THEN col END) OVER g AS pc FROM gw WINDOW g AS (PARTITION BY qid, w)) GROUP BY qid, w) GROUP BY w", "scored", doubles="w mrr",
@@ -158,7 +157,18 @@ def supports(s: SparkSession, d: str) -> DataFrame:
     return base
 
 
-register("m10_structural_chain")(lambda s, d: fusion.structural_chain(supports(s, d).withColumnRenamed("score", "base"), "base").select("qid", "col", "score"))
+def chained(s: SparkSession, d: str) -> DataFrame:
+    rows = S(s, d).select("qid", "col", "cand", "seen", F.col("score").alias("base")).join(fusion.chain_supports(C(s, d)), ["qid", "cand"])
+    return fusion.structural_chain(rows, "base").select("qid", "col", F.col("score").alias("fin"))
+
+
+_own, _all = (lambda a, b: _win(a, b, "cand, src")), (lambda a, b: f"({_win(a, b, 'cand')} - {_win(a, b, 'cand, src')})")
+_CHAIN = {"session": f"{_own(-300, 300)} - {_own(0, 0)}", "future_1": _own(1, 1), "future_300": _own(1, 300), "past_300": _own(-300, -1), "ring_past": f"{_own(-DAY, -1)} - {_own(-900, -1)}", "ring_future": f"{_own(1, DAY)} - {_own(1, 900)}", "cross": _all(0, 0), "cross_past_1": _all(-1, -1)}
+_lz = lambda weights: " + ".join(f"{w}::DOUBLE * {z(f'ln(1.0::DOUBLE + {_RING.get(c, c)})')}" for c, w in weights.items())
+_RING = {"ring_sum": "(ring_past + ring_future)", "cross": '"cross"'}
+_SC = f"""sp AS (SELECT qid, cand, {', '.join(f'coalesce({v}, 0) AS "{k}"' for k, v in _CHAIN.items())} FROM occ), cw AS (SELECT *, ring_past + ring_future AS rs, max(CASE WHEN seen = 0 THEN ring_past + ring_future END) OVER (PARTITION BY qid) AS top FROM scored JOIN sp USING (qid, cand)),
+cx AS (SELECT *, count(*) FILTER (WHERE seen = 0 AND rs = top AND top > 0) OVER (PARTITION BY qid) AS ties FROM cw), cy AS (SELECT *, score + {_lz(fusion.CHAIN)} + CASE WHEN seen = 0 THEN {_lz(fusion.CHAIN_UNSEEN)} ELSE 0 END + CASE WHEN seen = 0 AND rs = top AND top > 0 THEN CASE WHEN ties = 1 THEN {_lz(fusion.CHAIN_RINGS)} ELSE {_lz({"ring_sum": fusion.TIE_SCALE})} END ELSE 0 END AS l FROM cx{_Q})"""
+register("m10_structural_chain", f"SELECT qid, col, fin FROM ({_softmax('cy', 'l', 'fin')})", "scored", "occ", ctes=_SC, doubles="fin")(chained)
 
 
 def with_support(s: SparkSession, d: str) -> DataFrame:
@@ -214,8 +224,13 @@ def slice_features(s: SparkSession, d: str) -> DataFrame:
 register("m19_slice_features")(slice_features)
 register("m20_set_features")(lambda s, d: fusion.set_features(supports(s, d), ["score"], ["cross", "near", "ring"]).drop("cand"))
 register("m21_near_ring_lift", f"SELECT qid, col, CASE WHEN tied_max = 1 AND a / greatest(ties, 1) >= 0.25 THEN score + 0.4::DOUBLE * zl ELSE score END AS fin FROM (SELECT *, {z('la')} AS zl FROM (SELECT *, ln(1 + a) AS la FROM um){_Q})", "scored", ctes=_UM, doubles="fin")(lambda s, d: fusion.near_ring_lift(S(s, d), "score", "a", out="fin").select("qid", "col", "fin"))
-register("m22_weight_families")(lambda s, d: fusion.evaluate_families(S(s, d), ["score", "a", "b", "c"]))
-register("m23_tune_policy")(lambda s, d: fusion.tune_policy(S(s, d), "score", "a"))
+_FAMILY = {"score": "pair", "b": "pair", "a": "item", "c": "item"}
+_FAMILIES = ", ".join(f"('{n}', {', '.join(f'{w[c]!r}::DOUBLE' for c in _FAMILY)})" for n, w in tuning.weight_families(_FAMILY).items())
+register(
+    "m22_weight_families", "SELECT family, avg(1.0::DOUBLE / r) AS mrr FROM (SELECT qid, family, 1 + count(*) FILTER (WHERE v - pv > CASE WHEN col < pc THEN -1e-9::DOUBLE ELSE 1e-9::DOUBLE END) AS r FROM (SELECT *, max(CASE WHEN is_pos THEN v END) OVER g AS pv, max(CASE WHEN is_pos THEN col END) OVER g AS pc FROM fv WINDOW g AS (PARTITION BY qid, family)) GROUP BY qid, family) GROUP BY family", "scored", doubles="mrr",
+    ctes=f"fz AS (SELECT qid, col, is_pos, {', '.join(f'{z(c)} AS z{c}' for c in _FAMILY)} FROM scored{_Q}), fv AS (SELECT qid, col, is_pos, family, {' + '.join(f'w{c} * z{c}' for c in _FAMILY)} AS v FROM fz, (VALUES {_FAMILIES}) AS t(family, {', '.join(f'w{c}' for c in _FAMILY)}))",
+)(lambda s, d: tuning.evaluate_families(S(s, d), _FAMILY))
+register("m23_tune_policy")(lambda s, d: tuning.tune_policy(S(s, d), "score", "a", "c"))
 
 # 2.9 metrics
 
@@ -243,8 +258,17 @@ register("e6_change_report", 'SELECT count(*) AS "rows", count(*) FILTER (WHERE
 register("e7_order_preserved", "SELECT count(DISTINCT qid) AS n, count(DISTINCT qid) AS kept FROM scored", "scored")(lambda s, d: metrics.order_preserved(S(s, d), bumped(s, d)))
 _LK = "lm AS (SELECT min(time) AS t0, max(time) AS t1 FROM tgt), bk AS (SELECT least((time - t0) * 4 // greatest(t1 - t0, 1), 3) AS block, time FROM tgt, lm), bf AS (SELECT block, count(*) AS n, min(time) AS first_query FROM bk GROUP BY block)"
 register("e8_leakage_audit", "SELECT block, n, first_query, (SELECT max(e.time) FROM edges e WHERE e.time < first_query) AS last_edge, TRUE AS ok FROM bf", "tgt", ctes=_LK)(lambda s, d: metrics.leakage_audit(E(s, d), T(s, d)))
+_EF = "ef AS (SELECT x.qid, 1 / x.rank AS ra, 1 / y.rank AS rb, 1 / y.rank - 1 / x.rank AS dd, t.part FROM ranked x JOIN rk2 y USING (qid) JOIN (SELECT seq AS qid, (row_number() OVER (ORDER BY time, seq) - 1) * 3 // count(*) OVER () AS part FROM tgt) t USING (qid)), eg AS (SELECT * FROM ef UNION ALL SELECT qid, ra, rb, dd, -1 FROM ef)"
+register("e8_effect_by_time", "SELECT part, count(*) AS n, avg(ra) AS before, avg(rb) AS after, avg(dd) AS delta, stddev_samp(dd) / sqrt(count(*)) AS se, avg(CAST(dd > 0 AS DOUBLE)) AS up, avg(CAST(dd < 0 AS DOUBLE)) AS down FROM eg GROUP BY part", "ranked", "tgt", ctes=_RK2 + ", " + _EF, doubles="before after delta se up down")(
+    lambda s, d: metrics.effect_by_time(metrics.ranks(S(s, d)), metrics.ranks(S(s, d), "a"), T(s, d))
+)
 register("e9_permutation_check", "SELECT count(*) AS cells, 0::BIGINT AS changed FROM cands", "cands")(lambda s, d: metrics.permutation_check(C(s, d), lambda c: features.causal_features(c, H(s, d), CUTOFF).withColumn("score", features.base_score()), WIDTH))
 register("e10_acceptance", "SELECT *, CASE WHEN delta >= 0.003 AND delta > 2 * se AND down <= 0.5 THEN 'PASS' ELSE 'NO_GO' END AS decision FROM cmp", "ranked", ctes=_RK2, doubles="delta se up down top1_changed")(lambda s, d: metrics.acceptance(_pair(s, d)))
+_TOL = ["pair_new", "pair_seen", "src_hot"]
+_TL = "tl AS (" + " UNION ALL ".join(f"SELECT '{n}' AS segment, avg(1 / x.rank) AS before, avg(1 / y.rank) AS after, {t}::DOUBLE AS tolerance FROM ranked x JOIN rk2 y USING (qid) JOIN segs USING (qid) WHERE {w} HAVING count(*) > 0" for n, w, t in [("all", "TRUE", metrics.TOLERANCE["history"]), *((n, f"{n} = 1", metrics.SEGMENT_TOLERANCE) for n in _TOL)]) + ")"
+register("e10_tolerance_checks", "SELECT *, after >= before - tolerance AS ok, CASE WHEN bool_and(after >= before - tolerance) OVER () THEN 'PASS' ELSE 'NO_GO' END AS decision FROM tl", "ranked", "stats", ctes=", ".join([_SEG, _RK2, _TL]), doubles="before after tolerance")(
+    lambda s, d: (lambda g: metrics.tolerance_checks(metrics.segment_metrics(metrics.ranks(S(s, d)), g), metrics.segment_metrics(metrics.ranks(S(s, d), "a"), g)))(segments(s, d))
+)
 register("e11_component_corr", "SELECT 'a' AS a, 'b' AS b, corr(a, b) AS corr FROM scored UNION ALL SELECT 'a', 'c', corr(a, c) FROM scored UNION ALL SELECT 'b', 'c', corr(b, c) FROM scored", "scored", doubles="corr")(lambda s, d: metrics.component_corr(S(s, d), ["a", "b", "c"]))
 
 # 2.10 learned scorers
