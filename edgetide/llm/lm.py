@@ -62,15 +62,25 @@ def _codes(text: str | None) -> np.ndarray:
 
 
 def _low(x: np.ndarray, wide: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+    """The low bytes, all first ones, then all second ones and so on: high bytes vary little and compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
 
 
 def _full(raw: bytes, at: int, n: int, wide: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :wide] = np.frombuffer(raw, np.uint8, n * wide, at).reshape(n, wide)
+    out[:, :wide] = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T
     return out.reshape(-1).view("<u8")
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """Entropy-coded, which the shuffle's own compression is not."""
+    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], decompressed_size=int(np.frombuffer(blob, "<u8", 1)[0]), codec="zstd", asbytes=True)
+
+
 def _packed(x: np.ndarray, heads: np.ndarray) -> bytes:
     """Head words by their place, others by their code."""
     at = np.minimum(np.searchsorted(heads, x), len(heads) - 1)
@@ -100,12 +110,14 @@ def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, keys: np
     """Events sorted by (b, a, c): each code once a run, and the document of each event."""
     used, at = np.unique(doc, return_inverse=True)
     flags = [_new(b), _new(b, a), _new(b, a, c)]
-    small = at.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
+    small = _low(at, 2 if len(used) <= 1 << 16 else 4)
     bits = b"".join(np.packbits(f).tobytes() for f in flags)
-    return np.array([len(b), len(used)], "<u4").tobytes() + bits + b"".join(_packed(x[f], heads) for x, f in zip((b, a, c), flags, strict=True)) + small + keys[used].tobytes() + held[used].tobytes()
+    words = b"".join(_packed(x[f], heads) for x, f in zip((b, a, c), flags, strict=True))
+    return _squeezed(np.array([len(b), len(used)], "<u4").tobytes() + bits + words + small + keys[used].tobytes() + held[used].tobytes())
 
 
-def _unpack(raw: bytes, heads: np.ndarray) -> tuple[np.ndarray, ...]:
+def _unpack(blob: bytes, heads: np.ndarray) -> tuple[np.ndarray, ...]:
+    raw = _whole(blob)
     n, docs = np.frombuffer(raw, "<u4", 2).tolist()
     at, wide, out = 8, -(-n // 8), []
     flags = [np.unpackbits(np.frombuffer(raw, np.uint8, wide, at + i * wide), count=n).astype(bool) for i in range(3)]
@@ -113,9 +125,9 @@ def _unpack(raw: bytes, heads: np.ndarray) -> tuple[np.ndarray, ...]:
     for f in flags:
         own, at = _unpacked(raw, at, int(f.sum()), heads)
         out.append(own[np.cumsum(f) - 1])
-    kind = np.dtype("<u2" if docs <= 1 << 16 else "<u4")
-    own = np.frombuffer(raw, kind, n, at)
-    at += n * kind.itemsize
+    wide = 2 if docs <= 1 << 16 else 4
+    own = _full(raw, at, n, wide).astype(np.int64)
+    at += n * wide
     keys, held = np.frombuffer(raw, "<i8", docs, at), np.frombuffer(raw, bool, docs, at + 8 * docs)
     return out[1], out[0], out[2], keys[own], held[own]
 
@@ -164,10 +176,11 @@ def _pack_pairs(at: np.ndarray, c: np.ndarray, shard: np.ndarray | None, n: np.n
     """Bigrams of hot words, each (place of the hot word, next word) once a run, with the shards that ask and counts."""
     first = _new(at, c)
     asks = b"" if shard is None else _low(shard, _PLACE)
-    return np.array([len(n), int(first.sum())], "<u4").tobytes() + np.packbits(first).tobytes() + _low(at[first], _PLACE) + _packed(c[first], heads) + asks + _low(n, _SUM)
+    return _squeezed(np.array([len(n), int(first.sum())], "<u4").tobytes() + np.packbits(first).tobytes() + _low(at[first], _PLACE) + _packed(c[first], heads) + asks + _low(n, _SUM))
 
 
-def _unpack_pairs(raw: bytes, heads: np.ndarray, asks: bool) -> tuple[np.ndarray, ...]:
+def _unpack_pairs(blob: bytes, heads: np.ndarray, asks: bool) -> tuple[np.ndarray, ...]:
+    raw = _whole(blob)
     n, firsts = np.frombuffer(raw, "<u4", 2).tolist()
     run = np.cumsum(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 8), count=n)) - 1
     start = 8 + -(-n // 8)
