@@ -55,3 +55,28 @@ def dense_index(ids: DataFrame, col: str, name: str = "idx", width: int = 1 << 1
     """Distinct integer ids with their place from 0 in ascending order."""
     one = ids.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__one", F.lit(1))
     return running(one, "__one", [col], F.floor(F.col(col) / width), name).select(col, F.col(name).cast("long").alias(name))
+
+
+def quantiles(rows: DataFrame, col: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
+    """One row of exact linear quantiles ``{name: share}``; ``weight``: how often a row counts. Null values take no part.
+
+    Equal-width buckets between two approximate percentiles are counted first; only the values of buckets that hold a wanted
+    place are put in order, so no task sees all values.
+    """
+    one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    values = rows.select(F.col(col).cast("double").alias("v"), one.alias("w")).where("v is not null")
+    ends = F.broadcast(values.agg(F.percentile_approx("v", [0.001, 0.999], 1000).alias("e"), F.sum("w").alias("n")))
+    step = F.coalesce((F.col("v") - F.col("e")[0]) / F.nullif(F.col("e")[1] - F.col("e")[0], F.lit(0.0)), F.lit(0.0))
+    placed = values.crossJoin(ends).select("v", "w", F.floor(F.greatest(F.least(step, F.lit(1.0)), F.lit(0.0)) * 4096).alias("b"))
+    up = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = placed.groupBy("b").agg(F.sum("w").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(up), F.lit(0)))
+    place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    wanted = [F.struct(F.lit(name).alias("name"), F.floor(place(q)).alias("at"), F.lit(k).alias("k")) for name, q in shares.items() for k in (0, 1)]
+    targets = ends.select(F.explode(F.array(*wanted)).alias("t"), "n").select("t.name", "t.k", F.least(F.col("t.at") + F.col("t.k"), F.col("n") - 1).alias("at"))
+    picks = F.broadcast(buckets.crossJoin(F.broadcast(targets)).where("before <= at and at < before + s").select("name", "k", "at", "b", "before"))
+    near = placed.join(picks.select("b").distinct(), "b", "left_semi").groupBy("b", "v").agg(F.sum("w").alias("w"))
+    near = near.withColumn("upto", F.sum("w").over(Window.partitionBy("b").orderBy("v")))
+    found = near.join(picks, "b").where("before + upto - w <= at and at < before + upto")
+    value = lambda name, k: F.max(F.when((F.col("name") == name) & (F.col("k") == k), F.col("v")))
+    pairs = found.agg(*(value(name, k).alias(f"{name}_{k}") for name in shares for k in (0, 1))).crossJoin(ends.select("n"))
+    return pairs.select(*((F.col(f"{name}_0") + (place(q) - F.floor(place(q))) * (F.col(f"{name}_1") - F.col(f"{name}_0"))).alias(name) for name, q in shares.items()))

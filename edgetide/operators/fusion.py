@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, Q
+from ..functions import DAY, Q, quantiles
 from .rank import margins, qnorm, rank_pct, reorder_unseen, softmaxed, unique_max, z
 from .support import windowed_support
 
@@ -100,7 +100,7 @@ def apply_gate(df: DataFrame, base: str, new: str, gate: str, out: str = "score"
     """gate: all, pair_new (unseen cells), row_no_seen (rows without a seen cell) or low_margin (up to the median margin)."""
     if gate == "low_margin":
         df = margins(df.withColumn("__b", F.col(base)), "__b").drop("from_top", "winner_gap", "__b")
-        median = df.groupBy("qid").agg(F.first("margin").alias("m")).agg(F.percentile("m", 0.5).alias("__median"))
+        median = quantiles(df.groupBy("qid").agg(F.first("margin").alias("m")), "m", {"__median": 0.5})
         df = df.crossJoin(F.broadcast(median))
         on = F.col("margin") <= F.col("__median")
     else:

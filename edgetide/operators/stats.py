@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import DAY, day_of_week, hour_of_day, running
+from ..functions import DAY, day_of_week, hour_of_day, quantiles, running
 from .history import decay
 
 
@@ -119,5 +119,5 @@ def pool_excess(cands: DataFrame, n_items: DataFrame, thetas: tuple[float, ...]
 
 
 def score_quantiles(scores: DataFrame, col: str = "score") -> DataFrame:
-    return scores.agg(*(F.percentile(col, q).alias(f"q{round(100 * q):02d}") for q in (0.01, 0.1, 0.5, 0.9, 0.99)))
+    return quantiles(scores, col, {f"q{round(100 * q):02d}": q for q in (0.01, 0.1, 0.5, 0.9, 0.99)})
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY
+from ..functions import DAY, quantiles
 from .rank import qnorm
 
 
@@ -161,23 +161,24 @@ def community_presence(cands: DataFrame, users: DataFrame, top: float = 0.1) ->
     """Cells whose item another source has at the same time, for the most similar share of such pairs of sources.
 
     Pairs of rows with one time and item, different known sources; their user vectors' cosine must reach the
-    value at the top share (linear quantile). Rows are distinct cells, so pairs meet on (time, item) alone;
-    the cosine is taken once for each two sources, and AQE splits a hot key. Returns the marked (qid, col), repeated items of a row included.
+    value at the top share (linear quantile over pairs of rows). Rows are folded to one a (time, item, source), so what
+    meets is pairs of sources, weighted by their rows; the cosine is taken once for each two sources. Returns the
+    marked (qid, col), repeated items of a row included.
     """
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     u = users.where(norm > 0).select(F.col("id").alias("src"), F.transform("vec", lambda x: x / norm).alias("vec"))
     cells = distinct_occurrences(cands).join(u.select("src"), "src", "left_semi")
-    a = cells.select("time", "cand", F.col("qid").alias("qid_a"), F.col("src").alias("src_a"))
-    b = cells.select("time", "cand", F.col("qid").alias("qid_b"), F.col("src").alias("src_b"))
-    pairs = a.join(b, ["time", "cand"]).where("qid_a < qid_b and src_a <> src_b")
+    folded = cells.groupBy("time", "cand", "src").agg(F.count("*").alias("n"))
+    side = lambda k: folded.select("time", "cand", F.col("src").alias(f"src_{k}"), F.col("n").alias(f"n_{k}"))
+    pairs = side("a").join(side("b"), ["time", "cand"]).where("src_a < src_b")
     sides = [u.select(F.col("src").alias(f"src_{k}"), F.col("vec").alias(f"vec_{k}")) for k in "ab"]
     cos = F.aggregate(F.zip_with("vec_a", "vec_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    known = pairs.select("src_a", "src_b").distinct().join(sides[0], "src_a").join(sides[1], "src_b").select("src_a", "src_b", F.round(cos, 9).alias("cos"))
-    pairs = pairs.join(known, ["src_a", "src_b"]).select("time", "cand", "qid_a", "qid_b", "cos")
-    level = F.broadcast(pairs.agg(F.percentile("cos", 1 - top).alias("level")))
-    good = pairs.crossJoin(level).where("cos >= level")
-    hit = good.select(F.col("qid_a").alias("qid"), "cand").union(good.select(F.col("qid_b").alias("qid"), "cand")).distinct()
-    return cands.join(hit, ["qid", "cand"], "left_semi").select("qid", "col", "cand")
+    weighed = pairs.groupBy("src_a", "src_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+    known = weighed.join(sides[0], "src_a").join(sides[1], "src_b").select("src_a", "src_b", "n", F.round(cos, 9).alias("cos"))
+    level = F.broadcast(quantiles(known, "cos", {"level": 1 - top}, "n"))
+    good = pairs.join(known.crossJoin(level).where("cos >= level").select("src_a", "src_b"), ["src_a", "src_b"])
+    hit = good.select("time", "cand", F.explode(F.array("src_a", "src_b")).alias("src")).distinct()
+    return cands.join(hit, ["time", "cand", "src"], "left_semi").select("qid", "col", "cand")
 
 
 def support_features(cands: DataFrame, same_source: bool = True) -> DataFrame:
