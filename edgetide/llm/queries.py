@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from . import bpe, token_files
 from .ann import nearest
+from .conversations import conversation_digests, plan_repairs, repair_report, repaired_rows
 from .licenses import scan_licenses
 from .lm import score_documents
 from .mixing import mix
 from .near_dup import near_duplicates
 from .secrets import KINDS, scan_secrets
+from .simhash import simhash_duplicates
 from .topk import top_inner_products
 from .toxicity import fit_toxicity, score_toxicity
+from .whitening import whiten_embeddings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +91,48 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), place(F.array_min).alias("first_word"), place(F.array_max).alias("last_word"), "base_labels", "labels", "score")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` rows damaged by crc32 of ``conv_id:turn`` modulo 20, nulls as one space; a dropped row stays as
+    ``gone`` so that its conversation does."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), (F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20).alias("hit"))
+    rows = rows.select("conv_id", "turn", "role", "text", "hit", F.explode(F.when(F.col("hit") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("hit") == 0).alias("gone"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    rows = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    plans = plan_repairs(rows)
+    digests = conversation_digests(repaired_rows(rows, plans)).withColumnRenamed("sha256", "repaired_sha256")
+    found = repair_report(plans).join(digests, ["has_id", "id"], "left").drop("has_id", "id")
+    return found.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
+def op12_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, at most two differing bits."""
+    found = simhash_duplicates(_documents(spark, sf_dir), shingle=3, apart=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 whitened components of every vector."""
+    rows, m = whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=64, shift=1_000_000, most=16)
+    shares = [float(e) / m.trace for e in m.values] if m else []
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    share = F.element_at(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("place") + 1)
+    return each.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(m.n if m else 0).cast("long").alias("n"), "deviation", "whitened",
+        share.alias("explained"), F.lit(m.identity_error if m else None).cast("double").alias("identity_error"),
+    )
+
+
 def queries() -> dict:
     found = (
         op1_minhash_near_dedup, op2_bpe_forced_boundaries, op3_token_wavelet_files, op4_source_mixing, op5_multiprobe_ann,
         op6_toxicity_ordinal, op7_lm_backoff_automaton, op8_secret_ownership, op9_ball_tree_topk, op10_license_templates,
+        op11_conversation_repair, op12_simhash_covering, op13_bit_sliced_whitening,
     )
     return {f.__name__: f for f in found}
 
@@ -167,6 +208,52 @@ scored AS (
   FROM asked q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hits AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) % 20 AS hit
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN hit = 0 THEN [] WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hits),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+faulty AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'ok' END AS fault FROM ordered),
+told AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+inserted(s, mid, cost, letters, put) AS (VALUES
+  (0, 0, 0, '', []), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 3, 'I', ['user:']), (1, 3, 6, 'II', ['user:', 'assistant:']),
+  (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']), (2, 2, 6, 'II', ['assistant:', 'user:']), (3, 3, 0, '', []), (3, 2, 3, 'I', ['user:']), (3, 3, 6, 'II', ['user:', 'assistant:'])),
+edits(letter, c, mid, goes, cost, said) AS (VALUES
+  ('K', 's', 0, 1, 0, NULL), ('K', 'u', 0, 2, 0, NULL), ('K', 'u', 1, 2, 0, NULL), ('K', 'u', 3, 2, 0, NULL), ('K', 'a', 2, 3, 0, NULL),
+  ('R', NULL, 0, 2, 3, 'user'), ('R', NULL, 1, 2, 3, 'user'), ('R', NULL, 3, 2, 3, 'user'), ('R', NULL, 2, 3, 3, 'assistant')),
+paths(conv_id, i, state, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'said': CAST([] AS VARCHAR[])} FROM conversations
+  UNION ALL
+  SELECT conv_id, i, goes, min(best) FROM (
+    SELECT p.conv_id, f.i, p.state AS goes, {'cost': p.best.cost + 4, 'audit': p.best.audit || 'D', 'said': p.best.said} AS best
+    FROM paths p JOIN faulty f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1
+    UNION ALL
+    SELECT p.conv_id, f.i, e.goes, {'cost': p.best.cost + n.cost + e.cost + CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END,
+      'audit': p.best.audit || n.letters || e.letter, 'said': list_append(list_concat(p.best.said, CAST(n.put AS VARCHAR[])), coalesce(e.said, f.role) || ':' || f.text)} AS best
+    FROM paths p JOIN faulty f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1 AND f.fault IN ('ok', 'truncated')
+    JOIN inserted n ON n.s = p.state JOIN edits e ON e.mid = n.mid AND (e.c IS NULL OR e.c = f.c)) GROUP BY ALL),
+ended AS (
+  SELECT p.conv_id, min({'cost': p.best.cost + n.cost, 'audit': p.best.audit || n.letters, 'said': list_concat(p.best.said, CAST(n.put AS VARCHAR[]))}) AS best
+  FROM paths p LEFT JOIN told t ON p.conv_id IS NOT DISTINCT FROM t.conv_id JOIN inserted n ON n.s = p.state AND n.mid IN (0, 3)
+  WHERE p.i = coalesce(t.n, 0) GROUP BY p.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(array_to_string(e.best.said, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN told t ON e.conv_id IS NOT DISTINCT FROM t.conv_id""",
 }
 
 
