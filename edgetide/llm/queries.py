@@ -175,11 +175,11 @@ lanes AS (
   SELECT *, CAST(round(target) AS BIGINT) AS take, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM targets),
 mixed AS (SELECT CAST(sum(take) AS BIGINT) AS words, greatest(1, least(256, CAST(sum(take) AS BIGINT) // 262144)) AS block FROM lanes),
 edges AS (
-  SELECT l.*, m.block, -(-l.source_size // m.block) AS blocks,
+  SELECT l.*, m.block, (l.source_size + m.block - 1) // m.block AS blocks,
     CAST(floor(CAST(coalesce(sum(take) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / m.words * 2147483648.0) AS BIGINT) AS low
   FROM lanes l, mixed m),
 spans AS (SELECT *, lead(low, 1, 2147483648) OVER (ORDER BY sid) AS high FROM edges),
-points AS (SELECT slot, slot % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(-(-words // block))) AS slot FROM mixed)),
+points AS (SELECT slot, slot % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range((words + block - 1) // block)) AS slot FROM mixed)),
 named AS (
   SELECT s.sid, s.blocks, p.slot, row_number() OVER (PARTITION BY s.sid ORDER BY p.slot) - 1 AS rank
   FROM points p JOIN spans s ON p.point >= s.low AND p.point < s.high),

@@ -166,15 +166,33 @@ def test_mixing_follows_its_points(spark):
     assert {i: (r.taken, r.first_slot) for i, r in got.items()} == {i: (taken[i], first.get(i)) for i in got}
 
 
-@pytest.mark.parametrize("name", list(Q.SQL))
-def test_queries_match_their_sql(spark, tables, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
-    want = con.execute(Q.SQL[name])
+def same_rows(df, con, sql):
+    want = con.execute(sql)
     names = [c[0] for c in want.description]
     plain = lambda row: tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in row)
-    assert sorted(plain(r[n] for n in names) for r in Q.queries()[name](spark, tables).collect()) == sorted(map(plain, want.fetchall()))
+    assert sorted(plain(r[n] for n in names) for r in df.collect()) == sorted(map(plain, want.fetchall()))
+
+
+def views(sf):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", list(Q.SQL))
+def test_queries_match_their_sql(spark, name, sf):
+    same_rows(Q.queries()[name](spark, f"/root/testdata/{sf}"), views(sf), Q.SQL[name])
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_mixing_matches_its_sql_at_large_blocks(spark, block):
+    """The block length of a corpus of 67 million words and more, and an odd one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sized = "greatest(1, least(256, CAST(sum(take) AS BIGINT) // 262144))"
+    assert Q.SQL["op4_source_mixing"].count(sized) == 1
+    same_rows(mix(docs, block=block, slots=1).drop("source"), views("sf0.01"), Q.SQL["op4_source_mixing"].replace(sized, str(block)))
 
 
 def test_toxicity_on_held_out_labels(spark, tables):
