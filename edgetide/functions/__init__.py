@@ -51,6 +51,23 @@ def running(rows: DataFrame, value: str, order: list[str], bucket: Column, name:
     return out.drop("__bucket", "__base")
 
 
+def range_counts(points: DataFrame, keys: list[str], frames: dict[str, tuple[int, int]]) -> DataFrame:
+    """(keys, time, <frame names>) of probes: the weight of the key's points at times in [time + a, time + b].
+
+    ``points(keys, time, n, probe)`` are folded to one row a second of a key, so that a hot key costs seconds, not rows. Time
+    is cut into buckets as long as the frames reach, and a row is copied into the one neighbour that can see it; a task then
+    holds one (key, bucket), at most two reaches of seconds.
+    """
+    low, high = min(0, *(a for a, _ in frames.values())), max(0, *(b for _, b in frames.values()))
+    width = max(high - low, 3600)
+    at = lambda shift: F.floor((F.col("time") + F.lit(shift)) / width)
+    folded = points.groupBy(*keys, "time").agg(F.sum("n").alias("n"), F.max("probe").alias("probe"))
+    seen = folded.withColumn("__bucket", F.explode(F.sequence(at(-high), at(-low))))
+    order = Window.partitionBy(*keys, "__bucket").orderBy("time")
+    counts = (F.coalesce(F.sum("n").over(order.rangeBetween(*f)), F.lit(0)).alias(name) for name, f in frames.items())
+    return seen.select(*keys, "time", "probe", (F.col("__bucket") == at(0)).alias("__own"), *counts).where("__own and probe = 1").drop("__own", "probe")
+
+
 def dense_index(ids: DataFrame, col: str, name: str = "idx", width: int = 1 << 16) -> DataFrame:
     """Distinct integer ids with their place from 0 in ascending order."""
     one = ids.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__one", F.lit(1))

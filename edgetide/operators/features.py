@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import day_of_week, dot, hour_of_day, recency
+from ..functions import DAY, day_of_week, dot, hour_of_day, recency
 from .stats import dst_histograms, dst_stats, pair_stats, src_stats
 
 CAUSAL = ["pair_log_count", "pair_recency", "pair_seen", "src_log_count", "src_recency", "src_seen", "dst_log_count", "dst_recency", "dst_seen", "pair_share_src", "pair_share_dst"]
@@ -39,23 +39,38 @@ def reverse_pair(cands: DataFrame, hist: DataFrame) -> DataFrame:
     return rows.select("qid", "col", F.log1p(F.coalesce("__n", F.lit(0))).alias("back_log_count"), F.when(F.col("__n").isNull(), 0.0).otherwise(recency(F.col("time") - F.col("__last"))).alias("back_recency"))
 
 
-def history_asof(queries: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def history_asof(queries: DataFrame, edges: DataFrame, k: int, width: int = DAY) -> DataFrame:
     """(qid, src, time, items, gaps): the last k items of the source strictly before the query, oldest first, with log1p(seconds ago).
 
-    One sort of edges and queries together tells how many edges precede each query; every edge carries the
-    list of the k up to it, and the query is joined to the list of its last edge. Linear in edges and
-    queries however many queries a source has. Queries without history have empty lists.
+    Time is cut into buckets of ``width`` seconds, and no task holds more of a source than one of them. Within a bucket one
+    sort of edges and queries together tells how many of its edges precede each query, and lists are made for those
+    places only. What a bucket starts with are the last k edges of the nearest bucket before it that has any, found over
+    one row a bucket. Linear in edges and queries. Queries without history have empty lists.
     """
-    order = Window.partitionBy("src").orderBy("time", "seq")
-    number = F.row_number().over(order).cast("long")
-    pair = F.struct(F.col("dst").alias("item"), "time")
-    lists = edges.select("src", number.alias("n"), F.collect_list(pair).over(order.rowsBetween(-(k - 1), 0)).alias("recent"))
-    one = edges.select("src", "time", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("qid"))
-    both = one.unionByName(queries.select("src", "time", F.lit(0).alias("kind"), "qid"))
-    before = F.sum("kind").over(Window.partitionBy("src").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asked = both.withColumn("n", before).where("kind = 0").join(lists, ["src", "n"], "left")
-    recent = F.coalesce("recent", F.array().cast("array<struct<item:long,time:long>>"))
-    return asked.select("qid", "src", "time", F.transform(recent, lambda x: x["item"]).alias("items"), F.transform(recent, lambda x: F.log1p(F.col("time") - x["time"])).alias("gaps"))
+    bucket = F.floor(F.col("time") / width).alias("b")
+    item = F.struct("time", "seq", F.col("dst").alias("item"))
+    clipped = lambda a: F.slice(a, F.greatest(F.size(a) - k, F.lit(0)) + 1, F.lit(k))
+    edges, queries = edges.select("src", bucket, "time", "seq", "dst"), queries.select("src", bucket, "time", "qid")
+
+    newest = Window.partitionBy("src", "b").orderBy(F.desc("time"), F.desc("seq"))
+    tails = edges.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= k).groupBy("src", "b").agg(F.array_sort(F.collect_list(item)).alias("tail"))
+    buckets = Window.partitionBy("src").orderBy("b")
+    upto = tails.select("src", "b", clipped(F.flatten(F.collect_list("tail").over(buckets.rowsBetween(-(k - 1), 0)))).alias("upto"), F.lit(False).alias("asked"))
+    marks = upto.union(queries.select("src", "b").distinct().select("src", "b", F.lit(None), F.lit(True)))
+    carried = marks.withColumn("carried", F.last("upto", True).over(buckets.rangeBetween(Window.unboundedPreceding, -1))).where("asked").select("src", "b", "carried")
+
+    none = F.lit(None).cast("long")
+    both = edges.select("*", F.lit(1).alias("kind"), none.alias("qid")).union(queries.select("src", "b", "time", none, none, F.lit(0), "qid"))
+    before = Window.partitionBy("src", "b").orderBy("time", "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("n", F.sum("kind").over(before))
+    asked = placed.where("kind = 0").select("qid", "src", "b", "time", "n")
+    wanted = asked.where("n > 0").select("src", "b", F.col("n").alias("upto")).distinct()
+    wanted = wanted.select("src", "b", "upto", F.explode(F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1)), "upto")).alias("n"))
+    lists = wanted.join(placed.where("kind = 1").select("src", "b", "n", item.alias("e")), ["src", "b", "n"]).groupBy("src", "b", F.col("upto").alias("n")).agg(F.array_sort(F.collect_list("e")).alias("own"))
+    empty = F.array().cast("array<struct<time:bigint,seq:bigint,item:bigint>>")
+    recent = clipped(F.concat(F.coalesce("carried", empty), F.coalesce("own", empty)))
+    found = asked.join(lists, ["src", "b", "n"], "left").join(carried, ["src", "b"], "left").withColumn("recent", recent)
+    return found.select("qid", "src", "time", F.transform("recent", lambda x: x["item"]).alias("items"), F.transform("recent", lambda x: F.log1p(F.col("time") - x["time"])).alias("gaps"))
 
 
 def history_static(hist: DataFrame, k: int = 8) -> DataFrame:
@@ -65,11 +80,18 @@ def history_static(hist: DataFrame, k: int = 8) -> DataFrame:
     return rows.select("src", "pos", F.col("dst").alias("item"), F.exp(-F.col("pos") / 3.0).alias("weight"))
 
 
-def transitions(hist: DataFrame) -> DataFrame:
-    """(prev, next, cnt) of adjacent items of a source where the later is strictly later."""
-    order = Window.partitionBy("src").orderBy("time", "seq")
-    rows = hist.withColumn("next", F.lead("dst").over(order)).withColumn("next_time", F.lead("time").over(order))
-    return rows.where("next_time > time").groupBy(F.col("dst").alias("prev"), "next").agg(F.count("*").alias("cnt"))
+def transitions(hist: DataFrame, width: int = DAY) -> DataFrame:
+    """(prev, next, cnt) of adjacent items of a source where the later is strictly later.
+
+    Neighbours within a bucket of ``width`` seconds are met in it, those across buckets by one row a bucket.
+    """
+    rows = hist.select("src", F.floor(F.col("time") / width).alias("b"), "time", "seq", "dst")
+    order = Window.partitionBy("src", "b").orderBy("time", "seq")
+    inner = rows.select(F.col("dst").alias("prev"), F.lead("dst").over(order).alias("next"), "time", F.lead("time").over(order).alias("next_time")).where("next_time > time").select("prev", "next")
+    whole = F.struct("time", "seq", "dst")
+    ends = rows.groupBy("src", "b").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
+    across = ends.select(F.col("last.dst").alias("prev"), F.lead("first").over(Window.partitionBy("src").orderBy("b")).alias("next")).where("next is not null")
+    return inner.union(across.select("prev", "next.dst")).groupBy("prev", "next").agg(F.count("*").alias("cnt"))
 
 
 def transition_score(cands: DataFrame, hist: DataFrame) -> DataFrame:

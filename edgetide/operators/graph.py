@@ -209,13 +209,19 @@ def neighbor_similarity(cands: DataFrame, hist: DataFrame, cap: int = 32) -> Dat
 
 
 def session_graph(hist: DataFrame, lags: int = 4, window: int = 1800) -> DataFrame:
-    """(i, j, cnt): items of a source at most ``lags`` apart in order and ``window`` seconds in time, both directions."""
-    order = Window.partitionBy("src").orderBy("time", "seq")
+    """(i, j, cnt): items of a source at most ``lags`` apart in order and ``window`` seconds in time, both directions.
+
+    A source is met in buckets of time with the ``window`` seconds before each copied in: an earlier row is too far away.
+    """
+    width = max(4 * window, 3600)
+    own = F.floor(F.col("time") / width)
+    rows = hist.select("src", "time", "seq", "dst", own.alias("b"), F.explode(F.sequence(own, F.floor((F.col("time") + window) / width))).alias("at"))
+    order = Window.partitionBy("src", "at").orderBy("time", "seq")
     steps = range(1, lags + 1)
-    wide = hist.select(F.col("dst").alias("i"), *(F.lag("dst", k).over(order).alias(f"j{k}") for k in steps), *((F.col("time") - F.lag("time", k).over(order)).alias(f"gap{k}") for k in steps))
+    wide = rows.select("b", "at", F.col("dst").alias("i"), *(F.lag("dst", k).over(order).alias(f"j{k}") for k in steps), *((F.col("time") - F.lag("time", k).over(order)).alias(f"gap{k}") for k in steps)).where("b = at")
     near = F.explode(F.array(*(F.struct(F.col(f"j{k}").alias("j"), F.col(f"gap{k}").alias("gap")) for k in steps)))
-    rows = wide.select("i", near.alias("e")).where(F.col("e.gap").between(0, window)).select("i", "e.j")
-    return rows.union(rows.select("j", "i")).groupBy("i", "j").agg(F.count("*").alias("cnt"))
+    found = wide.select("i", near.alias("e")).where(F.col("e.gap").between(0, window)).select("i", "e.j")
+    return found.union(found.select("j", "i")).groupBy("i", "j").agg(F.count("*").alias("cnt"))
 
 
 def session_features(cands: DataFrame, graph: DataFrame, items: DataFrame, asof: DataFrame, fade: float = 0.72) -> DataFrame:

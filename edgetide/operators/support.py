@@ -1,15 +1,15 @@
 """Support of a cell by other cells of the candidate pool, in time windows; whole-pool and so transductive.
 
-No range joins: cells are deduplicated, and frames over (item; order by time in seconds) count them. With a
-pool of its own, pool rows (weight 1) and probes (weight 0) are one union under the same frame.
+No range joins: cells are deduplicated and folded to seconds, and frames over (item, bucket of time; order by seconds) count
+them. With a pool of its own, pool rows (weight 1) and probes (weight 0) are one union under the same frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, quantiles
+from ..functions import DAY, quantiles, range_counts
 from .rank import qnorm
 
 
@@ -26,30 +26,21 @@ def cross_exact(cands: DataFrame) -> DataFrame:
     return cells.join(every, ["time", "cand"]).join(own, ["src", "time", "cand"]).select("qid", "cand", (F.col("n_all") - F.col("n_own")).alias("cross"))
 
 
-def _framed(cells: DataFrame, pool: DataFrame | None, same_source: bool) -> tuple[DataFrame, Column, Window, Window]:
-    if pool is None:
-        rows, w = cells.withColumn("__w", F.lit(1)).withColumn("__probe", F.lit(1)), F.lit(1)
-    else:
-        a = cells.withColumn("__w", F.lit(0)).withColumn("__probe", F.lit(1))
-        b = distinct_occurrences(pool).select(*cells.columns).withColumn("__w", F.lit(1)).withColumn("__probe", F.lit(0))
-        rows = a.unionByName(b)
-    w = F.col("__w")
-    item = Window.partitionBy("cand").orderBy("time")
-    return rows, w, item, Window.partitionBy("cand", "src").orderBy("time")
-
-
 def windowed_support(cands: DataFrame, frames: dict[str, tuple[int, int]], same_source: bool, pool: DataFrame | None = None) -> DataFrame:
     """(qid, cand, <frame names>): pool rows with the item whose time is in [t + a, t + b], of the own source or of others.
 
-    All frames of one key run under one sort. The own row is among those counted if 0 is in the frame.
+    The own row is among those counted if 0 is in the frame. Counts are made for distinct (item, source, second) and, for
+    others, (item, second), in buckets of time, and joined back to the cells.
     """
-    rows, w, item, own = _framed(distinct_occurrences(cands), pool, same_source)
-    count = lambda win, f: F.coalesce(F.sum(w).over(win.rangeBetween(*f)), F.lit(0))
+    cells = distinct_occurrences(cands)
+    point = lambda df, n, probe: df.select("cand", "src", "time", F.lit(n).alias("n"), F.lit(probe).alias("probe"))
+    points = point(cells, 1, 1) if pool is None else point(cells, 0, 1).union(point(distinct_occurrences(pool), 1, 0))
+    own = range_counts(points, ["cand", "src"], frames)
     if same_source:
-        out = {n: count(own, f) for n, f in frames.items()}
-    else:
-        out = {n: count(item, f) - count(own, f) for n, f in frames.items()}
-    return rows.select("qid", "cand", "__probe", *(c.alias(n) for n, c in out.items())).where("__probe = 1").drop("__probe")
+        return cells.join(own, ["cand", "src", "time"]).select("qid", "cand", *frames)
+    own = own.withColumnsRenamed({n: f"__{n}" for n in frames})
+    every = range_counts(points, ["cand"], frames)
+    return cells.join(own, ["cand", "src", "time"]).join(every, ["cand", "time"]).select("qid", "cand", *((F.col(n) - F.col(f"__{n}")).alias(n) for n in frames))
 
 
 def near_support(cands: DataFrame, w: int, same_source: bool, pool: DataFrame | None = None) -> DataFrame:
@@ -73,7 +64,7 @@ def consensus(cands: DataFrame, w: int) -> DataFrame:
     """Of the item in the pool: distinct sources, distinct times within w seconds, distinct query rows but the own."""
     cells = distinct_occurrences(cands)
     sources = cells.groupBy("cand").agg(F.count_distinct("src").alias("sources"), (F.count("*") - 1).alias("rows"))
-    times = cells.select("cand", "time").distinct().withColumn("times", F.count("*").over(Window.partitionBy("cand").orderBy("time").rangeBetween(-w, w)))
+    times = range_counts(cells.select("cand", "time", F.lit(1).alias("n"), F.lit(1).alias("probe")).distinct(), ["cand"], {"times": (-w, w)})
     return cells.join(sources, "cand").join(times, ["cand", "time"]).select("qid", "cand", "sources", "times", "rows")
 
 
