@@ -11,11 +11,24 @@ def Q():  # noqa: N802
     return Window.partitionBy("qid")
 
 
+_LANE = 1 << 31
+
+
 def draw(a: Column, b: Column | int, seed: int) -> Column:
-    """A 31-bit arithmetic hash of two integers below 2**32, equal in any engine with 64-bit integers."""
+    """A 31-bit arithmetic hash of two integers of 64 bits, equal in any engine with 64-bit integers.
+
+    Both halves of ``a`` and the low one of ``b`` are reduced before each product, so nothing leaves a long.
+    """
     b = b if isinstance(b, Column) else F.lit(b)
-    first = (a * F.lit(1103515245) + b * F.lit(12345) + F.lit(seed * 2654435)) % F.lit(2147483648)
-    return (first * F.lit(48271)) % F.lit(2147483647)
+    low, high = F.pmod(a, F.lit(_LANE)), F.pmod(F.shiftright(a.cast("long"), 31), F.lit(_LANE))
+    first = (low * F.lit(1103515245) + high * F.lit(69069) + F.pmod(b, F.lit(_LANE)) * F.lit(12345) + F.lit(seed * 2654435)) % F.lit(_LANE)
+    return (first * F.lit(48271)) % F.lit(_LANE - 1)
+
+
+def drawn_place(a: Column, b: Column | int, seed: int, n: Column) -> Column:
+    """A hashed place in 0..n-1: ``draw % n``, widened by a second draw where n is more than one draw can reach."""
+    wide = draw(a, b, seed + 7777) % F.ceil(n / F.lit(float(_LANE - 1)))
+    return (draw(a, b, seed) + wide * F.lit(_LANE - 1)) % n
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -68,10 +81,26 @@ def range_counts(points: DataFrame, keys: list[str], frames: dict[str, tuple[int
     return seen.select(*keys, "time", "probe", (F.col("__bucket") == at(0)).alias("__own"), *counts).where("__own and probe = 1").drop("__own", "probe")
 
 
-def dense_index(ids: DataFrame, col: str, name: str = "idx", width: int = 1 << 16) -> DataFrame:
-    """Distinct integer ids with their place from 0 in ascending order."""
+def in_ranges(rows: DataFrame, col: str, name: str, side: int = 16) -> DataFrame:
+    """The rows with ``name``: the number, below side^2, of the range of values that ``col`` falls in.
+
+    The ends are approximate percentiles of the rows themselves, one row of a bounded array, so ranges hold about equally many
+    rows however the values are spread; values are placed by two rounds of ``side`` comparisons.
+    """
+    parts = side * side
+    cuts = rows.agg(F.percentile_approx(col, [k / parts for k in range(1, parts)], 40 * parts).alias("__cuts"))
+    tops = F.array(*(F.col("__cuts")[side * j - 1] for j in range(1, side)))
+    lows = F.array(*(F.slice("__cuts", side * j + 1, side - 1) for j in range(side)))
+    cuts = cuts.select(tops.alias("__tops"), lows.alias("__lows"))
+    upto = lambda ends: F.coalesce(F.size(F.filter(ends, lambda x: x <= F.col(col))), F.lit(0))
+    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("__top", upto("__tops"))
+    return placed.withColumn(name, (F.col("__top") * side + upto(F.col("__lows")[F.col("__top")])).cast("long")).drop("__tops", "__lows", "__top")
+
+
+def dense_index(ids: DataFrame, col: str, name: str = "idx") -> DataFrame:
+    """Distinct integer ids, of any spread over 64 bits, with their place from 0 in ascending order."""
     one = ids.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__one", F.lit(1))
-    return running(one, "__one", [col], F.floor(F.col(col) / width), name).select(col, F.col(name).cast("long").alias(name))
+    return running(in_ranges(one, col, "__range"), "__one", [col], F.col("__range"), name).select(col, F.col(name).cast("long").alias(name))
 
 
 def quantiles(rows: DataFrame, col: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:

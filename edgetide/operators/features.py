@@ -117,11 +117,13 @@ def mf_score(cands: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select("qid", "col", "cand", (F.coalesce(dot("__u", "__v"), F.lit(0.0)) + F.coalesce("__b", F.lit(0.0))).alias("score"))
 
 
-def cold_pool(hist: DataFrame) -> DataFrame:
-    """Ids inside the historical range of destinations that never occur: an anti-join of the range."""
-    low, high = hist.agg(F.min("dst"), F.max("dst")).first()
-    spark = hist.sparkSession
-    return spark.range(low or 0, (high if high is not None else -1) + 1).select(F.col("id").alias("dst")).join(hist.select("dst").distinct(), "dst", "left_anti")
+def cold_pool(hist: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Ids inside the historical range of destinations that never occur: the range, made in blocks by tasks, less the ids."""
+    ends = hist.agg(F.min("dst").alias("low"), F.max("dst").alias("high")).where("low is not null")
+    at = lambda c: F.floor(F.col(c) / block)
+    blocks = ends.withColumn("at", F.explode(F.sequence(at("low"), at("high")))).repartition("at")
+    ids = blocks.select(F.explode(F.sequence(F.greatest(F.col("at") * block, "low"), F.least(F.col("at") * block + (block - 1), "high"))).alias("dst"))
+    return ids.join(hist.select("dst").distinct(), "dst", "left_anti")
 
 
 def segments_of(cands: DataFrame, hist: DataFrame, src_hot: DataFrame, dst_hot: DataFrame) -> DataFrame:

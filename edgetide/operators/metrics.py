@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, Q, running
+from ..functions import DAY, Q, draw, running
 from .rank import topk
 
 
@@ -73,13 +73,47 @@ def order_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("n"), F.count_if("same").alias("kept"))
 
 
-def leakage_audit(edges: DataFrame, queries: DataFrame, blocks: int = 4) -> DataFrame:
-    """Per block of queries in time: first query time, last edge time the block's cut lets in, and whether it is strictly before."""
-    limits = F.broadcast(queries.agg(F.min("time").alias("t0"), F.max("time").alias("t1")))
-    rows = queries.crossJoin(limits).withColumn("block", F.least(F.floor((F.col("time") - F.col("t0")) * blocks / F.greatest(F.col("t1") - F.col("t0"), F.lit(1))), F.lit(blocks - 1)))
-    per = rows.groupBy("block").agg(F.min("time").alias("first_query"), F.count("*").alias("n"))
-    last = edges.crossJoin(F.broadcast(per.select("block", "first_query"))).where("time < first_query").groupBy("block").agg(F.max("time").alias("last_edge"))
-    return per.join(last, "block", "left").select("block", "n", "first_query", "last_edge", F.coalesce(F.col("last_edge") < F.col("first_query"), F.lit(True)).alias("ok"))
+def time_blocks(queries: DataFrame, blocks: int = 4) -> DataFrame:
+    """The queries with ``block``: which of equal parts of their time span."""
+    limits = F.broadcast(queries.agg(F.min("time").alias("__t0"), F.max("time").alias("__t1")))
+    share = F.floor((F.col("time") - F.col("__t0")) * blocks / F.greatest(F.col("__t1") - F.col("__t0"), F.lit(1)))
+    return queries.crossJoin(limits).withColumn("block", F.least(share, F.lit(blocks - 1))).drop("__t0", "__t1")
+
+
+def leakage_audit(edges: DataFrame, blocks: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Per block of ``blocks(block, time, ...)``: queries, first query, the last edge that the block's cut of ``cuts(block, cutoff)``
+    lets in, and whether it lies strictly before the first query. Cuts are given apart from the queries, so a late one shows.
+
+    Cuts are few rows; an edge is counted at the first cut that lets it in and carried on to later ones.
+    """
+    per = blocks.groupBy("block").agg(F.min("time").alias("first_query"), F.count("*").alias("n")).join(cuts, "block", "left")
+    ordered = per.select("cutoff").where("cutoff is not null").distinct().agg(F.array_sort(F.collect_list("cutoff")).alias("__cuts"))
+    first = F.element_at(F.filter("__cuts", lambda c: c > F.col("time")), 1)
+    seen = edges.select("time").crossJoin(F.broadcast(ordered)).withColumn("cutoff", F.when(F.col("time") < F.array_max("__cuts"), first)).where("cutoff is not null")
+    last = seen.groupBy("cutoff").agg(F.max("time").alias("__last"))
+    carried = per.join(last, "cutoff", "left").withColumn("last_edge", F.max("__last").over(Window.orderBy("cutoff")))
+    ok = F.coalesce(F.col("last_edge") < F.col("first_query"), F.col("cutoff").isNotNull())
+    return carried.select("block", "n", "first_query", "cutoff", "last_edge", ok.alias("ok"))
+
+
+def perturbation_audit(build: Callable[[DataFrame, DataFrame], DataFrame], edges: DataFrame, blocks: DataFrame, cuts: list[tuple[int, int]], shift: int = 1) -> DataFrame:
+    """Whether a feature frame of a block changes when edges from the block's cut on are changed: rows, changed rows, ok.
+
+    ``build(queries, edges)`` gives one row a ``qid`` with any further columns; it is run for each (block, cut) of ``cuts`` on the
+    log as it is and on one whose edges at the cut or later lead to another destination. Rows are held against each other
+    by a hash of all their columns. A frame that looks past the cut in any way that matters shows here.
+    """
+    out = None
+    for block, cut in cuts:
+        queries = blocks.where(F.col("block") == block).drop("block")
+        moved = edges.withColumn("dst", F.when(F.col("time") >= cut, F.col("dst") + shift).otherwise(F.col("dst")))
+        found = [build(queries, log) for log in (edges, moved)]
+        marks = [df.select("qid", F.xxhash64(*sorted(c for c in df.columns if c != "qid")).alias(f"m{i}")) for i, df in enumerate(found)]
+        differs = ~F.col("m0").eqNullSafe(F.col("m1"))
+        one = marks[0].join(marks[1], "qid", "full").agg(F.count("*").alias("n"), F.count_if(differs).alias("changed"))
+        one = one.select(F.lit(block).cast("long").alias("block"), F.lit(cut).cast("long").alias("cutoff"), "n", "changed", (F.col("changed") == 0).alias("ok"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def effect_by_time(a: DataFrame, b: DataFrame, queries: DataFrame, parts: int = 3) -> DataFrame:
@@ -93,11 +127,12 @@ def effect_by_time(a: DataFrame, b: DataFrame, queries: DataFrame, parts: int =
     return each.groupBy("part").agg(F.count("*").alias("n"), F.avg("ra").alias("before"), F.avg("rb").alias("after"), F.avg("d").alias("delta"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"), share(F.col("d") > 0).alias("up"), share(F.col("d") < 0).alias("down"))
 
 
-def permutation_check(cands: DataFrame, scorer: Callable[[DataFrame], DataFrame], width: int, digits: int = 9) -> DataFrame:
-    """Cells whose score changes when the columns are reversed; one row of counts."""
-    turned = cands.withColumn("col", F.lit(width - 1) - F.col("col"))
-    back = scorer(turned).select("qid", (F.lit(width - 1) - F.col("col")).alias("col"), F.col("score").alias("other"))
-    rows = scorer(cands).select("qid", "col", "score").join(back, ["qid", "col"])
+def permutation_check(cands: DataFrame, scorer: Callable[[DataFrame], DataFrame], seed: int = 1, digits: int = 9) -> DataFrame:
+    """Cells whose score changes when each query's columns are put in a hashed order of its own; one row of counts."""
+    order = Window.partitionBy("qid").orderBy(draw(F.col("qid"), F.col("col"), seed), "col")
+    turned = cands.withColumn("__was", F.col("col")).withColumn("col", F.row_number().over(order) - 1)
+    back = scorer(turned.drop("__was")).select("qid", "col", F.col("score").alias("other")).join(turned.select("qid", "col", "__was"), ["qid", "col"])
+    rows = scorer(cands).select("qid", "col", "score").join(back.select("qid", F.col("__was").alias("col"), "other"), ["qid", "col"])
     return rows.agg(F.count("*").alias("cells"), F.count_if(F.round("score", digits) != F.round("other", digits)).alias("changed"))
 
 

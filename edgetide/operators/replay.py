@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dense_index, draw, running
+from ..functions import dense_index, draw, drawn_place, in_ranges, running
 
 
 def slots(targets: DataFrame, width: int, seed: int) -> DataFrame:
@@ -24,7 +24,7 @@ def from_index(rows: DataFrame, pool: DataFrame, n: DataFrame, seed: int, repair
 
     ``n`` is one row with the pool's size; a pool of that one item alone leaves the draw as it is.
     """
-    at = rows.crossJoin(F.broadcast(n.select(F.col("n").alias("__n")))).withColumn("idx", draw(F.col("qid"), F.col("col"), seed) % F.col("__n"))
+    at = rows.crossJoin(F.broadcast(n.select(F.col("n").alias("__n")))).withColumn("idx", drawn_place(F.col("qid"), F.col("col"), seed, F.col("__n")))
     got = at.join(pool.select(F.col("dst").alias("__a"), "idx"), "idx", "left")
     if not repair:
         return _done(got, F.col("__a"))
@@ -33,14 +33,11 @@ def from_index(rows: DataFrame, pool: DataFrame, n: DataFrame, seed: int, repair
 
 
 def sample_groups(targets: DataFrame, edges: DataFrame, width: int, seed: int) -> DataFrame:
-    """Negatives from the pool with multiplicity: an edge's destination for each edge; a positive drawn takes the next other item."""
-    order = running(edges.withColumn("one", F.lit(1)), "one", ["dst", "seq"], F.floor(F.col("dst") / 64), "idx").select("dst", "idx")
-    per = order.groupBy("dst").agg((F.max("idx") + 1).alias("end"))
-    n = order.agg(F.count("*").alias("n"))
-    rows = slots(targets, width, seed).crossJoin(F.broadcast(n.select(F.col("n").alias("__n")))).withColumn("idx", draw(F.col("qid"), F.col("col"), seed) % F.col("__n"))
-    a = rows.join(order.withColumnRenamed("dst", "__a"), "idx").join(per.select(F.col("dst").alias("__a"), F.col("end").alias("__end")), "__a")
-    b = a.withColumn("idx", F.col("__end") % F.col("__n")).join(order.withColumnRenamed("dst", "__b"), "idx")
-    return _done(b, F.when(F.col("__a") == F.col("positive"), F.col("__b")).otherwise(F.col("__a")))
+    """Negatives from the pool with multiplicity: an edge's destination for each edge; a positive drawn takes the next other item.
+
+    A destination is one interval as long as its count, so no edge is numbered, hot destination or not.
+    """
+    return replay_weighted(targets, edges.groupBy("dst").agg(F.count("*").alias("w")), width, seed)
 
 
 def replay_history(targets: DataFrame, hist: DataFrame, width: int, seed: int) -> DataFrame:
@@ -55,29 +52,29 @@ def replay_history_cold(targets: DataFrame, hist: DataFrame, cold: DataFrame, wi
     sizes = warm.agg(F.count("*").alias("nw")).crossJoin(F.broadcast(new.agg(F.count("*").alias("nc"))))
     rows = slots(targets, width, seed).crossJoin(F.broadcast(sizes))
     rows = rows.withColumn("is_cold", (draw(F.col("qid"), F.col("col"), seed + 1) % 1000 < int(share * 1000)) & (F.col("nc") > 0))
-    rows = rows.withColumn("idx", draw(F.col("qid"), F.col("col"), seed) % F.when(F.col("is_cold"), F.col("nc")).otherwise(F.col("nw")))
+    rows = rows.withColumn("idx", drawn_place(F.col("qid"), F.col("col"), seed, F.when(F.col("is_cold"), F.col("nc")).otherwise(F.col("nw"))))
     pool = warm.withColumn("is_cold", F.lit(False)).union(new.withColumn("is_cold", F.lit(True)))
     a = rows.join(pool.withColumnRenamed("dst", "__a"), ["is_cold", "idx"])
     b = a.withColumn("idx", (F.col("idx") + 1) % F.when(F.col("is_cold"), F.col("nc")).otherwise(F.col("nw"))).join(pool.withColumnRenamed("dst", "__b"), ["is_cold", "idx"])
     return _done(b, F.when(F.col("__a") == F.col("positive"), F.col("__b")).otherwise(F.col("__a")))
 
 
-def replay_weighted(targets: DataFrame, weights: DataFrame, width: int, seed: int, cells: int = 1024) -> DataFrame:
+def replay_weighted(targets: DataFrame, weights: DataFrame, width: int, seed: int) -> DataFrame:
     """Draws in proportion to ``weights(dst, w)``: intervals of the running total, found by an equi-join on a grid cell.
 
-    w is a positive integer. The point is hash % total; a draw of the positive takes the item whose
-    interval follows (the first after the last).
+    w is a positive integer. The point is a hash below the total; a draw of the positive takes the item whose
+    interval follows (the first after the last). The grid has some four cells an item, so a point meets about one.
     """
-    at = running(weights, "w", ["dst"], F.floor(F.col("dst") / 65_536), "low").select("dst", "low", (F.col("low") + F.col("w")).alias("high"))
-    total = weights.agg(F.sum("w").alias("total"))
-    step = F.floor(F.col("total") / cells) + 1
+    at = running(in_ranges(weights, "dst", "__range"), "w", ["dst"], F.col("__range"), "low").select("dst", "low", (F.col("low") + F.col("w")).alias("high"))
+    total = weights.agg(F.sum("w").alias("total"), F.count("*").alias("items"))
+    step = F.floor(F.col("total") / (4 * F.col("items"))) + 1
     at = at.crossJoin(F.broadcast(total)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor((F.col("high") - 1) / step))))
 
     def found(rows: DataFrame, point: str, name: str) -> DataFrame:
         grid = at.select(F.col("dst").alias(name), "low", F.col("high").alias(f"{name}_end"), "cell")
         return rows.withColumn("cell", F.floor(F.col(point) / step)).join(grid, "cell").where(F.col(point).between(F.col("low"), F.col(f"{name}_end") - 1)).drop("cell", "low")
 
-    rows = slots(targets, width, seed).crossJoin(F.broadcast(total)).withColumn("p", draw(F.col("qid"), F.col("col"), seed) % F.col("total"))
+    rows = slots(targets, width, seed).crossJoin(F.broadcast(total)).withColumn("p", drawn_place(F.col("qid"), F.col("col"), seed, F.col("total")))
     a = found(rows, "p", "__a").withColumn("p2", F.col("__a_end") % F.col("total"))
     b = found(a, "p2", "__b")
     return _done(b, F.when(F.col("__a") == F.col("positive"), F.col("__b")).otherwise(F.col("__a")))
@@ -100,7 +97,7 @@ def replay_rows(targets: DataFrame, queries: DataFrame, seed: int) -> DataFrame:
     """Whole rows: a hashed existing query's candidates (``queries(qid, cands)``) with the positive put in."""
     pool = dense_index(queries.select("qid"), "qid").join(queries.select("qid", "cands"), "qid").select("idx", "cands")
     n = F.broadcast(pool.agg(F.count("*").alias("__n")))
-    rows = targets.crossJoin(n).withColumn("idx", draw(F.col("qid"), 5, seed) % F.col("__n")).join(pool, "idx")
+    rows = targets.crossJoin(n).withColumn("idx", drawn_place(F.col("qid"), 5, seed, F.col("__n"))).join(pool, "idx")
     rows = rows.withColumn("label_col", (draw(F.col("qid"), 777, seed) % F.size("cands")).cast("int"))
     put = F.transform("cands", lambda x, i: F.when(i == F.col("label_col"), F.col("dst")).otherwise(x))
     return rows.select("qid", "src", "time", "label_col", put.alias("cands"))

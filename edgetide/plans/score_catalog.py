@@ -90,6 +90,19 @@ register("s10_fingerprint")(lambda s, d: sources.fingerprint(E(s, d)))
 
 _OUT = "qid, src, time, col, cand, is_pos"
 register("r1_sample_groups", f"SELECT {_OUT} FROM drawn", "slots", "hist", ctes=f"mp AS (SELECT dst, row_number() OVER (ORDER BY dst, seq) - 1 AS idx FROM hist), me AS (SELECT dst, max(idx) + 1 AS e FROM mp GROUP BY dst), mn AS (SELECT count(*) AS n FROM hist), drawn AS (SELECT s.qid, s.src, s.time, s.col, {cells('s', 'a.dst', 'b.dst')} FROM slots s, mn JOIN mp a ON a.idx = {draw('s.qid', 's.col', SEED)} % mn.n JOIN me ON me.dst = a.dst JOIN mp b ON b.idx = me.e % mn.n)")(lambda s, d: replay.sample_groups(T(s, d), H(s, d), WIDTH, SEED))
+
+
+def r2_replay_from_files(s: SparkSession, d: str) -> DataFrame:
+    """The log from CSV files of many splits, numbered as read, through sample_targets and replay: MRR-ready cells by position."""
+    path = folder(s, "edge-files")
+    split_edges(s, d).select("src", "dst", "time", "split").repartition(4).write.option("header", True).csv(path)
+    read = sources.read_edges(s, path)
+    rows = replay.replay_history(read.where("split = 1").withColumnRenamed("seq", "qid"), read.where("split = 0"), WIDTH, SEED)
+    per = rows.groupBy("qid", "src", "time").agg(F.max(F.when(F.col("is_pos"), F.col("cand"))).alias("dst"), F.count("*").alias("cells"), F.count_if("is_pos").alias("positives"))
+    return per.groupBy("src", "dst", "time", "cells", "positives").agg(F.count("*").alias("n"))
+
+
+register("r2_replay_from_files", f"SELECT src, dst, time, {WIDTH}::BIGINT AS cells, 1::BIGINT AS positives, count(*) AS n FROM tgt GROUP BY ALL", "tgt")(r2_replay_from_files)
 register("r2_replay_history", f"SELECT {_OUT} FROM cands", "cands")(frames.replayed)
 _some = lambda s, d: H(s, d).where("dst % 3 <> 1")
 _COLD = f"""h3 AS (SELECT * FROM hist WHERE dst % 3 <> 1), wp AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS idx FROM (SELECT DISTINCT dst FROM h3)), cp AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS idx FROM (SELECT r.range AS dst FROM range((SELECT min(dst) FROM h3), (SELECT max(dst) + 1 FROM h3)) r WHERE r.range NOT IN (SELECT dst FROM h3))),
@@ -255,14 +268,69 @@ def bumped(s: SparkSession, d: str) -> DataFrame:
 
 _BR = "br AS (SELECT qid, col, score AS s0, score + CASE WHEN col = 0 AND qid % 2 = 0 THEN 100 ELSE 0 END AS s1 FROM scored), bq AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s0 DESC, col) AS r0, row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, col) AS r1 FROM br)"
 register("e6_change_report", 'SELECT count(*) AS "rows", count(*) FILTER (WHERE moved > 1e-12) AS changed, count(*) FILTER (WHERE o > 1) AS best_changed, avg(o) AS mean_old_rank, max(moved) AS max_moved, max(se) AS max_sum_error FROM (SELECT qid, max(CASE WHEN r1 = 1 THEN r0 END) AS o, max(abs(s1 - s0)) AS moved, abs(sum(s1) - sum(s0)) AS se FROM bq GROUP BY qid)', "scored", ctes=_BR, doubles="mean_old_rank max_moved max_sum_error")(lambda s, d: metrics.change_report(S(s, d), bumped(s, d)))
-register("e7_order_preserved", "SELECT count(DISTINCT qid) AS n, count(DISTINCT qid) AS kept FROM scored", "scored")(lambda s, d: metrics.order_preserved(S(s, d), bumped(s, d)))
+
+
+def scrambled(s: SparkSession, d: str) -> DataFrame:
+    """Scores turned round in every third query."""
+    return S(s, d).withColumn("score", F.when(F.col("qid") % 3 == 0, -F.col("score")).otherwise(F.col("score")))
+
+
+_ORDER = "SELECT count(*) AS n, count(*) FILTER (WHERE same) AS kept FROM (SELECT qid, bool_and(r0 = r1) AS same FROM oo GROUP BY qid)"
+_order = lambda after: f"ob AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, col) AS k FROM (SELECT qid, col, score AS s0, {after} AS s1 FROM scored)), oo AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s0 DESC, col) AS r0, row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, col) AS r1 FROM ob WHERE k > 1)"
+register("e7_order_preserved", _ORDER, "scored", ctes=_order("score + CASE WHEN col = 0 AND qid % 2 = 0 THEN 100 ELSE 0 END"))(lambda s, d: metrics.order_preserved(S(s, d), bumped(s, d)))
+register("e7_order_broken", _ORDER, "scored", ctes=_order("CASE WHEN qid % 3 = 0 THEN -score ELSE score END"))(lambda s, d: metrics.order_preserved(S(s, d), scrambled(s, d)))
 _LK = "lm AS (SELECT min(time) AS t0, max(time) AS t1 FROM tgt), bk AS (SELECT least((time - t0) * 4 // greatest(t1 - t0, 1), 3) AS block, time FROM tgt, lm), bf AS (SELECT block, count(*) AS n, min(time) AS first_query FROM bk GROUP BY block)"
-register("e8_leakage_audit", "SELECT block, n, first_query, (SELECT max(e.time) FROM edges e WHERE e.time < first_query) AS last_edge, TRUE AS ok FROM bf", "tgt", ctes=_LK)(lambda s, d: metrics.leakage_audit(E(s, d), T(s, d)))
+
+
+def audited(late: int):
+    """The blocks of the targets against cuts at their first queries, that of block 2 ``late`` seconds later."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        blocks = metrics.time_blocks(T(s, d))
+        cuts = blocks.groupBy("block").agg(F.min("time").alias("cutoff")).withColumn("cutoff", F.col("cutoff") + F.when(F.col("block") == 2, late).otherwise(0))
+        return metrics.leakage_audit(E(s, d), blocks, cuts)
+
+    return run
+
+
+for _name, _late in (("e8_leakage_audit", 0), ("e8_leakage_late_cut", DAY)):
+    _AUDIT = f"SELECT block, n, first_query, cutoff, last_edge, last_edge < first_query AS ok FROM (SELECT *, (SELECT max(e.time) FROM edges e WHERE e.time < cutoff) AS last_edge FROM (SELECT *, first_query + CASE WHEN block = 2 THEN {_late} ELSE 0 END AS cutoff FROM bf))"
+    register(_name, _AUDIT, "tgt", ctes=_LK)(audited(_late))
+
+_BLOCK = 5 * DAY
+_CUTS = [(k, CUTOFF + k * _BLOCK) for k in range(2)]
+
+
+def perturbed(frozen: bool):
+    """Counts of the destination's edges, up to the block's cut or over the whole log, with edges from the cut on changed."""
+    counts = lambda q, e: q.join(stats.dst_stats(e), "dst", "left").select("qid", "dst_cnt")
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        blocks = T(s, d).withColumn("block", F.floor((F.col("time") - CUTOFF) / _BLOCK))
+        parts = [metrics.perturbation_audit(lambda q, e, c=cut: counts(q, history.history(e, c) if frozen else e), E(s, d), blocks, [(block, cut)]) for block, cut in _CUTS]
+        return parts[0].union(parts[1])
+
+    return run
+
+
+_MOVED = f"pt AS (SELECT *, (time - {CUTOFF}) // {_BLOCK} AS block FROM tgt), pb AS (SELECT DISTINCT block, {CUTOFF} + block * {_BLOCK} AS cutoff FROM pt WHERE block < 2), pe AS (SELECT block, cutoff, e.time, e.dst AS d0, CASE WHEN e.time >= cutoff THEN e.dst + 1 ELSE e.dst END AS d1 FROM pb, edges e)"
+for _name, _upto in (("e8_perturbation_frozen", "time < cutoff"), ("e8_perturbation_leak", "TRUE")):
+    _n = lambda c, upto=_upto: f"(SELECT block, {c} AS dst, count(*) AS n FROM pe WHERE {upto} GROUP BY ALL)"
+    register(_name, f"SELECT p.block, pb.cutoff, count(*) AS n, count(*) FILTER (WHERE x.n IS DISTINCT FROM y.n) AS changed, count(*) FILTER (WHERE x.n IS DISTINCT FROM y.n) = 0 AS ok FROM pt p JOIN pb USING (block) LEFT JOIN {_n('d0')} x ON x.block = p.block AND x.dst = p.dst LEFT JOIN {_n('d1')} y ON y.block = p.block AND y.dst = p.dst GROUP BY ALL", "tgt", ctes=_MOVED)(perturbed(_name.endswith("frozen")))
 _EF = "ef AS (SELECT x.qid, 1 / x.rank AS ra, 1 / y.rank AS rb, 1 / y.rank - 1 / x.rank AS dd, t.part FROM ranked x JOIN rk2 y USING (qid) JOIN (SELECT seq AS qid, (row_number() OVER (ORDER BY time, seq) - 1) * 3 // count(*) OVER () AS part FROM tgt) t USING (qid)), eg AS (SELECT * FROM ef UNION ALL SELECT qid, ra, rb, dd, -1 FROM ef)"
 register("e8_effect_by_time", "SELECT part, count(*) AS n, avg(ra) AS before, avg(rb) AS after, avg(dd) AS delta, stddev_samp(dd) / sqrt(count(*)) AS se, avg(CAST(dd > 0 AS DOUBLE)) AS up, avg(CAST(dd < 0 AS DOUBLE)) AS down FROM eg GROUP BY part", "ranked", "tgt", ctes=_RK2 + ", " + _EF, doubles="before after delta se up down")(
     lambda s, d: metrics.effect_by_time(metrics.ranks(S(s, d)), metrics.ranks(S(s, d), "a"), T(s, d))
 )
-register("e9_permutation_check", "SELECT count(*) AS cells, 0::BIGINT AS changed FROM cands", "cands")(lambda s, d: metrics.permutation_check(C(s, d), lambda c: features.causal_features(c, H(s, d), CUTOFF).withColumn("score", features.base_score()), WIDTH))
+
+
+def permuted(weight: float):
+    """The heuristic, plus ``weight`` times the column, under a hashed order of each query's columns."""
+    score = lambda rows: rows.withColumn("score", F.round(features.base_score(), 9) + weight * F.col("col"))
+    return lambda s, d: metrics.permutation_check(C(s, d), lambda c: score(features.causal_features(c, H(s, d), CUTOFF)))
+
+
+for _name, _w in (("e9_permutation_check", 0.0), ("e9_permutation_by_column", 0.001)):
+    register(_name, f"SELECT count(*) AS cells, count(*) FILTER (WHERE round(score + {_w}::DOUBLE * col, 9) <> round(score + {_w}::DOUBLE * moved, 9)) AS changed FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {draw('qid', 'col', 1)}, col) - 1 AS moved FROM scored)", "scored")(permuted(_w))
 register("e10_acceptance", "SELECT *, CASE WHEN delta >= 0.003 AND delta > 2 * se AND down <= 0.5 THEN 'PASS' ELSE 'NO_GO' END AS decision FROM cmp", "ranked", ctes=_RK2, doubles="delta se up down top1_changed")(lambda s, d: metrics.acceptance(_pair(s, d)))
 _TOL = ["pair_new", "pair_seen", "src_hot"]
 _TL = "tl AS (" + " UNION ALL ".join(f"SELECT '{n}' AS segment, avg(1 / x.rank) AS before, avg(1 / y.rank) AS after, {t}::DOUBLE AS tolerance FROM ranked x JOIN rk2 y USING (qid) JOIN segs USING (qid) WHERE {w} HAVING count(*) > 0" for n, w, t in [("all", "TRUE", metrics.TOLERANCE["history"]), *((n, f"{n} = 1", metrics.SEGMENT_TOLERANCE) for n in _TOL)]) + ")"

@@ -6,7 +6,9 @@ from .frames import CUTOFF, SEED, WIDTH
 
 
 def draw(a: str, b: str | int, seed: int) -> str:
-    return f"(((({a} * 1103515245 + {b} * 12345 + {seed * 2654435}) % 2147483648) * 48271) % 2147483647)"
+    pmod = lambda x: f"((({x}) % 2147483648 + 2147483648) % 2147483648)"
+    high = f"CAST(floor({a} / 2147483648) AS BIGINT)"
+    return f"((({pmod(a)} * 1103515245 + {pmod(high)} * 69069 + {pmod(b)} * 12345 + {seed * 2654435}) % 2147483648 * 48271) % 2147483647)"
 
 
 def recency(delta: str) -> str:
