@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import folder
 from ..operators import features, history, replay
 
 #: 2024-01-21 UTC, about two thirds of the log.
@@ -23,16 +22,6 @@ SEED = 1
 _KEPT: dict[tuple[str, str, str], str] = {}
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the whole cluster shares; a local one only where none is named and there is no cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/edgetide/{name}-{uuid.uuid4().hex}"
-
-
 def _kept(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The frame as a table, written once an application and folder of tables, so that plans that branch off it read it
     instead of computing it for each branch; written again where the table is gone."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import DAY
-from ..operators import features, fusion, graph, history, learn, metrics, rank, replay, stats, support, tuning
+from ..operators import factors, features, fusion, graph, history, learn, metrics, rank, replay, ridge, stats, support, trees, tuning
 from . import frames
 from .catalog import _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
 from .frames import CUTOFF, ORIGIN, SEED, WIDTH, folder
@@ -363,6 +363,18 @@ def transition_mf(s: SparkSession, d: str) -> DataFrame:
 
 
 register("l4_fit_transition_mf")(transition_mf)
+
+
+def ridge_scored(s: SparkSession, d: str) -> DataFrame:
+    """Each cell's score by the items of its source's decayed profile."""
+    weights = stats.user_item_weights(H(s, d), ORIGIN, 30.0 * DAY)
+    return ridge.ridge_scores(C(s, d), weights, *ridge.fit_profile_ridge(weights, block=32), block=32)
+
+
+register("l3_ridge_scores")(ridge_scored)
+register("l3_ridge_reconstruction")(lambda s, d: metrics.mrr(metrics.ranks(ridge_scored(s, d).join(C(s, d).select("qid", "col", "is_pos"), ["qid", "col"]))))
+_POOL = lambda s, d: C(s, d).groupBy(F.col("cand").alias("dst")).agg(F.count("*").alias("w"))
+register("l5_sampled_softmax")(lambda s, d: _scored_by(s, d, factors.fit_sampled_softmax(H(s, d), _POOL(s, d))))
 _X = ["pair_log_count", "pair_recency", "src_log_count", "dst_log_count", "dst_recency", "pair_share_src", "pair_share_dst"]
 
 
@@ -372,8 +384,8 @@ def ranker(kind: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = frames.causal(s, d)
         train, test = rows.where("qid % 2 = 0"), rows.where("qid % 2 = 1")
-        if kind == "listwise":
-            found = learn.score_listwise(test, _X, learn.fit_listwise(train, _X))
+        if kind == "trees":
+            found = trees.score_trees(trees.fit_trees(train, _X), test)
         else:
             found = learn.score_ranker(learn.fit_ranker(train, _X, kind), test, _X)
         return metrics.mrr(metrics.ranks(found))
@@ -381,10 +393,35 @@ def ranker(kind: str):
     return run
 
 
-for _kind in ("logistic", "gbt", "listwise"):
+for _kind in ("logistic", "gbt", "trees"):
     register(f"l6_ranker_{_kind}")(ranker(_kind))
+
+
+def _descent(steps: int, rate: float, ridge_: float) -> str:
+    """The listwise ranker's gradient steps, one expression a step, and the ranks of the odd queries."""
+    parts = ["lt AS MATERIALIZED (SELECT *, CAST(is_pos AS DOUBLE) AS y FROM feat WHERE qid % 2 = 0)", f"w0 AS (SELECT {', '.join(f'0.0::DOUBLE AS {c}' for c in _X)})"]
+    linear = " + ".join(f"w.{c} * x.{c}" for c in _X)
+    for k in range(steps):
+        moved = ", ".join(f"w.{c} - {rate}::DOUBLE * (g.{c} / g.n + {ridge_}::DOUBLE * w.{c}) AS {c}" for c in _X)
+        parts.append(f"e{k} AS (SELECT x.*, exp(s - max(s) OVER (PARTITION BY qid)) AS e FROM (SELECT x.*, {linear} AS s FROM lt x, w{k} w) x)")
+        parts.append(f"g{k} AS (SELECT count(DISTINCT qid) AS n, {', '.join(f'sum((p - y) * {c}) AS {c}' for c in _X)} FROM (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS p FROM e{k}))")
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT {moved} FROM w{k} w, g{k} g)")
+    parts.append(f"lr AS (SELECT qid, count(*) FILTER (WHERE s > ps OR (s = ps AND col < pc)) + 1.0::DOUBLE AS rank FROM (SELECT *, max(CASE WHEN is_pos THEN s END) OVER q AS ps, max(CASE WHEN is_pos THEN col END) OVER q AS pc FROM (SELECT x.qid, x.col, x.is_pos, round({linear}, 9) AS s FROM feat x, w{steps} w WHERE qid % 2 = 1) WINDOW q AS (PARTITION BY qid)) GROUP BY qid)")
+    return ", ".join(parts)
+
+
+def listwise(s: SparkSession, d: str) -> DataFrame:
+    """Fitted on even queries, MRR on odd ones, scores compared to nine digits."""
+    rows = frames.causal(s, d)
+    found = learn.score_listwise(rows.where("qid % 2 = 1"), _X, learn.fit_listwise(rows.where("qid % 2 = 0"), _X))
+    return metrics.mrr(metrics.ranks(found.withColumn("score", F.round("score", 9))))
+
+
+register("l6_ranker_listwise", "SELECT count(*) AS n, avg(1 / rank) AS mrr, avg(CAST(rank = 1 AS DOUBLE)) AS top1 FROM lr", "feat", ctes=_descent(15, 1.0, 1e-3), doubles="mrr top1")(listwise)
 register("l7_row_context", f"SELECT qid, col, score, a, avg(score) OVER q AS score_mean, avg(a) OVER q AS a_mean, max(score) OVER q AS score_max, max(a) OVER q AS a_max, score - max(score) OVER q AS score_top, a - max(a) OVER q AS a_top FROM scored{_Q}", "scored", doubles="score a score_mean a_mean score_max a_max score_top a_top")(lambda s, d: learn.row_context(S(s, d).select("qid", "col", "score", "a"), ["score", "a"]))
-register("l8_attention_score")(lambda s, d: learn.attention_score(C(s, d), E(s, d), _items(s, d)))
+_PAST = "past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)"
+_ATT = f"{_PAST}, vs AS (SELECT vec_id // 7 AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 7 = 0), ah AS (SELECT c.qid, c.col, list_inner_product(q.v, h.v) AS qh, ln(1.0::DOUBLE + c.time - p.et) AS gap, len(q.v) AS d FROM cands c JOIN past p ON p.qid = c.qid AND p.r <= 8 JOIN vs q ON q.id = c.cand JOIN vs h ON h.id = p.dst), ae AS (SELECT qid, col, qh, exp(qh / sqrt(d) - 0.1::DOUBLE * gap) AS e FROM ah)"
+register("l8_attention_score", "SELECT c.qid, c.col, c.cand, coalesce(a.score, 0) AS score FROM cands c LEFT JOIN (SELECT qid, col, sum(e * qh) / sum(e) AS score FROM ae GROUP BY qid, col) a USING (qid, col)", "cands", ctes=_ATT, doubles="score")(lambda s, d: learn.attention_score(C(s, d), E(s, d), _items(s, d)))
 register("l8_match_history", "SELECT c.qid, c.col, count(p.dst) AS match_count, coalesce(sum(1 / (1 + ln(1.0::DOUBLE + c.time - p.et))) FILTER (WHERE p.dst IS NOT NULL), 0) AS match_recency FROM cands c LEFT JOIN past p ON p.qid = c.qid AND p.r <= 8 AND p.dst = c.cand GROUP BY c.qid, c.col", "cands", ctes="past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)", doubles="match_recency")(lambda s, d: features.match_history(C(s, d), features.history_asof(T(s, d), E(s, d), 8)))
 register("l9_row_weights", "SELECT t.seq AS qid, CASE WHEN ds.n IS NULL THEN 0 WHEN ss.n >= (SELECT greatest(1, ceil(quantile_cont(n, 0.8))) FROM ss) THEN 2 ELSE 1 END AS w FROM tgt t LEFT JOIN ss ON ss.src = t.src LEFT JOIN ds ON ds.dst = t.dst", "tgt", "stats", doubles="w")(lambda s, d: (lambda h: learn.row_weights(T(s, d), stats.src_stats(h), h, stats.hot_threshold(stats.src_stats(h), "src_cnt")))(H(s, d)))
 

@@ -6,8 +6,11 @@ import os
 import sys
 from pathlib import Path
 
-import pytest
-from pyspark.sql import SparkSession
+#: Dense results that tests compare with are small; BLAS threads beside a started JVM have been seen to hang.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
