@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import written
@@ -79,14 +79,27 @@ def _slicer(low: list[int], bits: int):
     return run
 
 
-def _spectrum(n: int, low: list[int], sums: list[int], cross: dict[tuple[int, int], int], most: int) -> Whitening:
+def _eigh(spark: SparkSession, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of one symmetric matrix, in a task: there one thread does it, beside no other of the driver's."""
+    d = len(v)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for _ in range(part.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in map(np.ascontiguousarray, np.linalg.eigh(v))], names=["values", "vectors"])
+
+    row = spark.range(1).mapInArrow(run, "values binary, vectors binary").first()
+    return np.frombuffer(row["values"]), np.frombuffer(row["vectors"]).reshape(d, d)
+
+
+def _spectrum(spark: SparkSession, n: int, low: list[int], sums: list[int], cross: dict[tuple[int, int], int], most: int) -> Whitening:
     """Eigenvectors of the covariance: n times the cross-products less the product of sums, as integers, over n squared."""
     d = len(low)
     v = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):
             v[i, j] = v[j, i] = (n * cross.get((i, j), 0) - sums[i] * sums[j]) / (n * n)
-    values, vectors = np.linalg.eigh(v)
+    values, vectors = _eigh(spark, v)
     order = [k for k in np.argsort(-values, kind="stable") if values[k] > _NONE * values[-1] and values[k] > 0][:most]
     return Whitening(n, low, sums, vectors[:, order], values[order], float(np.trace(v)))
 
@@ -114,7 +127,7 @@ def fit_whitening(fit: DataFrame, *, most: int = 16) -> Whitening | None:
             sums[r.i] += r["count"] << r.weight
         else:
             cross[r.i, r.j] = cross.get((r.i, r.j), 0) + (r["count"] << r.weight)
-    return _spectrum(n, low, sums, cross, most)
+    return _spectrum(fit.sparkSession, n, low, sums, cross, most)
 
 
 def _whitened(rows: np.ndarray, m: Whitening) -> np.ndarray:
