@@ -101,7 +101,8 @@ register("j1_causal_features", "SELECT * FROM feat", "feat", doubles=" ".join(c
 register("j2_pair_seen", "SELECT qid, col, cand, CAST(EXISTS (SELECT 1 FROM hist h WHERE h.src = c.src AND h.dst = c.cand) AS INTEGER) AS seen FROM cands c", "cands")(lambda s, d: features.pair_seen(C(s, d), H(s, d)).select("qid", "col", "cand", "seen"))
 register("j3_reverse_pair", f"SELECT qid, col, {log1p('coalesce(ps.n, 0)')} AS back_log_count, CASE WHEN ps.n IS NULL THEN 0 ELSE {recency('c.time - ps.last')} END AS back_recency FROM cands c LEFT JOIN ps ON ps.src = c.cand AND ps.dst = c.src", "cands", "stats", doubles="back_log_count back_recency")(lambda s, d: features.reverse_pair(C(s, d), H(s, d)))
 _ASOF = "past AS (SELECT t.seq AS qid, t.src, t.time, e.dst, e.time AS et, e.seq AS es, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t LEFT JOIN edges e ON e.src = t.src AND e.time < t.time)"
-register("j4_history_asof", "SELECT qid, src, time, coalesce(string_agg(CAST(dst AS VARCHAR), ',' ORDER BY et, es) FILTER (WHERE dst IS NOT NULL), '') AS items, coalesce(sum(ln(1.0::DOUBLE + time - et)), 0) AS gap_sum FROM past WHERE r <= 5 GROUP BY qid, src, time", "tgt", ctes=_ASOF, doubles="gap_sum")(
+_ASOF_BODY = "SELECT qid, src, time, coalesce(string_agg(CAST(dst AS VARCHAR), ',' ORDER BY et, es) FILTER (WHERE dst IS NOT NULL), '') AS items, coalesce(sum(ln(1.0::DOUBLE + time - et)), 0) AS gap_sum FROM past WHERE r <= 5 GROUP BY qid, src, time"
+register("j4_history_asof", _ASOF_BODY, "tgt", ctes=_ASOF, doubles="gap_sum")(
     lambda s, d: features.history_asof(T(s, d), E(s, d), 5).select("qid", "src", "time", F.array_join("items", ",").alias("items"), F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x).alias("gap_sum"))
 )
 register("j5_history_static", "SELECT src, r - 1 AS pos, dst AS item, exp(-(r - 1) / 3.0::DOUBLE) AS weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY time DESC, seq DESC) AS INTEGER) AS r FROM hist) WHERE r <= 8", "hist", doubles="weight")(lambda s, d: features.history_static(H(s, d)))

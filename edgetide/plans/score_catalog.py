@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import sources, streaming
 from ..functions import DAY
 from ..operators import factors, features, fusion, graph, history, learn, metrics, rank, replay, ridge, stats, support, trees, tuning
+from ..streaming.asof import stream_history_asof
 from . import frames
-from .catalog import _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
+from .catalog import _ASOF, _ASOF_BODY, _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
 from .frames import CUTOFF, ORIGIN, SEED, WIDTH, folder
 from .sql import cells, draw, query, slots, z
 
@@ -439,23 +440,56 @@ register("l10_node_classifier")(node_classifier)
 
 # streams
 
+#: Long after the log: the row that lets the watermark pass everything before it.
+_CLOSING = ORIGIN + 400 * DAY
+_STREAM = "src long, dst long, seq long, kind int, ts timestamp, part int"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def streamed(name: str, build, mode: str):
-    """The edge log replayed as a file stream to its end; the last result as a table."""
 
-    def run(s: SparkSession, d: str) -> DataFrame:
-        path, out = folder(s, "stream"), folder(s, f"stream-{name}")
-        E(s, d).select("src", "dst", F.timestamp_seconds("time").alias("ts"), "seq").write.parquet(path)
-        rows = build(s.readStream.schema("src long, dst long, ts timestamp, seq long").parquet(path))
-        keep = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-        q = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", folder(s, "stream-state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return s.read.schema(rows.schema).parquet(out)
+def log_stream(s: SparkSession, d: str, asked: bool = False) -> DataFrame:
+    """The edge log, and with ``asked`` the targets as queries (kind 0), as a file stream: three batches in order of time and
+    one closing edge of destination -1."""
+    path = folder(s, "stream")
+    rows = E(s, d).select("src", "dst", "time", "seq", F.lit(1).alias("kind"))
+    if asked:
+        rows = rows.union(T(s, d).select("src", F.lit(None).cast("long"), "time", F.col("qid"), F.lit(0)))
+    closing = s.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(_CLOSING).cast("long").alias("time"), F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("kind"))
+    third = F.least(F.greatest(F.floor((F.col("time") - (ORIGIN - 30 * DAY)) / (10 * DAY)), F.lit(0)), F.lit(2)).cast("int")
+    for k, part in enumerate([*(rows.where(third == i) for i in range(3)), closing]):
+        part.withColumn("ts", F.timestamp_seconds("time")).drop("time").coalesce(4 if k < 3 else 1).write.parquet(f"{path}/part={k}")
+    return s.readStream.schema(_STREAM).option("maxFilesPerTrigger", 4).parquet(path)
 
-    return run
 
+def streamed(s: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
+    """The stream run to its end; its batches, each under its number, as a table."""
+    out = folder(s, "stream-out")
+    q = rows.writeStream.outputMode(mode).foreachBatch(streaming.kept_batches(out)).option("checkpointLocation", folder(s, "stream-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(f"{rows._jdf.schema().toDDL()}, batch long").parquet(out)
 
-register("x1_stream_stats", "SELECT src, dst, count(*) AS cnt, min(time) AS first_time, max(time) AS last_time FROM edges GROUP BY src, dst", "edges")(
-    lambda s, d: streamed("stats", lambda r: streaming.stream_stats(r, ["src", "dst"]), "complete")(s, d).select("src", "dst", "cnt", F.unix_timestamp("first_ts").alias("first_time"), F.unix_timestamp("last_ts").alias("last_time"))
-)
-register("x2_stream_popularity", "SELECT time // 604800 * 604800 AS start, dst, count(*) AS cnt FROM edges GROUP BY ALL", "edges")(lambda s, d: streamed("pop", streaming.stream_popularity, "complete")(s, d).select(F.unix_timestamp("start").alias("start"), "dst", "cnt"))
+
+def x1_stream_stats(s: SparkSession, d: str) -> DataFrame:
+    kept = streamed(s, streaming.stream_stats(log_stream(s, d), ["src", "dst"]), "update")
+    return streaming.latest(kept, ["src", "dst"]).where("dst >= 0").select("src", "dst", "cnt", F.unix_timestamp("first_ts").alias("first_time"), F.unix_timestamp("last_ts").alias("last_time"))
+
+
+def x2_stream_popularity(s: SparkSession, d: str) -> DataFrame:
+    return streamed(s, streaming.stream_popularity(log_stream(s, d)), "append").select(F.unix_timestamp("start").alias("start"), "dst", "cnt")
+
+
+def x3_stream_history_asof(s: SparkSession, d: str) -> DataFrame:
+    """The targets' histories from the stream; the state store's provider is set for the stream and put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(name, None)
+    s.conf.set(name, _ROCKS)
+    try:
+        rows = log_stream(s, d, asked=True)
+        found = streamed(s, stream_history_asof(rows.where("kind = 1"), rows.where("kind = 0").withColumnRenamed("seq", "qid"), 5), "append")
+    finally:
+        s.conf.unset(name) if before is None else s.conf.set(name, before)
+    return found.select("qid", "src", "time", F.array_join("items", ",").alias("items"), F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x).alias("gap_sum"))
+
+
+register("x1_stream_stats", "SELECT src, dst, count(*) AS cnt, min(time) AS first_time, max(time) AS last_time FROM edges GROUP BY src, dst", "edges")(x1_stream_stats)
+register("x2_stream_popularity", "SELECT time // 604800 * 604800 AS start, dst, count(*) AS cnt FROM edges GROUP BY ALL", "edges")(x2_stream_popularity)
+register("x3_stream_history_asof", _ASOF_BODY, "tgt", ctes=_ASOF, doubles="gap_sum")(x3_stream_history_asof)
