@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, Q, quantiles
-from .rank import margins, qnorm, rank_pct, reorder_unseen, softmaxed, unique_max, z
+from .rank import margins, qnorm, rank_pct, reorder_unseen, softmaxed, strict_slots, unique_max, z
 from .support import windowed_support
 
 
@@ -169,6 +169,24 @@ def set_features(df: DataFrame, components: list[str], supports: list[str]) -> D
     return df.select(*keep, *(z(c).alias(f"{c}_z") for c in components), *(z(F.log1p(F.col(s))).alias(f"{s}_z") for s in supports))
 
 
+def meta_table(hierarchy: DataFrame, components: DataFrame, static: DataFrame, base: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """The wide table of the meta ranker, a row a cell: hierarchy columns as they are, then component_<name>, static_<name>,
+    rank_slot (strict slots of ``base(qid, col, score, seen)``), pair_seen and neighbor_<name>.
+
+    Components, static features and neighbour columns are normalised in the query with the larger of deviation and 1e-6; all
+    frames are keyed (qid, col), and columns of the cell itself are dropped from all but the first.
+    """
+    cell = ("qid", "col", "src", "time", "cand", "is_pos")
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        cols = [c for c in df.columns if c not in cell]
+        rows = qnorm(df.select("qid", "col", *cols), cols, "max")
+        return rows.withColumnsRenamed({c: f"{prefix}_{c}" for c in cols})
+
+    slots = strict_slots(base, "score").select("qid", "col", F.col("slot").alias("rank_slot"), F.col("seen").alias("pair_seen"))
+    return meta_features([hierarchy.drop("src", "time", "is_pos"), named(components, "component"), named(static, "static"), slots, named(neighbors, "neighbor")])
+
+
 def meta_features(frames: list[DataFrame]) -> DataFrame:
     """Feature frames keyed (qid, col), joined; other shared key columns are taken from the first."""
     out = frames[0]

@@ -29,20 +29,24 @@ def recent_neighbors(hist: DataFrame, cap: int = 64) -> tuple[DataFrame, DataFra
 
 
 def overlap_features(cands: DataFrame, hist: DataFrame, cap: int = 64) -> DataFrame:
-    """in_hit, two_hop, out_out, in_in and the normalised two_hop, over neighbour sets in one id space."""
+    """in_hit, two_hop, out_out, in_in and the normalised two_hop, over neighbour sets in one id space.
+
+    Sets meet once for each distinct (src, cand), source by source; only the numbers are joined back to the cells.
+    """
     outs, ins = recent_neighbors(hist, cap)
     outs, ins = outs.withColumn("outs", F.array_distinct("outs")), ins.withColumn("ins", F.array_distinct("ins"))
+    nodes = outs.select(F.col("src").alias("id"), "outs").join(ins.select(F.col("dst").alias("id"), "ins"), "id", "full")
     none = F.array().cast("array<long>")
-    pick = lambda df, key, as_, col, name: df.select(F.col(key).alias(as_), F.col(col).alias(name))
-    rows = cands.join(pick(outs, "src", "src", "outs", "u_out"), "src", "left").join(pick(ins, "dst", "src", "ins", "u_in"), "src", "left")
-    rows = rows.join(pick(outs, "src", "cand", "outs", "v_out"), "cand", "left").join(pick(ins, "dst", "cand", "ins", "v_in"), "cand", "left")
-    rows = rows.select("qid", "col", "src", "cand", *(F.coalesce(c, none).alias(c) for c in ("u_out", "u_in", "v_out", "v_in")))
+    side = lambda key, k: nodes.select(F.col("id").alias(key), F.coalesce("outs", none).alias(f"{k}_out"), F.coalesce("ins", none).alias(f"{k}_in"))
+    pairs = cands.select("src", "cand").distinct().join(side("src", "u"), "src", "left").join(side("cand", "v"), "cand", "left")
+    pairs = pairs.select("src", "cand", *(F.coalesce(c, none).alias(c) for c in ("u_out", "u_in", "v_out", "v_in")))
     both = lambda a, b: F.size(F.array_intersect(a, b))
-    two = both("u_out", "v_in")
-    return rows.select(
-        "qid", "col", "cand", F.array_contains("v_in", F.col("src")).cast("int").alias("in_hit"), two.alias("two_hop"), both("u_out", "v_out").alias("out_out"), both("u_in", "v_in").alias("in_in"),
-        (two / F.sqrt((F.size("u_out") + 1.0) * (F.size("v_in") + 1.0))).alias("two_hop_norm"),
+    pairs = pairs.select(
+        "src", "cand", F.array_contains("v_in", F.col("src")).cast("int").alias("in_hit"), both("u_out", "v_in").alias("two_hop"), both("u_out", "v_out").alias("out_out"), both("u_in", "v_in").alias("in_in"),
+        F.sqrt((F.size("u_out") + 1.0) * (F.size("v_in") + 1.0)).alias("scale"),
     )
+    rows = cands.select("qid", "col", "src", "cand").join(pairs, ["src", "cand"])
+    return rows.select("qid", "col", "cand", "in_hit", "two_hop", "out_out", "in_in", (F.col("two_hop") / F.col("scale")).alias("two_hop_norm"))
 
 
 def _capped_pairs(hist: DataFrame, key: str, other: str, cap: int) -> DataFrame:
@@ -169,24 +173,36 @@ def prop_score(cands: DataFrame, users: DataFrame, items: DataFrame, user_props:
     return prop_parts(cands, users, items, user_props, item_props).select("qid", "col", "cand", "prop")
 
 
-def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int = 4096) -> DataFrame:
+def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int = 4096, heavy: int = 512) -> DataFrame:
     """Walks u -> i <- n -> v with n other than u: log1p of the count, and the degree-weighted walk over deg(v)^beta.
 
     Walks start from distinct (src, cand) cells; a candidate of more than ``max_degree`` edges has none.
-    Sources' walks to n are folded to one row for each (u, n) before they meet the candidates' in-edges.
+    Through an item of up to ``heavy`` sources, walks are folded to one row for each (u, n) before they meet the candidates'
+    in-edges. Through a heavier one no two sources meet: its walks to v are summed over n for each (i, v), a row for each
+    item of each n, and u's own share is taken off afterwards. Joins grow with the edges of hubs, not with their squares.
     """
     freq = hist.groupBy("src", "dst").agg(F.count("*").cast("double").alias("f"))
     deg_n = freq.groupBy("src").agg(F.sum("f").alias("dn"))
-    deg_i = freq.groupBy("dst").agg(F.sum("f").alias("di"))
-    cells = cands.select("src", "cand").distinct().join(deg_i.where(F.col("di") <= max_degree).select(F.col("dst").alias("cand"), F.col("di").alias("dv")), "cand")
-    first = freq.join(cells.select("src").distinct(), "src", "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("i"), F.col("f").alias("fu")).join(deg_i.select(F.col("dst").alias("i"), "di"), "i")
-    second = freq.join(deg_n, "src").select(F.col("src").alias("n"), F.col("dst").alias("i"), F.col("f").alias("fn"), "dn")
-    to_n = first.join(second, "i").where("u <> n").groupBy("u", "n").agg(F.sum(F.col("fu") * F.col("fn")).alias("c"), F.sum(F.col("fu") * F.col("fn") / (F.col("di") * F.col("dn"))).alias("w"))
+    deg_i = freq.groupBy("dst").agg(F.sum("f").alias("di"), F.count("*").alias("sources"))
+    cells = cands.select("src", "cand").distinct().join(deg_i.where(F.col("di") <= max_degree).select(F.col("dst").alias("cand"), F.col("di").alias("dv")), "cand").withColumnRenamed("src", "u")
+    items = deg_i.select(F.col("dst").alias("i"), "di", (F.col("sources") > heavy).alias("hub"))
+    first = freq.join(cells.select(F.col("u").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("i"), F.col("f").alias("fu")).join(items, "i")
+    second = freq.join(deg_n, "src").select(F.col("src").alias("n"), F.col("dst").alias("i"), F.col("f").alias("fn"), "dn").join(items.select("i", "hub"), "i")
     into = freq.select(F.col("src").alias("n"), F.col("dst").alias("cand"), F.col("f").alias("fv"))
-    walks = cells.withColumnRenamed("src", "u").join(into, "cand").join(to_n, ["u", "n"]).groupBy("u", "cand", "dv").agg(F.sum(F.col("c") * F.col("fv")).alias("c"), F.sum(F.col("w") * F.col("fv")).alias("w"))
+
+    to_n = first.where("not hub").drop("hub").join(second.where("not hub").drop("hub"), "i").where("u <> n").groupBy("u", "n").agg(F.sum(F.col("fu") * F.col("fn")).alias("c"), F.sum(F.col("fu") * F.col("fn") / (F.col("di") * F.col("dn"))).alias("w"))
+    light = cells.join(into, "cand").join(to_n, ["u", "n"]).select("u", "cand", "dv", (F.col("c") * F.col("fv")).alias("c"), (F.col("w") * F.col("fv")).alias("w"))
+
+    over = second.where("hub").join(into.join(cells.select("cand").distinct(), "cand", "left_semi"), "n").groupBy("i", "cand").agg(F.sum(F.col("fn") * F.col("fv")).alias("c"), F.sum(F.col("fn") * F.col("fv") / F.col("dn")).alias("w"))
+    own = freq.select(F.col("src").alias("u"), F.col("dst").alias("cand"), F.col("f").alias("fo")).join(deg_n.select(F.col("src").alias("u"), "dn"), "u")
+    rows = cells.join(first.where("hub"), "u").join(over, ["i", "cand"]).join(own, ["u", "cand"], "left")
+    back = F.coalesce(F.col("fu") * F.col("fo"), F.lit(0.0))
+    hubs = rows.select("u", "cand", "dv", (F.col("fu") * (F.col("c") - back)).alias("c"), (F.col("fu") * (F.col("w") - F.coalesce(back / F.col("dn"), F.lit(0.0))) / F.col("di")).alias("w"))
+
+    walks = light.union(hubs).groupBy("u", "cand", "dv").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).where("c > 0.5")
     walks = walks.select(F.col("u").alias("src"), "cand", F.log1p("c").alias("rp3_log"), (F.col("w") / F.pow("dv", F.lit(beta))).alias("rp3"))
-    rows = cands.select("qid", "col", "src", "cand").join(walks, ["src", "cand"], "left")
-    return rows.select("qid", "col", "cand", F.coalesce("rp3_log", F.lit(0.0)).alias("rp3_log"), F.coalesce("rp3", F.lit(0.0)).alias("rp3"))
+    found = cands.select("qid", "col", "src", "cand").join(walks, ["src", "cand"], "left")
+    return found.select("qid", "col", "cand", F.coalesce("rp3_log", F.lit(0.0)).alias("rp3_log"), F.coalesce("rp3", F.lit(0.0)).alias("rp3"))
 
 
 def neighbor_similarity(cands: DataFrame, hist: DataFrame, cap: int = 32) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import DAY, day_of_week, hour_of_day, quantiles, running
 from .history import decay
+from .rank import qnorm
 
 
 def src_stats(hist: DataFrame) -> DataFrame:
@@ -100,6 +101,47 @@ def bucket_pmi(hist: DataFrame, cands: DataFrame, src_shift: int, dst_shift: int
     return out.select("qid", "col", "cand", F.log1p(z("both")).alias("log_pair"), pmi.alias("pmi"))
 
 
+#: Published right shifts (source, destination) over the whole history and over its last seconds.
+FULL_LEVELS = ((2, 2), (4, 4), (6, 6), (8, 8), (10, 10), (12, 12), (14, 14), (4, 6), (6, 4), (6, 8), (8, 6))
+RECENT_LEVELS = ((4, 4), (6, 6), (8, 8))
+RECENT_WINDOWS = (1800, 21_600)
+
+
+def hierarchy_features(hist: DataFrame, cands: DataFrame, full: tuple = FULL_LEVELS, recent: tuple = RECENT_LEVELS, windows: tuple = RECENT_WINDOWS) -> DataFrame:
+    """log1p of the bucket pair's count and its PMI, as in ``bucket_pmi``, on every level and window, normalised in the query.
+
+    One pass for all levels: edges are folded to pairs with a count a window, each pair is put into its bucket on every level by
+    one expand, and a level's counts of pairs, sources and destinations are aggregates by (level, bucket). Distinct
+    (src, cand) meet them in three joins whatever the number of levels, and come back as one row. Columns are
+    named pair_<source shift>_<destination shift> and pmi_..., with _w<seconds> for windows.
+    """
+    levels = list(dict.fromkeys([*full, *recent]))
+    spans = [None, *windows]
+    kept = [(i, k) for i, level in enumerate(levels) for k in range(len(spans)) if level in (full if k == 0 else recent)]
+    end = F.broadcast(hist.agg(F.max("time").alias("__end")))
+    inside = lambda w: F.lit(True) if w is None else F.col("time") > F.col("__end") - w
+    counts = [f"c{k}" for k in range(len(spans))]
+    pairs = hist.crossJoin(end).groupBy("src", "dst").agg(*(F.count_if(inside(w)).alias(c) for w, c in zip(spans, counts, strict=True)))
+    total = F.broadcast(pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in counts)))
+    on_levels = lambda item: F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright("src", a).alias("sb"), F.shiftright(item, b).alias("db")) for i, (a, b) in enumerate(levels)))).alias("x")
+    sums = lambda df, *by, name: df.groupBy("level", *by).agg(*(F.sum(c).alias(f"{name}{c}") for c in counts))
+    each = sums(pairs.select(on_levels("dst"), *counts).select("x.*", *counts), "sb", "db", name="")
+    ones, twos = sums(each, "sb", name="s"), sums(each, "db", name="d")
+    cells = cands.select("src", "cand").distinct().select("src", "cand", on_levels("cand")).select("src", "cand", "x.*")
+    rows = cells.join(each, ["level", "sb", "db"], "left").join(ones, ["level", "sb"], "left").join(twos, ["level", "db"], "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    at = lambda i, c: F.max(F.when(F.col("level") == i, z(c)))
+    wide = rows.groupBy("src", "cand").agg(*(at(i, f"{p}c{k}").alias(f"{p}_{i}_{k}") for i, k in kept for p in ("", "s", "d"))).crossJoin(total)
+    out, names = [], []
+    for i, k in kept:
+        name = "_".join(map(str, levels[i])) + (f"_w{spans[k]}" if k else "")
+        pmi = F.log(F.col(f"_{i}_{k}") + 0.25) + F.log(F.col(f"all_c{k}") + 1.0) - F.log(F.col(f"s_{i}_{k}") + 1.0) - F.log(F.col(f"d_{i}_{k}") + 1.0)
+        out += [F.log1p(f"_{i}_{k}").alias(f"pair_{name}"), pmi.alias(f"pmi_{name}")]
+        names += [f"pair_{name}", f"pmi_{name}"]
+    full_rows = cands.select("qid", "col", "src", "cand").join(wide.select("src", "cand", *out), ["src", "cand"])
+    return qnorm(full_rows.select("qid", "col", "cand", *names), names, "max")
+
+
 def standardize(features: DataFrame, cols: list[str], clip: float = 8.0) -> DataFrame:
     """(x - mean) / (std + 1e-6) over all cells, clipped; the one row of moments is broadcast."""
     moments = F.broadcast(features.agg(*(f(c).alias(f"__{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_pop)))))

@@ -89,6 +89,29 @@ def _pmi(where: str) -> dict:
 _PMI = f"SELECT qid, col, cand, {log1p('coalesce(b2.n, 0)')} AS log_pair, ln(coalesce(b2.n, 0) + 0.25::DOUBLE) + ln(bt.n + 1.0::DOUBLE) - ln(coalesce(b1.n, 0) + 1.0::DOUBLE) - ln(coalesce(b0.n, 0) + 1.0::DOUBLE) AS pmi FROM cands c LEFT JOIN b2 ON b2.sb = c.src >> 2 AND b2.db = c.cand >> 3 LEFT JOIN b1 ON b1.sb = c.src >> 2 LEFT JOIN b0 ON b0.db = c.cand >> 3, bt"
 register("a14_bucket_pmi", _PMI, "cands", **_pmi(""))(lambda s, d: stats.bucket_pmi(H(s, d), C(s, d), 2, 3))
 register("a14_bucket_pmi_window", _PMI, "cands", **_pmi("WHERE time > (SELECT max(time) FROM hist) - 21600"))(lambda s, d: stats.bucket_pmi(H(s, d), C(s, d), 2, 3, 21_600))
+
+
+def _hierarchy() -> tuple[str, list[str]]:
+    """Expressions up to ``hier(qid, col, cand, <columns>)``, one set of counts a level and window, and the columns."""
+    parts, joins, raw, names = ["he AS (SELECT max(time) AS t1 FROM hist)"], [], [], []
+    for w, levels in [(None, stats.FULL_LEVELS), *((w, stats.RECENT_LEVELS) for w in stats.RECENT_WINDOWS)]:
+        for a, b in levels:
+            k, name = f"{a}_{b}_{w or 0}", f"{a}_{b}" + (f"_w{w}" if w else "")
+            inside = "TRUE" if w is None else f"time > t1 - {w}"
+            for p, by in (("p", "sb, db"), ("s", "sb"), ("d", "db")):
+                parts.append(f"{p}{k} AS (SELECT {by}, count(*) AS n FROM (SELECT src >> {a} AS sb, dst >> {b} AS db FROM hist, he WHERE {inside}) GROUP BY ALL)")
+            parts.append(f"t{k} AS (SELECT count(*) AS n FROM hist, he WHERE {inside})")
+            joins.append(f"LEFT JOIN p{k} ON p{k}.sb = c.src >> {a} AND p{k}.db = c.cand >> {b} LEFT JOIN s{k} ON s{k}.sb = c.src >> {a} LEFT JOIN d{k} ON d{k}.db = c.cand >> {b} CROSS JOIN t{k}")
+            raw += [f"{log1p(f'coalesce(p{k}.n, 0)')} AS pair_{name}", f"ln(coalesce(p{k}.n, 0) + 0.25::DOUBLE) + ln(t{k}.n + 1.0::DOUBLE) - ln(coalesce(s{k}.n, 0) + 1.0::DOUBLE) - ln(coalesce(d{k}.n, 0) + 1.0::DOUBLE) AS pmi_{name}"]
+            names += [f"pair_{name}", f"pmi_{name}"]
+    parts.append(f"hraw AS (SELECT c.src, c.cand, {', '.join(raw)} FROM (SELECT DISTINCT src, cand FROM cands) c {' '.join(joins)})")
+    z_ = ", ".join(f"({n} - avg({n}) OVER q) / greatest(stddev_pop({n}) OVER q, 1e-6) AS {n}" for n in names)
+    parts.append(f"hier AS (SELECT qid, col, cand, {z_} FROM cands JOIN hraw USING (src, cand) WINDOW q AS (PARTITION BY qid))")
+    return ", ".join(parts), names
+
+
+_HIER, HIER_NAMES = _hierarchy()
+register("a14_hierarchy", "SELECT * FROM hier", "cands", "hist", ctes=_HIER, doubles=" ".join(HIER_NAMES))(lambda s, d: stats.hierarchy_features(H(s, d), C(s, d)))
 register("a15_standardize", "SELECT qid, col, " + ", ".join(f"greatest(least(({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-6), 8), -8) AS {c}" for c in "abc") + " FROM scored", "scored", doubles="a b c")(lambda s, d: stats.standardize(S(s, d).select("qid", "col", "a", "b", "c"), ["a", "b", "c"]))
 register("a16_pool_excess", "SELECT cand, n AS cnt, " + ", ".join(f"greatest(n - lv - {float(t)}::DOUBLE * sqrt(lv), 0) AS excess_{i}" for i, t in enumerate((-1, 0, 0.5, 1, 1.5, 2))) + " FROM (SELECT cand, count(*) AS n FROM cands GROUP BY cand), lvl", "cands", ctes="lvl AS (SELECT ((SELECT count(*) FROM cands) - (SELECT count(DISTINCT qid) FROM cands))::DOUBLE / (SELECT n FROM npool) AS lv)", doubles=" ".join(f"excess_{i}" for i in range(6)))(
     lambda s, d: stats.pool_excess(C(s, d), H(s, d).agg(F.count_distinct("dst").alias("n_items")))

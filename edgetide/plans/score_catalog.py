@@ -10,7 +10,7 @@ from ..functions import DAY
 from ..operators import factors, features, fusion, graph, history, learn, metrics, rank, replay, ridge, stats, support, trees, tuning
 from ..streaming.asof import stream_history_asof
 from . import frames
-from .catalog import _ASOF, _ASOF_BODY, _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
+from .catalog import _ASOF, _ASOF_BODY, _HIER, _NS, HIER_NAMES, _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
 from .frames import CUTOFF, ORIGIN, SEED, WIDTH, folder
 from .sql import cells, draw, query, slots, z
 
@@ -219,13 +219,30 @@ register("m17_component_scores", f"SELECT qid, col, {z('a')} AS a, {z('b')} AS b
 
 
 def all_features(s: SparkSession, d: str) -> DataFrame:
-    """Causal, neighbour, bucket and component columns of each cell."""
-    c, h = C(s, d), H(s, d)
-    parts = [frames.causal(s, d), S(s, d).select("qid", "col", "score", "seen"), graph.neighbor_similarity(c, h).drop("cand"), stats.bucket_pmi(h, c, 2, 3).drop("cand"), features.transition_score(c, h).drop("cand")]
-    return fusion.meta_features(parts)
-
-
-register("m18_meta_features")(all_features)
+    """The meta ranker's table: 34 hierarchy columns, components, 11 static features, slot, seen and 5 neighbour columns."""
+    c, h, scored_ = C(s, d), H(s, d), S(s, d)
+    static = frames.causal(s, d).select("qid", "col", *features.CAUSAL)
+    return fusion.meta_table(stats.hierarchy_features(h, c), scored_.select("qid", "col", "score", "a", "b", "c"), static, scored_.select("qid", "col", "score", "seen"), graph.neighbor_similarity(c, h))
+
+
+def _meta() -> tuple[str, str]:
+    """SQL of the same table, and its columns of doubles."""
+    zmax = lambda c, q: f"({c} - avg({c}) OVER {q}) / greatest(stddev_pop({c}) OVER {q}, 1e-6)"
+    near = ["max_cos", "max_jac", "top3", "max_rare", "log_near"]
+    parts = [
+        *(f"{zmax(f'sc.{c}', 'q')} AS component_{c}" for c in ("score", "a", "b", "c")),
+        *(f"{zmax(f'ft.{c}', 'q')} AS static_{c}" for c in features.CAUSAL),
+        "1 - (row_number() OVER (PARTITION BY sc.qid ORDER BY sc.score DESC, sc.col) - 1)::DOUBLE / (count(*) OVER q - 1) AS rank_slot", "sc.seen AS pair_seen",
+        *(f"{zmax(f'nb.{c}', 'q')} AS neighbor_{c}" for c in near),
+    ]
+    nb = f"nb AS (SELECT qid, col, {', '.join(f'coalesce({c}, 0) AS {c}' for c in near)} FROM cands LEFT JOIN ag USING (src, cand))"
+    ctes = ", ".join([_NS, _HIER, nb, f"mt AS (SELECT sc.qid, sc.col, {', '.join(parts)} FROM scored sc JOIN feat ft USING (qid, col) JOIN nb USING (qid, col) WINDOW q AS (PARTITION BY sc.qid))"])
+    doubles = [*HIER_NAMES, *(f"component_{c}" for c in ("score", "a", "b", "c")), *(f"static_{c}" for c in features.CAUSAL), "rank_slot", *(f"neighbor_{c}" for c in near)]
+    return ctes, " ".join(doubles)
+
+
+_META, _META_DOUBLES = _meta()
+register("m18_meta_features", "SELECT * FROM hier JOIN mt USING (qid, col)", "scored", "hist", ctes=_META, doubles=_META_DOUBLES)(all_features)
 
 
 def slice_features(s: SparkSession, d: str) -> DataFrame:
