@@ -173,7 +173,7 @@ def prop_score(cands: DataFrame, users: DataFrame, items: DataFrame, user_props:
     return prop_parts(cands, users, items, user_props, item_props).select("qid", "col", "cand", "prop")
 
 
-def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int = 4096, heavy: int = 512) -> DataFrame:
+def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int = 4096, heavy: int = 64) -> DataFrame:
     """Walks u -> i <- n -> v with n other than u: log1p of the count, and the degree-weighted walk over deg(v)^beta.
 
     Walks start from distinct (src, cand) cells; a candidate of more than ``max_degree`` edges has none.
@@ -194,10 +194,13 @@ def rp3(cands: DataFrame, hist: DataFrame, beta: float = 0.5, max_degree: int =
     light = cells.join(into, "cand").join(to_n, ["u", "n"]).select("u", "cand", "dv", (F.col("c") * F.col("fv")).alias("c"), (F.col("w") * F.col("fv")).alias("w"))
 
     over = second.where("hub").join(into.join(cells.select("cand").distinct(), "cand", "left_semi"), "n").groupBy("i", "cand").agg(F.sum(F.col("fn") * F.col("fv")).alias("c"), F.sum(F.col("fn") * F.col("fv") / F.col("dn")).alias("w"))
-    own = freq.select(F.col("src").alias("u"), F.col("dst").alias("cand"), F.col("f").alias("fo")).join(deg_n.select(F.col("src").alias("u"), "dn"), "u")
-    rows = cells.join(first.where("hub"), "u").join(over, ["i", "cand"]).join(own, ["u", "cand"], "left")
-    back = F.coalesce(F.col("fu") * F.col("fo"), F.lit(0.0))
-    hubs = rows.select("u", "cand", "dv", (F.col("fu") * (F.col("c") - back)).alias("c"), (F.col("fu") * (F.col("w") - F.coalesce(back / F.col("dn"), F.lit(0.0))) / F.col("di")).alias("w"))
+    through = cells.join(first.where("hub").drop("hub"), "u").join(over, ["i", "cand"]).groupBy("u", "cand", "dv").agg(F.sum(F.col("fu") * F.col("c")).alias("c"), F.sum(F.col("fu") * F.col("w") / F.col("di")).alias("w"))
+    twice = F.col("fu") * F.col("fu")
+    back = first.where("hub").groupBy("u").agg(F.sum(twice).alias("bc"), F.sum(twice / F.col("di")).alias("bw"))
+    own = freq.join(deg_n, "src").select(F.col("src").alias("u"), F.col("dst").alias("cand"), F.col("f").alias("fo"), "dn")
+    less = own.join(back, "u").select("u", "cand", (F.col("fo") * F.col("bc")).alias("oc"), (F.col("fo") * F.col("bw") / F.col("dn")).alias("ow"))
+    part = lambda a, b: (F.col(a) - F.coalesce(F.col(b), F.lit(0.0))).alias(a)
+    hubs = through.join(less, ["u", "cand"], "left").select("u", "cand", "dv", part("c", "oc"), part("w", "ow"))
 
     walks = light.union(hubs).groupBy("u", "cand", "dv").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).where("c > 0.5")
     walks = walks.select(F.col("u").alias("src"), "cand", F.log1p("c").alias("rp3_log"), (F.col("w") / F.pow("dv", F.lit(beta))).alias("rp3"))
