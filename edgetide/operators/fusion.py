@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, Q, quantiles
-from .rank import margins, qnorm, rank_pct, reorder_unseen, softmaxed, strict_slots, unique_max, z
+from .rank import margins, qnorm, reorder_unseen, softmaxed, strict_slots, unique_max, z
 from .support import windowed_support
 
 
@@ -160,15 +160,6 @@ def component_scores(df: DataFrame, components: list[str]) -> DataFrame:
     return rows.withColumn("fused", sum((F.col(c) for c in components), F.lit(0.0)) / float(len(components)))
 
 
-def set_features(df: DataFrame, components: list[str], supports: list[str]) -> DataFrame:
-    """Set-level columns: of every component z, rank and winner gap; of every support z(log1p)."""
-    for c in components:
-        df = rank_pct(df, c, out=f"{c}_rank")
-        df = margins(df, c).withColumnRenamed("winner_gap", f"{c}_gap").drop("from_top", "margin")
-    keep = [c for c in df.columns if c not in (*components, *supports)]
-    return df.select(*keep, *(z(c).alias(f"{c}_z") for c in components), *(z(F.log1p(F.col(s))).alias(f"{s}_z") for s in supports))
-
-
 def meta_table(hierarchy: DataFrame, components: DataFrame, static: DataFrame, base: DataFrame, neighbors: DataFrame) -> DataFrame:
     """The wide table of the meta ranker, a row a cell: hierarchy columns as they are, then component_<name>, static_<name>,
     rank_slot (strict slots of ``base(qid, col, score, seen)``), pair_seen and neighbor_<name>.

@@ -161,7 +161,7 @@ register(
 )(lambda s, d: support.community_presence(_day_cands(s, d), frames.vectors(s, d)))
 _DOT = "list_dot_product(CAST(u.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 _UV = "FROM cands c LEFT JOIN embeddings u ON u.vec_id = c.src LEFT JOIN embeddings v ON v.vec_id = c.cand * 7"
-_items = lambda s, d: frames.vectors(s, d).where("id % 7 = 0").withColumn("id", (F.col("id") / 7).cast("long"))
+_items = frames.item_vectors
 register("j13_embedding_score", f"SELECT qid, col, cand, CASE WHEN ps.n IS NOT NULL THEN -20 WHEN u.vec_id IS NULL OR v.vec_id IS NULL THEN -12 ELSE {_DOT} END AS score {_UV} LEFT JOIN ps ON ps.src = c.src AND ps.dst = c.cand", "cands", "stats", doubles="score")(lambda s, d: features.embedding_score(C(s, d), frames.vectors(s, d), _items(s, d), H(s, d)))
 register("j14_mf_score", f"SELECT qid, col, cand, coalesce({_DOT}, 0) AS score {_UV}", "cands", doubles="score")(lambda s, d: features.mf_score(C(s, d), frames.vectors(s, d), _items(s, d)))
 _some = lambda s, d: H(s, d).where("dst % 3 <> 1")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import folder
+from ..operators import components as wide
 from ..operators import features, history, replay
 
 #: 2024-01-21 UTC, about two thirds of the log.
@@ -95,3 +96,17 @@ scored = _kept(scored_cells)
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as (id, vec, bias): ids serve as sources and as items."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0.0).cast("float").alias("bias"))
+
+
+def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector, numbered anew: items without one are the rule."""
+    return vectors(spark, sf_dir).where("id % 7 = 0").withColumn("id", (F.col("id") / 7).cast("long"))
+
+
+def component_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with pair_seen and the 23 components, rounded to nine digits."""
+    rows = wide.component_table(causal(spark, sf_dir), edges(spark, sf_dir), hist(spark, sf_dir), vectors(spark, sf_dir), item_vectors(spark, sf_dir))
+    return rows.withColumns({n: F.round(n, 9) for n in wide.component_names()})
+
+
+components = _kept(component_cells)

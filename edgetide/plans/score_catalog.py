@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import DAY
-from ..operators import factors, features, fusion, graph, history, learn, metrics, rank, replay, ridge, stats, support, trees, tuning
+from ..operators import components, factors, features, fusion, graph, history, learn, metrics, rank, replay, ridge, stats, support, trees, tuning
 from ..streaming.asof import stream_history_asof
 from . import frames
-from .catalog import _ASOF, _ASOF_BODY, _HIER, _NS, HIER_NAMES, _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
+from .catalog import _TRANS, _ASOF, _ASOF_BODY, _HIER, _NS, HIER_NAMES, _M, _POS, _Q, _SEG, _UM, _W12, _win, QUERIES, SQL, _items, register, reordered, segments
 from .frames import CUTOFF, ORIGIN, SEED, WIDTH, folder
 from .sql import cells, draw, query, slots, z
 
 E, H, T, C, S = frames.edges, frames.hist, frames.targets, frames.cands, frames.scored
+_PAST = "past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)"
 _W = {"score": 0.5, "a": 0.3, "c": 0.2}
 _MIX = " + ".join(f"{w}::DOUBLE * {z(c)}" for c, w in _W.items())
 
@@ -215,14 +216,35 @@ def long_scores(s: SparkSession, d: str) -> DataFrame:
 
 register("m16_ensemble_mean", f"SELECT qid, col, ({z('a')} + {z('b')} + {z('c')}) / 3 AS score FROM scored{_Q}", "scored", doubles="score")(lambda s, d: fusion.ensemble(long_scores(s, d)))
 register("m16_ensemble_median", f"SELECT qid, col, list_median([{z('a')}, {z('b')}, {z('c')}]) AS score FROM scored{_Q}".replace("list_median([", "list_aggregate([").replace("]) AS score", "], 'median') AS score"), "scored", doubles="score")(lambda s, d: fusion.ensemble(long_scores(s, d), "median"))
-register("m17_component_scores", f"SELECT qid, col, {z('a')} AS a, {z('b')} AS b, {z('c')} AS c, ({z('a')} + {z('b')} + {z('c')}) / 3 AS fused FROM scored{_Q}", "scored", doubles="a b c fused")(lambda s, d: fusion.component_scores(S(s, d), ["a", "b", "c"]).select("qid", "col", "a", "b", "c", "fused"))
+def _components() -> str:
+    """SQL of ``frames.components``: every component as it is, rounded to nine digits."""
+    sizes, dims = components.SIZES, components.DIMS
+    head = lambda v, d: f"list_transform({v}[1:{d}], lambda x: CAST(x AS DOUBLE))"
+    att = ", ".join(f"sum(e * qh) FILTER (WHERE r <= {k}) / sum(e) FILTER (WHERE r <= {k}) AS attention_{k}" for k in sizes)
+    mf = ", ".join(f"coalesce(list_inner_product({head('u.embedding', d)}, {head('v.embedding', d)}), 0) AS mf_{d}, coalesce(list_inner_product({head('w.embedding', d)}, {head('v.embedding', d)}), 0) AS transition_mf_{d}" for d in dims)
+    cnt = "cnt AS (SELECT qid, src, col, cand, count(*) OVER (PARTITION BY qid) - 1 AS width, count(*) OVER (PARTITION BY cand) AS pool, count(*) OVER () AS total, count(*) OVER (PARTITION BY src, cand) AS n, nr FROM cands JOIN (SELECT src, count(*) AS nr FROM tgt GROUP BY src) USING (src))"
+    cuts = "cuts AS (SELECT min(CASE WHEN r = CAST(ceil((t - 1) * 0.5) AS BIGINT) THEN n END) AS cut_1, min(CASE WHEN r = CAST(ceil((t - 1) * 0.9) AS BIGINT) THEN n END) AS cut_2 FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS r, count(*) OVER () AS t FROM (SELECT count(*) OVER (PARTITION BY src) AS n FROM tgt)))"
+    lifts = "li AS (SELECT *, ln((n - 0.5::DOUBLE) / (ex + 0.5::DOUBLE)) AS lift FROM (SELECT *, width * nr::DOUBLE * pool / total AS ea, width * (nr - 1)::DOUBLE * pool / total AS ex FROM cnt)), de AS (SELECT *, sign(n - 1 - ex) * sqrt(greatest(2 * ((n - 0.5::DOUBLE) * lift - (n - 1 - ex)), 0)) AS dev FROM li)"
+    pool = "po AS (SELECT qid, col, pool::DOUBLE AS pool_frequency, ln(1.0::DOUBLE + n) AS pool_source_log, (n - ea) / sqrt(ea + 1) AS pool_source_excess, lift AS pool_lift, dev AS pool_deviance, CASE WHEN nr <= cut_1 THEN dev ELSE 0 END AS pool_deviance_low, CASE WHEN nr > cut_1 AND nr <= cut_2 THEN dev ELSE 0 END AS pool_deviance_mid, CASE WHEN nr > cut_2 THEN dev ELSE 0 END AS pool_deviance_high FROM de, cuts)"
+    ah = f"vs AS (SELECT vec_id // 7 AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 7 = 0), ae AS (SELECT c.qid, c.col, p.r, list_inner_product(q.v, h.v) AS qh, exp(list_inner_product(q.v, h.v) / sqrt(len(q.v)) - 0.1::DOUBLE * ln(1.0::DOUBLE + c.time - p.et)) AS e FROM cands c JOIN past p ON p.qid = c.qid AND p.r <= {max(sizes)} JOIN vs q ON q.id = c.cand JOIN vs h ON h.id = p.dst), att AS (SELECT qid, col, {att} FROM ae GROUP BY qid, col)"
+    pairs = f"pa AS (SELECT c.src, c.cand, {mf}, ln(1.0::DOUBLE + coalesce(t.n, 0)) AS transition_count FROM (SELECT DISTINCT src, cand FROM cands) c LEFT JOIN lasts l ON l.src = c.src LEFT JOIN trans t ON t.prev = l.prev AND t.next = c.cand LEFT JOIN embeddings u ON u.vec_id = c.src LEFT JOIN embeddings v ON v.vec_id = c.cand * 7 LEFT JOIN embeddings w ON w.vec_id = l.prev * 7)"
+    own = ", ".join(f"round(coalesce({n}, 0), 9) AS {n}" for n in components.component_names())
+    comp = f"comp AS MATERIALIZED (SELECT qid, src, time, col, cand, pair_seen, {own} FROM (SELECT f.*, 3 * pair_seen + pair_recency + pair_log_count AS pair_seen_recency FROM feat f) JOIN pa USING (src, cand) JOIN po USING (qid, col) LEFT JOIN att USING (qid, col))"
+    return ", ".join([_PAST, _TRANS, cnt, cuts, lifts, pool, ah, pairs, comp])
+
+
+_COMP, _NAMES = _components(), components.component_names()
+register(
+    "m17_component_scores", f"SELECT *, ({' + '.join(_NAMES)}) / {len(_NAMES)} AS fused FROM (SELECT qid, col, {', '.join(f'{z(n)} AS {n}' for n in _NAMES)} FROM comp{_Q})", "feat", ctes=_COMP, doubles=" ".join([*_NAMES, "fused"]),
+)(lambda s, d: fusion.component_scores(frames.components(s, d), _NAMES).select("qid", "col", *_NAMES, "fused"))
 
 
 def all_features(s: SparkSession, d: str) -> DataFrame:
-    """The meta ranker's table: 34 hierarchy columns, components, 11 static features, slot, seen and 5 neighbour columns."""
+    """The meta ranker's table: 34 hierarchy columns, 23 components, 11 static features, slot, seen and 5 neighbour columns."""
     c, h, scored_ = C(s, d), H(s, d), S(s, d)
+    comps = frames.components(s, d).select("qid", "col", *_NAMES)
     static = frames.causal(s, d).select("qid", "col", *features.CAUSAL)
-    return fusion.meta_table(stats.hierarchy_features(h, c), scored_.select("qid", "col", "score", "a", "b", "c"), static, scored_.select("qid", "col", "score", "seen"), graph.neighbor_similarity(c, h))
+    return fusion.meta_table(stats.hierarchy_features(h, c), comps, static, scored_.select("qid", "col", "score", "seen"), graph.neighbor_similarity(c, h))
 
 
 def _meta() -> tuple[str, str]:
@@ -230,14 +252,14 @@ def _meta() -> tuple[str, str]:
     zmax = lambda c, q: f"({c} - avg({c}) OVER {q}) / greatest(stddev_pop({c}) OVER {q}, 1e-6)"
     near = ["max_cos", "max_jac", "top3", "max_rare", "log_near"]
     parts = [
-        *(f"{zmax(f'sc.{c}', 'q')} AS component_{c}" for c in ("score", "a", "b", "c")),
+        *(f"{zmax(f'cp.{c}', 'q')} AS component_{c}" for c in _NAMES),
         *(f"{zmax(f'ft.{c}', 'q')} AS static_{c}" for c in features.CAUSAL),
         "1 - (row_number() OVER (PARTITION BY sc.qid ORDER BY sc.score DESC, sc.col) - 1)::DOUBLE / (count(*) OVER q - 1) AS rank_slot", "sc.seen AS pair_seen",
         *(f"{zmax(f'nb.{c}', 'q')} AS neighbor_{c}" for c in near),
     ]
     nb = f"nb AS (SELECT qid, col, {', '.join(f'coalesce({c}, 0) AS {c}' for c in near)} FROM cands LEFT JOIN ag USING (src, cand))"
-    ctes = ", ".join([_NS, _HIER, nb, f"mt AS (SELECT sc.qid, sc.col, {', '.join(parts)} FROM scored sc JOIN feat ft USING (qid, col) JOIN nb USING (qid, col) WINDOW q AS (PARTITION BY sc.qid))"])
-    doubles = [*HIER_NAMES, *(f"component_{c}" for c in ("score", "a", "b", "c")), *(f"static_{c}" for c in features.CAUSAL), "rank_slot", *(f"neighbor_{c}" for c in near)]
+    ctes = ", ".join([_NS, _HIER, _COMP, nb, f"mt AS (SELECT sc.qid, sc.col, {', '.join(parts)} FROM scored sc JOIN feat ft USING (qid, col) JOIN nb USING (qid, col) JOIN comp cp USING (qid, col) WINDOW q AS (PARTITION BY sc.qid))"])
+    doubles = [*HIER_NAMES, *(f"component_{c}" for c in _NAMES), *(f"static_{c}" for c in features.CAUSAL), "rank_slot", *(f"neighbor_{c}" for c in near)]
     return ctes, " ".join(doubles)
 
 
@@ -245,15 +267,57 @@ _META, _META_DOUBLES = _meta()
 register("m18_meta_features", "SELECT * FROM hier JOIN mt USING (qid, col)", "scored", "hist", ctes=_META, doubles=_META_DOUBLES)(all_features)
 
 
-def slice_features(s: SparkSession, d: str) -> DataFrame:
-    c, h = C(s, d), H(s, d)
-    fresh, pop, freq = stats.item_freshness(h, c, ORIGIN), stats.decayed_popularity(h, ORIGIN).withColumnRenamed("dst", "cand"), stats.pool_freq(c)
-    rows = features.mf_score(c, frames.vectors(s, d), _items(s, d)).withColumnRenamed("score", "factor").join(fresh, "cand").join(pop, "cand", "left").join(freq.drop("cnt"), "cand")
-    return fusion.meta_features([rows, support.bucket_count(c, 7), support.source_bucket_count(c, 7), support.rolling_count(c, {"around_2": (2, 2), "past_3": (3, 0)})])
+_BLEND = {"mf_16": 0.15, "mf_32": 0.45, "mf_64": 0.40}
 
 
-register("m19_slice_features")(slice_features)
-register("m20_set_features")(lambda s, d: fusion.set_features(supports(s, d), ["score"], ["cross", "near", "ring"]).drop("cand"))
+def slice_features(s: SparkSession, d: str) -> DataFrame:
+    models = frames.components(s, d).select("qid", "col", *_BLEND)
+    return components.slice_features(C(s, d), H(s, d), models, _BLEND, H(s, d).agg(F.count_distinct("dst").alias("n_items")), ORIGIN)
+
+
+def _slices() -> tuple[str, str]:
+    """SQL of the slice features and their columns."""
+    lg = lambda x: f"ln(1.0::DOUBLE + {x})"
+    inside = lambda w, off, key: f"count(*) OVER (PARTITION BY {key}, (day + {off}) // {w})"
+    halves = {f"{kind}_{w}_{k}": lg(inside(w, off, key)) for kind, key, widths in (("bucket", "cand", components.BUCKETS), ("source_bucket", "src, cand", components.SOURCE_BUCKETS)) for w in widths for k, off in (("now", 0), ("moved", w // 2))}
+    raw = {m: m for m in _BLEND} | {"pool_log": lg("pool"), "pool_linear": "pool::DOUBLE", "source_count": "(count(*) OVER (PARTITION BY src, cand))::DOUBLE", "pop_log": lg("coalesce(pop, 0)")}
+    raw |= {f"pop_{n}": lg(f"coalesce(pop_{n}, 0)") for n in components.POPULARITY} | {"freshness": f"CASE WHEN last IS NULL THEN -30 ELSE -ln(1 + greatest({ORIGIN} - last, 0) / 86400.0::DOUBLE) END"}
+    raw |= {k: lg(k) for k in components.ROLLING} | {k: f"greatest(pool - lv - {x}::DOUBLE * sqrt(lv), 0)" for k, x in components.EXCESS.items()} | halves
+    frame = lambda b, a: f"RANGE BETWEEN {b} PRECEDING AND {a} FOLLOWING"
+    rolled = "rolled AS (SELECT cand, day, " + ", ".join(f"sum(n) OVER (PARTITION BY cand ORDER BY day {frame(b, a)}) AS {k}" for k, (b, a) in components.ROLLING.items()) + " FROM (SELECT cand, day, count(*) AS n FROM dc GROUP BY ALL))"
+    popular = "pp AS (SELECT dst AS cand, count(*) AS pop, max(time) AS last, " + ", ".join(f"sum(exp((time - {ORIGIN}) / {float(n * DAY)}::DOUBLE)) AS pop_{n}" for n in components.POPULARITY) + " FROM hist GROUP BY dst)"
+    ctes = [_COMP, "dc AS (SELECT *, count(*) OVER (PARTITION BY cand) AS pool, (time - (SELECT min(time) FROM cands)) // 86400 AS day FROM cands)", rolled, popular, "lvl AS (SELECT ((SELECT count(*) FROM cands) - (SELECT count(DISTINCT qid) FROM cands))::DOUBLE / (SELECT n FROM npool) AS lv)"]
+    ctes += ["sr AS (SELECT qid, col, " + ", ".join(f"{e} AS {k}" for k, e in raw.items()) + f" FROM (SELECT dc.*, {', '.join(f'comp.{m}' for m in _BLEND)} FROM dc JOIN comp USING (qid, col)) JOIN rolled USING (cand, day) LEFT JOIN pp USING (cand), lvl)", f"sn AS (SELECT qid, col, {', '.join(f'{z(k)} AS {k}' for k in raw)} FROM sr{_Q})"]
+    both = [f"({kind}_{w}_now + {kind}_{w}_moved) / 2 AS {kind}_{w}" for kind, widths in (("bucket", components.BUCKETS), ("source_bucket", components.SOURCE_BUCKETS)) for w in widths]
+    ctes.append(f"sm AS (SELECT *, {' + '.join(f'{w}::DOUBLE * {m}' for m, w in _BLEND.items())} + 0.07::DOUBLE * pool_log AS mixed, {', '.join(both)} FROM sn)")
+    return ", ".join(ctes), " ".join(components.slice_names(list(_BLEND)))
+
+
+_SLICE, _SLICE_NAMES = _slices()
+register("m19_slice_features", f"SELECT qid, col, {', '.join(z('mixed') + ' AS blend' if n == 'blend' else n for n in _SLICE_NAMES.split())} FROM sm{_Q}", "feat", ctes=_SLICE, doubles=_SLICE_NAMES)(slice_features)
+
+
+def set_features(s: SparkSession, d: str) -> DataFrame:
+    base = S(s, d).select("qid", "col", F.col("score").alias("base"))
+    rows = frames.components(s, d).join(base, ["qid", "col"]).join(components.set_supports(C(s, d)), ["qid", "cand"])
+    return components.set_features(rows, [*_NAMES, "base"], components.SET_SUPPORTS)
+
+
+def _sets() -> tuple[str, str, str]:
+    """SQL of the set-level table: body, expressions and columns of doubles."""
+    own, cross = components.OWN_RINGS, components.CROSS_RINGS
+    near = lambda b, key: _win(-b, b, key)
+    others = lambda b: f"({near(b, 'cand')} - {near(b, 'cand, src')})"
+    cols = [*(f"{near(b, 'cand, src')} - {near(a, 'cand, src')} AS source_{a}_{b}" for a, b in zip(own, own[1:])), f"{others(0)} AS cross_exact", *(f"{others(b)} - {others(a)} AS cross_{a}_{b}" for a, b in zip(cross, cross[1:]))]
+    scores = [*_NAMES, "base"]
+    ctes = ", ".join([_COMP, f"sup AS MATERIALIZED (SELECT qid, cand, {', '.join(cols)} FROM occ)", "st AS (SELECT c.*, s.score AS base, sup.* EXCLUDE (qid, cand) FROM comp c JOIN scored s USING (qid, col) JOIN sup ON sup.qid = c.qid AND sup.cand = c.cand)",
+        "sz AS (SELECT qid, col, pair_seen, " + ", ".join(f"{z(c)} AS {c}_z, (row_number() OVER (PARTITION BY qid ORDER BY {c}, col) - 1)::DOUBLE / (count(*) OVER q - 1) AS {c}_rank" for c in scores) + ", " + ", ".join(z(f"ln(1.0::DOUBLE + {n})") + f" AS {n}" for n in components.SET_SUPPORTS) + f" FROM st{_Q})"])
+    body = "SELECT *, " + ", ".join(f"{c}_z - max({c}_z) OVER q AS {c}_gap" for c in scores) + f" FROM sz{_Q}"
+    return body, ctes, " ".join([*(f"{c}_{k}" for c in scores for k in ("z", "rank", "gap")), *components.SET_SUPPORTS])
+
+
+_SET_BODY, _SET, _SET_NAMES = _sets()
+register("m20_set_features", _SET_BODY, "scored", "occ", ctes=_SET, doubles=_SET_NAMES)(set_features)
 register("m21_near_ring_lift", f"SELECT qid, col, CASE WHEN tied_max = 1 AND a / greatest(ties, 1) >= 0.25 THEN score + 0.4::DOUBLE * zl ELSE score END AS fin FROM (SELECT *, {z('la')} AS zl FROM (SELECT *, ln(1 + a) AS la FROM um){_Q})", "scored", ctes=_UM, doubles="fin")(lambda s, d: fusion.near_ring_lift(S(s, d), "score", "a", out="fin").select("qid", "col", "fin"))
 _FAMILY = {"score": "pair", "b": "pair", "a": "item", "c": "item"}
 _FAMILIES = ", ".join(f"('{n}', {', '.join(f'{w[c]!r}::DOUBLE' for c in _FAMILY)})" for n, w in tuning.weight_families(_FAMILY).items())
@@ -437,7 +501,6 @@ def listwise(s: SparkSession, d: str) -> DataFrame:
 
 register("l6_ranker_listwise", "SELECT count(*) AS n, avg(1 / rank) AS mrr, avg(CAST(rank = 1 AS DOUBLE)) AS top1 FROM lr", "feat", ctes=_descent(15, 1.0, 1e-3), doubles="mrr top1")(listwise)
 register("l7_row_context", f"SELECT qid, col, score, a, avg(score) OVER q AS score_mean, avg(a) OVER q AS a_mean, max(score) OVER q AS score_max, max(a) OVER q AS a_max, score - max(score) OVER q AS score_top, a - max(a) OVER q AS a_top FROM scored{_Q}", "scored", doubles="score a score_mean a_mean score_max a_max score_top a_top")(lambda s, d: learn.row_context(S(s, d).select("qid", "col", "score", "a"), ["score", "a"]))
-_PAST = "past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)"
 _ATT = f"{_PAST}, vs AS (SELECT vec_id // 7 AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 7 = 0), ah AS (SELECT c.qid, c.col, list_inner_product(q.v, h.v) AS qh, ln(1.0::DOUBLE + c.time - p.et) AS gap, len(q.v) AS d FROM cands c JOIN past p ON p.qid = c.qid AND p.r <= 8 JOIN vs q ON q.id = c.cand JOIN vs h ON h.id = p.dst), ae AS (SELECT qid, col, qh, exp(qh / sqrt(d) - 0.1::DOUBLE * gap) AS e FROM ah)"
 register("l8_attention_score", "SELECT c.qid, c.col, c.cand, coalesce(a.score, 0) AS score FROM cands c LEFT JOIN (SELECT qid, col, sum(e * qh) / sum(e) AS score FROM ae GROUP BY qid, col) a USING (qid, col)", "cands", ctes=_ATT, doubles="score")(lambda s, d: learn.attention_score(C(s, d), E(s, d), _items(s, d)))
 register("l8_match_history", "SELECT c.qid, c.col, count(p.dst) AS match_count, coalesce(sum(1 / (1 + ln(1.0::DOUBLE + c.time - p.et))) FILTER (WHERE p.dst IS NOT NULL), 0) AS match_recency FROM cands c LEFT JOIN past p ON p.qid = c.qid AND p.r <= 8 AND p.dst = c.cand GROUP BY c.qid, c.col", "cands", ctes="past AS (SELECT t.seq AS qid, e.dst, e.time AS et, row_number() OVER (PARTITION BY t.seq ORDER BY e.time DESC, e.seq DESC) AS r FROM tgt t JOIN edges e ON e.src = t.src AND e.time < t.time)", doubles="match_recency")(lambda s, d: features.match_history(C(s, d), features.history_asof(T(s, d), E(s, d), 8)))
