@@ -11,16 +11,16 @@ from .stats import dst_histograms, dst_stats, pair_stats, src_stats
 CAUSAL = ["pair_log_count", "pair_recency", "pair_seen", "src_log_count", "src_recency", "src_seen", "dst_log_count", "dst_recency", "dst_seen", "pair_share_src", "pair_share_dst"]
 
 
-def _looked_up(cands: DataFrame, hist: DataFrame) -> DataFrame:
-    pairs = pair_stats(hist).withColumnRenamed("dst", "cand")
-    dsts = dst_stats(hist).withColumnRenamed("dst", "cand")
-    return cands.join(pairs, ["src", "cand"], "left").join(src_stats(hist), "src", "left").join(dsts, "cand", "left")
-
-
 def causal_features(cands: DataFrame, hist: DataFrame, cutoff: int) -> DataFrame:
     """The cells' columns and 11 causal columns; a query before the cutoff is an error."""
+    return stored_features(cands, pair_stats(hist), src_stats(hist), dst_stats(hist), cutoff)
+
+
+def stored_features(cands: DataFrame, pairs: DataFrame, srcs: DataFrame, dsts: DataFrame, cutoff: int) -> DataFrame:
+    """The same from statistics frozen at the cutoff, such as stores bucketed by their keys, which are then read in place."""
     time = F.when(F.col("time") >= cutoff, F.col("time")).otherwise(F.raise_error(F.lit("a query lies before the cutoff")).cast("long"))
-    rows = _looked_up(cands, hist).withColumn("__t", time)
+    rows = cands.join(pairs.withColumnRenamed("dst", "cand"), ["src", "cand"], "left").join(srcs, "src", "left")
+    rows = rows.join(dsts.withColumnRenamed("dst", "cand"), "cand", "left").withColumn("__t", time)
     z = lambda c: F.coalesce(c, F.lit(0))
     triple = lambda k: [F.log1p(z(f"{k}_cnt")).alias(f"{k}_log_count"), F.when(F.col(f"{k}_cnt").isNull(), 0.0).otherwise(recency(F.col("__t") - F.col(f"{k}_last"))).alias(f"{k}_recency"), F.col(f"{k}_cnt").isNotNull().cast("int").alias(f"{k}_seen")]
     share = lambda k: (z("pair_cnt") / F.greatest(z(f"{k}_cnt"), F.lit(1))).alias(f"pair_share_{k}")

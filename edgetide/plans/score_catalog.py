@@ -66,6 +66,34 @@ def s7_scores(s: SparkSession, d: str) -> DataFrame:
     return sources.load_scores(s, path, "history", "even")
 
 
+def _named(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+def bucketed(s: SparkSession, df: DataFrame, name: str, keys: list[str], by: list[str] | None = None) -> str:
+    """A new bucketed table in the shared folder, with as many buckets as the session's shuffles; its name."""
+    path = folder(s, name)
+    sources.save_bucketed(df, _named(path), keys, int(s.conf.get("spark.sql.shuffle.partitions")), path, by)
+    return _named(path)
+
+
+def s6_bucketed_store(s: SparkSession, d: str) -> DataFrame:
+    """Causal features looked up in statistics frozen as bucketed tables."""
+    h = H(s, d)
+    made = ((stats.pair_stats(h), "pairs", ["src", "dst"]), (stats.src_stats(h), "srcs", ["src"]), (stats.dst_stats(h), "dsts", ["dst"]))
+    pairs, srcs, dsts = (s.table(bucketed(s, df, name, keys)) for df, name, keys in made)
+    return features.stored_features(C(s, d), pairs, srcs, dsts, CUTOFF).select("qid", "col", "cand", *features.CAUSAL)
+
+
+def s7_bucketed_scores(s: SparkSession, d: str) -> DataFrame:
+    """Three strategies' scores kept long in one bucketed table, read wide for one of two splits."""
+    cells = S(s, d).select("qid", "col", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("split"), "score", "a", "c")
+    long = cells.select("qid", "col", "split", F.explode(F.create_map(*(x for n in ("score", "a", "c") for x in (F.lit(n), F.col(n))))).alias("strategy", "score"))
+    return sources.wide_scores(s, bucketed(s, long, "scores", ["qid"], ["strategy", "split"]), ["score", "a", "c"], "odd")
+
+
+register("s6_bucketed_store", f"SELECT qid, col, cand, {', '.join(features.CAUSAL)} FROM feat", "feat", doubles=" ".join(c for c in features.CAUSAL if not c.endswith("_seen")))(s6_bucketed_store)
+register("s7_bucketed_scores", "SELECT qid, col, score, a, c FROM scored WHERE qid % 2 = 1", "scored", doubles="score a c")(s7_bucketed_scores)
 register("s6_store", "SELECT src, dst, n AS pair_cnt, first AS pair_first, last AS pair_last FROM ps", "stats")(s6_store)
 register("s7_scores", "SELECT qid, col, score FROM scored WHERE qid % 2 = 0", "scored", doubles="score")(s7_scores)
 

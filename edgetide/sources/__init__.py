@@ -93,6 +93,33 @@ def load_scores(spark: SparkSession, path: str, strategy: str, split: str) -> Da
     return spark.read.parquet(path).where((F.col("strategy") == strategy) & (F.col("split") == split)).drop("strategy", "split")
 
 
+def save_bucketed(stats: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None, by: list[str] | None = None) -> None:
+    """A table laid out by ``keys``: rows are shuffled once, here, and every later join, window or aggregate by the keys reads
+    them in place.
+
+    One task writes a bucket, so there is one file a bucket (and value of the partition columns ``by``). ``buckets`` should
+    be at least the shuffle partitions of the sessions that read, or Spark may prefer to shuffle again, and enough for
+    a bucket to fit a task. Rows of one key stay together: lay out by keys that no one value dominates. An empty
+    frame gives an empty table. A table of the name is replaced.
+    """
+    writer = stats.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if by:
+        writer = writer.partitionBy(*by)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
+def wide_scores(spark: SparkSession, table: str, strategies: list[str], split: str) -> DataFrame:
+    """(qid, col, <strategies>) of a long bucketed score table, null where a strategy lacks the cell.
+
+    All strategies of a bucket are read by one task, and a cell's are met by an aggregate in place; per-query
+    windows over the result need no shuffle either.
+    """
+    rows = spark.table(table).where((F.col("split") == split) & F.col("strategy").isin(strategies))
+    return rows.groupBy("qid", "col").agg(*(F.max(F.when(F.col("strategy") == s, F.col("score"))).alias(s) for s in strategies))
+
+
 def matrix_lines(scores: DataFrame, col: str = "score") -> DataFrame:
     """(qid, line): the query's scores in column order as %.8f, comma-joined."""
     cells = F.array_sort(F.collect_list(F.struct("col", F.format_string("%.8f", F.col(col)).alias("v"))))

@@ -12,7 +12,7 @@ import __spark_entry__ as entry_module
 from edgetide.plans import catalog, frames, score_catalog  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = """f3_split_edges f4_segments f5_timestamp_safe_cuts f7_vocabulary a5_activity_cuts a12_bm25_confidence a14_bucket_pmi j1_causal_features j4_history_asof j6_transition_score
+SAMPLE = """s6_bucketed_store s7_bucketed_scores f3_split_edges f4_segments f5_timestamp_safe_cuts f7_vocabulary a5_activity_cuts a12_bm25_confidence a14_bucket_pmi j1_causal_features j4_history_asof j6_transition_score
 j8_near_support_pool j10_ring_support j12_community_presence j16_segments g3_cf_overlap g10_rp3 g11_neighbor_similarity g13_session_features g14_gcn_propagate w2_rank_pct_average w10_nearest_repeat
 w13_loo_calibration w17_remap_slots r1_sample_groups r3_replay_history_cold r4_replay_popularity_hard r7_replay_rows m2_residual_logits m13_row_gate m15_apply_gate m17_component_scores m18_meta_features m19_slice_features m20_set_features m21_near_ring_lift e2_segment_metrics e3_paired_compare
 e7_order_broken e8_leakage_late_cut e8_perturbation_leak e9_permutation_by_column r2_replay_from_files e8_effect_by_time e10_tolerance_checks m7_fit_gate m10_structural_chain m22_weight_families s4_edge_contract s9_validate_matrix x1_stream_stats x2_stream_popularity""".split()
