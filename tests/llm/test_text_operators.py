@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from edgetide.llm import bpe, lm, token_files
 from edgetide.llm.components import components
-from edgetide.llm.licenses import TEMPLATES, TemplateJoin, scan_licenses, words
+from edgetide.llm.licenses import NAMES, TEMPLATES, TemplateJoin, scan_licenses, words
 from edgetide.llm.near_dup import near_duplicates
 from edgetide.llm.queries import op8_secret_ownership
 from edgetide.llm.secrets import looks_live, redact, scan_secrets
@@ -304,10 +304,13 @@ def test_secret_values_that_look_live(spark):
     assert clean.columns == docs.columns and clean.count() == len(rows) and clean.where("text like '%[SECRET]'").count() == 7
 
 
-def _blocks(text, longest):
-    own = words(text)
-    lines = [x for line in (text or "").split("\n") if len(x := words(line)) <= 2 * longest]
-    return [*lines, *(own[i : i + 2 * longest] for i in range(0, max(len(own), 1), longest))]
+def _held(own, template, label):
+    """The best containment over every run of words that a template allows, by trying all of them."""
+    t = words(template)
+    x, wide = set(t), len(t) * 100 // 80
+    name = NAMES.get(label) if NAMES.get(label) in x else None
+    blocks = (x & set(own[i : i + wide]) for i in range(len(own)))
+    return max([len(b) / len(x) for b in blocks if len(b) * 100 >= 80 * len(x) and (name is None or name in b)], default=0)
 
 
 def test_license_join_equals_brute_force(spark):
@@ -320,13 +323,11 @@ def test_license_join_equals_brute_force(spark):
             texts.append("noise line here\n" + " ".join(kept) + " extra words\nthe end")
         wrapped = "\n * ".join(" ".join(own[i : i + 5]) for i in range(0, len(own), 5))
         texts.append("filler " * rng.randint(0, 200) + "\n" + wrapped + "\n" + "filler " * rng.randint(0, 200))
-    texts += ["released under mit-license and GNU  General\nPublic license, CC BY", None, "", "ünï cc by 4", "word " * 30_000 + "mit license"]
+    texts += ["released under mit-license and GNU  General\nPublic license, CC BY", None, "", "ünï cc by 4", "word " * 3_000 + "mit license"]
     got = {r.doc_id: r for r in scan_licenses(frame(spark, texts, "clash")).collect()}
-    longest = max(len(words(t)) for _, t in TEMPLATES)
-    sets = [set(words(x)) for _, x in TEMPLATES]
     for i, t in enumerate(texts):
         own = words(t)
-        best = {k: max([len(x & set(b)) / len(x) for b in _blocks(t, longest) if len(x & set(b)) * 100 >= 80 * len(x)], default=0) for k, x in enumerate(sets)}
+        best = {k: _held(own, text, label) for k, (label, text) in enumerate(TEMPLATES)}
         assert list(got[i].templates) == [k for k, x in best.items() if x] and got[i].n_words == len(own)
         places = [j for p in ("gnu general public license", "apache license", "cc by", "mit license") for j in range(len(own)) if own[j : j + len(p.split())] == p.split()]
         assert sorted(places) == list(got[i].places)
@@ -354,11 +355,30 @@ def test_license_filters_drop_pairs_but_no_match():
         a, b = join.candidates(ranks), join.candidates(ranks, positional=False)
         with_, without = with_ + len(a), without + len(b)
         want = {t for t, x in enumerate(join.sets) if len(set(x) & set(ranks)) >= join.need[t]}
-        assert want <= set(a) <= set(b) and set(join.matches(block)) == want
+        assert want <= set(a) <= set(b)
+        # in one stretch, each block's count is that of its own run of words
+        best = join.scan(block)
+        held = {k: _held(block, text, label) for k, (label, text) in enumerate(TEMPLATES)}
+        assert best == {k: x for k, x in held.items() if x} and set(best) <= want
         found += len(want)
     assert found > 50 and with_ < without
 
 
+def test_false_friends_of_licenses_have_no_label(spark):
+    texts = [
+        "The report was released under the new rules and each driver needs a license.",
+        "An Apache helicopter is not licensed under version 2.0 of the rules; the license of the crew was checked.",
+        "Permission to leave was granted free of charge to any person; a copy of this notice is in the files.",
+        "This source code form is subject to the terms of the Eclipse Public License, v. 2.0",
+        "This work is licensed under the Eclipse General Public License, version 3.",
+        " filler ".join(words(TEMPLATES[10][1])),
+    ]
+    # words of a notice far from each other, and the same close together
+    assert [r.labels for r in scan_licenses(frame(spark, texts, "friends")).orderBy("doc_id").collect()] == [""] * len(texts)
+    near = [t for _, t in TEMPLATES]
+    assert [r.labels for r in scan_licenses(frame(spark, near, "near")).orderBy("doc_id").collect()] == [label for label, _ in TEMPLATES]
+
+
 def test_written_tables_survive_rereading(spark):
     df = written(spark.range(5), "test")
     assert df.count() == 5 and "parquet" in df.inputFiles()[0]
