@@ -11,6 +11,11 @@ from .stats import dst_histograms, dst_stats, pair_stats, src_stats
 CAUSAL = ["pair_log_count", "pair_recency", "pair_seen", "src_log_count", "src_recency", "src_seen", "dst_log_count", "dst_recency", "dst_seen", "pair_share_src", "pair_share_dst"]
 
 
+def _looked_up(cands: DataFrame, pairs: DataFrame, srcs: DataFrame, dsts: DataFrame) -> DataFrame:
+    rows = cands.join(pairs.withColumnRenamed("dst", "cand"), ["src", "cand"], "left").join(srcs, "src", "left")
+    return rows.join(dsts.withColumnRenamed("dst", "cand"), "cand", "left")
+
+
 def causal_features(cands: DataFrame, hist: DataFrame, cutoff: int) -> DataFrame:
     """The cells' columns and 11 causal columns; a query before the cutoff is an error."""
     return stored_features(cands, pair_stats(hist), src_stats(hist), dst_stats(hist), cutoff)
@@ -19,8 +24,7 @@ def causal_features(cands: DataFrame, hist: DataFrame, cutoff: int) -> DataFrame
 def stored_features(cands: DataFrame, pairs: DataFrame, srcs: DataFrame, dsts: DataFrame, cutoff: int) -> DataFrame:
     """The same from statistics frozen at the cutoff, such as stores bucketed by their keys, which are then read in place."""
     time = F.when(F.col("time") >= cutoff, F.col("time")).otherwise(F.raise_error(F.lit("a query lies before the cutoff")).cast("long"))
-    rows = cands.join(pairs.withColumnRenamed("dst", "cand"), ["src", "cand"], "left").join(srcs, "src", "left")
-    rows = rows.join(dsts.withColumnRenamed("dst", "cand"), "cand", "left").withColumn("__t", time)
+    rows = _looked_up(cands, pairs, srcs, dsts).withColumn("__t", time)
     z = lambda c: F.coalesce(c, F.lit(0))
     triple = lambda k: [F.log1p(z(f"{k}_cnt")).alias(f"{k}_log_count"), F.when(F.col(f"{k}_cnt").isNull(), 0.0).otherwise(recency(F.col("__t") - F.col(f"{k}_last"))).alias(f"{k}_recency"), F.col(f"{k}_cnt").isNotNull().cast("int").alias(f"{k}_seen")]
     share = lambda k: (z("pair_cnt") / F.greatest(z(f"{k}_cnt"), F.lit(1))).alias(f"pair_share_{k}")
@@ -128,7 +132,7 @@ def cold_pool(hist: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 def segments_of(cands: DataFrame, hist: DataFrame, src_hot: DataFrame, dst_hot: DataFrame) -> DataFrame:
     """Per query, whether its positive is of each segment: source and destination warm, cold, hot; tail; pair seen, new."""
-    rows = _looked_up(cands.where("is_pos"), hist).crossJoin(F.broadcast(src_hot.select(F.col("hot").alias("__s")))).crossJoin(F.broadcast(dst_hot.select(F.col("hot").alias("__d"))))
+    rows = _looked_up(cands.where("is_pos"), pair_stats(hist), src_stats(hist), dst_stats(hist)).crossJoin(F.broadcast(src_hot.select(F.col("hot").alias("__s")))).crossJoin(F.broadcast(dst_hot.select(F.col("hot").alias("__d"))))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return rows.select(
         "qid", flag(F.col("src_cnt").isNotNull()).alias("src_warm"), flag(F.col("src_cnt").isNull()).alias("src_cold"), flag(F.col("src_cnt") >= F.col("__s")).alias("src_hot"),
