@@ -92,3 +92,12 @@ def test_transitions_and_session_graph_of_a_hot_source(spark, edges):
     graphs = graph.session_graph(df)
     assert {(r.i, r.j): r.cnt for r in graphs.collect()} == near
     assert all(re.search(r"\bat#", w) for w in windows(graphs))
+
+
+def test_counts_are_differences_of_running_totals(spark, cells):
+    """A frame with both ends is summed anew for each row, which is quadratic in a hot item's seconds."""
+    df = spark.createDataFrame(cells, CELLS)
+    for rows in (support.near_support(df, 900, False), support.ring_support(df), support.consensus(df, 3600)):
+        plan = rows._sc._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+        found = re.findall(r"specifiedwindowframe\(RangeFrame, (.*?), ", plan)
+        assert found and set(found) == {"unboundedpreceding$()"}
