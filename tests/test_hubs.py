@@ -34,6 +34,16 @@ def test_walks_through_a_hub(spark, heavy):
         assert got[q, col] == (pytest.approx(math.log1p(count)), pytest.approx(walk / math.sqrt(di[v]) if count else 0.0))
 
 
+def test_walks_to_a_candidate_of_many_edges(spark):
+    """No candidate is left out for its edges: 5,000 to item 1 by five sources, all of which share item 2."""
+    edges = [(n % 5, 1, n, n) for n in range(5000)] + [(u, 2, 0, 6000 + u) for u in range(5)]
+    cells = [(0, 0, 0, 0, 1)]
+    got = graph.rp3(spark.createDataFrame(cells, "qid long, src long, time long, col int, cand long"), spark.createDataFrame(edges, EDGES)).first()
+    count = sum(f * g * 1000 for f, g in ((1000, 1000), (1, 1))) * 4
+    walk = (1000 * 1000 * 1000 / (5000 * 1001) + 1000 / (5 * 1001)) * 4
+    assert (got.rp3_log, got.rp3) == (pytest.approx(math.log1p(count)), pytest.approx(walk / math.sqrt(5000)))
+
+
 def test_no_two_sources_meet_at_a_hub(spark):
     """With n sources at one item, joins make rows in proportion to n: twice the sources, about twice the rows."""
 
