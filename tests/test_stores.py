@@ -74,3 +74,15 @@ def test_empty_and_replaced_stores(spark):
     sources.save_bucketed(stats.src_stats(edges), "t_again", ["src"], BUCKETS)
     sources.save_bucketed(stats.src_stats(edges.limit(0)), "t_again", ["src"], BUCKETS)
     assert spark.table("t_again").count() == 0
+
+
+def test_digits_are_those_of_the_sql_engine(spark):
+    """Values whose seventh digit is a lone 5: the decimal text rounds some of them otherwise."""
+    import duckdb
+
+    from edgetide.plans.catalog import rounded
+
+    values = [n / 1e7 for n in range(5, 400_000, 10)] + [3.0 + n / 1e7 for n in range(5, 400_000, 10)]
+    engine = duckdb.connect().execute("SELECT i, round(v, 6) FROM (SELECT unnest(range(len($v))) AS i, unnest($v) AS v) ORDER BY i", {"v": values}).fetchall()
+    got = rounded(spark.createDataFrame(list(enumerate(values)), "i long, v double")).orderBy("i").collect()
+    assert [r.v for r in got] == [v for _, v in engine]
