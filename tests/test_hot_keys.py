@@ -101,3 +101,11 @@ def test_counts_are_differences_of_running_totals(spark, cells):
         plan = rows._sc._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
         found = re.findall(r"specifiedwindowframe\(RangeFrame, (.*?), ", plan)
         assert found and set(found) == {"unboundedpreceding$()"}
+
+
+def test_occurrences_are_dealt_out_before_they_are_folded(spark, cells):
+    """No aggregate holds a whole split of the cells: the shuffle lies below both."""
+    df = support.distinct_occurrences(spark.createDataFrame(cells, CELLS))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning") > plan.rindex("HashAggregate")
+    assert df.count() == len({(q, c) for q, *_, c in cells})
