@@ -35,7 +35,7 @@ def _made(df):
 
 
 @pytest.mark.parametrize(("chunk", "block"), [(256, 4096), (3, 2)])
-def test_similarities_equal_plain_sets(spark, monkeypatch, chunk, block):
+def test_similarities_and_overlaps_equal_plain_sets(spark, monkeypatch, chunk, block):
     monkeypatch.setattr(overlaps, "CHUNK", chunk)
     monkeypatch.setattr(overlaps, "BLOCK", block)
     rng = random.Random(5)
@@ -60,8 +60,16 @@ def test_similarities_equal_plain_sets(spark, monkeypatch, chunk, block):
         want = (max(cos, default=0), max((m[1] for m in met), default=0), sum(cos[:3]), max((m[2] for m in met), default=0), math.log1p(sum(m[3] for m in met)))
         assert tuple(got[q, col][c] for c in ("max_cos", "max_jac", "top3", "max_rare", "log_near")) == pytest.approx(want)
 
+    outs, ins = ({k: {o for *_, o in sorted(((t, n, o) for s, d, t, n in edges for kk, o in [(s, d) if side else (d, s)] if kk == k), key=lambda x: x[:2], reverse=True)[:8]} for k in range(32)} for side in (1, 0))
+    got = {(r.qid, r.col): r for r in graph.cf_overlap(cands, hist, 8).collect()}
+    for q, u, _, col, v in cells:
+        item = [len(ins[w] & ins[v]) for w in outs[u] if w is not None]
+        user = [len((outs[z] & outs[u]) - {None}) for z in ins[v]]
+        want = (math.log1p(sum(item)), math.log1p(max(item, default=0)), sum(item) / ((len(outs[u]) + 1) * math.sqrt(len(ins[v]) + 1)), math.log1p(sum(user)), math.log1p(max(user, default=0)))
+        assert tuple(got[q, col][c] for c in ("item_sum", "item_max", "item_norm", "user_sum", "user_max")) == pytest.approx(want)
+
 
-@pytest.mark.parametrize("features", [graph.neighbor_similarity])
+@pytest.mark.parametrize("features", [graph.neighbor_similarity, graph.cf_overlap])
 def test_no_row_for_each_pair_of_sources(spark, features):
     """600 sources of all 20 items: cells and their items are rows, pairs of sources with their common items are not."""
     edges = spark.createDataFrame([(u, i, u, 20 * u + i) for u in range(600) for i in range(20)], EDGES)
