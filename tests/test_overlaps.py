@@ -75,3 +75,14 @@ def test_no_row_for_each_pair_of_sources(spark, features):
     edges = spark.createDataFrame([(u, i, u, 20 * u + i) for u in range(600) for i in range(20)], EDGES)
     cells = spark.createDataFrame([(u, u, 0, c, (u + c) % 20) for u in range(600) for c in range(4)], CELLS)
     assert 0 < _made(features(cells, edges, 16)) <= 600 * 4 * 20
+
+
+def test_sketches_meet_pairs_not_cells(spark):
+    """A pair in many cells is estimated once: the last join of all goes by source and candidate."""
+    edges = spark.createDataFrame([(u, (u + i) % 9, u, 9 * u + i) for u in range(12) for i in range(4)], EDGES)
+    cells = spark.createDataFrame([(q, q % 12, 0, c, c) for q in range(240) for c in range(5)], CELLS)
+    df = graph.cf_sketch(cells, edges, dim=8)
+    rows = {(r.qid % 12, r.cand): tuple(r[3:]) for r in df.collect()}
+    assert len(rows) == 60 and all(tuple(r[3:]) == rows[r.qid % 12, r.cand] for r in df.collect())
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "src" in joins[0] and "cand" in joins[0]
