@@ -105,6 +105,30 @@ def test_near_duplicates_of_mixed_buckets(spark):
         assert got == dict(enumerate(comp))
 
 
+def test_near_duplicates_pairs_grow_with_a_group_not_its_square(spark, monkeypatch):
+    """60 texts of which all 1,770 pairs are likely and none is a link: a table of rows, not of pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(5000)]
+    texts = []
+    for i in range(60):
+        own = base.copy()
+        for at in rng.sample(range(0, 5000, 5), 120):
+            own[at] = f"z{i}"
+        texts.append(" ".join(own))
+    sizes = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr("edgetide.llm.near_dup.written", counted)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts), shingle=3, num=85, den=100, bins=80, block=64).collect()}
+    assert got == {i: i for i in range(60)}
+    assert len(sizes["likely"]) == 1 and sizes["likely"][0] <= sizes["members"][0] <= 16 * 60
+    assert sizes["edges"] == [0, 0]
+
+
 def test_sketches_estimate_similarity_and_fill():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 40, 3000):
