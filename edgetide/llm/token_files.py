@@ -23,8 +23,8 @@ _ROW = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("start", pa.int6
 _ROW_SQL = "part long, shard long, start long, n long, zeros array<long>, planes binary, ranks binary, doc_ids array<long>, lengths array<long>"
 #: ASCII punctuation that stands alone between a letter or digit and white space is a token group of its own.
 _TAIL = re.compile(rb"([,.])(?<=[0-9a-z][,.])(?=[\x09-\x0d\x20]|\Z)")
-#: Lower-case letters up to U+00FF: one token group that normalising leaves as it is.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Lower-case letters up to U+00FF, then ASCII marks but the apostrophe: one token group each that normalising leaves as it is.
+_GROUPS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
@@ -42,9 +42,16 @@ class WordEncoder:
         self.lowers = '"Lowercase"' in text
         self.cache = TwoAges(cached, self._words)
 
+    def _merged(self, group: bytes) -> list[int]:
+        return [x.id for x in self.model.tokenize(group.decode("latin-1").translate(self.chars))]
+
     def _words(self, words: list[bytes]) -> list[bytes]:
-        """Plain words by the merges alone, others by the whole of the library."""
-        out = [array("I", [x.id for x in self.model.tokenize(w.decode("latin-1").translate(self.chars))]).tobytes() if len(w) <= 64 and _LETTERS.fullmatch(w) else b"" for w in words]
+        """Plain words, with marks after them or without, by the merges alone, others by the whole of the library."""
+        out = []
+        for w in words:
+            m = _GROUPS.fullmatch(w) if len(w) <= 64 else None
+            ids = [] if m is None else self._merged(m[1]) + self._merged(m[2]) if m[2] else self._merged(m[1])
+            out.append(array("I", ids).tobytes())
         rest = [i for i, x in enumerate(out) if not x]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("I", x.ids).tobytes()

@@ -129,6 +129,25 @@ def test_near_duplicates_pairs_grow_with_a_group_not_its_square(spark, monkeypat
     assert sizes["edges"] == [0, 0]
 
 
+def test_words_with_marks_need_no_library():
+    """Letters and the marks after them are merged group by group, as the library does."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_files.WordEncoder(f.read())
+    plain = ["eati***", "word,&&&", "paré$$$", "a.", "x<|>", "größe#_-", "beta"]
+    odd = ["it's", "***a", "a1**", "Éa.", "x'**", "a\u0301**"]
+    library, asked = encoder.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, words, **kw):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **kw)
+
+    encoder.tokenizer = Spy()
+    got = encoder._words([w.encode() for w in plain + odd])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in plain + odd]
+    assert asked == odd
+
+
 def test_sketches_estimate_similarity_and_fill():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 40, 3000):
