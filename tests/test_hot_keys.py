@@ -6,8 +6,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from edgetide.functions.tables import written
 from edgetide.operators import features, graph, support
 
 DAY = 86_400
@@ -109,3 +111,30 @@ def test_occurrences_are_dealt_out_before_they_are_folded(spark, cells):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Exchange hashpartitioning") > plan.rindex("HashAggregate")
     assert df.count() == len({(q, c) for q, *_, c in cells})
+
+
+def test_community_pairs_are_rows_once_however_often_they_meet(spark, monkeypatch):
+    """12 sources meet at 40 times with random items, in blocks of five: brute force, and one row for two sources, not for a meeting."""
+    rng = random.Random(5)
+    vecs = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(12)}
+    cells = [(q, q % 14, q // 14, c, x) for q in range(14 * 40) for c, x in enumerate(rng.choices(range(6), k=4))]
+    sizes = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(support, "written", counted)
+    cands = spark.createDataFrame(cells, "qid long, src long, time long, col int, cand long")
+    users = spark.createDataFrame(list(vecs.items()), "id long, vec array<double>")
+    got = {tuple(r) for r in support.community_presence(cands, users, block=5, parts=3).collect()}
+
+    norm = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    cos = lambda a, b: round(sum(x * y for x, y in zip(norm(vecs[a]), norm(vecs[b]))), 9)
+    rows = sorted({(t, x, q, s) for q, s, t, _, x in cells if s in vecs})
+    met = [(cos(a[3], b[3]), a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[:2] == b[:2] and a[3] != b[3]]
+    level = float(np.quantile([m[0] for m in met], 0.9))
+    good = {(x[2], x[1]) for c, *two in met if c >= level for x in two}
+    assert got == {(q, c, x) for q, s, _, c, x in cells if (q, x) in good}
+    assert len(met) > 2000 and sizes["similar"] == 66
