@@ -35,7 +35,7 @@ def test_hierarchy_meets_cells_without_windows(log):
 def test_hot_blocks_are_dealt_by_query(spark, log, monkeypatch, share):
     monkeypatch.setattr(arrays.by_source, "__defaults__", (share,))
     shift, levels = (1, 2), ((1, 2), (3, 2), (2, 4))
-    got = {(r.qid, r.col): tuple(r)[3:] for r in stats.hierarchy_features(log[0], log[1], levels, ((2, 4),), (40_000,)).collect()}
+    got = {(r.qid, r.col): tuple(r)[3:] for r in stats.hierarchy_features(log[0], log[1], levels, ((2, 4),), (40_000,), share == 7).collect()}
     assert len(got) == len(log[2]) and shift == stats.Hierarchy(levels, ((2, 4),), (40_000,)).shift
     edges = [tuple(r) for r in log[0].collect()]
     end = max(e[2] for e in edges)
